@@ -95,7 +95,7 @@ def _lookup(table: Mapping[str, str], c: Column) -> Column:
     if not table:
         return c
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, c), c)
+    return text.let(c, lambda x: F.coalesce(F.try_element_at(pairs, x), x))
 
 
 def _among(c: Column, labels: Sequence[str]) -> Column:
@@ -108,40 +108,51 @@ def _dropped(rules: LabelRules, c: Column) -> Column:
 
 
 def _first_if_cluster(c: Column, exempt: Mapping[str, str], vowels: str) -> Column:
-    head = F.substring(c, 1, 1)
-    cluster = (F.length(c) > 1) & ~_among(c, list(exempt)) & (F.instr(F.lit(vowels), head) == 0)
-    return F.when(cluster, head).otherwise(c)
+    def body(x: Column) -> Column:
+        head = F.substring(x, 1, 1)
+        cluster = (F.length(x) > 1) & ~_among(x, list(exempt)) & (F.instr(F.lit(vowels), head) == 0)
+        return F.when(cluster, head).otherwise(x)
+
+    return text.let(c, body)
 
 
 def _one_tilde(c: Column) -> Column:
     return F.regexp_replace(c, f"{P.COMBINING_TILDE}+", P.COMBINING_TILDE)
 
 
+def _without(c: Column, part: str) -> Column:
+    return F.replace(c, F.lit(part), F.lit(""))
+
+
 def _general(rules: LabelRules, raw: Column, nfc: Column, marks: Column) -> Column:
-    label = strip_annotation_markup(nfc) if rules.strip_markup else nfc
-    label = F.replace(label, F.lit(" "), F.lit(""))
-    out = _one_tilde(label)
-    if rules.truncate_clusters:
-        out = _first_if_cluster(out, rules.mapping, rules.vowels)
-    out = _lookup(rules.canonical, _lookup(rules.mapping, out))
-    if rules.strip_length_marks:
-        out = F.replace(out, F.lit(P.LENGTH_MARK), F.lit(""))
-    gone = _dropped(rules, label) | text.only_marks(label, marks)
-    gone_after = _among(out, rules.drop_phonemes) | _dropped(rules, out)
-    return F.when(~gone & ~gone_after, out)
+    def spell(label: Column) -> Column:
+        out = _one_tilde(label)
+        if rules.truncate_clusters:
+            out = _first_if_cluster(out, rules.mapping, rules.vowels)
+        out = _lookup(rules.canonical, _lookup(rules.mapping, out))
+        return _without(out, P.LENGTH_MARK) if rules.strip_length_marks else out
+
+    def judge(label: Column) -> Column:
+        gone = _dropped(rules, label) | text.only_marks(label, marks)
+        kept = text.let(
+            spell(label), lambda out: F.when(~_among(out, rules.drop_phonemes) & ~_dropped(rules, out), out)
+        )
+        return F.when(~gone, kept)
+
+    return text.let(_without(strip_annotation_markup(nfc) if rules.strip_markup else nfc, " "), judge)
 
 
 def _sampa(rules: LabelRules, raw: Column, nfc: Column, marks: Column) -> Column:
-    out = F.replace(nfc, F.lit(" "), F.lit(""))
+    out = _without(nfc, " ")
     # In-label rewrites, in this order.
     for old, new in (("@t", "ə"), ("?", ""), ("@", "ə"), ("<p:>", "")):
         out = F.replace(out, F.lit(old), F.lit(new))
     exempt = rules.mapping if rules.truncation_exempt is None else rules.truncation_exempt
     out = _first_if_cluster(_one_tilde(out), exempt, P.VOWELS)
-    out = _lookup(P.NASAL_CANONICAL, _lookup(rules.mapping, out))
-    out = F.replace(out, F.lit(P.LENGTH_MARK), F.lit(""))
+    out = _without(_lookup(P.NASAL_CANONICAL, _lookup(rules.mapping, out)), P.LENGTH_MARK)
     gone = _among(raw, P.SAMPA_DROPPED) | text.only_marks(nfc, marks)
-    return F.when(~gone & ~_among(out, P.OUT_OF_INVENTORY) & (out != ""), out)
+    kept = text.let(out, lambda x: F.when(~_among(x, P.OUT_OF_INVENTORY) & (x != ""), x))
+    return F.when(~gone, kept)
 
 
 def _asr_codes(rules: LabelRules, raw: Column, nfc: Column, marks: Column) -> Column:
@@ -152,11 +163,15 @@ def _asr_codes(rules: LabelRules, raw: Column, nfc: Column, marks: Column) -> Co
     out = text.strip(F.regexp_replace(out, rf"(?U){text.BLANK}+", " "))
     for old, new in (("yu", "uy"), ("nn+yy", "nn")):
         out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.when(F.contains(out, F.lit("NB sur tDeb")), "ei").otherwise(out)
+    out = text.let(out, lambda x: F.when(F.contains(x, F.lit("NB sur tDeb")), "ei").otherwise(x))
     for old, new in (("#a", "a"), ("kk+", "k")):
         out = F.replace(out, F.lit(old), F.lit(new))
     for pattern in (r"(?d)\*.*?\*", r"(?U)\[\s*pause\s*\]", r"(?U)\b\w*pause\w*\b"):
         out = F.regexp_replace(out, pattern, "")
-    gone = _among(out, P.ASR_CODE_DROPPED) | text.only_marks(out, marks)
-    mapped = F.replace(_lookup(rules.mapping, out), F.lit("dʒ"), F.lit("ʒ"))
-    return F.when(~gone & (mapped != ""), mapped)
+
+    def judge(x: Column) -> Column:
+        gone = _among(x, P.ASR_CODE_DROPPED) | text.only_marks(x, marks)
+        mapped = F.replace(_lookup(rules.mapping, x), F.lit("dʒ"), F.lit("ʒ"))
+        return F.when(~gone & (mapped != ""), mapped)
+
+    return text.let(out, judge)

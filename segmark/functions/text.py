@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
@@ -39,3 +40,19 @@ def compose(label: pa.Array) -> pa.Array:
 def only_marks(c: Column, marks: Column) -> Column:
     """True for a non-empty text made of combining marks alone."""
     return (c != "") & (F.call_function("translate", c, marks, F.lit("")) == "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    Plain projections get merged, which would paste a costly expression into every lambda that mentions
+    it; a generator of one row is not merged.
+    """
+    one = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(one)))

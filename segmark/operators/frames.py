@@ -281,7 +281,7 @@ def forced_align(frames: DataFrame, targets: DataFrame, blank_id: int = 0) -> Da
 
     return (
         frames.groupBy(*CHUNK)
-        .cogroup(targets.groupBy(*CHUNK))
+        .cogroup(targets.toDF(*targets.columns).groupBy(*CHUNK))
         .applyInPandas(run, "utt string, chunk int, frame int, token int")
     )
 

@@ -99,7 +99,7 @@ def align(recordings: DataFrame, aligner: Callable[[Column, Column], Column] = a
 def pair_rows(aligned: DataFrame) -> DataFrame:
     """One row per step of the edit path, with its kind and both labels."""
     step = F.explode("pairs").alias("p")
-    r, h = F.col("ref")[F.col("p.ref_idx")], F.col("hyp")[F.col("p.hyp_idx")]
+    r, h = F.get("ref", F.col("p.ref_idx")), F.get("hyp", F.col("p.hyp_idx"))
     return aligned.select("utt", "ref", "hyp", step).select(
         "utt",
         F.col("p.ref_idx").alias("ref_idx"),
@@ -132,10 +132,10 @@ def with_errors(aligned: DataFrame) -> DataFrame:
     ref, hyp = F.col("ref"), F.col("hyp")
 
     def equal(p: Column) -> Column:
-        return ref[p["ref_idx"]]["phoneme"] == hyp[p["hyp_idx"]]["phoneme"]
+        return F.get(ref, p["ref_idx"])["phoneme"] == F.get(hyp, p["hyp_idx"])["phoneme"]
 
     def record(p: Column) -> Column:
-        r, h = ref[p["ref_idx"]], hyp[p["hyp_idx"]]
+        r, h = F.get(ref, p["ref_idx"]), F.get(hyp, p["hyp_idx"])
         return F.struct(
             p["ref_idx"].alias("ref_idx"),
             p["hyp_idx"].alias("hyp_idx"),
@@ -178,7 +178,7 @@ def match_filtered(errors: DataFrame, max_time_diff: float | None = None) -> tup
 def matched_times(aligned: DataFrame) -> DataFrame:
     """Pairs with equal labels and the four boundary times ``rs, re, hs, he``."""
     step = F.explode("pairs").alias("p")
-    r, h = F.col("ref")[F.col("p.ref_idx")], F.col("hyp")[F.col("p.hyp_idx")]
+    r, h = F.get("ref", F.col("p.ref_idx")), F.get("hyp", F.col("p.hyp_idx"))
     return (
         aligned.select("utt", "ref", "hyp", step)
         .filter(r["phoneme"] == h["phoneme"])

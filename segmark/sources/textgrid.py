@@ -116,23 +116,16 @@ def tiers(texts: DataFrame, key: str = "utt", rename_duplicates: bool = True) ->
 
         return F.transform(names, one)
 
-    base = (
-        texts.withColumn("tokens", tokens)
-        .withColumn("n_tiers", F.when(head, count))
-        .withColumn("walk", walked)
-        .withColumn(
-            "ok",
-            F.col("n_tiers").isNotNull()
-            & ((F.col("n_tiers") == 0) | F.coalesce(F.element_at("walk", -1) == F.size("tokens") + 1, F.lit(False))),
-        )
-        .withColumn(
-            "starts",
-            F.when(F.col("ok"), F.slice("walk", F.lit(1), F.greatest("n_tiers", F.lit(0)))).otherwise(
-                F.array().cast("array<int>")
-            ),
-        )
-        .withColumn("given", given)
+    base = text.pinned(texts, tokens=tokens)
+    base = text.pinned(base, n_tiers=F.when(head, count))
+    base = text.pinned(base, walk=walked)
+    closed = F.coalesce(F.element_at("walk", -1) == F.size("tokens") + 1, F.lit(False))
+    base = base.withColumn("ok", F.coalesce((F.col("n_tiers") == 0) | closed, F.lit(False)))
+    none = F.array().cast("array<int>")
+    base = text.pinned(
+        base, starts=F.when(F.col("ok"), F.slice("walk", F.lit(1), F.greatest("n_tiers", F.lit(0)))).otherwise(none)
     )
+    base = text.pinned(base, given=given)
     names = renamed("given") if rename_duplicates else F.col("given")
     kinds = F.transform("starts", lambda s: _unquoted(F.try_element_at("tokens", s)))
     return base.select(
@@ -162,19 +155,18 @@ def read_intervals(
     Labels are stripped of outer blanks; blank ones go, and silence too unless kept on purpose.
     """
     at, error = choose_tier(F.col("names"), choice)
-    chosen = tier_table.withColumn("at", at.cast("int")).select(
-        key,
-        F.coalesce(
-            "error",
-            error,
-            F.when(F.try_element_at("kinds", "at") != "IntervalTier", "ValueError: the chosen tier holds points"),
-        ).alias("error"),
-        "tokens",
-        F.try_element_at("starts", "at").alias("start"),
+    points = F.try_element_at("kinds", "at") != "IntervalTier"
+    chosen = text.pinned(tier_table, at=at.cast("int"))
+    chosen = text.pinned(
+        chosen,
+        why=F.coalesce("error", error, F.when(points, "ValueError: the chosen tier holds points")),
+        start=F.try_element_at("starts", "at"),
+    )
+    chosen = text.pinned(
+        chosen.select(key, F.col("why").alias("error"), "tokens", "start"),
+        n=F.try_element_at("tokens", F.col("start") + 4).try_cast("int"),
     )
     failures = chosen.filter(F.col("error").isNotNull()).select(key, F.col("error").alias("reason"))
-    size = F.element_at("tokens", F.col("start") + 4).cast("int")
-
     def item(k: Column) -> Column:
         at_k = (F.col("start") + 5 + 3 * k).cast("int")
         return F.struct(
@@ -187,7 +179,6 @@ def read_intervals(
     listed = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), item)
     rows = (
         chosen.filter(F.col("error").isNull())
-        .withColumn("n", size)
         .filter(F.col("n") > 0)
         .select(key, F.inline(listed))
         .filter(F.col("label") != "")

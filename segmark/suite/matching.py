@@ -121,7 +121,7 @@ def _stats(cap: str = "150") -> str:
 
 
 _SIDES = """
-    both as (select *, 's' as side, start_err as x from errs union all select *, 'e', end_err from errs)"""
+    edges as (select *, 's' as side, start_err as x from errs union all select *, 'e', end_err from errs)"""
 
 
 def _report_sql(chain: str, cap: str = "150", tols=(("20", "0.02"), ("50", "0.05"))) -> str:
@@ -149,7 +149,7 @@ def _report_sql(chain: str, cap: str = "150", tols=(("20", "0.02"), ("50", "0.05
                  sum(b_hyp) as b_hyp, sum(s) as s, sum(d) as d, sum(i) as i, {tp_sum}
           from counts group by grouping sets ((style, utt), (style), ())),
     e as (select grouping(style, utt) as g, style, utt, {_stats(cap)}
-          from both group by grouping sets ((style, utt), (style), ()))
+          from edges group by grouping sets ((style, utt), (style), ()))
     select case c.g when 0 then 'file' when 1 then 'style' else 'global' end as level,
            case c.g when 0 then c.utt when 1 then 'STYLE_' || c.style else 'GLOBAL' end as "group",
            coalesce(c.style, 'ALL') as style, {", ".join("e." + s for s in stat_names)},
@@ -313,7 +313,7 @@ def scored(spark, sf_dir, options=metrics.ScoreOptions()):
 
 @query(
     "q_boundary_stats",
-    _chain(bounds=False) + "," + _SIDES + f" select style, {_stats()} from both group by style",
+    _chain(bounds=False) + "," + _SIDES + f" select style, {_stats()} from edges group by style",
 )
 def q_boundary_stats(spark, sf_dir):
     s = scored(spark, sf_dir)
@@ -322,7 +322,7 @@ def q_boundary_stats(spark, sf_dir):
 
 @query(
     "q_per_phoneme",
-    _chain(bounds=False) + "," + _SIDES + f" select phoneme, {_stats()} from both group by phoneme",
+    _chain(bounds=False) + "," + _SIDES + f" select phoneme, {_stats()} from edges group by phoneme",
 )
 def q_per_phoneme(spark, sf_dir):
     return rounded(metrics.per_phoneme(scored(spark, sf_dir)))
