@@ -7,28 +7,41 @@ every engine sees the same doubles. ``SQL`` holds the same rules as common table
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmark.operators.scan import position_block, with_row_index
+from segmark.operators.scan import longest_key, with_rank, with_row_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def longest_user(sf_dir: str) -> int:
+    """Events of the busiest user: one counting job per data set, its result reused by every view."""
+    return longest_key(table(SparkSession.active(), sf_dir, "events"), "user_id")
+
+
 def ranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events with a dense per-user rank; blocks of one day keep a hot user spread out."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    day = F.col("ts").cast("date")
-    return with_row_index(events, ["user_id"], ["ts", "event_id"], day, "rn", write=False).select(
+    """events with a dense rank per user."""
+    events = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), "user_id").alias("utt"), "event_id", "ts", "user_id", "event_type", "value"
+    )
+    return with_rank(events, ["utt"], ["ts", "event_id"], longest_user(sf_dir), "rn").select(
         "*",
-        F.concat(F.lit("u"), "user_id").alias("utt"),
         F.concat(F.lit("g"), (F.col("user_id") % 4).cast("string")).alias("style"),
         ((F.col("rn") + 1) * 80 + (F.col("event_id") * 37) % 30).alias("start_ms"),
     )
 
 
+def longest_side(sf_dir: str) -> int:
+    """Upper bound on the intervals of one side of one recording in :func:`two_sided`."""
+    return 2 * longest_user(sf_dir)
+
+
 def _seconds(ms: Column) -> Column:
     return ms.cast("double") / 1000
 
@@ -70,7 +83,7 @@ def two_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_side(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """One side with its dense position ``pos`` (zero-based)."""
     rows = two_sided(spark, sf_dir).filter(F.col("side") == side)
-    return with_row_index(rows, ["utt"], ["ord"], position_block("ord"), "pos", write=False).drop("ord", "side")
+    return with_rank(rows, ["utt"], ["ord"], longest_side(sf_dir), "pos").drop("ord", "side")
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:

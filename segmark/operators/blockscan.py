@@ -22,18 +22,20 @@ def fold_blocks(
     keys: Sequence[str],
     fold: Callable[[DataFrame], DataFrame],
     state_type: str,
+    single: bool = False,
 ) -> DataFrame:
     """Fold every block with its true incoming state.
 
     ``blocks`` has one row per (keys, blk) with the block's content in arrays. ``fold`` adds ``out`` and
-    ``state_out`` to rows that carry a ``state_in`` column (NULL: nothing before).
+    ``state_out`` to rows that carry a ``state_in`` column (NULL: nothing before). ``single`` says that
+    no recording has more than one block; then one lazy pass is all.
     """
-    content = [c for c in blocks.columns]
-    guess = blocks.withColumn("state_in", F.lit(None).cast(state_type))
-    done = cut(fold(guess), "fold")
+    content = list(blocks.columns)
+    first = fold(blocks.withColumn("state_in", F.lit(None).cast(state_type)))
+    if single:
+        return first
+    done = cut(first, "fold")
     before = Window.partitionBy(*keys).orderBy("blk")
-    if done.agg(F.max("blk") - F.min("blk")).first()[0] in (None, 0):
-        return done
     while True:
         linked = done.withColumn("want", F.lag("state_out").over(before))
         stale = ~F.col("state_in").eqNullSafe(F.col("want"))

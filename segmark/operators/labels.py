@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def normalized(df: DataFrame, column: str, rules: LabelRules, name: str = "phone
     return composed.select(*rest, expr.alias(name))
 
 
+def _small_vocabulary(df: DataFrame, column: str, max_vocabulary: int) -> DataFrame | None:
+    """The distinct labels, written once, or None when there are too many to broadcast."""
+    vocabulary = cut(df.select(column).filter(F.col(column).isNotNull()).distinct(), "labels")
+    size = vocabulary.agg(F.count("*").alias("n"), F.sum(F.length(column)).alias("chars")).first()
+    small = size["n"] <= max_vocabulary and (size["chars"] or 0) <= MAX_VOCABULARY_CHARS
+    return vocabulary if small else None
+
+
 def normalize_labels(
     df: DataFrame,
     column: str,
@@ -36,9 +46,8 @@ def normalize_labels(
     characters) is normalised once and broadcast; beyond the bound the rules run on the rows in place,
     so a hot label never gathers in one task either way.
     """
-    vocabulary = cut(df.select(column).filter(F.col(column).isNotNull()).distinct(), "labels")
-    size = vocabulary.agg(F.count("*").alias("n"), F.sum(F.length(column)).alias("chars")).first()
-    if size["n"] > max_vocabulary or (size["chars"] or 0) > MAX_VOCABULARY_CHARS:
+    vocabulary = _small_vocabulary(df, column, max_vocabulary)
+    if vocabulary is None:
         return normalized(df, column, rules, name)
     table = normalized(vocabulary, column, rules, "__out").withColumnRenamed(column, "__label")
     rest = [F.col(c) for c in df.columns if c != name]
@@ -46,6 +55,38 @@ def normalize_labels(
     return joined.select(*rest, F.col("__out").alias(name))
 
 
+def normalize_sides(
+    df: DataFrame,
+    column: str,
+    side: str,
+    rules: Mapping[str, LabelRules],
+    name: str = "phoneme",
+    max_vocabulary: int = MAX_VOCABULARY,
+) -> DataFrame:
+    """As :func:`normalize_labels` with one rule set per value of ``side``, over one shared vocabulary."""
+
+    def by_side(outs: Mapping[str, Column]) -> Column:
+        picked = F.lit(None).cast("string")
+        for value, out in outs.items():
+            picked = F.when(F.col(side) == value, out).otherwise(picked)
+        return picked.alias(name)
+
+    rest = [c for c in df.columns if c != name]
+    vocabulary = _small_vocabulary(df, column, max_vocabulary)
+    source = df if vocabulary is None else vocabulary
+    composed = source.withColumn("__c", text.compose(column))
+    outs = {
+        value: r.expression(F.col(column), F.col("__c.nfc"), F.col("__c.marks")) for value, r in rules.items()
+    }
+    if vocabulary is None:
+        return composed.select(*rest, by_side(outs))
+    table = composed.select(
+        F.col(column).alias("__label"), *[out.alias(f"__out_{value}") for value, out in outs.items()]
+    )
+    joined = df.join(F.broadcast(table), F.col(column) == F.col("__label"), "left")
+    return joined.select(*rest, by_side({value: F.col(f"__out_{value}") for value in outs}))
+
+
 def clean_intervals(
     intervals: DataFrame, rules: LabelRules, label: str = "label", renumber: bool = True
 ) -> DataFrame:

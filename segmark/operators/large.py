@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def split_by_length(store: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+def split_by_length(
+    store: DataFrame, limit: int, longest: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """(intervals of recordings up to ``limit`` labels per side, the others or None)."""
     sizes = store.groupBy("utt", "side").agg(F.count("*").alias("n"))
-    longest = sizes.agg(F.max("n").alias("n")).first()["n"] or 0
+    if longest is None:
+        longest = sizes.agg(F.max("n")).first()[0] or 0
     if longest <= limit:
         return store, None
     long_ones = sizes.filter(F.col("n") > limit).select("utt").distinct()

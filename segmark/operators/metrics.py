@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmark.operators import boundaries, large, seqalign
-from segmark.operators.quantiles import exact_quantiles
+from segmark.operators.quantiles import MAX_IN_TASK, exact_quantiles
 from segmark.session import cut
 
 DEFAULT_CAP_MS = 150.0
@@ -38,11 +38,20 @@ class ScoreOptions:
 
 @dataclass(frozen=True)
 class Scored:
-    """Per-recording rows (counts, sums, quantiles) and the long error rows they come from."""
+    """Per-recording rows (counts, sums, quantiles) and the long error rows they come from.
+
+    ``matches`` is the number of error rows.
+    """
 
     files: DataFrame
     errors: DataFrame
     options: ScoreOptions
+    matches: int | None = None
+
+    @property
+    def values(self) -> int | None:
+        """Bound on distinct error values: three per error row."""
+        return None if self.matches is None else 3 * self.matches
 
 
 def _moments(cap_ms: float | None) -> dict[str, Callable[[Record], Column]]:
@@ -177,7 +186,9 @@ def counted_errors(errors: DataFrame, grain: Sequence[str]) -> DataFrame:
     )
 
 
-def group_quantiles(counted: DataFrame, grain: Sequence[str], cap_ms: float | None) -> DataFrame:
+def group_quantiles(
+    counted: DataFrame, grain: Sequence[str], cap_ms: float | None, at_most: int | None = None
+) -> DataFrame:
     """The QUANTILES of arbitrarily large groups."""
     edge = F.col("a") + F.col("b")
     capped = edge if not cap_ms else F.when(F.col("v") <= float(cap_ms), edge).otherwise(0)
@@ -192,6 +203,7 @@ def group_quantiles(counted: DataFrame, grain: Sequence[str], cap_ms: float | No
             "p90_ms": (edge, 0.9),
             "median_dur_ms": (F.col("c"), 0.5),
         },
+        at_most,
     )
 
 
@@ -201,22 +213,35 @@ def grouped_moments(errors: DataFrame, grain: Sequence[str], cap_ms: float | Non
     )
 
 
-def boundary_stats(errors: DataFrame, grain: Sequence[str], cap_ms: float | None = DEFAULT_CAP_MS) -> DataFrame:
-    """Pooled boundary statistics of error rows per grain; works for groups of any size."""
+def boundary_stats(
+    errors: DataFrame,
+    grain: Sequence[str],
+    cap_ms: float | None = DEFAULT_CAP_MS,
+    at_most: int | None = None,
+) -> DataFrame:
+    """Pooled boundary statistics of error rows per grain; works for groups of any size.
+
+    ``at_most`` is a known bound on the distinct error values (see :attr:`Scored.values`).
+    """
     moments = grouped_moments(errors, grain, cap_ms)
-    quantiles = group_quantiles(counted_errors(errors, grain), grain, cap_ms)
+    quantiles = group_quantiles(counted_errors(errors, grain), grain, cap_ms, at_most)
     return moments.join(quantiles, list(grain), "left").select(*grain, *_stat_columns())
 
 
-def score(store: DataFrame, options: ScoreOptions = ScoreOptions(), order: str = "pos") -> Scored:
+def score(
+    store: DataFrame,
+    options: ScoreOptions = ScoreOptions(),
+    order: str = "pos",
+    longest: int | None = None,
+) -> Scored:
     """Align, match and measure every recording of a long interval store.
 
     Recordings of ordinary length become one row each and are scored where they lie; longer ones are
-    tiled. The scored rows are written once because the report reads them several times.
+    tiled. ``longest`` is the largest number of labels on one side of a recording, counted here unless
+    the caller knows it. The scored rows are written once because the report reads them several times.
     """
-    small, big = large.split_by_length(store, options.max_one_task)
-    recordings = seqalign.gather(small, order)
-    aligned = seqalign.with_errors(seqalign.align(recordings))
+    small, big = large.split_by_length(store, options.max_one_task, longest)
+    aligned = seqalign.with_errors(seqalign.align(seqalign.gather(small, order)))
     counted = boundaries.with_boundary_counts(
         aligned.select(
             "utt",
@@ -233,18 +258,20 @@ def score(store: DataFrame, options: ScoreOptions = ScoreOptions(), order: str =
         ),
         options.tolerances,
     ).drop("ref", "hyp")
-    scored = cut(counted, "scored")
-    files = _file_statistics(scored, options.cap_ms)
+    scored = cut(counted.withColumn("n_match", F.size("errs")), "scored")
+    matches = scored.agg(F.sum("n_match")).first()[0] or 0
+    files = _file_statistics(scored.drop("n_match"), options.cap_ms)
     errors = seqalign.error_rows(scored)
     if big is not None:
         big_counts, big_errors = large.score_large(big, options.tolerances, order)
+        matches += big_errors.count()
         stats = grouped_moments(big_errors, ["utt"], options.cap_ms).join(
             group_quantiles(counted_errors(big_errors, ["utt"]), ["utt"], options.cap_ms), "utt", "left"
         )
         filled = big_counts.join(stats, "utt", "left").na.fill(0.0, list(_moments(options.cap_ms)))
         files = files.unionByName(filled)
-        errors = errors.unionByName(big_errors)
-    return Scored(files, errors, options)
+        errors = errors.unionByName(big_errors.select(*errors.columns))
+    return Scored(files, errors, options, matches)
 
 
 def _count_columns(tags: Sequence[str]) -> list[Column]:
@@ -307,12 +334,12 @@ def report(scored: Scored) -> DataFrame:
         F.struct(F.lit("style").alias("level"), F.col("style").alias("key")),
         F.struct(F.lit("global").alias("level"), F.lit("").alias("key")),
     )
-    pooled = (
-        by_style.select(F.explode(grains).alias("g"), "v", "a", "b", "c")
-        .groupBy("g.level", "g.key", "v")
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
-    )
-    quantiles = group_quantiles(pooled, ["level", "key"], cap)
+    pooled = by_style.select(F.inline(grains), "v", "a", "b", "c")
+    bound = None if scored.values is None else 2 * scored.values
+    if bound is None or bound > MAX_IN_TASK:
+        # Styles share values: fold them before the overall group is ranked.
+        pooled = pooled.groupBy("level", "key", "v").agg(*[F.sum(c).alias(c) for c in "abc"])
+    quantiles = group_quantiles(pooled, ["level", "key"], cap, bound)
     rolled = (
         styles.withColumn("key", F.when(F.col("level") == "style", F.col("style")).otherwise(""))
         .join(quantiles, ["level", "key"], "left")
@@ -334,7 +361,7 @@ def report(scored: Scored) -> DataFrame:
 
 def per_phoneme(scored: Scored) -> DataFrame:
     """Boundary statistics per label over all recordings."""
-    return boundary_stats(scored.errors, ["phoneme"], scored.options.cap_ms)
+    return boundary_stats(scored.errors, ["phoneme"], scored.options.cap_ms, scored.values)
 
 
 def report_headers(tags: Sequence[str]) -> dict[str, str]:

@@ -24,25 +24,27 @@ def exact_quantiles(
     grain: Sequence[str],
     value: str,
     wanted: Mapping[str, tuple[Column, float]],
+    at_most: int | None = None,
     max_in_task: int = MAX_IN_TASK,
 ) -> DataFrame:
     """Linearly interpolated quantiles per grain.
 
     ``counted`` has one row per (grain, value); ``wanted`` maps an output name to a weight expression
-    (how often the value occurs in that list, 0 when it does not) and a probability.
+    (how often the value occurs in that list, 0 when it does not) and a probability. ``at_most`` is a
+    known bound on the rows of ``counted``; without one they are written and counted first.
     """
+    probs = {n: p for n, (_, p) in wanted.items()}
     weights = [w.cast("long").alias(f"w_{n}") for n, (w, _) in wanted.items()]
-    table = cut(
-        counted.select(*grain, value, *weights).repartitionByRange(*grain, value).withColumn(
-            "blk", F.spark_partition_id()
-        ),
-        "counted",
-    )
-    if table.count() <= max_in_task:
+    table = counted.select(*grain, value, *weights)
+    if at_most is None or at_most > max_in_task:
+        table = cut(table, "counted")
+        at_most = table.count()
+    if at_most <= max_in_task:
         return table.groupBy(*grain).agg(
-            *[F.percentile(value, p, F.col(f"w_{n}")).alias(n) for n, (_, p) in wanted.items()]
+            *[F.percentile(value, p, F.col(f"w_{n}")).alias(n) for n, p in probs.items()]
         )
-    return _by_rank(table, list(grain), value, {n: p for n, (_, p) in wanted.items()})
+    ranged = table.repartitionByRange(*grain, value).withColumn("blk", F.spark_partition_id())
+    return _by_rank(cut(ranged, "ranged"), list(grain), value, probs)
 
 
 def _by_rank(table: DataFrame, grain: list[str], value: str, probs: Mapping[str, float]) -> DataFrame:

@@ -88,6 +88,45 @@ def with_row_index(
     return out.withColumn(name, F.col(name) - 1)
 
 
+def longest_key(df: DataFrame, *keys: str) -> int:
+    """Rows of the most frequent key (counts combine before the shuffle)."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def with_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    longest: int,
+    name: str = "pos",
+    limit: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Dense zero-based rank of rows by ``order`` when nothing but the order is known.
+
+    ``longest`` is the size of the largest key. Up to ``limit`` one window does it. Beyond, rows are
+    range-partitioned by (keys, order), which splits a hot key wherever its rows fall; inside a sorted
+    partition the row id already is the rank, and a table of (key, partition) counts adds what lies in
+    earlier partitions.
+    """
+    if longest <= limit:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
+    # Written once: a second evaluation could draw other range bounds.
+    placed = cut(
+        df.repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__id")),
+        "rank",
+    )
+    same = [*keys, "__part"]
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(*same).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    starts = starts.select(*same, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return placed.join(starts, same).select(
+        *df.columns, (F.col("__id") - F.col("__first") + F.col("__base")).alias(name)
+    )
+
+
 def with_last_known(
     df: DataFrame,
     keys: Sequence[str],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from segmark.functions.labels import build_rules
 from segmark.operators import intervals as iv
 from segmark.operators import metrics
 from segmark.operators.frames import CtcOptions, ctc_align, ctc_options, fixed_chunks, whole_file_chunks
-from segmark.operators.labels import clean_intervals
+from segmark.operators.labels import normalize_sides
 from segmark.operators.vad import vad_chunks
 from segmark.session import cut
 from segmark.sources import audio, manifest, reports, tables, textgrid
@@ -89,40 +90,50 @@ def _mapping(spark: SparkSession, given: Mapping[str, str] | str | None) -> Mapp
     return tables.read_label_map(spark, given) if isinstance(given, str) else given
 
 
+class Store(NamedTuple):
+    """Intervals ready for scoring, failed recordings, and the longest side of a recording."""
+
+    intervals: DataFrame
+    failures: DataFrame
+    longest: int
+
+
 def build_store(
     samples: DataFrame, ref: DataFrame, hyp: DataFrame, durations: DataFrame | None, options: EvaluationOptions
-) -> tuple[DataFrame, DataFrame]:
-    """(store, failures) from raw intervals of both sides.
+) -> Store:
+    """Normalise, re-anchor and validate raw intervals of both sides.
 
     ``samples`` is (utt, file, style); raw intervals are (utt, pos, label, start_s, end_s). A recording
     whose labels all vanish on one side fails with a reason and leaves the store.
     """
     spark = samples.sparkSession
-    sides = {}
-    for side, raw, preset, mapping in (
-        ("ref", ref, options.ref_preset, options.ref_mapping),
-        ("hyp", hyp, options.hyp_preset, options.hyp_mapping),
-    ):
-        rules = build_rules(preset, _mapping(spark, mapping))
-        sides[side] = clean_intervals(raw, rules, renumber=False)
-    # Re-anchoring comes after normalisation: the first interval that was kept gives the offset.
-    if options.ref_offset == "force" or durations is not None:
-        sides["ref"] = iv.correct_offset(
-            sides["ref"], durations, options.ref_offset, options.ref_offset_tolerance
-        )
-    rows = [
-        d.select("utt", F.lit(side).alias("side"), "pos", "phoneme", "start_s", "end_s") for side, d in sides.items()
-    ]
-    cleaned = cut(rows[0].unionByName(rows[1]), "cleaned")
-    sizes = cleaned.groupBy("utt").agg(
-        F.count_if(F.col("side") == "ref").alias("n_ref"), F.count_if(F.col("side") == "hyp").alias("n_hyp")
-    )
-    checked = cut(
-        samples.join(sizes, "utt", "left").select(
-            "utt", "file", "style", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_ref", "n_hyp")]
-        ),
-        "checked",
+    rules = {
+        "ref": build_rules(options.ref_preset, _mapping(spark, options.ref_mapping)),
+        "hyp": build_rules(options.hyp_preset, _mapping(spark, options.hyp_mapping)),
+    }
+    names = ["utt", "pos", "label", "start_s", "end_s"]
+    both = ref.select(F.lit("ref").alias("side"), *names).unionByName(hyp.select(F.lit("hyp").alias("side"), *names))
+    cleaned = normalize_sides(both, "label", "side", rules).filter(F.col("phoneme").isNotNull()).drop("label")
+    # One pass per recording gives what validation, re-anchoring and the length check need.
+    ref_pos = F.when(F.col("side") == "ref", F.col("pos"))
+    facts = cleaned.groupBy("utt").agg(
+        F.count_if(F.col("side") == "ref").alias("n_ref"),
+        F.count_if(F.col("side") == "hyp").alias("n_hyp"),
+        F.min_by("start_s", ref_pos).alias("first_s"),
+        F.max_by("end_s", ref_pos).alias("last_s"),
     )
+    rows = samples.join(facts, "utt", "left")
+    # Re-anchoring comes after normalisation: the first interval that was kept gives the offset.
+    if options.ref_offset == "force":
+        shift = F.col("first_s")
+    elif options.ref_offset == "never" or durations is None:
+        shift = F.lit(0.0)
+    else:
+        rows = rows.join(durations.select("utt", "duration_s"), "utt", "left")
+        late = F.col("last_s") > F.col("duration_s") + options.ref_offset_tolerance
+        shift = F.when(late, F.col("first_s")).otherwise(0.0)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_ref", "n_hyp")]
+    checked = cut(rows.select("utt", "file", "style", *counts, shift.alias("shift")), "checked")
     good = (F.col("n_ref") > 0) & (F.col("n_hyp") > 0)
     failures = checked.filter(~good).select(
         "utt",
@@ -133,8 +144,19 @@ def build_store(
             "n_hyp",
         ).alias("reason"),
     )
-    store = cleaned.join(checked.filter(good).select("utt", "file", "style"), "utt")
-    return store.select("utt", "file", "style", "side", "pos", "phoneme", "start_s", "end_s"), failures
+    longest = checked.agg(F.max(F.greatest("n_ref", "n_hyp"))).first()[0] or 0
+    moved = F.when(F.col("side") == "ref", F.col("shift")).otherwise(0.0)
+    intervals = cleaned.join(checked.filter(good).select("utt", "file", "style", "shift"), "utt").select(
+        "utt",
+        "file",
+        "style",
+        "side",
+        "pos",
+        "phoneme",
+        (F.col("start_s") - moved).alias("start_s"),
+        (F.col("end_s") - moved).alias("end_s"),
+    )
+    return Store(intervals, failures, longest)
 
 
 def evaluate_tables(
@@ -147,14 +169,14 @@ def evaluate_tables(
     read_failures: DataFrame | None = None,
 ) -> Evaluation:
     """Score raw interval tables. Predictions default to the raw hypothesis labels, as read."""
-    store, failures = build_store(samples, ref, hyp, durations, options)
+    store, failures, longest = build_store(samples, ref, hyp, durations, options)
     if read_failures is not None:
         # A file that could not be read explains an empty side better than the emptiness does.
         first = read_failures.groupBy("utt").agg(F.min("reason").alias("why"))
         failures = failures.join(first, "utt", "left").select("utt", F.coalesce("why", "reason").alias("reason"))
     if predictions is None:
         predictions = iv.phoneme_strings(hyp.withColumnRenamed("label", "phoneme"))
-    scored = metrics.score(store, options.scoring)
+    scored = metrics.score(store, options.scoring, longest=longest)
     return Evaluation(store, failures, predictions, scored)
 
 

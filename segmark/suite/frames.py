@@ -292,7 +292,8 @@ _VAD = fx.with_views("vad", recursive=True) + "," + _SEGMENTS + ","
 @query("q_vad_split", _VAD + _CUTS.format(c="0.6::double") + " select * from pieces")
 def q_vad_split(spark, sf_dir):
     scores = fx.vad_scores(spark, sf_dir)
-    return vad.split_long(vad.binarize(scores), scores, 0.6)
+    extent = vad.Extent.of(scores)
+    return vad.split_long(vad.binarize(scores, extent=extent), scores, 0.6, extent=extent)
 
 
 @query(
@@ -301,7 +302,8 @@ def q_vad_split(spark, sf_dir):
 )
 def q_vad_merge(spark, sf_dir):
     scores = fx.vad_scores(spark, sf_dir)
-    return vad.merge_chunks(vad.binarize(scores), scores, 2.0)
+    extent = vad.Extent.of(scores)
+    return vad.merge_chunks(vad.binarize(scores, extent=extent), scores, 2.0, extent=extent)
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from segmark import fixtures as fx
 from segmark.operators import intervals as iv
 from segmark.operators import metrics
-from segmark.session import cut_folder
+from segmark.session import cut, cut_folder
 from segmark.sources import tables, textgrid
 from segmark.suite import query
 
@@ -131,7 +131,7 @@ def q_store_roundtrip(spark, sf_dir):
 )
 def q_textgrid_ingest(spark, sf_dir):
     texts = textgrid.long_form(fx.one_side(spark, sf_dir, "hyp"))
-    found = textgrid.tiers(texts)
+    found = cut(textgrid.tiers(texts), "tiers")
     parts = [
         textgrid.read_intervals(found, choice)[0].withColumn("tier_name", F.lit(name))
         for name, choice in (("phones", textgrid.TierChoice()), ("words", textgrid.TierChoice(index=0)))

@@ -308,7 +308,7 @@ def q_per(spark, sf_dir):
 
 
 def scored(spark, sf_dir, options=metrics.ScoreOptions()):
-    return metrics.score(fx.two_sided(spark, sf_dir), options, order="ord")
+    return metrics.score(fx.two_sided(spark, sf_dir), options, "ord", fx.longest_side(sf_dir))
 
 
 @query(
@@ -317,7 +317,7 @@ def scored(spark, sf_dir, options=metrics.ScoreOptions()):
 )
 def q_boundary_stats(spark, sf_dir):
     s = scored(spark, sf_dir)
-    return rounded(metrics.boundary_stats(s.errors, ["style"]))
+    return rounded(metrics.boundary_stats(s.errors, ["style"], at_most=s.values))
 
 
 @query(
@@ -397,7 +397,7 @@ def q_failures(spark, sf_dir):
     ref = fx.raw_labels(spark, sf_dir)
     hyp = ref.filter(F.startswith("label", F.lit("[[")) & (F.length("label") >= 21))
     samples = ref.select("utt", F.col("utt").alias("file"), F.lit("ALL").alias("style")).distinct()
-    return evaluation.build_store(samples, ref, hyp, None, evaluation.EvaluationOptions())[1]
+    return evaluation.build_store(samples, ref, hyp, None, evaluation.EvaluationOptions()).failures
 
 
 @query(
@@ -417,5 +417,5 @@ def q_run_summary(spark, sf_dir):
     hyp = ref.filter(F.startswith("label", F.lit("[[")) & (F.length("label") >= 21))
     pairs = ref.select("utt").distinct().withColumn("reason", F.when(F.contains("utt", F.lit("_0")), "excluded"))
     samples = pairs.filter(F.col("reason").isNull()).select("utt", F.col("utt").alias("file"), F.lit("ALL").alias("style"))
-    store, failures = evaluation.build_store(samples, ref, hyp, None, evaluation.EvaluationOptions())
-    return manifest.run_summary(pairs, store.select("utt").distinct(), failures)
+    store = evaluation.build_store(samples, ref, hyp, None, evaluation.EvaluationOptions())
+    return manifest.run_summary(pairs, store.intervals.select("utt").distinct(), store.failures)
