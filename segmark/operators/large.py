@@ -1,12 +1,36 @@
-"""Recordings too long for one task: split off by a length check, then aligned tile by tile."""
+"""Recordings too long for one task: split off by a length check, then aligned tile by tile.
+
+The edit table of a long recording is cut into square tiles. A tile needs only the last row of the tile
+above and the last column of the tile to its left, so all tiles on one anti-diagonal run in parallel and
+each step hands on edges, written to the shared folder. The path is then walked back tile by tile for all
+long recordings at once. Boundaries are matched in blocks of time. Results equal those of the one-task
+path; no task holds more than one tile or one block.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segmark.functions import text
+from segmark.functions.editpath import sweep, walk
+from segmark.functions.matching import match_one
+from segmark.operators.blockscan import fold_blocks
+from segmark.operators.boundaries import tolerance_tags
+from segmark.operators.scan import with_rank
+from segmark.operators.seqalign import boundary_errors
+from segmark.session import cut, cut_folder
+
+#: Labels per side of a tile.
+TILE = 1 << 13
+#: Seconds of boundaries one task matches.
+BLOCK_SECONDS = 3600.0
+
 
 def split_by_length(
     store: DataFrame, limit: int, longest: int | None = None
@@ -21,5 +45,253 @@ def split_by_length(
     return store.join(long_ones, "utt", "left_anti"), store.join(long_ones, "utt", "left_semi")
 
 
-def score_large(big: DataFrame, tolerances: Sequence[float], order: str):
-    raise NotImplementedError
+def _codes(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
+    codes, _ = pd.factorize(np.concatenate([np.asarray(ref, object), np.asarray(hyp, object)]))
+    return codes[: len(ref)], codes[len(ref) :]
+
+
+def _edges(row, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Top row and left column of a tile; the table's own border counts up from 0."""
+    i, j = row.bi * tile, row.bj * tile
+    top = row.top if row.top is not None else np.arange(j, j + len(row.hyp) + 1)
+    left = row.left if row.left is not None else np.arange(i, i + len(row.ref) + 1)
+    return np.asarray(top, np.int64), np.asarray(left, np.int64)
+
+
+def _tiles(labels: DataFrame, side: str, index: str, tile: int) -> DataFrame:
+    own = labels.filter(F.col("side") == side)
+    listed = F.sort_array(F.collect_list(F.struct("pos", "phoneme")))
+    return own.groupBy("utt", F.floor(F.col("pos") / tile).cast("long").alias(index)).agg(
+        listed["phoneme"].alias(side)
+    )
+
+
+def tiled_pairs(labels: DataFrame, tile: int = TILE) -> DataFrame:
+    """Paired positions (utt, ref_idx, hyp_idx) of long label sequences (utt, side, pos, phoneme).
+
+    Labels without a pair are deletions or insertions. Both sides of every recording must be present.
+    """
+    spark = labels.sparkSession
+    folder = f"{cut_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    refs = cut(_tiles(labels, "ref", "bi", tile), "tiles")
+    hyps = cut(_tiles(labels, "hyp", "bj", tile), "tiles")
+    sizes = cut(
+        labels.groupBy("utt").agg(
+            F.count_if(F.col("side") == "ref").alias("n"), F.count_if(F.col("side") == "hyp").alias("m")
+        ),
+        "sizes",
+    )
+    rows, columns = F.ceil(F.col("n") / tile), F.ceil(F.col("m") / tile)
+    grid = sizes.select("utt", rows.alias("rows"), columns.alias("columns"))
+    steps = grid.agg(F.max(F.col("rows") + F.col("columns") - 1)).first()[0] or 0
+    edge_schema = "utt string, bi long, bj long, top array<long>, left array<long>, bottom array<long>, right array<long>"
+
+    def fill(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                top, left = _edges(row, tile)
+                bottom, right, _ = sweep(*_codes(row.ref, row.hyp), top, left)
+                out.append((row.utt, row.bi, row.bj, top, left, bottom, right))
+            yield pd.DataFrame(out, columns=["utt", "bi", "bj", "top", "left", "bottom", "right"])
+
+    edges = None
+    for w in range(steps):
+        first = F.greatest(F.lit(0), F.lit(w + 1) - F.col("columns"))
+        last = F.least(F.lit(w), F.col("rows") - 1)
+        active = (
+            grid.filter(first <= last)
+            .select("utt", F.explode(F.sequence(first, last).cast("array<long>")).alias("bi"))
+            .withColumn("bj", F.lit(w) - F.col("bi"))
+        )
+        work = active.join(refs, ["utt", "bi"]).join(hyps, ["utt", "bj"])
+        if edges is None:
+            none = F.lit(None).cast("array<long>")
+            work = work.select("*", none.alias("top"), none.alias("left"))
+        else:
+            down = edges.select("utt", (F.col("bi") + 1).alias("bi"), "bj", F.col("bottom").alias("top"))
+            over = edges.select("utt", "bi", (F.col("bj") + 1).alias("bj"), F.col("right").alias("left"))
+            work = work.join(down, ["utt", "bi", "bj"], "left").join(over, ["utt", "bi", "bj"], "left")
+        path = f"{folder}/edges/w={w}"
+        work.repartition("utt", "bi").mapInPandas(fill, edge_schema).write.parquet(path)
+        edges = spark.read.schema(edge_schema).parquet(path)
+
+    filled = spark.read.schema(edge_schema).option("recursiveFileLookup", "true").parquet(f"{folder}/edges")
+    path_schema = "utt string, i long, j long, pairs array<struct<ref_idx:long,hyp_idx:long>>"
+
+    def back(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                i0, j0 = row.bi * tile, row.bj * tile
+                steps_back, i, j = walk(*_codes(row.ref, row.hyp), *_edges(row, tile), row.i - i0, row.j - j0)
+                pairs = [{"ref_idx": i0 + a, "hyp_idx": j0 + b} for a, b in steps_back if a >= 0 and b >= 0]
+                out.append((row.utt, i0 + i, j0 + j, pairs))
+            yield pd.DataFrame(out, columns=["utt", "i", "j", "pairs"])
+
+    at = sizes.select("utt", F.col("n").alias("i"), F.col("m").alias("j"))
+    for w in range(steps):
+        here = at.filter((F.col("i") > 0) & (F.col("j") > 0)).select(
+            "*",
+            F.floor((F.col("i") - 1) / tile).cast("long").alias("bi"),
+            F.floor((F.col("j") - 1) / tile).cast("long").alias("bj"),
+        )
+        work = (
+            filled.select("utt", "bi", "bj", "top", "left")
+            .join(here, ["utt", "bi", "bj"])
+            .join(refs, ["utt", "bi"])
+            .join(hyps, ["utt", "bj"])
+        )
+        path = f"{folder}/path/w={w}"
+        work.mapInPandas(back, path_schema).write.parquet(path)
+        at = spark.read.schema(path_schema).parquet(path).select("utt", "i", "j")
+        if at.isEmpty():
+            break
+    found = spark.read.schema(path_schema).option("recursiveFileLookup", "true").parquet(f"{folder}/path")
+    return found.select("utt", F.inline("pairs"))
+
+
+def blocked_hits(bounds: DataFrame, tolerance: float, block_seconds: float = BLOCK_SECONDS) -> DataFrame:
+    """Matched boundaries per recording (utt, tp) from distinct boundaries (utt, side, t).
+
+    A block owns the reference boundaries of its time span and sees the hypothesis boundaries around it;
+    its state is which of those near its end are taken.
+    """
+    length = max(float(block_seconds), 16 * tolerance)
+    reach = 2 * tolerance
+    own = F.floor(F.col("t") / length).cast("long")
+    near = F.array_compact(
+        F.array(
+            own,
+            F.when(F.col("t") - own * F.lit(length) <= reach, own - 1),
+            F.when((own + 1) * F.lit(length) - F.col("t") <= reach, own + 1),
+        )
+    )
+    blocks_of = F.when(F.col("side") == "ref", F.array(own)).otherwise(near)
+
+    def listed(side: str):
+        return F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("t")))).alias(side)
+
+    blocks = (
+        bounds.select("utt", "side", "t", F.explode(blocks_of).alias("blk"))
+        .groupBy("utt", "blk")
+        .agg(listed("ref"), listed("hyp"))
+        .filter(F.size("ref") > 0)
+    )
+
+    def match(batches):
+        for pdf in batches:
+            hits, states = [], []
+            for row in pdf.itertuples(index=False):
+                hyp = np.asarray(row.hyp, float)
+                used = np.isin(hyp, row.state_in) if row.state_in is not None else np.zeros(len(hyp), bool)
+                taken = match_one(np.asarray(row.ref, float), hyp, tolerance, used)
+                left = hyp[used & (hyp >= (row.blk + 1) * length - reach)]
+                hits.append(int((taken >= 0).sum()))
+                states.append(left if len(left) else None)
+            pdf["out"], pdf["state_out"] = hits, states
+            yield pdf
+
+    schema = "utt string, blk long, ref array<double>, hyp array<double>, state_in array<double>, out long, state_out array<double>"
+    folded = fold_blocks(blocks, ["utt"], lambda d: d.mapInPandas(match, schema), "array<double>")
+    return folded.groupBy("utt").agg(F.sum("out").alias("tp"))
+
+
+def boundary_rows(rows: DataFrame) -> DataFrame:
+    """Distinct boundaries (utt, side, t): every onset and the last offset."""
+    last = rows.groupBy("utt", "side").agg(F.max_by("end_s", "pos").alias("t"))
+    return rows.select("utt", "side", F.col("start_s").alias("t")).unionByName(last).distinct()
+
+
+def _as_words(rows: DataFrame) -> DataFrame:
+    """Labels split at blanks and numbered anew, as the edit counts want them."""
+    words = rows.select("utt", "side", "pos", F.posexplode(text.tokens(F.col("phoneme"))).alias("k", "phoneme"))
+    ranked = with_rank(words.withColumnRenamed("pos", "p"), ["utt", "side"], ["p", "k"], 1 << 62)
+    return cut(ranked.select("utt", "side", "pos", "phoneme"), "words")
+
+
+def _edit_counts(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(utt, s, d, i) from paired positions."""
+    sizes = labels.groupBy("utt").agg(
+        F.count_if(F.col("side") == "ref").alias("n"), F.count_if(F.col("side") == "hyp").alias("m")
+    )
+    side = {s: labels.filter(F.col("side") == s) for s in ("ref", "hyp")}
+    joined = pairs.join(
+        side["ref"].select("utt", F.col("pos").alias("ref_idx"), F.col("phoneme").alias("rp")), ["utt", "ref_idx"]
+    ).join(side["hyp"].select("utt", F.col("pos").alias("hyp_idx"), F.col("phoneme").alias("hp")), ["utt", "hyp_idx"])
+    paired = joined.groupBy("utt").agg(
+        F.count("*").alias("p"), F.count_if(F.col("rp") != F.col("hp")).alias("s")
+    )
+    p = F.coalesce("p", F.lit(0))
+    return sizes.join(paired, "utt", "left").select(
+        "utt",
+        F.coalesce("s", F.lit(0)).cast("int").alias("s"),
+        (F.col("n") - p).cast("int").alias("d"),
+        (F.col("m") - p).cast("int").alias("i"),
+    )
+
+
+def score_large(
+    big: DataFrame,
+    tolerances: Sequence[float],
+    order: str,
+    tile: int = TILE,
+    block_seconds: float = BLOCK_SECONDS,
+) -> tuple[DataFrame, DataFrame]:
+    """(per-recording counts, error rows) of long recordings."""
+    # Length is unbounded here, so positions always come from the range-partitioned rank.
+    ranked = with_rank(big.withColumnRenamed(order, "__ord"), ["utt", "side"], ["__ord"], 1 << 62)
+    rows = cut(
+        ranked.select("utt", "file", "style", "side", "pos", "phoneme", "start_s", "end_s"), "large"
+    )
+    labels = rows.select("utt", "side", "pos", "phoneme")
+    pairs = tiled_pairs(labels, tile)
+    side = {s: rows.filter(F.col("side") == s) for s in ("ref", "hyp")}
+    ref = side["ref"].select(
+        "utt", "style", F.col("pos").alias("ref_idx"), "phoneme", F.col("start_s").alias("rs"), F.col("end_s").alias("re")
+    )
+    hyp = side["hyp"].select(
+        "utt", F.col("pos").alias("hyp_idx"), F.col("phoneme").alias("hp"), F.col("start_s").alias("hs"), F.col("end_s").alias("he")
+    )
+    times = [F.col(c) for c in ("rs", "re", "hs", "he")]
+    errors = cut(
+        pairs.join(ref, ["utt", "ref_idx"])
+        .join(hyp, ["utt", "hyp_idx"])
+        .filter(F.col("phoneme") == F.col("hp"))
+        .select(
+            "utt",
+            "style",
+            F.col("ref_idx").cast("int").alias("ref_idx"),
+            F.col("hyp_idx").cast("int").alias("hyp_idx"),
+            "phoneme",
+            *boundary_errors(*times),
+        ),
+        "errors",
+    )
+    if rows.filter(F.col("phoneme").rlike(rf"(?U){text.BLANK}")).isEmpty():
+        edits = _edit_counts(labels, pairs)
+    else:
+        words = _as_words(rows)
+        edits = _edit_counts(words, tiled_pairs(words, tile))
+    bounds = cut(boundary_rows(rows), "bounds")
+    counts = rows.groupBy("utt", "file", "style").agg(
+        F.count_if(F.col("side") == "ref").cast("int").alias("n_ref"),
+        F.count_if(F.col("side") == "hyp").cast("int").alias("n_hyp"),
+    )
+    counts = counts.join(edits, "utt").join(
+        bounds.groupBy("utt").agg(
+            F.count_if(F.col("side") == "ref").cast("int").alias("b_ref"),
+            F.count_if(F.col("side") == "hyp").cast("int").alias("b_hyp"),
+        ),
+        "utt",
+    )
+    for tag, tolerance in tolerance_tags(tolerances).items():
+        counts = counts.join(blocked_hits(bounds, tolerance, block_seconds), "utt", "left")
+        tp = F.coalesce("tp", F.lit(0)).cast("int")
+        counts = counts.select(
+            *[c for c in counts.columns if c != "tp"],
+            tp.alias(f"tp_{tag}"),
+            (F.col("b_hyp") - tp).alias(f"fp_{tag}"),
+            (F.col("b_ref") - tp).alias(f"fn_{tag}"),
+        )
+    return cut(counts, "counts"), errors
