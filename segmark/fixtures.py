@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmark.operators.scan import longest_key, with_rank, with_row_index
+from segmark.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,33 +52,27 @@ def two_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns utt, file, style, side, ord, phoneme, start_s, end_s; ``ord`` grows along a recording.
     """
-    e = ranked_events(spark, sf_dir)
-    start, value, eid = F.col("start_ms"), F.col("value"), F.col("event_id")
-    end = start + 40 + eid % 10
-    late = F.when(value >= 230, 200).otherwise(0)
+    late = "IF(value >= 230, 200, 0)"
+    base_end = "start_ms + 40 + event_id % 10"
 
-    def row(side, sub, phoneme, start_ms, end_ms):
-        return F.struct(
-            F.lit(side).alias("side"),
-            (F.col("rn") * 2 + sub).alias("ord"),
-            phoneme.alias("phoneme"),
-            _seconds(start_ms).alias("start_s"),
-            _seconds(end_ms).alias("end_s"),
+    def row(side: str, sub: int, phoneme: str, start_ms: str, end_ms: str) -> str:
+        return (
+            f"named_struct('side', '{side}', 'ord', rn * 2 + {sub}, 'phoneme', {phoneme},"
+            f" 'start_s', CAST({start_ms} AS DOUBLE) / 1000, 'end_s', CAST({end_ms} AS DOUBLE) / 1000)"
         )
 
-    heard = F.when(value.between(20, 24), F.lit("view")).otherwise(F.col("event_type"))
-    rows = F.array(
-        row("ref", 0, F.col("event_type"), start, end),
-        F.when(
-            value >= 5,
-            row("hyp", 0, heard, start + (eid * 53) % 61 - 30 + late, end + (eid * 29) % 41 - 20 + late),
-        ),
-        F.when(value.between(40, 43), row("hyp", 1, F.lit("click"), start + 60, start + 70)),
-    )
-    return (
-        e.select("utt", "style", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r"))
-        .select("utt", F.concat("utt", F.lit(".wav")).alias("file"), "style", "r.*")
+    heard = row(
+        "hyp",
+        0,
+        "IF(value BETWEEN 20 AND 24, 'view', event_type)",
+        f"start_ms + (event_id * 53) % 61 - 30 + {late}",
+        f"{base_end} + (event_id * 29) % 41 - 20 + {late}",
     )
+    added = row("hyp", 1, "'click'", "start_ms + 60", "start_ms + 70")
+    rows = f"""filter(array({row("ref", 0, "event_type", "start_ms", base_end)},
+                            IF(value >= 5, {heard}, NULL),
+                            IF(value BETWEEN 40 AND 43, {added}, NULL)), r -> r IS NOT NULL)"""
+    return ranked_events(spark, sf_dir).selectExpr("utt", "concat(utt, '.wav') AS file", "style", f"inline({rows})")
 
 
 def one_side(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
@@ -178,7 +173,7 @@ def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of every conversation as a raw annotation label, some wrapped in markup."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     tokens = c.select("conv_id", "turn", F.posexplode(F.split("text", r"[ \n]+")).alias("k", "token"))
     k, t = F.col("k"), F.col("token")
     label = (

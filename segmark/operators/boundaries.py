@@ -49,12 +49,14 @@ def with_boundary_counts(recordings: DataFrame, tolerances: Sequence[float]) ->
     b = recordings.select(
         "*", boundary_times(F.col("ref")).alias("rb"), boundary_times(F.col("hyp")).alias("hb")
     ).withColumn("hits", boundary_hits(list(tags.values()))("rb", "hb"))
-    n_ref, n_hyp = F.size("rb"), F.size("hb")
-    cols = [n_ref.alias("b_ref"), n_hyp.alias("b_hyp")]
+    cols = ["size(rb) AS b_ref", "size(hb) AS b_hyp"]
     for k, tag in enumerate(tags):
-        tp = F.col("hits")[k]
-        cols += [tp.alias(f"tp_{tag}"), (n_hyp - tp).alias(f"fp_{tag}"), (n_ref - tp).alias(f"fn_{tag}")]
-    return b.select(*recordings.columns, *cols)
+        cols += [
+            f"hits[{k}] AS tp_{tag}",
+            f"size(hb) - hits[{k}] AS fp_{tag}",
+            f"size(rb) - hits[{k}] AS fn_{tag}",
+        ]
+    return b.selectExpr(*recordings.columns, *cols)
 
 
 def boundary_counts_native(recordings: DataFrame, tolerance: float) -> Column:

@@ -75,9 +75,11 @@ def normalize_sides(
     vocabulary = _small_vocabulary(df, column, max_vocabulary)
     source = df if vocabulary is None else vocabulary
     composed = source.withColumn("__c", text.compose(column))
-    outs = {
-        value: r.expression(F.col(column), F.col("__c.nfc"), F.col("__c.marks")) for value, r in rules.items()
-    }
+    outs: dict[str, Column] = {}
+    for value, r in rules.items():
+        same = next((outs[v] for v in outs if rules[v] == r), None)
+        fresh = r.expression(F.col(column), F.col("__c.nfc"), F.col("__c.marks")) if same is None else same
+        outs[value] = fresh
     if vocabulary is None:
         return composed.select(*rest, by_side(outs))
     table = composed.select(

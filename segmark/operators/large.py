@@ -247,24 +247,19 @@ def score_large(
     labels = rows.select("utt", "side", "pos", "phoneme")
     pairs = tiled_pairs(labels, tile)
     side = {s: rows.filter(F.col("side") == s) for s in ("ref", "hyp")}
-    ref = side["ref"].select(
-        "utt", "style", F.col("pos").alias("ref_idx"), "phoneme", F.col("start_s").alias("rs"), F.col("end_s").alias("re")
-    )
-    hyp = side["hyp"].select(
-        "utt", F.col("pos").alias("hyp_idx"), F.col("phoneme").alias("hp"), F.col("start_s").alias("hs"), F.col("end_s").alias("he")
-    )
-    times = [F.col(c) for c in ("rs", "re", "hs", "he")]
+    ref = side["ref"].selectExpr("utt", "style", "pos AS ref_idx", "struct(phoneme, start_s, end_s) AS r")
+    hyp = side["hyp"].selectExpr("utt", "pos AS hyp_idx", "struct(phoneme, start_s, end_s) AS h")
     errors = cut(
         pairs.join(ref, ["utt", "ref_idx"])
         .join(hyp, ["utt", "hyp_idx"])
-        .filter(F.col("phoneme") == F.col("hp"))
-        .select(
+        .filter("r.phoneme = h.phoneme")
+        .selectExpr(
             "utt",
             "style",
-            F.col("ref_idx").cast("int").alias("ref_idx"),
-            F.col("hyp_idx").cast("int").alias("hyp_idx"),
-            "phoneme",
-            *boundary_errors(*times),
+            "CAST(ref_idx AS INT) AS ref_idx",
+            "CAST(hyp_idx AS INT) AS hyp_idx",
+            "r.phoneme AS phoneme",
+            *[f"{e} AS {n}" for n, e in boundary_errors().items()],
         ),
         "errors",
     )

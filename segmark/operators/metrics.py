@@ -6,7 +6,7 @@ per-recording rows; only order statistics go back to the error rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +20,6 @@ DEFAULT_CAP_MS = 150.0
 DEFAULT_TOLERANCES = (0.02, 0.05)
 DEFAULT_GROUP = "ALL"
 
-Record = Callable[[str], Column]
-
 
 @dataclass(frozen=True)
 class ScoreOptions:
@@ -54,32 +52,29 @@ class Scored:
         return None if self.matches is None else 3 * self.matches
 
 
-def _moments(cap_ms: float | None) -> dict[str, Callable[[Record], Column]]:
-    """Additive figures of one error record; their sums give every mean and rate."""
-
-    def flag(c: Column) -> Column:
-        return c.cast("int").cast("double")
+def _moments(cap_ms: float | None) -> dict[str, str]:
+    """Additive figures of one error record as SQL; their sums give every mean and rate.
 
-    def capped(r: Record, c: str) -> Column:
-        return F.lit(True) if not cap_ms else r(c) <= float(cap_ms)
+    ``{r}`` stands for the record: ``x.`` inside a fold over an array, nothing over long rows.
+    """
+    within = f"<= {float(cap_ms)}D" if cap_ms else "IS NOT NULL"
 
-    def both(test: Callable[[Column], Column]) -> Callable[[Record], Column]:
-        return lambda r: flag(test(r("start_err"))) + flag(test(r("end_err")))
+    def both(test: str) -> str:
+        return f"CAST({{r}}start_err {test} AS INT) + CAST({{r}}end_err {test} AS INT)"
 
     return {
-        "m_k": lambda r: F.lit(1.0),
-        "m_n_cap": lambda r: flag(capped(r, "start_err")) + flag(capped(r, "end_err")),
-        "m_cap": lambda r: F.when(capped(r, "start_err"), r("start_err")).otherwise(0.0)
-        + F.when(capped(r, "end_err"), r("end_err")).otherwise(0.0),
-        "m_signed_start": lambda r: r("signed_start"),
-        "m_signed_end": lambda r: r("signed_end"),
-        "m_start": lambda r: r("start_err"),
-        "m_end": lambda r: r("end_err"),
-        "m_dur": lambda r: r("dur_err"),
-        "m_gt50": both(lambda c: c > 50),
-        "m_gt100": both(lambda c: c > 100),
-        "m_le20": both(lambda c: c <= 20),
-        "m_dur_gt50": lambda r: flag(r("dur_err") > 50),
+        "m_k": "1",
+        "m_n_cap": both(within),
+        "m_cap": f"IF({{r}}start_err {within}, {{r}}start_err, 0D) + IF({{r}}end_err {within}, {{r}}end_err, 0D)",
+        "m_signed_start": "{r}signed_start",
+        "m_signed_end": "{r}signed_end",
+        "m_start": "{r}start_err",
+        "m_end": "{r}end_err",
+        "m_dur": "{r}dur_err",
+        "m_gt50": both("> 50"),
+        "m_gt100": both("> 100"),
+        "m_le20": both("<= 20"),
+        "m_dur_gt50": "CAST({r}dur_err > 50 AS INT)",
     }
 
 
@@ -106,55 +101,45 @@ STATS = (
 )
 
 
-def _ratio(a: str, b: str, scale: float = 1.0) -> Column:
-    return F.try_divide(F.col(a), F.col(b) * scale)
-
-
-def _stat_columns() -> list[Column]:
-    """STATS from summed moments and quantile columns; NULL for an empty group."""
-    pct = 100.0
+def _stat_columns() -> list[str]:
+    """STATS as SQL from summed moments and quantile columns; NULL for an empty group."""
     by_name = {
-        "k": F.when(F.col("m_k") > 0, F.col("m_k").cast("long")),
-        "aas_ms": _ratio("m_cap", "m_n_cap"),
-        "onset_bias_ms": _ratio("m_signed_start", "m_k"),
-        "offset_bias_ms": _ratio("m_signed_end", "m_k"),
-        "mean_start_ms": _ratio("m_start", "m_k"),
-        "mean_end_ms": _ratio("m_end", "m_k"),
-        "pct_gt_50ms": _ratio("m_gt50", "m_k", 2.0) * pct,
-        "pct_gt_100ms": _ratio("m_gt100", "m_k", 2.0) * pct,
-        "pct_within_20ms": _ratio("m_le20", "m_k", 2.0) * pct,
-        "mean_dur_ms": _ratio("m_dur", "m_k"),
-        "pct_dur_gt_50ms": _ratio("m_dur_gt50", "m_k") * pct,
+        "k": "IF(m_k > 0, CAST(m_k AS BIGINT), NULL)",
+        "aas_ms": "try_divide(m_cap, m_n_cap)",
+        "onset_bias_ms": "try_divide(m_signed_start, m_k)",
+        "offset_bias_ms": "try_divide(m_signed_end, m_k)",
+        "mean_start_ms": "try_divide(m_start, m_k)",
+        "mean_end_ms": "try_divide(m_end, m_k)",
+        "pct_gt_50ms": "try_divide(m_gt50, m_k * 2) * 100",
+        "pct_gt_100ms": "try_divide(m_gt100, m_k * 2) * 100",
+        "pct_within_20ms": "try_divide(m_le20, m_k * 2) * 100",
+        "mean_dur_ms": "try_divide(m_dur, m_k)",
+        "pct_dur_gt_50ms": "try_divide(m_dur_gt50, m_k) * 100",
     }
-    return [by_name.get(n, F.col(n)).alias(n) for n in STATS]
+    return [f"{by_name.get(n, n)} AS {n}" for n in STATS]
 
 
-def _array_quantile(ordered: Column, p: float) -> Column:
-    at = (F.size(ordered) - 1) * F.lit(p)
-    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    a = ordered[low]
-    return F.when(F.size(ordered) > 0, a + (ordered[high] - a) * (at - low))
+def _array_quantile(ordered: str, p: float) -> str:
+    at = f"((size({ordered}) - 1) * {p}D)"
+    low, high = (f"get({ordered}, CAST({f}({at}) AS INT))" for f in ("floor", "ceil"))
+    return f"{low} + ({high} - {low}) * ({at} - floor({at}))"
 
 
 def _file_statistics(scored: DataFrame, cap_ms: float | None) -> DataFrame:
     """Moments and quantiles of each recording straight from its error array: no shuffle."""
-    errs = F.col("errs")
-
-    def total(figure: Callable[[Record], Column]) -> Column:
-        return F.aggregate(errs, F.lit(0.0), lambda acc, x: acc + figure(lambda c: x[c]))
-
-    sums = [total(f).alias(n) for n, f in _moments(cap_ms).items()]
-    keep = [c for c in scored.columns if c != "errs"]
-    lists = scored.select(
+    sums = [
+        f"aggregate(errs, 0D, (acc, x) -> acc + ({f.format(r='x.')})) AS {n}" for n, f in _moments(cap_ms).items()
+    ]
+    keep = [f"`{c}`" for c in scored.columns if c != "errs"]
+    lists = scored.selectExpr(
         *keep,
         *sums,
-        F.array_sort(errs["start_err"]).alias("l_start"),
-        F.array_sort(errs["end_err"]).alias("l_end"),
-        F.array_sort(errs["dur_err"]).alias("l_dur"),
-        F.array_sort(F.concat(errs["start_err"], errs["end_err"])).alias("l_both"),
+        "array_sort(errs.start_err) AS l_start",
+        "array_sort(errs.end_err) AS l_end",
+        "array_sort(errs.dur_err) AS l_dur",
+        "array_sort(concat(errs.start_err, errs.end_err)) AS l_both",
     )
-    capped = F.col("l_both") if not cap_ms else F.filter("l_both", lambda x: x <= float(cap_ms))
-    lists = lists.withColumn("l_cap", capped)
+    lists = lists.selectExpr("*", f"filter(l_both, x -> x <= {float(cap_ms)}D) AS l_cap" if cap_ms else "l_both AS l_cap")
     picks = {
         "median_be_ms": ("l_cap", 0.5),
         "median_start_ms": ("l_start", 0.5),
@@ -162,27 +147,22 @@ def _file_statistics(scored: DataFrame, cap_ms: float | None) -> DataFrame:
         "p90_ms": ("l_both", 0.9),
         "median_dur_ms": ("l_dur", 0.5),
     }
-    return lists.select(
-        *keep,
-        *_moments(cap_ms),
-        *[_array_quantile(F.col(c), p).alias(n) for n, (c, p) in picks.items()],
+    return lists.selectExpr(
+        *keep, *_moments(cap_ms), *[f"{_array_quantile(c, p)} AS {n}" for n, (c, p) in picks.items()]
     )
 
 
 def counted_errors(errors: DataFrame, grain: Sequence[str]) -> DataFrame:
     """Error values with their multiplicity: ``a`` onsets, ``b`` offsets, ``c`` durations per value."""
-    one, zero = F.lit(1), F.lit(0)
-
-    def row(value: str, a: Column, b: Column, c: Column) -> Column:
-        return F.struct(F.col(value).alias("v"), a.alias("a"), b.alias("b"), c.alias("c"))
-
-    values = F.array(
-        row("start_err", one, zero, zero), row("end_err", zero, one, zero), row("dur_err", zero, zero, one)
+    values = (
+        "inline(array(named_struct('v', start_err, 'a', 1, 'b', 0, 'c', 0),"
+        " named_struct('v', end_err, 'a', 0, 'b', 1, 'c', 0),"
+        " named_struct('v', dur_err, 'a', 0, 'b', 0, 'c', 1)))"
     )
     return (
-        errors.select(*grain, F.inline(values))
+        errors.selectExpr(*grain, values)
         .groupBy(*grain, "v")
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
+        .agg(*[F.sum(c).alias(c) for c in "abc"])
     )
 
 
@@ -209,7 +189,7 @@ def group_quantiles(
 
 def grouped_moments(errors: DataFrame, grain: Sequence[str], cap_ms: float | None) -> DataFrame:
     return errors.groupBy(*grain).agg(
-        *[F.sum(f(F.col)).alias(n) for n, f in _moments(cap_ms).items()]
+        *[F.expr(f"CAST(sum({f.format(r='')}) AS DOUBLE)").alias(n) for n, f in _moments(cap_ms).items()]
     )
 
 
@@ -225,7 +205,7 @@ def boundary_stats(
     """
     moments = grouped_moments(errors, grain, cap_ms)
     quantiles = group_quantiles(counted_errors(errors, grain), grain, cap_ms, at_most)
-    return moments.join(quantiles, list(grain), "left").select(*grain, *_stat_columns())
+    return moments.join(quantiles, list(grain), "left").selectExpr(*grain, *_stat_columns())
 
 
 def score(
@@ -274,31 +254,27 @@ def score(
     return Scored(files, errors, options, matches)
 
 
-def _count_columns(tags: Sequence[str]) -> list[Column]:
-    n_ref = F.col("n_ref")
+def _count_columns(tags: Sequence[str]) -> list[str]:
     cols = [
-        n_ref,
-        F.col("n_hyp"),
-        F.col("b_ref"),
-        F.col("b_hyp"),
-        (F.try_divide(F.col("s") + F.col("d") + F.col("i"), n_ref) * 100).alias("per_pct"),
-        F.col("d").alias("deletions"),
-        F.col("i").alias("insertions"),
+        "n_ref",
+        "n_hyp",
+        "b_ref",
+        "b_hyp",
+        "try_divide(s + d + i, n_ref) * 100 AS per_pct",
+        "d AS deletions",
+        "i AS insertions",
     ]
-    for t in tags:
-        cols += f1_columns(t)
-    return cols
+    return cols + [c for t in tags for c in f1_columns(t)]
 
 
-def f1_columns(tag: str) -> list[Column]:
-    """Precision, recall (NULL when undefined) and F1 (0 when undefined) from summed counts."""
-    tp, fp, fn = (F.col(f"{x}_{tag}").cast("double") for x in ("tp", "fp", "fn"))
-    p, r = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
-    p0, r0 = F.coalesce(p, F.lit(0.0)), F.coalesce(r, F.lit(0.0))
+def f1_columns(tag: str) -> list[str]:
+    """Precision, recall (NULL when undefined) and F1 (0 when undefined) as SQL from summed counts."""
+    p, r = (f"try_divide(CAST(tp_{tag} AS DOUBLE), tp_{tag} + {x}_{tag})" for x in ("fp", "fn"))
+    p0, r0 = f"coalesce({p}, 0D)", f"coalesce({r}, 0D)"
     return [
-        (p * 100).alias(f"p_{tag}ms_pct"),
-        (r * 100).alias(f"r_{tag}ms_pct"),
-        F.coalesce(F.try_divide(2 * p0 * r0 * 100, p0 + r0), F.lit(0.0)).alias(f"f1_{tag}ms_pct"),
+        f"{p} * 100 AS p_{tag}ms_pct",
+        f"{r} * 100 AS r_{tag}ms_pct",
+        f"coalesce(try_divide(2 * {p0} * {r0} * 100, {p0} + {r0}), 0D) AS f1_{tag}ms_pct",
     ]
 
 
@@ -313,49 +289,39 @@ def report(scored: Scored) -> DataFrame:
     counts = ["n_ref", "n_hyp", "b_ref", "b_hyp", "s", "d", "i"] + [
         f"{x}_{t}" for t in tags for x in ("tp", "fp", "fn")
     ]
-    files = scored.files.select(
-        F.lit("file").alias("level"),
-        F.col("utt").alias("group"),
-        "style",
-        *[F.col(c).cast("long").alias(c) for c in counts],
-        *moments,
-        *QUANTILES,
+    long_counts = [f"CAST({c} AS BIGINT) AS {c}" for c in counts]
+    files = scored.files.selectExpr(
+        "'file' AS level", "utt AS `group`", "style", *long_counts, *moments, *QUANTILES
     )
-    sums = [F.sum(c).alias(c) for c in [*counts, *moments]]
     # Grouping sets over the per-recording rows; a recording weighs one row here, however long it is.
     styles = (
-        scored.files.select("style", *[F.col(c).cast("long").alias(c) for c in counts], *moments)
+        scored.files.selectExpr("style", *long_counts, *moments)
         .rollup("style")
-        .agg(F.grouping_id().alias("gid"), *sums)
-        .withColumn("level", F.when(F.col("gid") == 0, "style").otherwise("global"))
+        .agg(F.grouping_id().alias("gid"), *[F.expr(f"sum({c}) AS {c}") for c in [*counts, *moments]])
+        .selectExpr(
+            "IF(gid = 0, 'style', 'global') AS level",
+            "IF(gid = 0, style, '') AS key",
+            "IF(gid = 0, concat('STYLE_', style), 'GLOBAL') AS `group`",
+            f"IF(gid = 0, style, '{DEFAULT_GROUP}') AS style",
+            *counts,
+            *moments,
+        )
     )
-    by_style = counted_errors(scored.errors, ["style"])
-    grains = F.array(
-        F.struct(F.lit("style").alias("level"), F.col("style").alias("key")),
-        F.struct(F.lit("global").alias("level"), F.lit("").alias("key")),
+    pooled = counted_errors(scored.errors, ["style"]).selectExpr(
+        "inline(array(named_struct('level', 'style', 'key', style), named_struct('level', 'global', 'key', '')))",
+        "v",
+        "a",
+        "b",
+        "c",
     )
-    pooled = by_style.select(F.inline(grains), "v", "a", "b", "c")
     bound = None if scored.values is None else 2 * scored.values
     if bound is None or bound > MAX_IN_TASK:
         # Styles share values: fold them before the overall group is ranked.
         pooled = pooled.groupBy("level", "key", "v").agg(*[F.sum(c).alias(c) for c in "abc"])
     quantiles = group_quantiles(pooled, ["level", "key"], cap, bound)
-    rolled = (
-        styles.withColumn("key", F.when(F.col("level") == "style", F.col("style")).otherwise(""))
-        .join(quantiles, ["level", "key"], "left")
-        .select(
-            "level",
-            F.when(F.col("level") == "style", F.concat(F.lit("STYLE_"), "style"))
-            .otherwise("GLOBAL")
-            .alias("group"),
-            F.when(F.col("level") == "style", F.col("style")).otherwise(DEFAULT_GROUP).alias("style"),
-            *counts,
-            *moments,
-            *QUANTILES,
-        )
-    )
-    return files.unionByName(rolled).select(
-        "level", "group", "style", *_stat_columns(), *_count_columns(tags)
+    rolled = styles.join(quantiles, ["level", "key"], "left").select(*files.columns)
+    return files.unionByName(rolled).selectExpr(
+        "level", "`group`", "style", *_stat_columns(), *_count_columns(tags)
     )
 
 

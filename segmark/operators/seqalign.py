@@ -35,14 +35,8 @@ def gather(intervals: DataFrame, order: str = "pos") -> DataFrame:
     """
 
     def side(name: str) -> Column:
-        item = F.when(F.col("side") == name, F.struct(order, "phoneme", "start_s", "end_s"))
-        ordered = F.sort_array(F.collect_list(item))
-        return F.transform(
-            ordered,
-            lambda x: F.struct(
-                x["phoneme"].alias("phoneme"), x["start_s"].alias("start_s"), x["end_s"].alias("end_s")
-            ),
-        ).alias(name)
+        item = f"IF(side = '{name}', struct({order}, phoneme, start_s, end_s), NULL)"
+        return F.expr(f"sort_array(collect_list({item})) AS {name}")
 
     return intervals.groupBy("utt", "file", "style").agg(side("ref"), side("hyp"))
 
@@ -114,36 +108,34 @@ def pair_rows(aligned: DataFrame) -> DataFrame:
     )
 
 
-def boundary_errors(rs: Column, re: Column, hs: Column, he: Column) -> list[Column]:
-    """Signed and absolute boundary errors in milliseconds; positive means the hypothesis is late."""
-    # The order of the operations is part of the result: thresholds are tested on these raw doubles.
-    return [
-        ((hs - rs) * 1000.0).alias("signed_start"),
-        ((he - re) * 1000.0).alias("signed_end"),
-        (F.abs(hs - rs) * 1000.0).alias("start_err"),
-        (F.abs(he - re) * 1000.0).alias("end_err"),
-        (F.abs((he - hs) - (re - rs)) * 1000.0).alias("dur_err"),
-        (F.abs((hs + he) / 2 - (rs + re) / 2) * 1000.0).alias("mid_err"),
-    ]
+def boundary_errors(ref: str = "r.", hyp: str = "h.") -> dict[str, str]:
+    """Signed and absolute boundary errors in milliseconds as SQL; positive means the hypothesis is late.
+
+    The order of the operations is part of the result: thresholds are tested on these raw doubles.
+    """
+    rs, re, hs, he = f"{ref}start_s", f"{ref}end_s", f"{hyp}start_s", f"{hyp}end_s"
+    return {
+        "signed_start": f"({hs} - {rs}) * 1000D",
+        "signed_end": f"({he} - {re}) * 1000D",
+        "start_err": f"abs({hs} - {rs}) * 1000D",
+        "end_err": f"abs({he} - {re}) * 1000D",
+        "dur_err": f"abs(({he} - {hs}) - ({re} - {rs})) * 1000D",
+        "mid_err": f"abs(({hs} + {he}) / 2D - ({rs} + {re}) / 2D) * 1000D",
+    }
 
 
 def with_errors(aligned: DataFrame) -> DataFrame:
     """Add ``errs``: one record per pair whose labels are equal."""
-    ref, hyp = F.col("ref"), F.col("hyp")
-
-    def equal(p: Column) -> Column:
-        return F.get(ref, p["ref_idx"])["phoneme"] == F.get(hyp, p["hyp_idx"])["phoneme"]
-
-    def record(p: Column) -> Column:
-        r, h = F.get(ref, p["ref_idx"]), F.get(hyp, p["hyp_idx"])
-        return F.struct(
-            p["ref_idx"].alias("ref_idx"),
-            p["hyp_idx"].alias("hyp_idx"),
-            r["phoneme"].alias("phoneme"),
-            *boundary_errors(r["start_s"], r["end_s"], h["start_s"], h["end_s"]),
-        )
-
-    return aligned.withColumn("errs", F.transform(F.filter("pairs", equal), record))
+    fields = ", ".join(f"'{n}', {e}" for n, e in boundary_errors("q.r.", "q.h.").items())
+    return aligned.selectExpr(
+        "*",
+        f"""transform(
+            transform(
+                filter(pairs, p -> get(ref, p.ref_idx).phoneme = get(hyp, p.hyp_idx).phoneme),
+                p -> named_struct('p', p, 'r', get(ref, p.ref_idx), 'h', get(hyp, p.hyp_idx))),
+            q -> named_struct('ref_idx', q.p.ref_idx, 'hyp_idx', q.p.hyp_idx, 'phoneme', q.r.phoneme, {fields})
+        ) AS errs""",
+    )
 
 
 def error_rows(with_errs: DataFrame) -> DataFrame:

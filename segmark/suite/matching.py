@@ -161,8 +161,8 @@ def _report_sql(chain: str, cap: str = "150", tols=(("20", "0.02"), ("50", "0.05
 
 
 def rounded(df, digits: int = DIGITS):
-    return df.select(
-        *[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    return df.selectExpr(
+        *[f"round(`{c}`, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes]
     )
 
 
@@ -275,7 +275,7 @@ def q_boundary_f1_native(spark, sf_dir):
 def q_boundary_f1(spark, sf_dir):
     counted = boundaries.with_boundary_counts(recordings(spark, sf_dir), [0.02])
     sums = counted.groupBy("style").agg(*[F.sum(f"{x}_20").alias(f"{x}_20") for x in ("tp", "fp", "fn")])
-    return rounded(sums.select("style", *metrics.f1_columns("20")))
+    return rounded(sums.selectExpr("style", *metrics.f1_columns("20")))
 
 
 @query(
