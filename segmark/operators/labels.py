@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segmark.functions import text
 from segmark.functions.labels import LabelRules
-from segmark.operators.scan import BLOCK_ROWS, position_block, with_row_index
+from segmark.operators.scan import block_width, position_block, with_row_index
 from segmark.session import cut
 
 #: Largest label vocabulary (rows, characters) that is broadcast.
@@ -103,8 +103,8 @@ def clean_intervals(
         return out
     keys = [k for k in ("utt", "side") if k in out.columns]
     ordered = out.withColumnRenamed("pos", "__old")
-    indexed = with_row_index(ordered, keys, ["__old"], position_block("__old", BLOCK_ROWS), "pos")
-    return indexed.drop("__old")
+    block = position_block("__old", block_width(intervals, "pos"))
+    return with_row_index(ordered, keys, ["__old"], block, "pos").drop("__old")
 
 
 def normalize_sequence(sequence: Column, composed: Column, rules: LabelRules) -> Column:
