@@ -17,6 +17,8 @@ from segmark.session import cut
 
 #: Distinct values (over all groups) up to which the built-in percentile is used.
 MAX_IN_TASK = 2_000_000
+#: Largest table of wanted (grain, partition) pairs that is broadcast.
+MAX_TARGETS = 100_000
 
 
 def exact_quantiles(
@@ -74,7 +76,10 @@ def _by_rank(table: DataFrame, grain: list[str], value: str, probs: Mapping[str,
             & (low < s["lo"] + s["t"])
         )
 
-    targets = spans.filter(F.greatest(*[holds(n).cast("int") for n in probs], F.lit(0)) == 1)
+    targets = cut(spans.filter(F.greatest(*[holds(n).cast("int") for n in probs], F.lit(0)) == 1), "targets")
+    if targets.count() <= MAX_TARGETS:
+        # A few partitions hold all wanted ranks; the others are filtered out where they lie.
+        targets = F.broadcast(targets)
     inside = (
         Window.partitionBy(*grain, "blk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )
