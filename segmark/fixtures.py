@@ -21,9 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 @functools.cache
+def longest(sf_dir: str, name: str, key: str) -> int:
+    """Rows of the busiest key of a table: one counting job per data set, reused by every view."""
+    return longest_key(table(SparkSession.active(), sf_dir, name), key)
+
+
 def longest_user(sf_dir: str) -> int:
-    """Events of the busiest user: one counting job per data set, its result reused by every view."""
-    return longest_key(table(SparkSession.active(), sf_dir, "events"), "user_id")
+    return longest(sf_dir, "events", "user_id")
 
 
 def ranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +100,7 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str, frames_per_chunk: int = 25) -> DataFrame:
     """Frame posteriors from whole embeddings: eight classes, each the maximum of eight entries."""
     e = table(spark, sf_dir, "embeddings")
-    ranked = with_row_index(
-        e, ["label"], ["vec_id"], F.floor(F.col("vec_id") / 65_536).cast("long"), "rn", write=False
-    )
+    ranked = with_rank(e, ["label"], ["vec_id"], longest(sf_dir, "embeddings", "label"), "rn")
     classes = F.transform(
         F.sequence(F.lit(0), F.lit(7)), lambda k: F.array_max(F.slice("embedding", k * 8 + 1, 8))
     )

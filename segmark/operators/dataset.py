@@ -70,19 +70,16 @@ def build_vocab(strings: DataFrame, column: str = "phonemes") -> DataFrame:
     return plain.unionByName(specials)
 
 
-def _small(vocab: DataFrame) -> DataFrame:
-    # Broadcast only behind a check; a larger vocabulary joins by shuffle, where AQE splits hot tokens.
-    return F.broadcast(vocab) if vocab.limit(MAX_VOCABULARY + 1).count() <= MAX_VOCABULARY else vocab
-
-
 def encode_labels(rows: DataFrame, vocab: DataFrame, key: str = "row_idx") -> DataFrame:
     """Add ``labels``: token ids of ``phonemes`` in order, unknown tokens as the unknown id."""
-    unk_id = vocab.filter(F.col("token") == UNK).agg(F.max("id")).first()[0]
+    facts = vocab.agg(F.count("*").alias("n"), F.max(F.when(F.col("token") == UNK, F.col("id"))).alias("unk")).first()
+    words = vocab.select("token", "id")
+    # Broadcast only behind the count; a larger vocabulary joins by shuffle, where AQE splits hot tokens.
+    words = F.broadcast(words) if facts["n"] <= MAX_VOCABULARY else words
     spread = rows.select(key, F.posexplode(text.tokens(F.col("phonemes"))).alias("k", "token"))
-    found = spread.join(_small(vocab.select("token", "id")), "token", "left")
-    known = F.coalesce("id", F.lit(unk_id)).cast("int").alias("id")
+    known = F.coalesce("id", F.lit(facts["unk"])).cast("int").alias("id")
     ids = F.sort_array(F.collect_list(F.struct("k", known)))
-    coded = found.groupBy(key).agg(ids["id"].alias("labels"))
+    coded = spread.join(words, "token", "left").groupBy(key).agg(ids["id"].alias("labels"))
     empty = F.array().cast("array<int>")
     return rows.join(coded, key, "left").withColumn("labels", F.coalesce("labels", empty))
 

@@ -15,13 +15,14 @@ from pyspark.sql.functions import arrow_udf
 
 from segmark.functions import text
 from segmark.operators.scan import (
-    block_width,
+    BLOCK_ROWS,
     position_block,
     with_next,
     with_previous,
     with_row_index,
     with_running_sum,
 )
+from segmark.session import cut
 
 # Frame stride, skipped tokens, shortest chunk, sample rate.
 FRAME_STRIDE_SAMPLES = 320
@@ -309,9 +310,11 @@ def ctc_align(
     chunk order.
     """
     counts = frames.groupBy(*CHUNK).agg(F.count("*").alias("total_frames"))
-    clock = frame_clock(chunks, durations, counts, options)
+    # One row per chunk, read by every branch below; it also tells how long the longest chunk is.
+    clock = cut(frame_clock(chunks, durations, counts, options), "clock")
+    longest = clock.agg(F.max("n_frames")).first()[0] or 0
+    width = BLOCK_ROWS if longest > BLOCK_ROWS else None
     path = best_tokens if options.decoder == "greedy" else forced_greedy_path
-    width = block_width(frames, "frame")
     tokens = (
         path(frames)
         .join(clock.select(*CHUNK, "n_frames"), list(CHUNK))
@@ -326,12 +329,14 @@ def ctc_align(
         .agg(F.sort_array(F.collect_list(F.struct("chunk", F.coalesce("phonemes", F.lit("")).alias("p")))).alias("c"))
     )
     strings = parts.select("utt", text.strip(F.array_join(F.col("c")["p"], " ")).alias("phonemes"))
-    return number_intervals(intervals), strings
+    per_recording = clock.groupBy("utt").agg(F.sum("n_frames").alias("n")).agg(F.max("n")).first()[0] or 0
+    return number_intervals(intervals, per_recording > BLOCK_ROWS), strings
 
 
-def number_intervals(intervals: DataFrame) -> DataFrame:
-    """Dense position per recording over (chunk, k)."""
-    return with_row_index(intervals, ["utt"], ["chunk", "k"], F.col("chunk"), "pos", write=False).select(
+def number_intervals(intervals: DataFrame, long_recordings: bool = True) -> DataFrame:
+    """Dense position per recording over (chunk, k); long recordings are numbered chunk by chunk."""
+    block = F.col("chunk") if long_recordings else None
+    return with_row_index(intervals, ["utt"], ["chunk", "k"], block, "pos").select(
         "utt", "pos", "phoneme", "start_s", "end_s"
     )
 

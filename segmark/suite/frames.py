@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from segmark import fixtures as fx
 from segmark.operators import frames as fr
 from segmark.operators import vad
+from segmark.session import cut
 from segmark.suite import query
 
 UNK = 5
@@ -50,11 +51,10 @@ def q_token_runs(spark, sf_dir):
     return fr.token_runs(fr.best_tokens(fx.frames(spark, sf_dir)))
 
 
-def _lengths(spark, sf_dir):
+def _lengths(posteriors):
     """Recordings half a frame shorter than their posteriors."""
     return (
-        fx.frames(spark, sf_dir)
-        .groupBy("utt")
+        posteriors.groupBy("utt")
         .agg(((F.count("*") * 320 - 170).cast("double") / 16_000).alias("duration_s"))
     )
 
@@ -78,7 +78,7 @@ _CLOCK = """
 
 
 def _chunks(spark, sf_dir):
-    return fr.fixed_chunks(_lengths(spark, sf_dir), 0.5)
+    return fr.fixed_chunks(_lengths(fx.frames(spark, sf_dir)), 0.5)
 
 
 @query("q_fixed_chunks", fx.with_views("frames") + f",{_LENGTHS},{_CHUNKS} select * from chunks")
@@ -98,7 +98,7 @@ def q_whole_file_chunks(spark, sf_dir):
 def q_frame_clock(spark, sf_dir):
     counts = fx.frames(spark, sf_dir).groupBy("utt", "chunk").agg(F.count("*").alias("total_frames"))
     options = fr.ctc_options("wav2vec2")
-    return fr.frame_clock(_chunks(spark, sf_dir), _lengths(spark, sf_dir), counts, options)
+    return fr.frame_clock(_chunks(spark, sf_dir), _lengths(fx.frames(spark, sf_dir)), counts, options)
 
 
 @query(
@@ -111,7 +111,7 @@ def q_frame_clock(spark, sf_dir):
 )
 def q_frame_clock_derived(spark, sf_dir):
     counts = fx.frames(spark, sf_dir).groupBy("utt", "chunk").agg(F.count("*").alias("total_frames"))
-    clock = fr.frame_clock(_chunks(spark, sf_dir), _lengths(spark, sf_dir), counts, fr.ctc_options("wavlm"))
+    clock = fr.frame_clock(_chunks(spark, sf_dir), _lengths(fx.frames(spark, sf_dir)), counts, fr.ctc_options("wavlm"))
     return clock.select("utt", "chunk", "n_frames", "offset_s", F.round("frame_s", 12).alias("frame_s"))
 
 
@@ -146,7 +146,7 @@ def _intervals(spark, sf_dir, end_mode):
     options = fr.ctc_options("wav2vec2", unk_id=UNK, end_mode=end_mode)
     f = fx.frames(spark, sf_dir)
     counts = f.groupBy("utt", "chunk").agg(F.count("*").alias("total_frames"))
-    clock = fr.frame_clock(_chunks(spark, sf_dir), _lengths(spark, sf_dir), counts, options)
+    clock = fr.frame_clock(_chunks(spark, sf_dir), _lengths(fx.frames(spark, sf_dir)), counts, options)
     kept = fr.best_tokens(f).join(clock.select("utt", "chunk", "n_frames"), ["utt", "chunk"])
     runs = fr.token_runs(kept.filter(F.col("frame") < F.col("n_frames")).drop("n_frames"))
     return fr.runs_to_intervals(runs, fx.frame_vocab(spark), clock, options)
@@ -181,9 +181,9 @@ def q_join_tokens(spark, sf_dir):
 
 def _ctc(spark, sf_dir, **changes):
     options = fr.ctc_options(changes.pop("model"), unk_id=UNK, **changes)
-    return fr.ctc_align(
-        fx.frames(spark, sf_dir), _chunks(spark, sf_dir), _lengths(spark, sf_dir), fx.frame_vocab(spark), options
-    )
+    posteriors = cut(fx.frames(spark, sf_dir), "posteriors")
+    lengths = _lengths(posteriors)
+    return fr.ctc_align(posteriors, fr.fixed_chunks(lengths, 0.5), lengths, fx.frame_vocab(spark), options)
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from segmark import fixtures as fx
 from segmark.operators import boundaries, metrics, seqalign
 from segmark.plans import evaluation
-from segmark.session import cut_folder
+from segmark.session import cut, cut_folder
 from segmark.sources import manifest, tables
 from segmark.suite import query
 from segmark.suite.intervals import _OFFSET
@@ -364,7 +364,9 @@ _RESTYLED = """
     ),
 )
 def q_evaluation_job(spark, sf_dir):
-    raw = fx.two_sided(spark, sf_dir).withColumnRenamed("phoneme", "label").withColumnRenamed("ord", "pos")
+    raw = cut(
+        fx.two_sided(spark, sf_dir).withColumnRenamed("phoneme", "label").withColumnRenamed("ord", "pos"), "raw"
+    )
     sides = {s: raw.filter(F.col("side") == s).select("utt", "pos", "label", "start_s", "end_s") for s in ("ref", "hyp")}
     files = (
         fx.table(spark, sf_dir, "events")
