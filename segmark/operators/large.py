@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmark.functions import text
@@ -30,6 +30,8 @@ from segmark.session import cut, cut_folder
 TILE = 1 << 13
 #: Seconds of boundaries one task matches.
 BLOCK_SECONDS = 3600.0
+#: Most long recordings whose names are broadcast.
+MAX_HOT = 200_000
 
 
 def split_by_length(
@@ -41,10 +43,27 @@ def split_by_length(
         longest = sizes.agg(F.max("n")).first()[0] or 0
     if longest <= limit:
         return store, None
-    long_ones = sizes.filter(F.col("n") > limit).select("utt").distinct()
+    long_ones = cut(sizes.filter(F.col("n") > limit).select("utt").distinct(), "long")
+    if long_ones.count() <= MAX_HOT:
+        # Few by nature; broadcast, so the rows of a long recording need not meet in one task.
+        long_ones = F.broadcast(long_ones)
     return store.join(long_ones, "utt", "left_anti"), store.join(long_ones, "utt", "left_semi")
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, is_long: Column, longest: int, limit: int) -> DataFrame:
+    """Inner join of interval rows with one row per recording.
+
+    Long recordings are joined by broadcast, the others by shuffle: no key of the shuffle is hot.
+    """
+    if longest <= limit:
+        return rows.join(facts, "utt")
+    hot = facts.filter(is_long)
+    if hot.count() > MAX_HOT:
+        return rows.join(facts, "utt")
+    others = rows.join(F.broadcast(hot.select("utt")), "utt", "left_anti")
+    return rows.join(F.broadcast(hot), "utt").unionByName(others.join(facts.filter(~is_long), "utt"))
+
+
 def _codes(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
     codes, _ = pd.factorize(np.concatenate([np.asarray(ref, object), np.asarray(hyp, object)]))
     return codes[: len(ref)], codes[len(ref) :]
@@ -231,6 +250,79 @@ def _edit_counts(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def long_rows(big: DataFrame, order: str) -> DataFrame:
+    """Rows of long recordings with their dense position, written once."""
+    # Length is unbounded here, so positions always come from the range-partitioned rank.
+    ranked = with_rank(big.withColumnRenamed(order, "__ord"), ["utt", "side"], ["__ord"], 1 << 62)
+    return cut(ranked.select("utt", "file", "style", "side", "pos", "phoneme", "start_s", "end_s"), "large")
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    item = "struct(phoneme, start_s, end_s)"
+    return (
+        rows.filter("side = 'ref'").selectExpr("utt", "style", "pos AS ref_idx", f"{item} AS r"),
+        rows.filter("side = 'hyp'").selectExpr("utt", "pos AS hyp_idx", f"{item} AS h"),
+    )
+
+
+def large_matches(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs with equal labels and both intervals (utt, style, ref_idx, hyp_idx, r, h)."""
+    ref, hyp = _sides(rows)
+    return (
+        pairs.join(ref, ["utt", "ref_idx"])
+        .join(hyp, ["utt", "hyp_idx"])
+        .filter("r.phoneme = h.phoneme")
+        .selectExpr("utt", "style", "CAST(ref_idx AS INT) AS ref_idx", "CAST(hyp_idx AS INT) AS hyp_idx", "r", "h")
+    )
+
+
+def large_pair_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every step of the edit path with its kind and both labels, as ``seqalign.pair_rows`` gives it."""
+    ref, hyp = _sides(rows)
+    both = pairs.join(ref, ["utt", "ref_idx"]).join(hyp, ["utt", "hyp_idx"])
+    op = "IF(r.phoneme = h.phoneme, 'match', 'sub')"
+    tail = ["r.phoneme AS ref_phoneme", "h.phoneme AS hyp_phoneme"]
+    index = ["CAST(ref_idx AS INT) AS ref_idx", "CAST(hyp_idx AS INT) AS hyp_idx"]
+    none = "CAST(NULL AS STRING)"
+    dropped = ref.join(pairs, ["utt", "ref_idx"], "left_anti").selectExpr(
+        "utt", index[0], "CAST(NULL AS INT) AS hyp_idx", tail[0], f"{none} AS hyp_phoneme", "'del' AS op"
+    )
+    added = hyp.join(pairs, ["utt", "hyp_idx"], "left_anti").selectExpr(
+        "utt", "CAST(NULL AS INT) AS ref_idx", index[1], f"{none} AS ref_phoneme", tail[1], "'ins' AS op"
+    )
+    return both.selectExpr("utt", *index, *tail, f"{op} AS op").unionByName(dropped).unionByName(added)
+
+
+def large_edit_counts(rows: DataFrame, tile: int = TILE, pairs: DataFrame | None = None) -> DataFrame:
+    """(utt, s, d, i) of long recordings; labels holding blanks count as several words."""
+    labels = rows.select("utt", "side", "pos", "phoneme")
+    if rows.filter(F.col("phoneme").rlike(rf"(?U){text.BLANK}")).isEmpty():
+        return _edit_counts(labels, tiled_pairs(labels, tile) if pairs is None else pairs)
+    words = _as_words(rows)
+    return _edit_counts(words, tiled_pairs(words, tile))
+
+
+def large_boundary_counts(
+    rows: DataFrame, tolerances: Sequence[float], block_seconds: float = BLOCK_SECONDS
+) -> DataFrame:
+    """(utt, b_ref, b_hyp, tp/fp/fn per tolerance tag) of long recordings."""
+    bounds = cut(boundary_rows(rows), "bounds")
+    counts = bounds.groupBy("utt").agg(
+        F.count_if(F.col("side") == "ref").cast("int").alias("b_ref"),
+        F.count_if(F.col("side") == "hyp").cast("int").alias("b_hyp"),
+    )
+    for tag, tolerance in tolerance_tags(tolerances).items():
+        counts = counts.join(blocked_hits(bounds, tolerance, block_seconds), "utt", "left")
+        tp = "CAST(coalesce(tp, 0) AS INT)"
+        counts = counts.selectExpr(
+            *[c for c in counts.columns if c != "tp"],
+            f"{tp} AS tp_{tag}",
+            f"b_hyp - {tp} AS fp_{tag}",
+            f"b_ref - {tp} AS fn_{tag}",
+        )
+    return counts
+
+
 def score_large(
     big: DataFrame,
     tolerances: Sequence[float],
@@ -239,54 +331,24 @@ def score_large(
     block_seconds: float = BLOCK_SECONDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(per-recording counts, error rows) of long recordings."""
-    # Length is unbounded here, so positions always come from the range-partitioned rank.
-    ranked = with_rank(big.withColumnRenamed(order, "__ord"), ["utt", "side"], ["__ord"], 1 << 62)
-    rows = cut(
-        ranked.select("utt", "file", "style", "side", "pos", "phoneme", "start_s", "end_s"), "large"
-    )
-    labels = rows.select("utt", "side", "pos", "phoneme")
-    pairs = tiled_pairs(labels, tile)
-    side = {s: rows.filter(F.col("side") == s) for s in ("ref", "hyp")}
-    ref = side["ref"].selectExpr("utt", "style", "pos AS ref_idx", "struct(phoneme, start_s, end_s) AS r")
-    hyp = side["hyp"].selectExpr("utt", "pos AS hyp_idx", "struct(phoneme, start_s, end_s) AS h")
+    rows = long_rows(big, order)
+    pairs = tiled_pairs(rows.select("utt", "side", "pos", "phoneme"), tile)
     errors = cut(
-        pairs.join(ref, ["utt", "ref_idx"])
-        .join(hyp, ["utt", "hyp_idx"])
-        .filter("r.phoneme = h.phoneme")
-        .selectExpr(
+        large_matches(rows, pairs).selectExpr(
             "utt",
             "style",
-            "CAST(ref_idx AS INT) AS ref_idx",
-            "CAST(hyp_idx AS INT) AS hyp_idx",
+            "ref_idx",
+            "hyp_idx",
             "r.phoneme AS phoneme",
             *[f"{e} AS {n}" for n, e in boundary_errors().items()],
         ),
         "errors",
     )
-    if rows.filter(F.col("phoneme").rlike(rf"(?U){text.BLANK}")).isEmpty():
-        edits = _edit_counts(labels, pairs)
-    else:
-        words = _as_words(rows)
-        edits = _edit_counts(words, tiled_pairs(words, tile))
-    bounds = cut(boundary_rows(rows), "bounds")
-    counts = rows.groupBy("utt", "file", "style").agg(
+    sizes = rows.groupBy("utt", "file", "style").agg(
         F.count_if(F.col("side") == "ref").cast("int").alias("n_ref"),
         F.count_if(F.col("side") == "hyp").cast("int").alias("n_hyp"),
     )
-    counts = counts.join(edits, "utt").join(
-        bounds.groupBy("utt").agg(
-            F.count_if(F.col("side") == "ref").cast("int").alias("b_ref"),
-            F.count_if(F.col("side") == "hyp").cast("int").alias("b_hyp"),
-        ),
-        "utt",
+    counts = sizes.join(large_edit_counts(rows, tile, pairs), "utt").join(
+        large_boundary_counts(rows, tolerances, block_seconds), "utt"
     )
-    for tag, tolerance in tolerance_tags(tolerances).items():
-        counts = counts.join(blocked_hits(bounds, tolerance, block_seconds), "utt", "left")
-        tp = F.coalesce("tp", F.lit(0)).cast("int")
-        counts = counts.select(
-            *[c for c in counts.columns if c != "tp"],
-            tp.alias(f"tp_{tag}"),
-            (F.col("b_hyp") - tp).alias(f"fp_{tag}"),
-            (F.col("b_ref") - tp).alias(f"fn_{tag}"),
-        )
     return cut(counts, "counts"), errors

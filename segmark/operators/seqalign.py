@@ -172,10 +172,11 @@ def matched_times(aligned: DataFrame) -> DataFrame:
     step = F.explode("pairs").alias("p")
     r, h = F.get("ref", F.col("p.ref_idx")), F.get("hyp", F.col("p.hyp_idx"))
     return (
-        aligned.select("utt", "ref", "hyp", step)
+        aligned.select("utt", "style", "ref", "hyp", step)
         .filter(r["phoneme"] == h["phoneme"])
         .select(
             "utt",
+            "style",
             F.col("p.ref_idx").alias("ref_idx"),
             F.col("p.hyp_idx").alias("hyp_idx"),
             r["phoneme"].alias("phoneme"),

@@ -14,6 +14,7 @@ from segmark.operators import intervals as iv
 from segmark.operators import metrics
 from segmark.operators.frames import CtcOptions, ctc_align, ctc_options, fixed_chunks, whole_file_chunks
 from segmark.operators.labels import normalize_sides
+from segmark.operators.large import join_facts
 from segmark.operators.vad import vad_chunks
 from segmark.session import cut
 from segmark.sources import audio, manifest, reports, tables, textgrid
@@ -146,7 +147,9 @@ def build_store(
     )
     longest = checked.agg(F.max(F.greatest("n_ref", "n_hyp"))).first()[0] or 0
     moved = F.when(F.col("side") == "ref", F.col("shift")).otherwise(0.0)
-    intervals = cleaned.join(checked.filter(good).select("utt", "file", "style", "shift"), "utt").select(
+    limit = options.scoring.max_one_task
+    is_long = F.greatest("n_ref", "n_hyp") > limit
+    intervals = join_facts(cleaned, checked.filter(good), is_long, longest, limit).select(
         "utt",
         "file",
         "style",

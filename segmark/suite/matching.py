@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from segmark import fixtures as fx
-from segmark.operators import boundaries, metrics, seqalign
+from segmark.operators import anylength, boundaries, large, metrics, seqalign
 from segmark.plans import evaluation
 from segmark.session import cut, cut_folder
 from segmark.sources import manifest, tables
@@ -166,13 +166,14 @@ def rounded(df, digits: int = DIGITS):
     )
 
 
-def recordings(spark, sf_dir):
-    return seqalign.gather(fx.two_sided(spark, sf_dir), "ord")
+def given(spark, sf_dir):
+    """The store, its order column and the bound on recording length."""
+    return fx.two_sided(spark, sf_dir), "ord", fx.longest_side(sf_dir)
 
 
 @query("q_align_pairs", _chain(bounds=False) + " select utt, ref_idx, hyp_idx, ref_phoneme, hyp_phoneme, op from pairs")
 def q_align_pairs(spark, sf_dir):
-    pairs = seqalign.pair_rows(seqalign.align(recordings(spark, sf_dir)))
+    pairs = anylength.pair_rows(*given(spark, sf_dir))
     return pairs.select(
         "utt",
         F.col("ref_idx").cast("long").alias("ref_idx"),
@@ -190,8 +191,11 @@ def q_align_pairs(spark, sf_dir):
           from errs""",
 )
 def q_pair_errors(spark, sf_dir):
-    rows = seqalign.error_rows(seqalign.with_errors(seqalign.align(recordings(spark, sf_dir))))
-    return rows.withColumns({c: F.col(c).cast("long") for c in ("ref_idx", "hyp_idx")})
+    times = anylength.matched_times(*given(spark, sf_dir))
+    times = times.selectExpr("*", "struct(rs AS start_s, re AS end_s) AS r", "struct(hs AS start_s, he AS end_s) AS h")
+    errors = [f"{e} AS {n}" for n, e in seqalign.boundary_errors().items()]
+    index = [f"CAST({c} AS BIGINT) AS {c}" for c in ("ref_idx", "hyp_idx")]
+    return times.selectExpr("utt", "style", "phoneme", *index, *errors)
 
 
 @query(
@@ -203,7 +207,7 @@ def q_pair_errors(spark, sf_dir):
           from errs qualify abs((rs + re) / 2 - (hs + he) / 2) <= 0.1""",
 )
 def q_match_filtered(spark, sf_dir):
-    times = seqalign.matched_times(seqalign.align(recordings(spark, sf_dir)))
+    times = anylength.matched_times(*given(spark, sf_dir))
     kept, counts = seqalign.match_filtered(times, 0.1)
     return kept.join(counts.select("utt", "filtered"), "utt").withColumns(
         {c: F.col(c).cast("long") for c in ("ref_idx", "hyp_idx")}
@@ -219,8 +223,8 @@ def q_match_filtered(spark, sf_dir):
     select utt, unnest(list_distinct(list_append(hs, he[-1]))) as t from u""",
 )
 def q_boundary_times(spark, sf_dir):
-    times = boundaries.boundary_times(F.col("hyp"))
-    return recordings(spark, sf_dir).select("utt", F.explode(times).alias("t"))
+    store = fx.one_side(spark, sf_dir, "hyp").withColumn("side", F.lit("hyp"))
+    return large.boundary_rows(store).select("utt", "t")
 
 
 @query(
@@ -239,8 +243,9 @@ def q_boundary_times(spark, sf_dir):
     from hits group by utt""",
 )
 def q_boundary_f1_counts(spark, sf_dir):
-    counted = boundaries.with_boundary_counts(recordings(spark, sf_dir), metrics.DEFAULT_TOLERANCES)
-    names = [c for c in counted.columns if c not in ("utt", "file", "style", "ref", "hyp")]
+    store, order, longest = given(spark, sf_dir)
+    counted = anylength.boundary_counts(store, metrics.DEFAULT_TOLERANCES, order, longest)
+    names = [c for c in counted.columns if c not in ("utt", "style")]
     return counted.select("utt", *[F.col(c).cast("long").alias(c) for c in names])
 
 
@@ -254,7 +259,8 @@ def q_boundary_f1_counts(spark, sf_dir):
     + " select utt, tp from hits where tol = 0.02",
 )
 def q_boundary_f1_native(spark, sf_dir):
-    r = recordings(spark, sf_dir)
+    store, order, _ = given(spark, sf_dir)
+    r = seqalign.gather(store, order)
     return r.select("utt", boundaries.boundary_counts_native(r, 0.02).cast("long").alias("tp"))
 
 
@@ -273,7 +279,8 @@ def q_boundary_f1_native(spark, sf_dir):
     from hits where tol = 0.02 group by style""",
 )
 def q_boundary_f1(spark, sf_dir):
-    counted = boundaries.with_boundary_counts(recordings(spark, sf_dir), [0.02])
+    store, order, longest = given(spark, sf_dir)
+    counted = anylength.boundary_counts(store, [0.02], order, longest)
     sums = counted.groupBy("style").agg(*[F.sum(f"{x}_20").alias(f"{x}_20") for x in ("tp", "fp", "fn")])
     return rounded(sums.selectExpr("style", *metrics.f1_columns("20")))
 
@@ -292,7 +299,7 @@ def q_boundary_f1(spark, sf_dir):
 )
 def q_per(spark, sf_dir):
     # The five labels start with five different letters, so their first letters can stand for them in SQL.
-    edits = metrics.label_error_rate(recordings(spark, sf_dir))
+    edits = anylength.label_error_rate(*given(spark, sf_dir))
     rolled = edits.rollup("style", "utt").agg(
         F.grouping_id().alias("gid"), F.sum("n_ref").alias("n_ref"), F.sum("edits").alias("edits")
     )

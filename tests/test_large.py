@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from segmark import fixtures as fx
-from segmark.operators import large, metrics, seqalign
+from segmark.operators import anylength, large, metrics, seqalign
 from segmark.suite.matching import rounded
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,23 @@ def test_labels_with_blanks_count_as_words_in_the_tiled_path(spark):
     short = seqalign.align(seqalign.gather(store)).select("s", "d", "i").first()
     assert tuple(counts.select("s", "d", "i").first()) == tuple(short)
     assert sum(short) == 2
+
+
+def test_any_length_operators(spark):
+    store = fx.two_sided(spark, SF)
+    sizes = store.groupBy("utt", "side").count().agg(F.expr("percentile_disc(0.5) within group (order by count)")).first()[0]
+    limit = int(sizes)
+    for run in (
+        lambda n: anylength.pair_rows(store, "ord", limit=n),
+        lambda n: anylength.matched_times(store, "ord", limit=n),
+        lambda n: anylength.boundary_counts(store, [0.02], "ord", limit=n),
+        lambda n: anylength.label_error_rate(store, "ord", limit=n),
+    ):
+        assert _rows(run(limit)) == _rows(run(1 << 15))
+
+
+def test_long_recordings_take_the_broadcast_join(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "utt string, x int")
+    facts = spark.createDataFrame([("a", 2), ("b", 1)], "utt string, n int")
+    got = [large.join_facts(rows, facts, F.col("n") > 1, longest, 1) for longest in (1, 2)]
+    assert _rows(got[0]) == _rows(got[1]) and got[0].count() == 3
