@@ -7,8 +7,6 @@ every engine sees the same doubles. ``SQL`` holds the same rules as common table
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.cache
-def longest(sf_dir: str, name: str, key: str) -> int:
-    """Rows of the busiest key of a table: one counting job per data set, reused by every view."""
-    return longest_key(table(SparkSession.active(), sf_dir, name), key)
+_LONGEST: dict[tuple[str, str, str], int] = {}
 
 
-def longest_user(sf_dir: str) -> int:
-    return longest(sf_dir, "events", "user_id")
+def longest(spark: SparkSession, sf_dir: str, name: str, key: str) -> int:
+    """Rows of the busiest key of a table: one counting job per data set, reused by every view."""
+    known = (sf_dir, name, key)
+    if known not in _LONGEST:
+        _LONGEST[known] = longest_key(table(spark, sf_dir, name), key)
+    return _LONGEST[known]
 
 
 def ranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,16 +34,16 @@ def ranked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), "user_id").alias("utt"), "event_id", "ts", "user_id", "event_type", "value"
     )
-    return with_rank(events, ["utt"], ["ts", "event_id"], longest_user(sf_dir), "rn").select(
+    return with_rank(events, ["utt"], ["ts", "event_id"], longest(spark, sf_dir, "events", "user_id"), "rn").select(
         "*",
         F.concat(F.lit("g"), (F.col("user_id") % 4).cast("string")).alias("style"),
         ((F.col("rn") + 1) * 80 + (F.col("event_id") * 37) % 30).alias("start_ms"),
     )
 
 
-def longest_side(sf_dir: str) -> int:
+def longest_side(spark: SparkSession, sf_dir: str) -> int:
     """Upper bound on the intervals of one side of one recording in :func:`two_sided`."""
-    return 2 * longest_user(sf_dir)
+    return 2 * longest(spark, sf_dir, "events", "user_id")
 
 
 def _seconds(ms: Column) -> Column:
@@ -82,7 +81,7 @@ def two_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_side(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """One side with its dense position ``pos`` (zero-based)."""
     rows = two_sided(spark, sf_dir).filter(F.col("side") == side)
-    return with_rank(rows, ["utt"], ["ord"], longest_side(sf_dir), "pos").drop("ord", "side")
+    return with_rank(rows, ["utt"], ["ord"], longest_side(spark, sf_dir), "pos").drop("ord", "side")
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +99,7 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str, frames_per_chunk: int = 25) -> DataFrame:
     """Frame posteriors from whole embeddings: eight classes, each the maximum of eight entries."""
     e = table(spark, sf_dir, "embeddings")
-    ranked = with_rank(e, ["label"], ["vec_id"], longest(sf_dir, "embeddings", "label"), "rn")
+    ranked = with_rank(e, ["label"], ["vec_id"], longest(spark, sf_dir, "embeddings", "label"), "rn")
     classes = F.transform(
         F.sequence(F.lit(0), F.lit(7)), lambda k: F.array_max(F.slice("embedding", k * 8 + 1, 8))
     )

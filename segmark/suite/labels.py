@@ -170,9 +170,8 @@ def q_clean_intervals(spark, sf_dir):
 
 @query(
     "q_normalize_sequence",
-    _RAW.replace("raw_labels as", "unused as")
-    + f""",
-    t as (select conv_id, turn, unnest(a) as label, unnest(range(0, len(a))) as k
+    f"""
+    with t as (select conv_id, turn, unnest(a) as label, unnest(range(0, len(a))) as k
           from (select conv_id, turn, regexp_split_to_array(trim(text, ' ' || chr(10)), '\\s+') as a from conversations)),
     n as (select conv_id, turn, k, {identity("label")} as phoneme from t)
     select conv_id, turn, coalesce(string_agg(phoneme, ' ' order by k) filter (where phoneme is not null), '') as phonemes

@@ -168,7 +168,7 @@ def rounded(df, digits: int = DIGITS):
 
 def given(spark, sf_dir):
     """The store, its order column and the bound on recording length."""
-    return fx.two_sided(spark, sf_dir), "ord", fx.longest_side(sf_dir)
+    return fx.two_sided(spark, sf_dir), "ord", fx.longest_side(spark, sf_dir)
 
 
 @query("q_align_pairs", _chain(bounds=False) + " select utt, ref_idx, hyp_idx, ref_phoneme, hyp_phoneme, op from pairs")
@@ -315,7 +315,7 @@ def q_per(spark, sf_dir):
 
 
 def scored(spark, sf_dir, options=metrics.ScoreOptions()):
-    return metrics.score(fx.two_sided(spark, sf_dir), options, "ord", fx.longest_side(sf_dir))
+    return metrics.score(fx.two_sided(spark, sf_dir), options, "ord", fx.longest_side(spark, sf_dir))
 
 
 @query(

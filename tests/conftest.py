@@ -10,4 +10,4 @@ from segmark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8)
+    return local_session(8, 4)
