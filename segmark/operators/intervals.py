@@ -6,21 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def interval_arrays(intervals: DataFrame) -> DataFrame:
-    """Labels and (start, end, label) tuples of a recording as arrays, in list order."""
+#: Positions per row of the list and string forms; only longer recordings take more than one row.
+PART_ROWS = 1 << 20
+
+
+def _part(rows: int):
+    return F.floor(F.col("pos") / F.lit(rows)).cast("long").alias("part")
+
+
+def interval_arrays(intervals: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Labels and (start, end, label) tuples of a recording as arrays, in list order.
+
+    One row (part 0) per recording, or several consecutive parts when it is longer than ``part_rows``.
+    """
     ordered = F.sort_array(F.collect_list(F.struct("pos", "start_s", "end_s", "phoneme")))
     return (
-        intervals.groupBy("utt")
+        intervals.groupBy("utt", _part(part_rows))
         .agg(ordered.alias("o"))
-        .select(
+        .selectExpr(
             "utt",
-            F.col("o")["phoneme"].alias("phones"),
-            F.transform(
-                "o",
-                lambda x: F.struct(
-                    x["start_s"].alias("start_s"), x["end_s"].alias("end_s"), x["phoneme"].alias("phoneme")
-                ),
-            ).alias("tuples"),
+            "part",
+            "o.phoneme AS phones",
+            "transform(o, x -> struct(x.start_s, x.end_s, x.phoneme)) AS tuples",
         )
     )
 
@@ -30,10 +37,10 @@ def phoneme_sequence(intervals: Column) -> Column:
     return intervals["phoneme"]
 
 
-def phoneme_strings(intervals: DataFrame) -> DataFrame:
-    """Labels of every recording joined by one blank."""
+def phoneme_strings(intervals: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Labels of every recording joined by one blank (utt, part, phonemes); parts as above."""
     ordered = F.sort_array(F.collect_list(F.struct("pos", "phoneme")))
-    return intervals.groupBy("utt").agg(F.array_join(ordered["phoneme"], " ").alias("phonemes"))
+    return intervals.groupBy("utt", _part(part_rows)).agg(F.array_join(ordered["phoneme"], " ").alias("phonemes"))
 
 
 def shift_intervals(intervals: DataFrame, offset: Column) -> DataFrame:

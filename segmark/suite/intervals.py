@@ -78,7 +78,7 @@ def q_total_duration(spark, sf_dir):
     fx.with_views("hyp_iv") + " select utt, string_agg(phoneme, ' ' order by pos) as phonemes from hyp_iv group by utt",
 )
 def q_phoneme_strings(spark, sf_dir):
-    return iv.phoneme_strings(fx.one_side(spark, sf_dir, "hyp"))
+    return iv.phoneme_strings(fx.one_side(spark, sf_dir, "hyp")).select("utt", "phonemes")
 
 
 @query(

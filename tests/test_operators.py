@@ -225,3 +225,11 @@ def test_offset_modes(spark):
     assert values(iv.correct_offset(rows, d, "auto", tolerance=0.4), "start_s") == [(0.0,), (1.0,)]
     assert values(iv.correct_offset(rows, d, "force"), "start_s") == [(0.0,), (1.0,)]
     assert values(iv.correct_offset(rows, d, "never"), "start_s") == [(5.0,), (6.0,)]
+
+
+def test_list_forms_in_parts(spark):
+    rows = spark.createDataFrame([("u", k, x, float(k), k + 1.0) for k, x in enumerate("abcde")], "utt string, pos long, phoneme string, start_s double, end_s double")
+    assert values(iv.phoneme_strings(rows), "part", "phonemes") == [(0, "a b c d e")]
+    assert values(iv.phoneme_strings(rows, 2), "part", "phonemes") == [(0, "a b"), (1, "c d"), (2, "e")]
+    first = iv.interval_arrays(rows, 3).filter("part = 1").first()
+    assert first["phones"] == ["d", "e"] and tuple(first["tuples"][0]) == (3.0, 4.0, "d")
