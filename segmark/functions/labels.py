@@ -7,7 +7,7 @@ runs once ahead of the chain.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
@@ -45,6 +45,19 @@ class LabelRules:
         return F.when(raw.isNotNull(), chain(self, raw, nfc, marks))
 
 
+@dataclass(frozen=True)
+class CustomRules:
+    """Any label function in place of a rule set: takes the raw label column, gives the label or NULL.
+
+    A vectorised Python function works too; it then runs over the distinct labels only.
+    """
+
+    function: Callable[[Column], Column]
+
+    def expression(self, raw: Column, nfc: Column, marks: Column) -> Column:
+        return self.function(raw)
+
+
 def french_rules(kind: str = "reference") -> LabelRules:
     """The general chain set up for French: SAMPA references, ASR codes, or a model's narrow IPA."""
     table = {"reference": P.SAMPA_TO_IPA, "asr_codes": P.ASR_CODE_TO_IPA, "hypothesis": P.NARROW_TO_BROAD}

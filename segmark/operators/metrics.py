@@ -213,15 +213,17 @@ def score(
     options: ScoreOptions = ScoreOptions(),
     order: str = "pos",
     longest: int | None = None,
+    aligner: seqalign.Aligner = seqalign.align_labels,
 ) -> Scored:
     """Align, match and measure every recording of a long interval store.
 
     Recordings of ordinary length become one row each and are scored where they lie; longer ones are
     tiled. ``longest`` is the largest number of labels on one side of a recording, counted here unless
-    the caller knows it. The scored rows are written once because the report reads them several times.
+    the caller knows it. ``aligner`` replaces the alignment of ordinary recordings. The scored rows are
+    written once because the report reads them several times.
     """
     small, big = large.split_by_length(store, options.max_one_task, longest)
-    aligned = seqalign.with_errors(seqalign.align(seqalign.gather(small, order)))
+    aligned = seqalign.with_errors(seqalign.align(seqalign.gather(small, order), aligner))
     counted = boundaries.with_boundary_counts(
         aligned.select(
             "utt",

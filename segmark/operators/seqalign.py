@@ -78,7 +78,11 @@ def align_labels(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return _align_batch(ref, hyp)
 
 
-def align(recordings: DataFrame, aligner: Callable[[Column, Column], Column] = align_labels) -> DataFrame:
+#: A vectorised function of two label arrays returning ALIGNED.
+Aligner = Callable[[Column, Column], Column]
+
+
+def align(recordings: DataFrame, aligner: Aligner = align_labels) -> DataFrame:
     """Add ``pairs`` and the edit counts ``s, d, i`` to gathered recordings.
 
     ``aligner`` is any vectorised function of two label arrays returning the same struct, so a banded

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmark.functions.labels import build_rules
+from segmark.functions.labels import CustomRules, LabelRules, build_rules
 from segmark.operators import intervals as iv
 from segmark.operators import metrics
 from segmark.operators.frames import CtcOptions, ctc_align, ctc_options, fixed_chunks, whole_file_chunks
@@ -45,6 +45,8 @@ class EvaluationOptions:
     hyp_preset: str = "none"
     ref_mapping: Mapping[str, str] | str | None = None
     hyp_mapping: Mapping[str, str] | str | None = None
+    ref_rules: LabelRules | CustomRules | None = None
+    hyp_rules: LabelRules | CustomRules | None = None
     ref_offset: str = "auto"
     ref_offset_tolerance: float = 0.5
     hypothesis: str = "textgrid"
@@ -109,8 +111,8 @@ def build_store(
     """
     spark = samples.sparkSession
     rules = {
-        "ref": build_rules(options.ref_preset, _mapping(spark, options.ref_mapping)),
-        "hyp": build_rules(options.hyp_preset, _mapping(spark, options.hyp_mapping)),
+        "ref": options.ref_rules or build_rules(options.ref_preset, _mapping(spark, options.ref_mapping)),
+        "hyp": options.hyp_rules or build_rules(options.hyp_preset, _mapping(spark, options.hyp_mapping)),
     }
     names = ["utt", "pos", "label", "start_s", "end_s"]
     both = ref.select(F.lit("ref").alias("side"), *names).unionByName(hyp.select(F.lit("hyp").alias("side"), *names))

@@ -233,3 +233,19 @@ def test_list_forms_in_parts(spark):
     assert values(iv.phoneme_strings(rows, 2), "part", "phonemes") == [(0, "a b"), (1, "c d"), (2, "e")]
     first = iv.interval_arrays(rows, 3).filter("part = 1").first()
     assert first["phones"] == ["d", "e"] and tuple(first["tuples"][0]) == (3.0, 4.0, "d")
+
+
+def test_own_label_function_and_aligner(spark):
+    own = L.CustomRules(lambda c: F.when(c != "x", F.upper(c)))
+    df = spark.createDataFrame([("a",), ("x",), (None,)], "label string")
+    assert values(lab.normalize_labels(df, "label", own), "phoneme") == [("A",), (None,), (None,)]
+
+    def diagonal(ref, hyp):
+        n = F.least(F.size(ref), F.size(hyp))
+        pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(k.alias("ref_idx"), k.alias("hyp_idx")))
+        zero = F.lit(0)
+        return F.struct(pairs.alias("pairs"), zero.alias("s"), (F.size(ref) - n).alias("d"), (F.size(hyp) - n).alias("i"))
+
+    both = store(spark, [("a", 0.0, 0.1), ("b", 0.1, 0.2)], [("b", 0.0, 0.1), ("b", 0.1, 0.2), ("c", 0.2, 0.3)])
+    row = metrics.score(both, aligner=diagonal).files.first()
+    assert (row["m_k"], row["d"], row["i"]) == (1.0, 0, 1)
