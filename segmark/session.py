@@ -26,14 +26,20 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+#: Folders of local sessions that name none themselves; each goes with the process.
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def cut_folder(spark: SparkSession) -> str:
     """Shared folder for cut-points: the one the cluster names, else (tests only) a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="spark-segmark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.TemporaryDirectory(prefix="spark-segmark-", dir="/tmp")
+        named = _LOCAL[app].name
     return named.rstrip("/")
 
 

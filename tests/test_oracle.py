@@ -13,11 +13,11 @@ def con():
     return oracle.connect(SF)
 
 
-def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_query_of_the_suite_has_a_twin():
+    assert set(entry.suite.QUERIES) == set(entry.suite.ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, con, name):
     problems, rows, _, _ = oracle.compare(spark, con, SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert not problems
