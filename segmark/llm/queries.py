@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmark.llm import linededup, quality
+from segmark.llm import licenses, linededup, mixing, quality, sharding
 from segmark.llm.common import table
 
 QUERIES: dict = {}
@@ -52,3 +52,20 @@ from judged group by doc_id
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, name = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", f"{name}.n_lines", f"{name}.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op8_source_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, uid = mixing.numbered(table(spark, sf_dir, "documents"), ["doc_id", "source", "text"])
+    out = mixing.taken(docs.withColumnRenamed(uid, "uid"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+@query("op9_sharding")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_license_scan", licenses.scan_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known(spark))
