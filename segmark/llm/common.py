@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import sys
+import types
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -128,3 +130,11 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     counts = np.add.reduceat(np.append(real, False).astype(np.int64), offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.int64)
     counts[np.diff(offsets) == 0] = 0
     return flat.filter(pa.array(real)), counts
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """What ``make`` gives, made once for each Python worker; it outlives the task, unlike a shipped module's globals."""
+    store = sys.modules.setdefault("_segmark_worker", types.ModuleType("_segmark_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

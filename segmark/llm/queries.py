@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmark.llm import licenses, linededup, mixing, quality, sharding
+from segmark.llm import licenses, linededup, mixing, quality, sharding, tokenfiles, topk
 from segmark.llm.common import table
+from segmark.session import cut_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -69,3 +73,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan", licenses.scan_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known(spark))
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{cut_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    tokenfiles.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.checksums(tokenfiles.read(spark, folder))
+
+
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), pairs as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
+@query("op5_top_k", TOPK_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.nearest(vectors.filter("vec_id % 50 = 0"), vectors)
