@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmark.llm import licenses, linededup, mixing, quality, sharding, tokenfiles, topk
+from segmark.llm import licenses, linededup, mixing, pieces, quality, sharding, tokenfiles, topk
 from segmark.llm.common import table
 from segmark.session import cut_folder
 
@@ -98,3 +98,13 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.nearest(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded, ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    both, decoded = pieces.decode(coded, model, ids)
+    sums, crc = pieces.checksum(both, ids)
+    text = F.coalesce("text", F.lit(""))
+    return sums.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.col(crc).alias("ids_crc32"), F.sha2(decoded, 256).alias("decoded_sha256"), (F.col(decoded) == text).alias("lossless"))
