@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmark.llm import licenses, linededup, mixing, pieces, quality, sharding, tokenfiles, topk
+from segmark.llm import licenses, linededup, mixing, pieces, quality, sharding, simhash, tokenfiles, topk
 from segmark.llm.common import table
 from segmark.session import cut_folder
 
@@ -108,3 +108,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums, crc = pieces.checksum(both, ids)
     text = F.coalesce("text", F.lit(""))
     return sums.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.col(crc).alias("ids_crc32"), F.sha2(decoded, 256).alias("decoded_sha256"), (F.col(decoded) == text).alias("lossless"))
+
+
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
