@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from pyspark.sql import types as T
 from segmark.llm.common import free_name, kept_in_worker, numbers, ranges
 
 MARK = "▁"
-MOST_WORDS, MOST_ARCS = 600_000, 600_000
+MOST_PARTS, MOST_ARCS = 200_000, 300_000
+#: Rows that a task works on together.
+SLICE = 2000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -81,10 +84,11 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.arcs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.arcs: dict[int, bool] = {}
         self.segments: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.lines_end = not any("\n" in p for p in self.ids)
         out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
         self.out, self.out_size = np.frombuffer(b"".join(out), np.uint8), np.array([len(x) for x in out])
 
@@ -102,29 +106,29 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def joins(self, left: str, right: str) -> bool:
-        """Whether the transducer has an arc for ``right`` out of the state ``left``."""
-        known = self.arcs.get((left, right))
-        if known is None:
-            if len(self.arcs) > MOST_ARCS:
-                self.arcs.clear()
-            known = self.arcs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+    def joins(self, arc: int, left: str, right: str) -> bool:
+        """Whether there is an arc for ``right`` out of the state ``left``; kept under the number ``arc``."""
+        if len(self.arcs) > MOST_ARCS:
+            self.arcs.clear()
+        known = self.arcs[arc] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
     def path(self, text: str) -> list[str]:
         """The shortest path through the composition with ``text``, as the texts of its pieces.
 
         The merges leave one sequence for each beginning of the text, so one state at most is alive behind each
-        character; should arcs of several meet, the lighter one stays.
+        character; should arcs of several meet, the lighter one stays. States are numbered: 0 at the beginning, then
+        the pieces, then the characters that have none.
         """
-        n, ids, arcs, pieces = len(text), self.ids, self.arcs, self.pieces
-        last: list[str | None] = [None] * (n + 1)
+        n, arcs, pieces, count = len(text), self.arcs, self.pieces, len(self.pieces) + 1
+        state: list[int | None] = [None] * (n + 1)
         cost, begin = [0.0] * (n + 1), [0] * (n + 1)
-        last[0] = ""
+        state[0] = 0
         for i in range(n):
-            before = last[i]
+            before = state[i]
             if before is None:
                 continue
+            before <<= 21
             node, j, single = self.tree, i, False
             while j < n:
                 node = node.get(text[j])
@@ -134,15 +138,20 @@ class Transducer:
                 known = node.get("")
                 if known is None:
                     continue
-                single = single or j == i + 1
-                piece = text[i:j]
-                arc = arcs.get((before, piece))
-                if arc if arc is not None else self.joins(before, piece):
+                if j == i + 1:
+                    single = True
+                arc = arcs.get(before | known + 1)
+                if arc is None:
+                    arc = self.joins(before | known + 1, text[begin[i] : i], text[i:j])
+                if arc:
                     total = cost[i] - pieces[known][1]
-                    if last[j] is None or total < cost[j]:
-                        last[j], cost[j], begin[j] = piece, total, i
-            if not single and last[i + 1] is None and self.joins(before, text[i]):
-                last[i + 1], cost[i + 1], begin[i + 1] = text[i], cost[i], i  # goes out as bytes
+                    if state[j] is None or total < cost[j]:
+                        state[j], cost[j], begin[j] = known + 1, total, i
+            if not single and state[i + 1] is None:
+                known = count + ord(text[i])
+                arc = arcs.get(before | known)
+                if arc if arc is not None else self.joins(before | known, text[begin[i] : i], text[i]):
+                    state[i + 1], cost[i + 1], begin[i + 1] = known, cost[i], i  # goes out as bytes
         out, at = [], n
         while at:
             out.append(text[begin[at] : at])
@@ -156,28 +165,31 @@ class Transducer:
             ids += [known] if known is not None else [self.bytes[b] for b in piece.encode()]
         return ids
 
-    def parts(self, text: str) -> list[str]:
-        """``text`` cut between characters that no piece has side by side: no merge crosses there."""
-        inside = self.inside
-        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if cuts else [text]
+    def parts(self, word: str) -> list[str]:
+        """``word`` cut at line ends and before its last character, where no piece has the two sides side by side."""
+        out = []
+        for k, line in enumerate(word.split("\n") if self.lines_end else [word]):
+            if k:
+                out.append("\n")
+            if line[-2:] in self.inside or len(line) < 2:
+                out.append(line)
+            else:
+                out += (line[:-1], line[-1])
+        return out
 
     def word(self, word: str) -> bytes:
-        """Ids of a word (the mark is put in front), kept for the next time."""
-        known = self.words.get(word)
-        if known is None:
-            if len(self.words) >= MOST_WORDS:
-                self.words.clear()
-            found = []
-            for part in self.parts(MARK + word):
-                ids = self.segments.get(part)
-                if ids is None:
-                    if len(self.segments) >= MOST_WORDS:
-                        self.segments.clear()
-                    ids = self.segments[part] = np.array(self.encode_word(part), "<u4").tobytes()
-                found.append(ids)
-            known = self.words[word] = b"".join(found)
-        return known
+        """Ids of a word, the mark in front; those of its parts are kept for the next time."""
+        segments, found = self.segments, []
+        for part in self.parts(MARK + word):
+            ids = segments.get(part)
+            if ids is None:
+                if len(segments) >= MOST_PARTS:  # what isn't asked for again until the next time is forgotten
+                    self.older, self.segments = segments, {}
+                    segments = self.segments
+                ids = self.older.get(part)
+                segments[part] = ids = ids if ids is not None else np.array(self.encode_word(part), "<u4").tobytes()
+            found.append(ids)
+        return found[0] if len(found) == 1 else b"".join(found)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; an empty text has none."""
@@ -214,6 +226,11 @@ def transducer(path: str) -> Transducer:
     return kept_in_worker(("transducer", path), lambda: Transducer(path))
 
 
+def lists_of(ids: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids") -> tuple[DataFrame, str]:
     """All rows and columns of ``docs`` with the ids of the whole text (null or empty: no ids), and that column's name."""
     name, at = free_name(docs.columns, column), docs.columns.index(text)
@@ -221,12 +238,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 4000):
-                some = b.slice(k, 4000)
+            for k in range(0, b.num_rows, SLICE):
+                some = b.slice(k, SLICE)
                 ids = transducer(path).encode(pc.fill_null(some.column(at), ""))
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*some.columns, lists], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*some.columns, lists_of(ids)], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(add, schema), name
 
@@ -241,24 +256,32 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", column: str = "decode
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 4000):
-                some = b.slice(k, 4000)
+            for k in range(0, b.num_rows, SLICE):
+                some = b.slice(k, SLICE)
                 texts = [transducer(path).decode(np.asarray(x.values, dtype=np.int64)) if x.is_valid and len(x) else "" for x in some.column(at)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
 
     return tokens.mapInArrow(add, schema), name
 
 
-def checksum(tokens: DataFrame, ids: str, column: str = "ids_crc32") -> tuple[DataFrame, str]:
-    """``tokens`` with the crc32 of their ids as little-endian u32, and that column's name."""
-    import zlib
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str]:
+    """All rows and columns of ``docs`` with a struct (ids, ids_crc32, decoded), and that column's name.
 
-    name, at = free_name(tokens.columns, column), tokens.columns.index(ids)
-    schema = T.StructType([*tokens.schema.fields, T.StructField(name, T.LongType())])
+    One pass does what ``encode`` and ``decode`` do one after the other; the checksum is that of the ids as
+    little-endian unsigned 32-bit numbers.
+    """
+    name, at = free_name(docs.columns, "tokens"), docs.columns.index(text)
+    kind = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("ids_crc32", "long").add("decoded", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = transducer(path)
         for b in batches:
-            crc = [zlib.crc32(np.asarray(x.values).astype("<u4").tobytes()) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crc, pa.int64())], names=[f.name for f in schema.fields])
+            for k in range(0, b.num_rows, SLICE):
+                some = b.slice(k, SLICE)
+                ids = own.encode(pc.fill_null(some.column(at), ""))
+                columns = [lists_of(ids), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([own.decode(x) for x in ids], pa.string())]
+                struct = pa.StructArray.from_arrays(columns, names=["ids", "ids_crc32", "decoded"])
+                yield pa.RecordBatch.from_arrays([*some.columns, struct], names=[f.name for f in schema.fields])
 
-    return tokens.mapInArrow(add, schema), name
+    return docs.mapInArrow(add, schema), name

@@ -103,11 +103,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_sentencepiece")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded, ids = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    both, decoded = pieces.decode(coded, model, ids)
-    sums, crc = pieces.checksum(both, ids)
-    text = F.coalesce("text", F.lit(""))
-    return sums.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.col(crc).alias("ids_crc32"), F.sha2(decoded, 256).alias("decoded_sha256"), (F.col(decoded) == text).alias("lossless"))
+    out, name = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    ids, crc, decoded = (F.col(f"{name}.{c}") for c in ("ids", "ids_crc32", "decoded"))
+    same = decoded == F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), crc.alias("ids_crc32"), F.sha2(decoded, 256).alias("decoded_sha256"), same.alias("lossless"))
 
 
 @query("op4_simhash")
