@@ -88,6 +88,10 @@ def build_rules(preset: str, mapping: Mapping[str, str] | None = None) -> LabelR
     return rules if mapping is None else rules.with_mapping(mapping)
 
 
+#: A character of a word: letters, numbers and the underscore, combining marks not.
+WORD = r"[\p{L}\p{N}_]"
+
+
 def strip_annotation_markup(c: Column) -> Column:
     """Remove trailing lines, bracketed and starred remarks, and pause words; collapse blanks."""
     # The patterns, in this order.
@@ -98,7 +102,7 @@ def strip_annotation_markup(c: Column) -> Column:
         r"\[\[|\]\]|\[|\]",
         r"(?s)\(.*?\)",
         r"(?s)\*.*?\*",
-        r"(?iU)\b\w*pause\w*\b",
+        rf"(?iu)(?<!{WORD}){WORD}*pause{WORD}*(?!{WORD})",
     ):
         c = F.regexp_replace(c, pattern, "")
     return text.strip(F.regexp_replace(c, rf"(?U){text.BLANK}+", " "))
@@ -171,7 +175,7 @@ def _sampa(rules: LabelRules, raw: Column, nfc: Column, marks: Column) -> Column
 def _asr_codes(rules: LabelRules, raw: Column, nfc: Column, marks: Column) -> Column:
     out = nfc
     # Patterns and spellings, in this order.
-    for pattern in (r"(?d)\[\[.*?\]\]", r"\[\[|\]\]", r"(?d)\(.*?\)", r"(?U)\bNONCORR\b"):
+    for pattern in (r"(?d)\[\[.*?\]\]", r"\[\[|\]\]", r"(?d)\(.*?\)", rf"(?<!{WORD})NONCORR(?!{WORD})"):
         out = F.regexp_replace(out, pattern, "")
     out = text.strip(F.regexp_replace(out, rf"(?U){text.BLANK}+", " "))
     for old, new in (("yu", "uy"), ("nn+yy", "nn")):
@@ -179,7 +183,7 @@ def _asr_codes(rules: LabelRules, raw: Column, nfc: Column, marks: Column) -> Co
     out = text.let(out, lambda x: F.when(F.contains(x, F.lit("NB sur tDeb")), "ei").otherwise(x))
     for old, new in (("#a", "a"), ("kk+", "k")):
         out = F.replace(out, F.lit(old), F.lit(new))
-    for pattern in (r"(?d)\*.*?\*", r"(?U)\[\s*pause\s*\]", r"(?U)\b\w*pause\w*\b"):
+    for pattern in (r"(?d)\*.*?\*", rf"(?U)\[{text.BLANK}*pause{text.BLANK}*\]", rf"(?<!{WORD}){WORD}*pause{WORD}*(?!{WORD})"):
         out = F.regexp_replace(out, pattern, "")
 
     def judge(x: Column) -> Column:

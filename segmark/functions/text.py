@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -24,6 +25,22 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(c, rf"(?U){BLANK}+"), lambda t: t != "")
 
 
+def words(c: Column) -> Column:
+    """Words of a label in a blank-joined line: runs of two or more blanks of any kind part words, and so does a single space."""
+    padded = F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), rf"(?U){BLANK}{{2,}}", " ")
+    return F.filter(F.split(padded, " "), lambda w: w != "")
+
+
+def words_of(label: str) -> list[str]:
+    """:func:`words` of a plain string."""
+    return [w for w in re.sub(r"\s\s+", " ", f" {label} ").split(" ") if w]
+
+
+def may_split(c: Column) -> Column:
+    """False for labels that surely are one word."""
+    return c.rlike(rf"(?U){BLANK}") | (c == "")
+
+
 @arrow_udf(T.StructType([T.StructField("nfc", T.StringType()), T.StructField("marks", T.StringType())]))
 def compose(label: pa.Array) -> pa.Array:
     """NFC form of a label and the distinct combining marks in it.

@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 from segmark.operators import boundaries, large, metrics, seqalign
 
 
+def _split(store: DataFrame, limit: int, longest: int | None, aligner: seqalign.Aligner):
+    # A caller's own aligner is never replaced by the tiled one: it gets long recordings whole.
+    return large.split_by_length(store, limit, longest) if aligner is seqalign.align_labels else (store, None)
+
+
 def pair_rows(
-    store: DataFrame, order: str = "pos", longest: int | None = None, limit: int = seqalign.MAX_ONE_TASK
+    store: DataFrame,
+    order: str = "pos",
+    longest: int | None = None,
+    limit: int = seqalign.MAX_ONE_TASK,
+    aligner: seqalign.Aligner = seqalign.align_labels,
 ) -> DataFrame:
     """Edit-path steps (utt, ref_idx, hyp_idx, ref_phoneme, hyp_phoneme, op)."""
-    small, big = large.split_by_length(store, limit, longest)
-    out = seqalign.pair_rows(seqalign.align(seqalign.gather(small, order)))
+    small, big = _split(store, limit, longest, aligner)
+    out = seqalign.pair_rows(seqalign.align(seqalign.gather(small, order), aligner))
     if big is None:
         return out
     rows = large.long_rows(big, order)
@@ -28,11 +37,15 @@ def pair_rows(
 
 
 def matched_times(
-    store: DataFrame, order: str = "pos", longest: int | None = None, limit: int = seqalign.MAX_ONE_TASK
+    store: DataFrame,
+    order: str = "pos",
+    longest: int | None = None,
+    limit: int = seqalign.MAX_ONE_TASK,
+    aligner: seqalign.Aligner = seqalign.align_labels,
 ) -> DataFrame:
     """Pairs with equal labels and their times (utt, style, ref_idx, hyp_idx, phoneme, rs, re, hs, he)."""
-    small, big = large.split_by_length(store, limit, longest)
-    out = seqalign.matched_times(seqalign.align(seqalign.gather(small, order)))
+    small, big = _split(store, limit, longest, aligner)
+    out = seqalign.matched_times(seqalign.align(seqalign.gather(small, order), aligner))
     if big is None:
         return out
     rows = large.long_rows(big, order)

@@ -35,12 +35,13 @@ def fold_blocks(
     if single:
         return first
     done = cut(first, "fold")
+    at = [*keys, "blk"]
     before = Window.partitionBy(*keys).orderBy("blk")
     while True:
-        linked = done.withColumn("want", F.lag("state_out").over(before))
-        stale = ~F.col("state_in").eqNullSafe(F.col("want"))
-        if linked.filter(stale).isEmpty():
+        # Only keys and states meet in a window; block contents move for the blocks that are folded again.
+        states = done.select(*at, "state_in", F.lag("state_out").over(before).alias("want"))
+        stale = cut(states.filter(~F.col("state_in").eqNullSafe(F.col("want"))).select(*at, "want"), "stale")
+        if stale.isEmpty():
             return done
-        again = linked.filter(stale).select(*content, F.col("want").alias("state_in"))
-        kept = linked.filter(~stale).drop("want")
-        done = cut(kept.unionByName(fold(again)), "fold")
+        again = done.select(*content).join(stale, at).withColumnRenamed("want", "state_in")
+        done = cut(done.join(stale, at, "left_anti").unionByName(fold(again)), "fold")

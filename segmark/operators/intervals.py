@@ -6,26 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Positions per row of the list and string forms; only longer recordings take more than one row.
-PART_ROWS = 1 << 20
+def interval_arrays(intervals: DataFrame) -> DataFrame:
+    """Labels and (start, end, label) tuples as arrays in list order, one row per recording.
 
-
-def _part(rows: int):
-    return F.floor(F.col("pos") / F.lit(rows)).cast("long").alias("part")
-
-
-def interval_arrays(intervals: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Labels and (start, end, label) tuples of a recording as arrays, in list order.
-
-    One row (part 0) per recording, or several consecutive parts when it is longer than ``part_rows``.
+    A row is as long as its recording (a million labels are a few tens of MB); work that must not depend
+    on that stays on the long table.
     """
     ordered = F.sort_array(F.collect_list(F.struct("pos", "start_s", "end_s", "phoneme")))
     return (
-        intervals.groupBy("utt", _part(part_rows))
+        intervals.groupBy("utt")
         .agg(ordered.alias("o"))
         .selectExpr(
             "utt",
-            "part",
             "o.phoneme AS phones",
             "transform(o, x -> struct(x.start_s, x.end_s, x.phoneme)) AS tuples",
         )
@@ -37,10 +29,10 @@ def phoneme_sequence(intervals: Column) -> Column:
     return intervals["phoneme"]
 
 
-def phoneme_strings(intervals: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Labels of every recording joined by one blank (utt, part, phonemes); parts as above."""
+def phoneme_strings(intervals: DataFrame) -> DataFrame:
+    """Labels joined by one blank (utt, phonemes), one row per recording of any length."""
     ordered = F.sort_array(F.collect_list(F.struct("pos", "phoneme")))
-    return intervals.groupBy("utt", _part(part_rows)).agg(F.array_join(ordered["phoneme"], " ").alias("phonemes"))
+    return intervals.groupBy("utt").agg(F.array_join(ordered["phoneme"], " ").alias("phonemes"))
 
 
 def shift_intervals(intervals: DataFrame, offset: Column) -> DataFrame:

@@ -224,7 +224,7 @@ def boundary_rows(rows: DataFrame) -> DataFrame:
 
 def _as_words(rows: DataFrame) -> DataFrame:
     """Labels split at blanks and numbered anew, as the edit counts want them."""
-    words = rows.select("utt", "side", "pos", F.posexplode(text.tokens(F.col("phoneme"))).alias("k", "phoneme"))
+    words = rows.select("utt", "side", "pos", F.posexplode(text.words(F.col("phoneme"))).alias("k", "phoneme"))
     ranked = with_rank(words.withColumnRenamed("pos", "p"), ["utt", "side"], ["p", "k"], 1 << 62)
     return cut(ranked.select("utt", "side", "pos", "phoneme"), "words")
 
@@ -296,7 +296,7 @@ def large_pair_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def large_edit_counts(rows: DataFrame, tile: int = TILE, pairs: DataFrame | None = None) -> DataFrame:
     """(utt, s, d, i) of long recordings; labels holding blanks count as several words."""
     labels = rows.select("utt", "side", "pos", "phoneme")
-    if rows.filter(F.col("phoneme").rlike(rf"(?U){text.BLANK}")).isEmpty():
+    if rows.filter(text.may_split(F.col("phoneme"))).isEmpty():
         return _edit_counts(labels, tiled_pairs(labels, tile) if pairs is None else pairs)
     words = _as_words(rows)
     return _edit_counts(words, tiled_pairs(words, tile))

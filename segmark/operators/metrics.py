@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segmark.functions import text
 from segmark.operators import boundaries, large, seqalign
 from segmark.operators.quantiles import MAX_IN_TASK, exact_quantiles
 from segmark.session import cut
@@ -219,10 +220,11 @@ def score(
 
     Recordings of ordinary length become one row each and are scored where they lie; longer ones are
     tiled. ``longest`` is the largest number of labels on one side of a recording, counted here unless
-    the caller knows it. ``aligner`` replaces the alignment of ordinary recordings. The scored rows are
-    written once because the report reads them several times.
+    the caller knows it. Another ``aligner`` gets every recording whole, whatever its length. The scored
+    rows are written once because the report reads them several times.
     """
-    small, big = large.split_by_length(store, options.max_one_task, longest)
+    own = aligner is seqalign.align_labels
+    small, big = large.split_by_length(store, options.max_one_task, longest) if own else (store, None)
     aligned = seqalign.with_errors(seqalign.align(seqalign.gather(small, order), aligner))
     counted = boundaries.with_boundary_counts(
         aligned.select(
@@ -377,8 +379,7 @@ def label_error_rate(recordings: DataFrame) -> DataFrame:
 
     def words(side: str) -> Column:
         labels = F.col(side)["phoneme"]
-        split = F.flatten(F.transform(labels, lambda x: F.split(F.trim(x), r"\s+")))
-        return F.when(F.exists(labels, lambda x: x.rlike(r"\s")), split).otherwise(labels)
+        return F.when(F.exists(labels, text.may_split), F.flatten(F.transform(labels, text.words))).otherwise(labels)
 
     staged = recordings.select(
         "utt",
@@ -388,7 +389,7 @@ def label_error_rate(recordings: DataFrame) -> DataFrame:
         words("hyp").alias("hw"),
     ).withColumn("known", F.array_distinct(F.concat("rw", "hw")))
 
-    def text(seq: str) -> Column:
+    def encoded(seq: str) -> Column:
         # Index to code point, skipping the surrogate range, as big-endian UTF-32.
         code = lambda x: F.array_position("known", x) + 0x20
         point = lambda x: F.when(code(x) < 0xD800, code(x)).otherwise(code(x) + 0x800)
@@ -396,7 +397,7 @@ def label_error_rate(recordings: DataFrame) -> DataFrame:
         return F.decode(F.unhex(F.array_join(hexed, "")), "UTF-32")
 
     return staged.select(
-        "utt", "style", "n_ref", F.levenshtein(text("rw"), text("hw")).alias("edits")
+        "utt", "style", "n_ref", F.levenshtein(encoded("rw"), encoded("hw")).alias("edits")
     )
 
 

@@ -168,33 +168,32 @@ def _neighbour(
     if width is None:
         w = Window.partitionBy(*keys).orderBy(pos)
         return df.select("*", *[move(c).over(w).alias(n) for n, c in values.items()])
-    # Positions are dense, so the row a block needs from its neighbour is known by position alone:
-    # the carry table is a filter, not an aggregation.
     same = [*keys, _BLOCK]
     staged = _stage(df, position_block(pos, width), [], True)
-    rank = F.pmod(F.col(pos), F.lit(width))
-    first, last = rank == 0, rank == width - 1
-    carry = staged.filter(last if step < 0 else first).select(
-        *keys, (F.col(_BLOCK) - step).alias(_BLOCK), *[F.col(c).alias(f"__c_{n}") for n, c in values.items()]
-    )
+    # One row for each block that has rows; positions may have gaps, whole blocks may be missing.
+    held = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+    pick = F.max_by if step < 0 else F.min_by
+    ends = staged.groupBy(*same).agg(pick(held, pos).alias("__e"))
+    between = Window.partitionBy(*keys).orderBy(_BLOCK)
+    carry = ends.select(*same, move("__e").over(between).alias("__c"))
     w = Window.partitionBy(*same).orderBy(pos)
-    scanned = staged.select("*", *[move(c).over(w).alias(f"__s_{n}") for n, c in values.items()])
-    at_edge = first if step < 0 else last
+    edge = move(F.lit(True)).over(w).isNull()
+    scanned = staged.select("*", edge.alias("__edge"), *[move(c).over(w).alias(f"__s_{n}") for n, c in values.items()])
     return scanned.join(carry, same, "left").select(
         *df.columns,
-        *[F.when(at_edge, F.col(f"__c_{n}")).otherwise(F.col(f"__s_{n}")).alias(n) for n in values],
+        *[F.when(F.col("__edge"), F.col("__c")[n]).otherwise(F.col(f"__s_{n}")).alias(n) for n in values],
     )
 
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str, str], width: int | None
 ) -> DataFrame:
-    """Value of the row at ``pos - 1`` (NULL at the first row). ``pos`` must be dense from 0."""
+    """Value of the row before in the order of ``pos`` (NULL at the first row)."""
     return _neighbour(df, keys, pos, values, width, -1)
 
 
 def with_next(
     df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str, str], width: int | None
 ) -> DataFrame:
-    """Value of the row at ``pos + 1`` (NULL at the last row). ``pos`` must be dense from 0."""
+    """Value of the row after in the order of ``pos`` (NULL at the last row)."""
     return _neighbour(df, keys, pos, values, width, 1)

@@ -1,7 +1,7 @@
 """Sequence alignment join: pairing the labels of two recordings by edit distance.
 
 A recording is one row (``ref`` and ``hyp`` arrays in order); alignment then needs no further shuffle.
-Recordings too long for one task go through :mod:`segmark.operators.tiles` instead.
+Recordings too long for one task go through :mod:`segmark.operators.large` instead.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +17,7 @@ from pyspark.sql.functions import arrow_udf
 
 from segmark.functions import arrow as ar
 from segmark.functions.editpath import edit_counts, edit_paths
+from segmark.functions.text import words_of
 
 #: Longest side of a recording aligned inside one task; longer ones are tiled.
 MAX_ONE_TASK = 1 << 15
@@ -45,11 +45,11 @@ def _align_batch(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     refs, hyps, labels = ar.shared_codes(ref, hyp)
     paths = edit_paths(refs, hyps)
     counts = np.array([edit_counts(r, h, p) for r, h, p in zip(refs, hyps, paths)], np.int32).reshape(-1, 3)
-    spaced = pc.match_substring_regex(labels, r"\s").to_numpy(zero_copy_only=False)
+    words = [words_of(label) for label in labels.to_pylist()]
+    spaced = np.array([w != [label] for w, label in zip(words, labels.to_pylist())], bool)
     if spaced.any():
         # Labels holding blanks count as several words in the edit counts (not in the pairs).
         rows = [b for b in range(len(refs)) if spaced[refs[b]].any() or spaced[hyps[b]].any()]
-        words = [label.split() for label in labels.to_pylist()]
         codes: dict[str, int] = {}
         for word in (w for ws in words for w in ws):
             codes.setdefault(word, len(codes))
@@ -78,6 +78,10 @@ def align_labels(ref: pa.Array, hyp: pa.Array) -> pa.Array:
     return _align_batch(ref, hyp)
 
 
+# Not for chance: it keeps Spark from evaluating the kernel again inside filters that it derives and pushes down.
+align_labels = align_labels.asNondeterministic()
+
+
 #: A vectorised function of two label arrays returning ALIGNED.
 Aligner = Callable[[Column, Column], Column]
 

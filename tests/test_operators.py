@@ -8,7 +8,7 @@ from segmark.functions import text
 from segmark.operators import frames as fr
 from segmark.operators import intervals as iv
 from segmark.operators import labels as lab
-from segmark.operators import metrics, quantiles, scan, seqalign, vad
+from segmark.operators import anylength, metrics, quantiles, scan, seqalign, vad
 from segmark.operators.boundaries import tolerance_tags, with_boundary_counts
 
 STORE = "utt string, file string, style string, side string, pos long, phoneme string, start_s double, end_s double"
@@ -200,8 +200,8 @@ def scores(spark, seq, utt="u"):
 def test_vad_open_tail(spark):
     assert values(vad.binarize(scores(spark, [0.4, 0.6, 0.4, 0.3])), "start_s", "end_s") == [(0.1, 0.3)]
     assert values(vad.binarize(scores(spark, [0.6, 0.6])), "start_s", "end_s") == [(0.0, 0.1)]
-    with pytest.raises(ValueError):
-        vad.binarize(scores(spark, [0.6]), 0.3, 0.5)
+    # An offset above the onset: a score between them ends speech and begins it.
+    assert values(vad.binarize(scores(spark, [0.6, 0.6, 0.6, 0.1]), 0.5, 0.7), "start_s", "end_s") == [(0.0, 0.1), (0.2, 0.3)]
 
 
 def test_vad_blocks_do_not_change_the_result(spark):
@@ -227,12 +227,58 @@ def test_offset_modes(spark):
     assert values(iv.correct_offset(rows, d, "never"), "start_s") == [(5.0,), (6.0,)]
 
 
-def test_list_forms_in_parts(spark):
+def test_list_forms_have_one_row_per_recording(spark):
     rows = spark.createDataFrame([("u", k, x, float(k), k + 1.0) for k, x in enumerate("abcde")], "utt string, pos long, phoneme string, start_s double, end_s double")
-    assert values(iv.phoneme_strings(rows), "part", "phonemes") == [(0, "a b c d e")]
-    assert values(iv.phoneme_strings(rows, 2), "part", "phonemes") == [(0, "a b"), (1, "c d"), (2, "e")]
-    first = iv.interval_arrays(rows, 3).filter("part = 1").first()
-    assert first["phones"] == ["d", "e"] and tuple(first["tuples"][0]) == (3.0, 4.0, "d")
+    assert values(iv.phoneme_strings(rows), "utt", "phonemes") == [("u", "a b c d e")]
+    (only,) = iv.interval_arrays(rows).collect()
+    assert only["phones"] == list("abcde") and tuple(only["tuples"][3]) == (3.0, 4.0, "d")
+
+
+def test_word_rule_is_the_same_everywhere(spark):
+    labels = ["a", "a\u00a0b", "a\tb", "a \tb", " a", "a  b c", "\u2003\u2003x", "", "\x1c\x1cq r"]
+    got = spark.createDataFrame([(x,) for x in labels], "x string").select(text.words(F.col("x")).alias("w")).collect()
+    assert [r["w"] for r in got] == [text.words_of(x) for x in labels]
+    assert text.words_of("a\u00a0b") == ["a\u00a0b"] and text.words_of("a \tb") == ["a", "b"] and text.words_of("a b") == ["a", "b"]
+
+
+def test_edit_counts_below_and_above_the_length_bound(spark):
+    sides = {"ref": ["a\u00a0b", "c  d", "e\tf", "g", "h i"], "hyp": ["a", "c", "d", "e\tf", "h", "i", "k"]}
+    rows = [("u", "u.wav", "s", side, k, x, float(k), k + 1.0) for side, xs in sides.items() for k, x in enumerate(xs)]
+    store = spark.createDataFrame(rows, "utt string, file string, style string, side string, pos long, phoneme string, start_s double, end_s double")
+    counts = [metrics.score(store, metrics.ScoreOptions(max_one_task=n)).files.select("s", "d", "i").first() for n in (100, 2)]
+    assert counts[0] == counts[1]
+    rates = [anylength.label_error_rate(store, limit=n).select("edits").first()[0] for n in (100, 2)]
+    assert rates == [sum(counts[0])] * 2
+
+
+def test_own_aligner_gets_long_recordings_too(spark):
+    @F.udf(seqalign.ALIGNED)
+    def nothing_matches(ref, hyp):
+        return [(k, None) for k in range(len(ref))], 0, len(ref), 0
+
+    rows = [("u", "u.wav", "s", side, k, "a", float(k), k + 1.0) for side in ("ref", "hyp") for k in range(6)]
+    store = spark.createDataFrame(rows, "utt string, file string, style string, side string, pos long, phoneme string, start_s double, end_s double")
+    for limit in (100, 2):
+        scored = metrics.score(store, metrics.ScoreOptions(max_one_task=limit), aligner=nothing_matches)
+        assert tuple(scored.files.select("s", "d", "i").first()) == (0, 6, 0)
+        assert anylength.matched_times(store, limit=limit, aligner=nothing_matches).count() == 0
+
+
+@pytest.mark.parametrize("width", [None, 3, 2, 1])
+def test_neighbours_over_gaps(spark, width):
+    rows = spark.createDataFrame([("u", p, p * 10) for p in (0, 1, 3, 4, 9, 11)] + [("v", 7, 70)], "utt string, pos long, x int")
+    before = scan.with_previous(rows, ["utt"], "pos", {"b": "x"}, width)
+    after = scan.with_next(rows, ["utt"], "pos", {"n": "x"}, width)
+    joined = before.join(after.select("utt", "pos", "n"), ["utt", "pos"]).orderBy("utt", "pos").select("b", "n").collect()
+    assert [tuple(r) for r in joined] == [(None, 10), (0, 30), (10, 40), (30, 90), (40, 110), (90, None), (None, None)]
+
+
+def test_alignment_kernel_runs_once(spark):
+    rows = [("u", "u.wav", "s", side, k, "a", float(k), k + 1.0) for side in ("ref", "hyp") for k in range(3)]
+    store = spark.createDataFrame(rows, "utt string, file string, style string, side string, pos long, phoneme string, start_s double, end_s double")
+    for out in (anylength.pair_rows(store, longest=3), anylength.matched_times(store, longest=3)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
 
 
 def test_own_label_function_and_aligner(spark):
@@ -249,3 +295,34 @@ def test_own_label_function_and_aligner(spark):
     both = store(spark, [("a", 0.0, 0.1), ("b", 0.1, 0.2)], [("b", 0.0, 0.1), ("b", 0.1, 0.2), ("c", 0.2, 0.3)])
     row = metrics.score(both, aligner=diagonal).files.first()
     assert (row["m_k"], row["d"], row["i"]) == (1.0, 0, 1)
+
+
+@pytest.mark.parametrize("onset, offset", [(0.5, 0.363), (0.4, 0.7), (0.5, 0.5), (0.3, 0.9)])
+@pytest.mark.parametrize("bound", [None, 4])
+def test_hysteresis_either_way(spark, monkeypatch, onset, offset, bound):
+    import random
+
+    if bound:
+        monkeypatch.setattr(vad, "BLOCK_ROWS", bound)
+    rng = random.Random(int(onset * 100))
+    rows, want = [], []
+    for u in range(6):
+        scores = [rng.random() for _ in range(30)]
+        rows += [(f"u{u}", k, k * 0.1, x) for k, x in enumerate(scores)]
+        on, start = scores[0] > onset, 0
+        for k, x in enumerate(scores[1:], 1):
+            if on and x < offset:
+                want.append((f"u{u}", start, k))
+                on = False
+            elif not on and x > onset:
+                on, start = True, k
+        if on:
+            want.append((f"u{u}", start, 29))
+    frames = spark.createDataFrame(rows, "utt string, frame int, t double, score double")
+    got = vad.binarize(frames, onset, offset)
+    assert sorted((r["utt"], round(r["start_s"] * 10), round(r["end_s"] * 10)) for r in got.collect()) == sorted(want)
+
+
+def test_pause_next_to_marks(spark):
+    none = L.PRESETS["none"]
+    assert normal(spark, none, ["ɑ̃pause", "pauseé x", "ɑ̃", "x_pause2 y"]) == ["ɑ̃", "x", "ɑ̃", "y"]
