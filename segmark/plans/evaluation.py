@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from segmark.functions.labels import CustomRules, LabelRules, build_rules
 from segmark.operators import intervals as iv
-from segmark.operators import metrics
+from segmark.operators import metrics, seqalign
 from segmark.operators.frames import CtcOptions, ctc_align, ctc_options, fixed_chunks, whole_file_chunks
 from segmark.operators.labels import normalize_sides
 from segmark.operators.large import join_facts
 from segmark.operators.vad import vad_chunks
-from segmark.session import cut
+from segmark.session import cut, spread
 from segmark.sources import audio, manifest, reports, tables, textgrid
 
 #: A wrong tier name or label table is wrong for every file: this many first samples must not all fail.
@@ -63,6 +63,10 @@ class EvaluationOptions:
     def __post_init__(self) -> None:
         if self.hypothesis not in ("textgrid", "ctc"):
             raise ValueError(f"hypothesis must be textgrid or ctc, got {self.hypothesis!r}")
+        if self.ref_offset not in ("auto", "force", "never"):
+            raise ValueError(f"ref_offset must be auto, force or never, got {self.ref_offset!r}")
+        if self.decoder not in ("forced_align", "greedy"):
+            raise ValueError(f"decoder must be forced_align or greedy, got {self.decoder!r}")
         if self.chunking not in ("none", "vad", "fixed"):
             raise ValueError(f"chunking must be none, vad or fixed, got {self.chunking!r}")
 
@@ -75,6 +79,10 @@ class Evaluation:
     failures: DataFrame
     predictions: DataFrame
     scored: metrics.Scored
+    #: Of runs over folders: stems left out with a reason, stems without a group, counts of all outcomes.
+    skipped: DataFrame | None = None
+    ungrouped: DataFrame | None = None
+    summary: DataFrame | None = None
 
     @property
     def report(self) -> DataFrame:
@@ -172,6 +180,7 @@ def evaluate_tables(
     options: EvaluationOptions,
     predictions: DataFrame | None = None,
     read_failures: DataFrame | None = None,
+    aligner: seqalign.Aligner = seqalign.align_labels,
 ) -> Evaluation:
     """Score raw interval tables. Predictions default to the raw hypothesis labels, as read."""
     store, failures, longest = build_store(samples, ref, hyp, durations, options)
@@ -181,7 +190,9 @@ def evaluate_tables(
         failures = failures.join(first, "utt", "left").select("utt", F.coalesce("why", "reason").alias("reason"))
     if predictions is None:
         predictions = iv.phoneme_strings(hyp.withColumnRenamed("label", "phoneme"))
-    scored = metrics.score(store, options.scoring, longest=longest)
+    # Written once: scoring, inventory and timeline all read the stored rows.
+    store, failures = cut(store, "store"), cut(failures, "failures")
+    scored = metrics.score(store, options.scoring, longest=longest, aligner=aligner)
     return Evaluation(store, failures, predictions, scored)
 
 
@@ -222,6 +233,9 @@ class EvaluationJob:
     vad: DataFrame | None = None
     chunks: DataFrame | None = None
     ctc: CtcOptions | None = None
+    #: Known lengths (utt, duration_s); headers are read for the other recordings only.
+    durations: DataFrame | None = None
+    aligner: seqalign.Aligner = seqalign.align_labels
 
     def pairs(self, spark: SparkSession) -> DataFrame:
         o = self.options
@@ -247,25 +261,26 @@ class EvaluationJob:
             lines = tables.read_group_rows(spark, o.groups_csv)
             rows = manifest.assign_groups(rows, manifest.group_map(lines, o.group_key, o.group_value))
         else:
-            rows = rows.withColumn("group", F.lit(manifest.DEFAULT_GROUP))
+            rows = rows.withColumns({"group": F.lit(manifest.DEFAULT_GROUP), "matched": F.lit(True)})
         name = F.element_at(F.split("audio_path", "/"), -1)
         return rows.withColumn("utt", F.col("stem")).withColumn("file", name).withColumnRenamed("group", "style")
 
-    def _read(self, spark: SparkSession, rows: DataFrame, folder: str, column: str, choice: textgrid.TierChoice):
-        paths = rows.select("utt", F.col(column).alias("path"))
-        texts = textgrid.read_texts(spark, folder).join(paths, "path")
+    def _read(self, rows: DataFrame, column: str, choice: textgrid.TierChoice):
+        texts = textgrid.read_paths(rows.select("utt", F.col(column).alias("path")))
         # Written once: intervals and failures both read the token streams.
         found = cut(textgrid.tiers(texts, rename_duplicates=choice.rename_duplicates), "tiers")
         return textgrid.read_intervals(found, choice)
 
     def _evaluate(self, spark: SparkSession, rows: DataFrame) -> Evaluation:
         o = self.options
-        ref, bad_ref = self._read(spark, rows, o.ref_dir, "ref_path", o.ref_tier)
-        lengths = audio.durations(rows.select(F.col("audio_path").alias("path")))
-        lengths = cut(
-            rows.select("utt", F.col("audio_path").alias("path")).join(lengths, "path").select("utt", "duration_s", "error"),
-            "durations",
-        )
+        ref, bad_ref = self._read(rows, "ref_path", o.ref_tier)
+        paths = rows.select("utt", F.col("audio_path").alias("path"))
+        given = None
+        if self.durations is not None:
+            given = paths.join(self.durations.select("utt", "duration_s"), "utt").select("utt", F.col("duration_s").cast("double").alias("duration_s"), F.lit(None).cast("string").alias("error"))
+            paths = paths.join(self.durations.select("utt"), "utt", "left_anti")
+        lengths = paths.join(audio.durations(spread(paths)), "path").select("utt", "duration_s", "error")
+        lengths = cut(lengths if given is None else lengths.unionByName(given), "durations")
         failures = bad_ref.select(F.col("utt"), "reason")
         if o.ref_offset == "auto" or o.hypothesis == "ctc":
             bad_audio = lengths.filter(F.col("error").isNotNull()).select("utt", F.col("error").alias("reason"))
@@ -274,18 +289,20 @@ class EvaluationJob:
         durations = lengths.filter(F.col("duration_s").isNotNull()).select("utt", "duration_s")
         predictions = None
         if o.hypothesis == "textgrid":
-            hyp, bad_hyp = self._read(spark, rows, o.hyp_dir, "hyp_path", o.hyp_tier)
+            hyp, bad_hyp = self._read(rows, "hyp_path", o.hyp_tier)
             failures = failures.unionByName(bad_hyp)
         else:
             if self.frames is None or self.vocab is None:
                 raise ValueError("a ctc hypothesis needs frames and vocab tables")
-            chunks = self.chunks if self.chunks is not None else make_chunks(
-                o.chunking, o.chunk_seconds, durations, self.vad
-            )
+            # Samples only: a limit or the preflight must not read all posteriors.
+            wanted = rows.select("utt")
+            frames, vad, chunks = (t if t is None else t.join(wanted, "utt", "left_semi") for t in (self.frames, self.vad, self.chunks))
+            if chunks is None:
+                chunks = make_chunks(o.chunking, o.chunk_seconds, durations, vad)
             ctc = self.ctc or ctc_options(o.model, decoder=o.decoder, end_mode=o.end_mode)
-            hyp, predictions = ctc_hypothesis(self.frames, chunks, durations, self.vocab, ctc)
+            hyp, predictions = ctc_hypothesis(frames, chunks, durations, self.vocab, ctc)
         return evaluate_tables(
-            rows.select("utt", "file", "style"), ref, hyp, durations, o, predictions, failures
+            rows.select("utt", "file", "style"), ref, hyp, durations, o, predictions, failures, self.aligner
         )
 
     def preflight(self, spark: SparkSession, rows: DataFrame) -> None:
@@ -309,6 +326,12 @@ class EvaluationJob:
         result = self._evaluate(spark, rows)
         if result.scored.files.isEmpty():
             raise RuntimeError("nothing could be evaluated; see the failures table")
+        result = replace(
+            result,
+            skipped=manifest.skipped(pairs),
+            ungrouped=rows.filter(~F.col("matched")).select("stem"),
+            summary=manifest.run_summary(pairs, result.scored.files, result.failures),
+        )
         if self.options.out_dir:
             self.write(result)
         return result
@@ -318,7 +341,9 @@ class EvaluationJob:
         tag = o.tag or (o.model if o.hypothesis == "ctc" else "textgrid")
         base = o.out_dir.rstrip("/")
         tables.write_store(result.store, f"{base}/alignment_{tag}")
-        result.failures.write.mode("overwrite").parquet(f"{base}/failures_{tag}")
+        for name in ("failures", "skipped", "ungrouped", "summary"):
+            if (table := getattr(result, name)) is not None:
+                table.write.mode("overwrite").parquet(f"{base}/{name}_{tag}")
         reports.write_inventory(result.inventory, f"{base}/inventory_{tag}.txt")
         kept = result.scored.files.select("utt")
         reports.write_phoneme_strings(

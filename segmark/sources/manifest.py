@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmark.functions import text
+from segmark.sources import stores
 
 # Fixed values.
 AUDIO_EXTENSIONS = (".wav", ".flac", ".mp3", ".ogg", ".m4a")
@@ -16,9 +17,8 @@ DEFAULT_GROUP = "ALL"
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """Paths under a folder; contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(folder).select("path")
+    """Paths under a folder, hidden ones too; contents are not read."""
+    return stores.list_paths(spark, folder, recursive)
 
 
 def strip_stem_suffix(stem: Column, suffix: str | None) -> Column:

@@ -12,8 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segmark.functions import presets, text
+from segmark.session import spread
+from segmark.sources import stores
 
 # Tier names tried in this order, token pattern.
 DEFAULT_TIER_NAMES = ("phones", "phonemes", "phone", "phon", "segments")
@@ -30,19 +33,41 @@ class TierChoice:
     rename_duplicates: bool = True
 
 
+def text_of(body: bytes) -> str:
+    if body[:2] in (b"\xfe\xff", b"\xff\xfe") and len(body) % 2 == 0:
+        return body.decode("utf-16")
+    return body.decode("utf-8-sig")
+
+
+def read_paths(files: DataFrame) -> DataFrame:
+    """``files`` with ``content`` and ``error``: annotation files by ``path``, read in tasks.
+
+    UTF-8, or UTF-16 with a byte-order mark. Only the files of the table are opened.
+    """
+    at = files.columns.index("path")
+
+    def read(batches):
+        for pdf in batches:
+            contents, errors = [], []
+            for path in pdf.iloc[:, at]:
+                content = error = None
+                try:
+                    content = text_of(stores.read_bytes(path))
+                except UnicodeDecodeError:
+                    error = "ValueError: neither UTF-8 nor UTF-16 text"
+                except Exception as exc:  # one unreadable file must not end the job
+                    error = f"{type(exc).__name__}: {exc}"
+                contents.append(content)
+                errors.append(error)
+            yield pdf.assign(content=contents, error=errors)
+
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.StringType()), T.StructField("error", T.StringType())])
+    return spread(files).mapInPandas(read, schema)
+
+
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Annotation files as (path, content, error); UTF-8 and UTF-16 with a byte-order mark."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    body = F.col("content")
-    mark = F.hex(F.substring(body, 1, 2))
-    wide = mark.isin("FEFF", "FFFE") & (F.length(body) % 2 == 0)
-    # The guard keeps other files away from the UTF-16 decoder.
-    utf16 = F.decode(F.when(wide, body).otherwise(F.lit(b"")), "UTF-16")
-    utf8 = F.regexp_replace(F.try_validate_utf8(body.cast("string")), "^﻿", "")
-    content = F.when(wide, utf16).otherwise(utf8)
-    return raw.select("path", content.alias("content")).select(
-        "*", F.when(F.col("content").isNull(), "ValueError: neither UTF-8 nor UTF-16 text").alias("error")
-    )
+    """All annotation files under a folder as (path, content, error)."""
+    return read_paths(stores.list_paths(spark, folder))
 
 
 def choose_tier(names: Column, choice: TierChoice) -> tuple[Column, Column]:
@@ -166,23 +191,24 @@ def read_intervals(
         chosen.select(key, F.col("why").alias("error"), "tokens", "start"),
         n=F.try_element_at("tokens", F.col("start") + 4).try_cast("int"),
     )
-    failures = chosen.filter(F.col("error").isNotNull()).select(key, F.col("error").alias("reason"))
     def item(k: Column) -> Column:
         at_k = (F.col("start") + 5 + 3 * k).cast("int")
+        label = F.try_element_at("tokens", at_k + 2)
         return F.struct(
             k.alias("pos"),
-            text.strip(_unquoted(F.element_at("tokens", at_k + 2))).alias("label"),
-            F.element_at("tokens", at_k).cast("double").alias("start_s"),
-            F.element_at("tokens", at_k + 1).cast("double").alias("end_s"),
+            F.when(F.startswith(label, F.lit('"')), text.strip(_unquoted(label))).alias("label"),
+            F.try_element_at("tokens", at_k).try_cast("double").alias("start_s"),
+            F.try_element_at("tokens", at_k + 1).try_cast("double").alias("end_s"),
         )
 
     listed = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), item)
-    rows = (
-        chosen.filter(F.col("error").isNull())
-        .filter(F.col("n") > 0)
-        .select(key, F.inline(listed))
-        .filter(F.col("label") != "")
-    )
+    chosen = text.pinned(chosen, items=F.when(F.col("error").isNull() & (F.col("n") > 0), listed))
+    # Counts may fit although the tokens are out of order.
+    broken = F.exists("items", lambda i: i["label"].isNull() | i["start_s"].isNull() | i["end_s"].isNull())
+    why = F.coalesce("error", F.when(broken, "ValueError: not a readable TextGrid"))
+    chosen = text.pinned(chosen.drop("tokens"), why=why)
+    failures = chosen.filter(F.col("why").isNotNull()).select(key, F.col("why").alias("reason"))
+    rows = chosen.filter(F.col("why").isNull()).select(key, F.inline("items")).filter(F.col("label") != "")
     if remove_silence:
         rows = rows.filter(~F.lower("label").isin(*silence))
     return rows, failures

@@ -131,6 +131,60 @@ def test_durations(spark, tmp_path):
     assert got.filter("error is not null").count() == 1
 
 
+def ogg(head, granule):
+    page = lambda g, body: b"OggS\0\0" + struct.pack("<qIIIBB", g, 1, 0, 0, 1, len(body)) + body
+    return page(0, head) + page(100, b"x" * 200) + page(granule, b"y" * 9)
+
+
+def mp3(frames, tag=b"", kbps=9, version=3):
+    # 128 kbit/s, 44100 samples/s, stereo: 417 bytes a frame.
+    head = (0x7FF << 21 | version << 19 | 1 << 17 | 1 << 16 | kbps << 12).to_bytes(4, "big")
+    first = head + (b"\0" * 32 + tag).ljust(413, b"\0")
+    return first + (head + b"\0" * 413) * (frames - 1)
+
+
+def test_ogg_and_mp3_durations(spark, tmp_path):
+    vorbis = b"\x01vorbis" + struct.pack("<IBI", 0, 2, 22050) + b"\0" * 14
+    opus = b"OpusHead" + struct.pack("<BBHI", 1, 2, 312, 44100) + b"\0" * 3
+    (tmp_path / "v.ogg").write_bytes(ogg(vorbis, 33075))
+    (tmp_path / "o.ogg").write_bytes(ogg(opus, 48000 + 312))
+    (tmp_path / "c.mp3").write_bytes(b"ID3\x04\0\0\0\0\0\x0a" + b"\0" * 10 + mp3(100) + b"TAG" + b"\0" * 125)
+    (tmp_path / "x.mp3").write_bytes(mp3(3, b"Xing" + struct.pack(">II", 1, 49)))
+    lame = (b"Xing" + struct.pack(">II", 1, 50)).ljust(120, b"\0") + b"LAME" + b"\0" * 17 + (576 << 12 | 600).to_bytes(3, "big")
+    (tmp_path / "l.mp3").write_bytes(mp3(2, lame))
+    (tmp_path / "bad.ogg").write_bytes(b"OggS" + b"\0" * 60)
+    (tmp_path / "bad.mp3").write_bytes(b"\xff\xe0" + b"\0" * 60)
+    got = {r["path"].rpartition("/")[2]: r["duration_s"] for r in audio.durations(manifest.list_files(spark, str(tmp_path))).collect()}
+    assert got["v.ogg"] == 1.5 and got["o.ogg"] == 1.0 and got["bad.ogg"] is None and got["bad.mp3"] is None
+    assert got["c.mp3"] == pytest.approx(41700 * 8 / 128000) and got["x.mp3"] == pytest.approx(49 * 1152 / 44100)
+    assert got["l.mp3"] == pytest.approx((50 * 1152 - 1176) / 44100)
+
+
+def test_names_of_every_kind(spark, tmp_path):
+    names = ["_a.wav", "b c.wav", "d#e.wav", "f%20g.wav", "ħé漢.wav", "sub/_h/i.wav", "sub/j k/_l#%.wav"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        sound(tmp_path / n, 0.5)
+    (tmp_path / ".hidden.wav").write_bytes(b"")
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        listed = manifest.index_by_stem(manifest.list_files(spark, root), manifest.AUDIO_EXTENSIONS)
+        assert {r["stem"] for r in listed.collect()} == {n.rpartition("/")[2][:-4] for n in names}
+        assert values(audio.durations(listed), "duration_s", "error") == [(0.5, None)] * len(names)
+    flat = manifest.list_files(spark, str(tmp_path), recursive=False)
+    assert flat.count() == 6
+
+
+def test_tokens_out_of_order_fail_alone(spark):
+    good = SHORT
+    swapped = SHORT.replace('0\n0.5\n"b"', '0\n"b"\n0.5')
+    short = SHORT.replace('\n"c"\n', "\n")
+    unquoted = SHORT.replace('"c"', "7")
+    texts = spark.createDataFrame([(k, x, None) for k, x in zip("abcd", (good, swapped, short, unquoted))], "utt string, content string, error string")
+    rows, failures = textgrid.read_intervals(textgrid.tiers(texts))
+    assert {r["utt"] for r in rows.collect()} == {"a"}
+    assert values(failures, "utt") == [("b",), ("c",), ("d",)]
+
+
 def test_file_order(spark, tmp_path):
     for k in range(3):
         lines = "\n".join(f"f{k}_{i}.wav,{'' if i % 4 == 3 else 'NA b'}" for i in range(50))
@@ -244,6 +298,32 @@ def test_job_over_folders(spark, corpus):
     assert row["n_ref"] == 4 and row["r_5ms_pct"] == pytest.approx(4 / 6 * 100)
 
 
+def test_limit_opens_no_other_file(spark, corpus):
+    # Unreadable files beyond the limit would fail if they were opened.
+    for folder, name in (("wav", "z.wav"), ("ref", "z-ref.TextGrid"), ("hyp", "z.TextGrid")):
+        (corpus / folder / name).symlink_to(corpus / folder / "s0.none")
+    job = EvaluationJob(options(corpus, hyp_dir=str(corpus / "hyp"), limit=3))
+    rows = job._samples(spark, job.pairs(spark))
+    assert values(rows, "stem") == [("s0",), ("s1",), ("s2",)]
+    seen = textgrid.read_paths(rows.select("utt", F.col("ref_path").alias("path")))
+    assert seen.count() == 3 and "binaryFile" not in seen._jdf.queryExecution().executedPlan().toString()
+
+
+def test_accounts_of_a_run(spark, corpus):
+    lengths = spark.createDataFrame([("s1", 1.0)], "utt string, duration_s double")
+    (corpus / "wav" / "s1.wav").write_bytes(b"not a sound")
+    job = EvaluationJob(options(corpus, hyp_dir=str(corpus / "hyp"), exclude=["s3"]), durations=lengths)
+    result = job.run(spark)
+    assert values(result.skipped, "stem") == [("lonely",), ("s3",)]
+    assert values(result.ungrouped, "stem") == [("s2",)]
+    assert dict(values(result.summary, "what", "n")) == {"skipped: excluded": 1, "skipped: no audio file": 1, "evaluated": 2, "failed": 1}
+    assert spark.read.parquet(str(corpus / "out" / "summary_textgrid")).count() == 4
+    with pytest.raises(ValueError):
+        options(corpus, ref_offset="x")
+    with pytest.raises(ValueError):
+        options(corpus, decoder="x")
+
+
 def test_fail_fast(spark, corpus):
     wrong = options(corpus, hyp_dir=str(corpus / "hyp"), ref_tier=textgrid.TierChoice(tier="nope"))
     with pytest.raises(RuntimeError, match="first 3 files all failed"):
