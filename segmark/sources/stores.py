@@ -51,3 +51,10 @@ def read_bytes(path: str) -> bytes:
     store, name = locate(path)
     with store.open_input_stream(name) as f:
         return f.read()
+
+
+def write_bytes(path: str, body: bytes) -> None:
+    store, name = locate(path)
+    store.create_dir(name.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(name) as f:
+        f.write(body)

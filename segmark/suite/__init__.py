@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from segmark.suite import frames, intervals, labels, manifest, matching, training  # noqa: F401
+    from segmark.suite import folder, frames, intervals, labels, manifest, matching, training  # noqa: F401
