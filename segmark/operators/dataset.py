@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from segmark.functions import text
 from segmark.operators.scan import with_row_index
@@ -74,8 +79,10 @@ def encode_labels(rows: DataFrame, vocab: DataFrame, key: str = "row_idx") -> Da
     """Add ``labels``: token ids of ``phonemes`` in order, unknown tokens as the unknown id."""
     facts = vocab.agg(F.count("*").alias("n"), F.max(F.when(F.col("token") == UNK, F.col("id"))).alias("unk")).first()
     words = vocab.select("token", "id")
-    # Broadcast only behind the count; a larger vocabulary joins by shuffle, where AQE splits hot tokens.
-    words = F.broadcast(words) if facts["n"] <= MAX_VOCABULARY else words
+    if facts["n"] <= MAX_VOCABULARY:
+        # Small enough for every task: rows are coded where they lie.
+        return rows.withColumn("labels", _coder(words.collect(), facts["unk"])(text.tokens(F.coalesce("phonemes", F.lit("")))))
+    # A larger vocabulary joins by shuffle, where AQE splits hot tokens.
     spread = rows.select(key, F.posexplode(text.tokens(F.col("phonemes"))).alias("k", "token"))
     known = F.coalesce("id", F.lit(facts["unk"])).cast("int").alias("id")
     ids = F.sort_array(F.collect_list(F.struct("k", known)))
@@ -84,6 +91,20 @@ def encode_labels(rows: DataFrame, vocab: DataFrame, key: str = "row_idx") -> Da
     return rows.join(coded, key, "left").withColumn("labels", F.coalesce("labels", empty))
 
 
+def _coder(words: list, unknown: int | None):
+    """A function of token lists: the id of each token, or ``unknown``."""
+    tokens, ids = pa.array([w["token"] for w in words], pa.string()), pa.array([w["id"] for w in words], pa.int32())
+
+    @arrow_udf(T.ArrayType(T.IntegerType()))
+    def code(lists: pa.Array) -> pa.Array:
+        found = ids.take(pc.index_in(lists.flatten(), value_set=tokens))
+        found = found if unknown is None else pc.fill_null(found, pa.scalar(unknown, pa.int32()))
+        offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), found)
+
+    return code
+
+
 def length_bounds(min_s: float, max_s: float, rate: int = SAMPLE_RATE) -> tuple[int, int]:
     return int(min_s * rate), int(max_s * rate)
 
