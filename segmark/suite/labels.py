@@ -196,13 +196,31 @@ def q_user_mapping(spark, sf_dir):
     return _normalized(spark, sf_dir, rules.build_rules("none", {"the": "DH", "of": "V", "and": ""}))
 
 
+# What the French rules make of each code. Kept apart from the preset tables, which this query tests.
+_EXPECTED = {
+    "french-asr-codes": "aa a bb b kk k dd d jj ʒ ei e ff f ii i yy j ll l mm m nn n au o pp p ss s tt t ch ʃ ou u vv v ww w "
+    "uu y zz z eu ø oe œ an ɑ̃ oo ɔ on ɔ̃ ee ə ai ɛ in ɛ̃ un ɛ̃ gn ɲ gg ɡ uy ɥ rr ʁ r ʁ SIL _",
+    "french-sampa": "Z ʒ A a S ʃ R ʁ r ʁ N ŋ J ɲ H ɥ g ɡ Z= ʒ E ɛ O ɔ 2 ø 9 œ @ ə @t ə a~ ɑ̃ o~ ɔ̃ e~ ɛ̃ 9~ ɛ̃ m= m n= n",
+}
+_CODES = [(p, k, *pair) for p, t in _EXPECTED.items() for k, pair in enumerate(zip(t.split()[::2], t.split()[1::2]))]
+
+
 @query(
     "q_preset_coverage",
     _RAW
-    + f""", {_table("m", P.ASR_CODE_TO_IPA)}
-    select k as code, v as phoneme, count(*) as n from raw_labels join m on m.k = label group by k, v""",
+    + f""",
+    m as (select * from (values {", ".join(f"('{p}', {k}, '{c}', '{v}')" for p, k, c, v in _CODES)}) t(preset, k, code, phoneme)),
+    sizes as (select preset, count(*) as size from m group by preset)
+    select preset, code, phoneme, count(*) as n
+    from raw_labels cross join sizes join m using (preset) where m.k = raw_labels.pos % size group by 1, 2, 3""",
 )
 def q_preset_coverage(spark, sf_dir):
-    preset = spark.createDataFrame(list(P.ASR_CODE_TO_IPA.items()), "code string, phoneme string")
-    counts = fx.raw_labels(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(preset), F.col("label") == F.col("code")).select("code", "phoneme", "n")
+    # Every token of the conversations stands for one code of a preset, by its position.
+    rows = fx.raw_labels(spark, sf_dir)
+    out = []
+    for preset in _EXPECTED:
+        codes = F.array(*(F.lit(c) for p, _, c, _ in _CODES if p == preset))
+        coded = rows.select(F.get(codes, F.pmod("pos", F.size(codes)).cast("int")).alias("label"))
+        done = ops.normalized(coded, "label", rules.build_rules(preset))
+        out.append(done.groupBy(F.col("label").alias("code"), "phoneme").agg(F.count("*").alias("n")).select(F.lit(preset).alias("preset"), "code", "phoneme", "n"))
+    return out[0].unionByName(out[1])
