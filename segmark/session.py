@@ -30,6 +30,19 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 _LOCAL: dict[str, tempfile.TemporaryDirectory] = {}
 
 
+#: Cut-points that this process has written and not cleared.
+_CUTS: list[str] = []
+
+
+def clear_cuts(spark: SparkSession) -> int:
+    """Deletes the cut-points written so far, once nothing lazy needs them any more; says how many."""
+    done = 0
+    while _CUTS:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        done += where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return done
+
+
 def cut_folder(spark: SparkSession) -> str:
     """Shared folder for cut-points: the one the cluster names, else (tests only) a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,6 +63,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     job: the written table survives lost executors, is pruned per branch, and ends the lineage.
     """
     path = f"{cut_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _CUTS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

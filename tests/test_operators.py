@@ -326,3 +326,14 @@ def test_hysteresis_either_way(spark, monkeypatch, onset, offset, bound):
 def test_pause_next_to_marks(spark):
     none = L.PRESETS["none"]
     assert normal(spark, none, ["ɑ̃pause", "pauseé x", "ɑ̃", "x_pause2 y"]) == ["ɑ̃", "x", "ɑ̃", "y"]
+
+
+def test_cut_points_can_be_cleared(spark):
+    import os
+
+    from segmark import session
+
+    rows = session.cut(spark.range(3).toDF("x"), "probe")
+    (file, *_) = rows.inputFiles()
+    assert rows.count() == 3 and os.path.exists(file.removeprefix("file://"))
+    assert session.clear_cuts(spark) >= 1 and not os.path.exists(file.removeprefix("file://"))
