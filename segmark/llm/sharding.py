@@ -31,7 +31,8 @@ def assign(docs: DataFrame, shards: int = 24, whole: float = 0.1) -> DataFrame:
     rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()), "shard-sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
     groups = rows.groupBy("digest").agg(F.min(F.struct("doc", "uid")).alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    groups = groups.filter((F.col("n") > 1) & (F.col("bytes") * shards <= whole * total)).select("digest", "first", "bytes")
+    # Written, so that the join deals its sides out itself and Spark can split a text that very many rows have.
+    groups = cut(groups.filter((F.col("n") > 1) & (F.col("bytes") * shards <= whole * total)).select("digest", "first", "bytes"), "shard-groups")
     placed = rows.join(groups, "digest", "left").select(
         F.coalesce("first.doc", "doc").alias("lead_doc"), F.coalesce("first.uid", "uid").alias("lead_uid"), "doc", "uid", "size", "crc", F.coalesce("bytes", "size").alias("unit"),
     )
