@@ -36,6 +36,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Texts that Spark hands to a Python worker at once.
+TEXT_ROWS = 1000
+
+
+def text_rows(df: DataFrame, *columns) -> DataFrame:
+    """``df`` (its ``columns``) for a function of Arrow batches over texts.
+
+    A batch of Spark's usual 10,000 rows would hold tens of MB of text several times over, in the JVM and in the
+    worker; the session's batch size is lowered, never raised.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df.select(*columns) if columns else df
+
+
 def free_name(taken: Sequence[str], wish: str) -> str:
     """``wish``, with underscores added until no column has that name (names compare without case)."""
     low = {x.lower() for x in taken}
@@ -126,10 +142,10 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words between ASCII white space of each text (empty ones removed), and how many each text has."""
     parts = pc.ascii_split_whitespace(texts)
     flat, offsets = parts.flatten(), parts.offsets.to_numpy()
-    real = np.asarray(pc.greater(pc.binary_length(flat), 0))
-    counts = np.add.reduceat(np.append(real, False).astype(np.int64), offsets[:-1]) if len(offsets) > 1 else np.zeros(0, np.int64)
-    counts[np.diff(offsets) == 0] = 0
-    return flat.filter(pa.array(real)), counts
+    real = numbers(pc.binary_length(flat)) > 0
+    if real.all():
+        return flat, np.diff(offsets)
+    return flat.filter(pa.array(real)), np.diff(np.append(0, np.cumsum(real))[offsets])
 
 
 def kept_in_worker(key: tuple, make: Callable):

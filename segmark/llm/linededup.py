@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segmark.llm.common import free_name, known_id, numbers, partitions
+from segmark.llm.common import free_name, known_id, numbers, partitions, text_rows
 from segmark.session import cut
 
 LINE = "hi long, lo long, doc long, tag long, n_lines int, pos int"
@@ -51,7 +51,7 @@ def line_rows(docs: DataFrame, shortest: int) -> DataFrame:
                 names=["hi", "lo", "doc", "tag", "n_lines", "pos"],
             )
 
-    return docs.select(known_id().alias("doc"), F.xxhash64("text").alias("tag"), "text").mapInArrow(rows, LINE)
+    return text_rows(docs, known_id().alias("doc"), F.xxhash64("text").alias("tag"), "text").mapInArrow(rows, LINE)
 
 
 def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,4 +145,4 @@ def deduplicate(docs: DataFrame, shortest: int = 10) -> tuple[DataFrame, str]:
             struct = pa.StructArray.from_arrays([pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], names=["n_lines", "n_dropped"])
             yield pa.RecordBatch.from_arrays([*columns, struct], names=[f.name for f in schema.fields])
 
-    return joined.mapInArrow(apply, schema), name
+    return text_rows(joined).mapInArrow(apply, schema), name

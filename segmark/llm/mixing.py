@@ -20,8 +20,9 @@ from segmark.llm.common import free_name, given_id, known_id, running
 from segmark.session import cut
 
 WEIGHTS = (3, 1, 2)
-#: Rates are held as whole numbers of this part, so that sums don't depend on their order.
-UNIT = 2**24
+#: Rates are held as whole numbers of 2**-24, so that sums don't depend on their order.
+BITS = 24
+UNIT = 1 << BITS
 
 
 @dataclass(frozen=True)
@@ -124,7 +125,7 @@ def taken(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     if not found:
         return rated.select("uid", given_id(F.col("doc")).alias("doc_id"), "source", "size", "source_size", "target", F.lit(0).alias("copies"))
     summed = running(rated, ["s", "down", "doc", "uid"], ["units"], "mix-rates")
-    copies = (F.shiftright(F.col("sum_units") + F.col("units"), 24) - F.shiftright("sum_units", 24)).cast("int")
+    copies = (F.shiftright(F.col("sum_units") + F.col("units"), BITS) - F.shiftright("sum_units", BITS)).cast("int")
     rounded = cut(summed.withColumn("copies", copies), "mix-copies")
 
     gaps = {r.s: round(targets[r.s] - r.words) for r in rounded.groupBy("s").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).collect()}

@@ -22,12 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from segmark.llm.common import free_name, kept_in_worker, numbers, ranges
+from segmark.llm.common import free_name, kept_in_worker, numbers, ranges, text_rows
 
 MARK = "▁"
-MOST_PARTS, MOST_ARCS = 200_000, 300_000
+MOST_PARTS, MOST_ARCS = 120_000, 300_000
 #: Rows that a task works on together.
-SLICE = 2000
+SLICE = 1000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids")
                 ids = transducer(path).encode(pc.fill_null(some.column(at), ""))
                 yield pa.RecordBatch.from_arrays([*some.columns, lists_of(ids)], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(add, schema), name
+    return text_rows(docs).mapInArrow(add, schema), name
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> tuple[DataFrame, str]:
@@ -261,7 +261,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", column: str = "decode
                 texts = [transducer(path).decode(np.asarray(x.values, dtype=np.int64)) if x.is_valid and len(x) else "" for x in some.column(at)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
 
-    return tokens.mapInArrow(add, schema), name
+    return text_rows(tokens).mapInArrow(add, schema), name
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFrame, str]:
@@ -284,4 +284,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> tuple[DataFram
                 struct = pa.StructArray.from_arrays(columns, names=["ids", "ids_crc32", "decoded"])
                 yield pa.RecordBatch.from_arrays([*some.columns, struct], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(add, schema), name
+    return text_rows(docs).mapInArrow(add, schema), name

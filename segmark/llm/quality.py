@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segmark.llm.common import free_name, known_id
+from segmark.llm.common import free_name, known_id, text_rows
 
 #: What is counted in each text; the first five are those of the base rules.
 COUNTS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_distinct n_top n_upper n_digits n_stops".split()
@@ -81,7 +81,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
             struct = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=COUNTS)
             yield pa.RecordBatch.from_arrays([*b.columns, struct], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(add, schema), name
+    return text_rows(docs).mapInArrow(add, schema), name
 
 
 def ratio(counts: str, top: str, bottom: str) -> Column:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segmark.llm.common import components, free_name, given_id, known_id, numbers, partitions, ranges
+from segmark.llm.common import components, free_name, given_id, known_id, numbers, partitions, ranges, text_rows
 from segmark.session import cut
 
 SEED = 42
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
             own = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None, width) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.int64())], names=["doc", "tag", "fp"])
 
-    return docs.select(known_id().alias("doc"), F.xxhash64("text").alias("tag"), "text").mapInArrow(rows, "doc long, tag long, fp long")
+    return text_rows(docs, known_id().alias("doc"), F.xxhash64("text").alias("tag"), "text").mapInArrow(rows, "doc long, tag long, fp long")
 
 
 def masks(bands: int, radius: int) -> list[int]:
