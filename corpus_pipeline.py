@@ -45,10 +45,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, checked to give the text again (up to marks, which read as blanks)."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded, ids = pieces.encode(docs, model)
-    back, text = pieces.decode(coded, model, ids)
-    same = F.col(text) == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
-    return back.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("ids"), same.alias("lossless"))
+    out, name = pieces.round_trip(docs, model)
+    ids, decoded = F.col(f"`{name}`.ids"), F.col(f"`{name}`.decoded")
+    same = decoded == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return out.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), same.alias("lossless"))
 
 
 STAGES = [
