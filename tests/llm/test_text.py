@@ -42,9 +42,12 @@ def test_words_encode_like_texts():
 
 
 def test_encoder_forgets_and_still_agrees(monkeypatch):
-    monkeypatch.setattr(tokenfiles, "MOST_WORDS", 50)
+    monkeypatch.setattr(tokenfiles, "MOST_WORDS", 80)
+    monkeypatch.setattr(tokenfiles, "MOST_STEMS", 20)
     own, plain = tokenfiles.Encoder(WORDS), Tokenizer.from_file(WORDS)
     texts = [" ".join(f"word{i * k % 97}." for i in range(60)) for k in range(1, 9)]
+    for t in texts:
+        assert own.encode(pa.array([t]))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
     ids, lengths = own.encode(pa.array(texts))
     assert ids.tolist() == [x for t in texts for x in plain.encode(t, add_special_tokens=False).ids]
 
@@ -54,7 +57,8 @@ def test_token_files(spark, odd, crowded, empty, tmp_path, chunk):
     plain = Tokenizer.from_file(WORDS)
     for docs in (odd, crowded):
         tokenfiles.write(docs, str(tmp_path / "t"), WORDS, chunk=chunk)
-        got = tokenfiles.checksums(tokenfiles.read(spark, str(tmp_path / "t"))).collect()
+        got = tokenfiles.read(spark, str(tmp_path / "t")).collect()
+        assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.n_tokens for r in got)
         coded = [(d[0], plain.encode(d[1] or "", add_special_tokens=False).ids + [2]) for d in ODD]
         crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
         assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((d, len(i), crc(i)) for d, i in coded)
