@@ -2,8 +2,9 @@
 
 Vectors are scaled to whole numbers and dealt out to shards of bounded size. A task builds a shard's tree by median
 splits along the widest side and keeps tight boxes. A query visits the leaves in the order of the largest score
-that a box allows and stops where it falls below its kth best. Each block of queries first searches one shard; the
-kth scores found there go with it to all others, where most boxes then fall away.
+that a box allows and stops where it falls below its kth best. Each query first searches one shard; the kth score
+found there goes with it to all others, where boxes that cannot reach it fall away. Vectors and queries move as
+single rows and a shard's tree is built once, so a task holds one shard at a time.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from segmark.llm.common import numbers, partitions
 from segmark.session import cut
 
 #: Scaled components end here, so that sums of 2**14 products are exact.
 LIMIT = 2**24
+#: Queries whose bounds a task takes together.
+BLOCK = 256
 
 
 def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
@@ -84,64 +87,68 @@ class Tree:
         return sorted(best, reverse=True)
 
 
-def blocks(rows: DataFrame, by: list, size: int, name: str) -> DataFrame:
-    """Rows gathered into blocks of about ``size``: ids and vectors of one block in one row."""
-    return rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("r")).select(*by, F.col("r.vec_id").alias(f"{name}_ids"), F.flatten("r.v").alias(f"{name}_v"))
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256, shard_rows: int = 8192, leaf: int = 128, block: int = 256) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256, shard_rows: int = 8192, leaf: int = 128) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best of ``vectors`` for each row of ``queries`` but its own id.
 
     Both tables are (vec_id, embedding). Equal scores: smaller id first; fewer candidates than ``k``: all of them.
     Only vectors of the query's length are candidates. Rows with a null id, vector or component, or with one that
     isn't finite, take no part; scaled components beyond 2**24 are taken as 2**24. Repeated rows are repeated
-    candidates, a query repeated with one id and vector counts once.
+    candidates, a query repeated with one id and vector counts once. Every query goes to every shard, as an exact
+    search over vectors without structure must; larger ``shard_rows`` mean fewer copies of the queries.
     """
     spark = queries.sparkSession
-    base = cut(whole_vectors(vectors, scale).withColumn("d", F.size("v")).filter("d > 0"), "knn-vectors")
-    counts = {r.d: r.n for r in base.groupBy("d").agg(F.count("*").alias("n")).limit(100_000).collect()}
-    shards = spark.createDataFrame([(d, -(-n // shard_rows)) for d, n in counts.items()], "d int, shards int")
-    placed = base.join(F.broadcast(shards), "d").withColumn("shard", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), "shards").cast("int"))
-    index = cut(blocks(placed, ["d", "shard"], shard_rows, "x"), "knn-shards")
-    asked = whole_vectors(queries, scale).distinct().withColumn("d", F.size("v"))
-    asked = asked.join(F.broadcast(shards), "d")
-    n = asked.groupBy("d").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
-    asked = asked.join(F.broadcast(n), "d").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-    packed = cut(blocks(asked, ["d", "block", "shards"], block, "q"), "knn-queries")
-    found = "query_id long, vec_id long, score long"
+    base = whole_vectors(vectors, scale).withColumns({"d": F.size("v"), "uid": F.monotonically_increasing_id()})
+    base = cut(base.filter("d > 0"), "knn-vectors")
+    counts = base.groupBy("d").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    shards = cut(counts, "knn-shards")  # one row for each length of vectors
+    own = base.join(shards, "d").withColumn("shard", F.pmod(F.xxhash64("vec_id", "uid"), "shards").cast("int"))
+    asked = whole_vectors(queries, scale).distinct().withColumn("d", F.size("v")).join(shards, "d")
+    home = F.pmod(F.xxhash64("vec_id"), "shards").cast("int")
+    asked = cut(asked.withColumn("home", home), "knn-queries")
+    by = ["d", "shard", "kind"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree = None, None
+        at, parts, tree = None, [], None
         for b in batches:
-            for i in range(b.num_rows):
-                d, shard = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+            keys = np.stack([numbers(b.column(i)) for i in range(3)], 1)
+            edges = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else []
+            for first, last in zip(edges, [*edges[1:], len(keys)]):
+                d, shard, kind = keys[first].tolist()
+                ids = numbers(b.column(3))[first:last]
+                x = np.asarray(b.column(4).slice(first, last - first).flatten()).astype(np.int64).reshape(-1, d)
                 if at != (d, shard):
-                    x = np.asarray(b.column(3)[i].values).astype(np.int64).reshape(-1, d)
-                    at, tree = (d, shard), (np.asarray(b.column(2)[i].values), x)
-                    exact = float(np.abs(x).max()) * d
-                    tree = Tree(tree[0], x.astype(float) if exact * LIMIT < 2**53 else x, leaf)
-                ids, q = np.asarray(b.column(4)[i].values), np.asarray(b.column(5)[i].values).astype(np.int64).reshape(-1, d)
-                floors = b.column(6)[i].as_py()
-                q = q.astype(tree.x.dtype)
-                bounds, out = tree.bounds(q), []
-                for j, own in enumerate(ids.tolist()):
-                    floor = floors[j] if floors and floors[j] is not None else -np.inf
-                    out += [(own, -i_, int(s)) for s, i_ in tree.search(own, q[j], bounds[j], k, floor)]
-                columns = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    def run(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(index, ["d", "shard"]).sortWithinPartitions("d", "shard")
-        return rows.select("d", "shard", "x_ids", "x_v", "q_ids", "q_v", "floors").mapInArrow(search, found)
-
-    home = F.pmod(F.xxhash64("block"), "shards").cast("int")
-    none = F.lit(None).cast("array<long>")
-    first = cut(run(packed.select("d", home.alias("shard"), "q_ids", "q_v", none.alias("floors"))), "knn-first")
-    kth = first.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.try_element_at("s", F.lit(k)).alias("kth"))
-    rows = packed.select("d", "block", F.posexplode("q_ids").alias("place", "query_id")).join(kth, "query_id", "left")
-    floors = rows.groupBy("d", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "kth"))), lambda r: r["kth"]).alias("floors"))
-    rest = packed.join(floors, ["d", "block"]).withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s != home)))
-    both = first.union(run(rest.select("d", "shard", "q_ids", "q_v", "floors")))
+                    at, parts, tree = (d, shard), [], None
+                if not kind:  # a shard's vectors come before the queries that are sent to it
+                    parts.append((ids, x))
+                    continue
+                if tree is None:
+                    held, rows = (np.concatenate(c) for c in zip(*parts))
+                    parts = []
+                    exact = float(np.abs(rows).max()) * LIMIT * d < 2**53
+                    tree = Tree(held, rows.astype(float) if exact else rows, leaf)
+                floors = b.column(5).slice(first, last - first).to_pylist()
+                for j in range(0, len(ids), BLOCK):
+                    q = x[j : j + BLOCK].astype(tree.x.dtype)
+                    out = []
+                    for own_id, own_q, bound, floor in zip(ids[j : j + BLOCK].tolist(), q, tree.bounds(q), floors[j : j + BLOCK]):
+                        best = tree.search(own_id, own_q, bound, k, -np.inf if floor is None else floor)
+                        out += [(own_id, -minus, int(score)) for score, minus in best]
+                    columns = list(zip(*out)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    def run(sent: DataFrame) -> DataFrame:
+        """``sent``: (d, shard, vec_id, v, floor) of the queries that a shard gets."""
+        columns = [*by, "vec_id", "v", "floor"]
+        rows = own.withColumns({"kind": F.lit(0), "floor": F.lit(None).cast("long")}).select(*columns).union(sent.withColumn("kind", F.lit(1)).select(*columns))
+        dealt = rows.repartition(partitions(spark), "d", "shard").sortWithinPartitions(*by, "vec_id")
+        return dealt.mapInArrow(search, "query_id long, vec_id long, score long")
+
+    first = cut(run(asked.withColumns({"shard": F.col("home"), "floor": F.lit(None).cast("long")})), "knn-first")
+    kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+    kth = kth.select("vec_id", F.try_element_at("s", F.lit(k)).alias("floor"))
+    others = F.filter(F.sequence(F.lit(0), F.col("shards") - 1), lambda s: s != F.col("home"))
+    rest = asked.join(kth, "vec_id", "left").withColumn("shard", F.explode(others))
+    both = first.union(run(rest))
     # Each shard gives k rows for a query at most.
     lists = both.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k).alias("best"))
     out = lists.select("query_id", F.posexplode("best").alias("place", "b"))

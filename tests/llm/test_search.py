@@ -79,13 +79,14 @@ def plain_top(rows, k=5, scale=256):
 
 
 @pytest.mark.parametrize("shard_rows, leaf, block", [(8192, 128, 256), (40, 8, 3), (7, 1, 1)])
-def test_top_k_against_all_pairs(spark, shard_rows, leaf, block):
+def test_top_k_against_all_pairs(spark, monkeypatch, shard_rows, leaf, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
     rng = np.random.default_rng(leaf)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(400)]
     rows += [(400 + i, rows[i % 3][1]) for i in range(60)]  # ties
     rows += [(1000, [1.0, 2.0]), (1050, [0.5, -1.0]), (1001, None), (1002, []), (1003, [None] * 6), (1100, [float("nan")] * 6), (1004, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (1150, [0.0] * 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = topk.nearest(frame.filter("vec_id % 50 = 0"), frame, shard_rows=shard_rows, leaf=leaf, block=block).collect()
+    got = topk.nearest(frame.filter("vec_id % 50 = 0"), frame, shard_rows=shard_rows, leaf=leaf).collect()
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == plain_top(rows) and len(got) == len(plain_top(rows))
 
 
