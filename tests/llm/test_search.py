@@ -67,6 +67,47 @@ def test_fingerprints_and_components_of_odd_rows(odd, crowded, empty):
     assert simhash.group(empty).count() == 0 and simhash.deduplicate(empty).count() == 0
 
 
+def plain_shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)} or {" ".join(words)}
+
+
+def planted(rng, words, low, high):
+    """Words changed one by one until the five-word similarity to ``words`` is in the given range."""
+    base, out = plain_shingles(" ".join(words)), list(words)
+    while True:
+        after = list(out)
+        after[rng.randrange(len(after))] = f"new{rng.randrange(10**6)}"
+        own = plain_shingles(" ".join(after))
+        alike = len(own & base) / len(own | base)
+        if alike < low:
+            return planted(rng, words, low, high)
+        out = after
+        if alike < high:
+            return out
+
+
+@pytest.mark.parametrize("most_texts", [1024, 8])
+def test_near_dedup_stage_joins_planted_copies(spark, monkeypatch, most_texts):
+    """Copies at 0.8 to 0.95 go, texts at 0.6 to 0.79 stay; one text with very many copies."""
+    monkeypatch.setattr(simhash, "MOST_TEXTS", most_texts)
+    rng = random.Random(5)
+    rows, gone, hot = [], set(), [f"hot{k}" for k in range(120)]
+    for k in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        low, high = rng.choice([(0.8, 0.85), (0.85, 0.9), (0.9, 0.95)])
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(planted(rng, words, low, high))), (10 * k + 2, " ".join(planted(rng, words, 0.6, 0.79)))]
+        gone.add(10 * k + 1)
+    rows += [(5000 + k, " ".join(planted(rng, hot, 0.88, 0.96) if k else hot)) for k in range(60)]
+    gone |= set(range(5001, 5060))
+    sets = [(i, plain_shingles(t)) for i, t in rows]
+    alike = [(i, j) for (i, a), (j, b) in zip(sets, sets[1:]) if i < 5000 and i // 10 == j // 10 and i % 10 == 1 and 5 * len(a & b) >= 4 * len(a | b)]
+    assert not alike  # the two changed texts of a base are not copies of each other
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA).repartition(5)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - gone
+
+
 def plain_top(rows, k=5, scale=256):
     sound = [(i, [math.floor(scale * float(np.float32(c))) for c in v]) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)]
     out = set()
