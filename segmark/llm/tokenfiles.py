@@ -108,8 +108,8 @@ class Encoder:
     """Encodes the distinct words of many texts with a tokenizer that never looks across white space.
 
     White space ends a word for this kind of tokenizer (it is dropped before the merges), so a text's ids are the
-    ids of its words. Case folds in the tokenizer, so A-Z may fold before words are told apart; signs after a
-    letter are a word of their own. Known words are Arrow columns, looked up a whole batch at a time.
+    ids of its words. Case folds in the tokenizer, so A-Z may fold before words are told apart, but
+    for words with "<|": special tokens match by case. Signs after a letter are a word of their own. Known words are Arrow columns, looked up a whole batch at a time.
     """
 
     def __init__(self, path: str):
@@ -158,7 +158,10 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` and the number of ids of each text."""
         words, counts = split_words(texts)
-        coded = pc.ascii_lower(words).dictionary_encode()
+        folded, marked = pc.ascii_lower(words), pc.match_substring(words, "<|")
+        if pc.any(marked).as_py():
+            folded = pc.if_else(marked, words, folded)
+        coded = folded.dictionary_encode()
         self.turn += 1
         if len(self.words) > MOST_WORDS:  # those that were asked for last stay
             keep = np.sort(np.argsort(self.used, kind="stable")[-(MOST_WORDS // 2) :])

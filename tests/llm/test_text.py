@@ -166,3 +166,14 @@ def want_empty():
 def test_lengths_refused(odd, length, gram):
     with pytest.raises(ValueError):
         suffixes.remove(odd, length, gram)
+
+
+def test_special_tokens_match_by_case():
+    plain, own = Tokenizer.from_file(WORDS), tokenfiles.Encoder(WORDS)
+    signs = ["<|EndOfText|>", "<|ENDOFTEXT|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|StartOfText|>", "A", "b.", " ", "<|", "|>", "É"]
+    rng = random.Random(2)
+    texts = ["a <|EndOfText|> b"] + ["".join(rng.choices(signs, k=rng.randint(1, 9))) for _ in range(1000)]
+    ids, lengths = own.encode(pa.array(texts))
+    ends = np.cumsum(lengths)
+    for t, a, b in zip(texts, ends - lengths, ends):
+        assert ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids, t
