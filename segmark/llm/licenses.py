@@ -78,11 +78,36 @@ def scan(docs: DataFrame, licenses: DataFrame, most_sent: int = 100_000) -> Data
     name in code point order. Up to ``most_sent`` distinct licence texts are counted and sent to all tasks; more are
     joined by hash like any table. A text without words matches nothing. Every row of ``docs`` gives one row.
     """
+    names = named(licenses, most_sent)
+    return docs.select("doc_id", digest(F.col("text")).alias("digest")).join(names, "digest", "left").select("doc_id", "digest", "license")
+
+
+#: What a text is cut at for each kind of part; a run is what stands between blank lines.
+PARTS = {"line": r"\n", "run": r"\n[ \t\r]*\n"}
+
+
+def parts(docs: DataFrame, licenses: DataFrame, most_sent: int = 100_000) -> DataFrame:
+    """(doc_id, part, license, n): how many lines and runs of a document's text have the canonical form of a licence.
+
+    ``part`` is line or run; only what is found gives rows, and rows of one id count together. Licences of several
+    runs are found in a longer text only where it keeps them as one run.
+    """
+    names, text = named(licenses, most_sent), F.coalesce("text", F.lit(""))
+    own = None
+    for part, mark in PARTS.items():
+        some = docs.select("doc_id", F.lit(part).alias("part"), F.explode(F.split(text, mark)).alias("text"))
+        own = some if own is None else own.union(some)
+    found = own.select("doc_id", "part", digest(F.col("text")).alias("digest")).join(names, "digest")
+    return found.groupBy("doc_id", "part", "license").agg(F.count("*").alias("n"))
+
+
+def named(licenses: DataFrame, most_sent: int) -> DataFrame:
+    """(digest, license) of the texts that have words, marked for sending if they are few."""
     names = licenses.groupBy(digest(F.col("text")).alias("digest"), (canonical(F.col("text")) == "").alias("empty")).agg(F.min("license").alias("license"))
     names = names.filter("not empty").drop("empty")
     if names.limit(most_sent + 1).count() <= most_sent:
         names = F.broadcast(names)
-    return docs.select("doc_id", digest(F.col("text")).alias("digest")).join(names, "digest", "left").select("doc_id", "digest", "license")
+    return names
 
 
 def canonical_sql(text: str) -> str:

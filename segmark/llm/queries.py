@@ -75,6 +75,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known(spark))
 
 
+@query("op10_license_parts")
+def op10_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.parts(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known(spark))
+
+
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{cut_folder(spark)}/token-files-{uuid.uuid4().hex}"

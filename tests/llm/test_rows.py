@@ -133,3 +133,11 @@ def test_license_plan_has_no_python(spark, odd):
     plan = licenses.scan(odd, licenses.known(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert hashlib.sha256(b"").hexdigest() in [r["digest"] for r in licenses.scan(odd, licenses.known(spark)).collect()]
+
+
+def test_licenses_in_lines_and_runs_of_texts(spark, odd, crowded, empty):
+    isc = dict(licenses.KNOWN)["ISC"].replace("\n\n", "\n")
+    rows = [(1, "Some prose.\nReleased under the  MIT licence!"), (2, f"Prose.\n \n{isc}\n\nlast"), (3, "Released under the MIT License. Or not."), (None, "a\nLicensed under CC BY-NC 4.0.\nb\nlicensed under CC BY-NC 4.0"), (4, None)]
+    got = licenses.parts(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark)).collect()
+    assert {tuple(r) for r in got} == {(1, "line", "MIT notice", 1), (2, "run", "ISC", 1), (None, "line", "CC-BY-NC-4.0 notice", 2)} and len(got) == 3
+    assert all(licenses.parts(d, licenses.known(spark)).count() == 0 for d in (odd, crowded, empty))
