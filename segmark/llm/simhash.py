@@ -374,8 +374,8 @@ def deduplicate_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8
     Two texts are linked if the sets of their ``width``-word shingles (words as in ``group``) have a Jaccard
     similarity of ``similarity`` or more; of each group the row with the smallest id stays, null ids last, and of
     several rows with that id one. Texts without words are one group. Pairs are found by minimal hashes and
-    fingerprints within ``radius`` bits; at 0.8 a pair is missed about once in 1,000, and none of lower
-    similarity is linked.
+    fingerprints within ``radius`` bits: at 0.8 the bands miss 7 of 10,000 pairs by calculation (not measured), the
+    radius some more of very short texts; none of lower similarity is linked.
     """
     rows, uid = numbered(docs, docs.columns)
     own = sketches(rows, uid, width)
