@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmark.llm import licenses, linededup, mixing, pieces, quality, sharding, simhash, suffixes, tokenfiles, topk
+from segmark.llm import audit, licenses, linededup, minmax, mixing, pieces, quality, resample, sharding, simhash, suffixes, tokenfiles, topk
 from segmark.llm.common import table
 from segmark.session import cut_folder
 
@@ -124,3 +124,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_minmax_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.group(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_importance_resampling")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query("op13_filter_audit", audit.AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
