@@ -4,8 +4,9 @@ The corpus is never sorted as a whole. Every window of ``length`` bytes is put u
 strings inside it, so equal windows have one key and neighbours mostly share theirs: a text falls into runs of
 windows under one key. Runs whose key occurs once are done with. The others' texts are brought together by key,
 equal ones once with their number, and a suffix array of each key's texts, built by linear grouping (``lyndon``), has
-equal windows side by side. Keys with more than ``most`` bytes of distinct text are not sorted; their windows are
-counted one by one by a 128-bit hash, which spreads them over all tasks.
+equal windows side by side; a key with one text that occurs several times needs no array. Keys with more than ``most``
+bytes of distinct text are not sorted; their windows are counted one by one by a 128-bit hash, which spreads them over
+all tasks.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from segmark.llm.common import given_id, known_id, numbers, partitions
 from segmark.llm.lyndon import suffix_orders
 from segmark.session import cut
 
-LENGTH, GRAM, MOST = 200, 32, 8192
+LENGTH, GRAM, MOST = 200, 64, 8192
 #: Bytes of text that a task gathers before it sorts, and symbols sorted together.
 GATHERED, TOGETHER = 1 << 22, 1 << 20
-RUN = "key long, seg long, doc long, tag long, lo int, n int, ties int"
+#: Low bits of a short string's hash that give way to its place, so that of equal hashes the leftmost is the smallest.
+PLACE = 12
+RUN = "key long, seg long, doc long, tag long, lo int, n int"
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -39,37 +42,41 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows: key, first window, number of windows, and 2 if a window has its key at two places, else 1."""
-    if len(raw) < length:
-        return (np.zeros(0, np.int64),) * 4
-    with np.errstate(over="ignore"):
-        hashes = np.frombuffer(raw, np.uint8) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019)
-        power, size = np.uint64(0x9E3779B97F4A7C15), 1
-        while size < gram:  # gram is a power of 2
-            hashes = hashes[:-size] * power + hashes[size:]
-            power, size = power * power, 2 * size
-        hashes ^= hashes >> np.uint64(31)
-        hashes *= np.uint64(0xBF58476D1CE4E5B9)
-        hashes ^= hashes >> np.uint64(29)
-    hashes &= ~np.uint64(0xFF)
-    place = np.arange(len(hashes), dtype=np.uint64) & np.uint64(0xFF)  # windows are shorter than 256 strings
-    low, high = least(hashes | place, length - gram + 1), least(hashes | (place ^ np.uint64(0xFF)), length - gram + 1)
-    first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-    tied = (low ^ high) & np.uint64(0xFF) != np.uint64(0xFF)
-    ties = 1 + np.maximum.reduceat(tied.astype(np.int64), first)
-    return (low[first] >> np.uint64(8)).astype(np.int64), first, np.diff(np.append(first, len(low))), ties
+def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows: key, first window, number of windows.
+
+    A window's key is its smallest hash of ``gram`` bytes, a run the neighbours that have it at one place. Of several
+    such places in a window the leftmost counts, so equal windows, wherever they stand, are always of different runs:
+    a key that occurs once has no repeated window. Texts are worked on in pieces, which may part a run but no key.
+    """
+    width, found = length - gram + 1, []
+    windows, step = len(raw) - length + 1, (1 << PLACE) - width + 1
+    symbols = np.frombuffer(raw, np.uint8)
+    for at in range(0, windows, step):
+        with np.errstate(over="ignore"):
+            hashes = symbols[at : min(at + step, windows) + length - 1] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019)
+            power, size = np.uint64(0x9E3779B97F4A7C15), 1
+            while size < gram:  # gram is a power of 2
+                hashes = hashes[:-size] * power + hashes[size:]
+                power, size = power * power, 2 * size
+            hashes ^= hashes >> np.uint64(31)
+            hashes *= np.uint64(0xBF58476D1CE4E5B9)
+        hashes &= ~np.uint64((1 << PLACE) - 1)
+        low = least(hashes | np.arange(len(hashes), dtype=np.uint64), width)
+        first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
+        found.append(((low[first] >> np.uint64(PLACE)).astype(np.int64), first + at, np.diff(np.append(first, len(low)))))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def run_rows(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """Keys with how often they occur in each batch, and the runs of all texts."""
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [runs(x.as_buffer().to_pybytes(), length, gram) for x in b.column(0) if x.is_valid]
-            key = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-            ties = np.concatenate([f[3] for f in found]) if found else key
-            distinct, which = np.unique(key, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(np.bincount(which, ties, len(distinct)).astype(np.int64))], names=["key", "n"])
+            found = [runs(x.as_buffer().to_pybytes(), length, gram)[0] for x in b.column(0) if x.is_valid]
+            distinct, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n.astype(np.int64))], names=["key", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,10 +84,10 @@ def run_rows(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
                 parts = []
                 for doc, tag, x in zip(numbers(b.column(0))[k : k + 1000], numbers(b.column(1))[k : k + 1000], b.column(2)[k : k + 1000]):
                     raw = x.as_buffer().to_pybytes() if x.is_valid else b""
-                    key, lo, n, ties = runs(raw, length, gram)
+                    key, lo, n = runs(raw, length, gram)
                     if len(key):
                         seg = np.array([xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(lo.tolist(), (lo + n + length - 1).tolist())], np.uint64).view(np.int64)
-                        parts.append((key, seg, np.full(len(key), doc), np.full(len(key), tag), lo, n, ties))
+                        parts.append((key, seg, np.full(len(key), doc), np.full(len(key), tag), lo, n))
                 if parts:
                     columns = [np.concatenate(c) for c in zip(*parts)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns[:4]] + [pa.array(c.astype(np.int32)) for c in columns[4:]], names=[f.split()[0] for f in RUN.split(", ")])
@@ -209,12 +216,18 @@ def sort_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
 def repeated_windows(docs: DataFrame, length: int, gram: int, most: int) -> DataFrame:
     """(doc, tag, lo, spans): for each run with repeated windows, which of its windows they are."""
     counted, found = run_rows(docs, length, gram)
-    twice = counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    # Facts about keys are written before they meet the runs: a join of two plain exchanges can split a hot key.
+    twice = cut(counted.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"), "suffix-keys")
     own = cut(found.join(twice, "key", "left_semi"), "suffix-runs")
     distinct = own.groupBy("key", "seg").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "tag", "lo", "n")).alias("r"))
     distinct = cut(distinct.select("key", "seg", "weight", "r.*"), "suffix-distinct")
-    large = distinct.groupBy("key").agg(F.sum(F.col("n") + length - 1).alias("bytes")).filter(F.col("bytes") > most).select("key", F.lit(True).alias("is_large"))
-    texts = distinct.join(large, "key", "left").select("key", "seg", "weight", "doc", "tag", "lo", "n", F.col("is_large").isNotNull().alias("large"))
+    facts = distinct.groupBy("key").agg(F.sum(F.col("n") + length - 1).alias("bytes"), F.count("*").alias("segs"))
+    facts = cut(facts.select("key", (F.col("segs") == 1).alias("single"), (F.col("bytes") > most).alias("large")), "suffix-facts")
+    judged = distinct.join(facts, "key")
+    # All texts of the key are one text: in its order every window stands beside its copies.
+    alone = F.col("single") & (F.col("weight") > 1)
+    whole = judged.filter(alone).select("key", "seg", F.array(F.lit(0), "n").alias("spans"))
+    texts = judged.filter(~alone).select("key", "seg", "weight", "doc", "tag", "lo", "n", "large")
     carved = cut(carve(docs, texts, length), "suffix-texts")
 
     small = carved.filter("text is not null").select("key", "seg", "weight", "text").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "seg")
@@ -234,7 +247,7 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, most: int) -> Data
                 spans.append(spans_of(flags))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tolist() for s in spans], pa.list_(pa.int32()))], names=["key", "seg", "spans"])
 
-    spans = cut(sorted_.union(lists.mapInArrow(to_spans, "key long, seg long, spans array<int>")), "suffix-spans")
+    spans = cut(sorted_.union(lists.mapInArrow(to_spans, "key long, seg long, spans array<int>")).union(whole), "suffix-spans")
     return own.join(spans, ["key", "seg"]).select("doc", "tag", "lo", "spans")
 
 
@@ -244,12 +257,14 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
     Texts are UTF-8 bytes, a null one empty. A byte goes if a string of ``length`` bytes around it also starts
     anywhere else in the texts, the same one included; strings are those of the input and don't cross documents.
     ``removed``: first byte and one past the last of each maximal removed piece, one after another; ``kept``: the other
-    bytes together. Repeated rows are repeated texts, so long ones lose everything. ``length`` lies between ``gram``
-    and ``gram`` + 255; ``gram`` is a power of 2.
+    bytes together. Repeated rows are repeated texts, so long ones lose everything. ``gram`` is a power of 2, ``length``
+    lies between it and ``gram`` + 2,047.
     """
-    if not gram <= length < gram + 255 or gram & (gram - 1) or length < 8:
-        raise ValueError("length must lie between gram, a power of 2, and gram + 254, and be 8 at least")
-    lists = repeated_windows(docs, length, gram, most).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "spans")).alias("runs"))  # within a document
+    if not gram <= length < gram + (1 << PLACE) // 2 or gram & (gram - 1) or length < 8:
+        raise ValueError("length must lie between gram, a power of 2, and gram + 2047, and be 8 at least")
+    found = repeated_windows(docs, length, gram, most)
+    # Within a document; a set, so that repeated rows of one id and text don't repeat its runs.
+    lists = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "spans")).alias("runs"))
     joined = packed(docs).join(lists.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "raw", "runs")
     schema = "doc long, n_bytes long, n_removed long, n_spans long, removed array<long>, kept binary"
 

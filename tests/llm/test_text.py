@@ -158,11 +158,38 @@ def test_bytes_of_odd_rows(odd, crowded, empty):
     assert suffixes.remove(empty).count() == 0
 
 
+def test_bytes_of_many_repeated_rows(spark):
+    """20,000 rows of one id and text, of null ids and of own ids: work grows with the rows, not with their pairs."""
+    rng = random.Random(8)
+    text = " ".join(f"word{rng.randrange(10**6)}" for _ in range(250))
+    other = " ".join(f"term{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(1, text)] * 20_000 + [(None, text[500:1500])] * 5_000 + [(k, text) for k in range(2, 1000)] + [(5000, other + text[:300]), (5001, other)]
+    out = suffixes.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in out.select("doc_id", "n_bytes", "n_removed").collect())
+    want = Counter((d, len(t), len(t)) for d, t in rows)
+    assert got == want
+
+
+@pytest.mark.parametrize("length, gram", [(60, 16), (200, 64), (130, 64), (64, 64)])
+def test_equal_windows_have_one_key_and_different_runs(length, gram):
+    rng = random.Random(9)
+    for _ in range(40):
+        unit = "".join(rng.choices("ab", k=rng.randint(1, 300)))
+        raw = (unit * rng.randint(1, 40) + "".join(rng.choices("abc", k=rng.randint(0, 300))) + unit * 3).encode()[: rng.choice([300, 6000])]
+        key, lo, n = suffixes.runs(raw, length, gram)
+        assert n.sum() == max(0, len(raw) - length + 1) and (np.cumsum(n) - n == lo).all()
+        of, at = {}, np.repeat(np.arange(len(n)), n)
+        for i, r in enumerate(at.tolist()):
+            of.setdefault(raw[i : i + length], []).append(r)
+        for same in of.values():
+            assert len(set(same)) == len(same) and len(set(key[same].tolist())) == 1
+
+
 def want_empty():
     return (0, 0, 0, hashlib.sha256(b"").hexdigest())
 
 
-@pytest.mark.parametrize("length, gram", [(31, 32), (290, 32), (100, 48)])
+@pytest.mark.parametrize("length, gram", [(31, 32), (2080, 32), (100, 48)])
 def test_lengths_refused(odd, length, gram):
     with pytest.raises(ValueError):
         suffixes.remove(odd, length, gram)
