@@ -25,7 +25,10 @@ from pyspark.sql import types as T
 from segmark.llm.common import free_name, kept_in_worker, numbers, ranges, text_rows
 
 MARK = "▁"
-MOST_PARTS, MOST_ARCS = 120_000, 300_000
+#: Bytes of texts and ids that a worker keeps from one batch to the next (as much again is forgotten last), and arcs.
+MOST_KEPT, MOST_ARCS = 90 << 20, 500_000
+#: What a kept text takes besides its characters and ids.
+ENTRY = 210
 #: Rows that a task works on together.
 SLICE = 1000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -53,7 +56,7 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Transducer:
-    """``encode_word`` gives the ids of a text that is already normalised."""
+    """``words`` gives the ids of words, ``encode`` those of texts, ``decode`` the text of ids."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -78,19 +81,23 @@ class Transducer:
         self.ids = {p: i for i, (p, _, k) in enumerate(self.pieces) if k == NORMAL}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece has a blank inside")
+        # Of each character: the piece that ends with it (-1: none) and what goes on from there.
         self.tree: dict = {}
         for p, i in self.ids.items():
-            node = self.tree
+            node, at = self.tree, None
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                at = node.setdefault(c, [-1, {}])
+                node = at[1]
+            at[0] = i
         self.arcs: dict[int, bool] = {}
         self.segments: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.kept = 0
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.lines_end = not any("\n" in p for p in self.ids)
         out = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
         self.out, self.out_size = np.frombuffer(b"".join(out), np.uint8), np.array([len(x) for x in out])
+        self.out_at = np.cumsum(self.out_size) - self.out_size
 
     def merged(self, text: str) -> list[str]:
         """What the merges leave: of all neighbours that make a piece, those with the best score first, leftmost on a tie."""
@@ -113,57 +120,86 @@ class Transducer:
         known = self.arcs[arc] = self.merged(left + right) == ([left, right] if left else [right])
         return known
 
-    def path(self, text: str) -> list[str]:
-        """The shortest path through the composition with ``text``, as the texts of its pieces.
+    def paths(self, texts: list[str]) -> Iterator[list[int]]:
+        """For each of ``texts``, which are sorted, the states on the shortest path through its composition.
 
-        The merges leave one sequence for each beginning of the text, so one state at most is alive behind each
+        The merges leave one sequence for each beginning of a text, so one state at most is alive behind each
         character; should arcs of several meet, the lighter one stays. States are numbered: 0 at the beginning, then
-        the pieces, then the characters that have none.
+        the pieces, then the characters that have none. What a text has in common with the one before is not walked
+        again.
         """
-        n, arcs, pieces, count = len(text), self.arcs, self.pieces, len(self.pieces) + 1
-        state: list[int | None] = [None] * (n + 1)
-        cost, begin = [0.0] * (n + 1), [0] * (n + 1)
-        state[0] = 0
-        for i in range(n):
-            before = state[i]
-            if before is None:
-                continue
-            before <<= 21
-            node, j, single = self.tree, i, False
-            while j < n:
-                node = node.get(text[j])
-                if node is None:
+        arcs, pieces, count, tree = self.arcs, self.pieces, len(self.pieces) + 1, self.tree
+        state: list[int | None] = [0]
+        cost, begin = [0.0], [0]
+        ways: list[list] = [[]]  # behind each character: where in the tree the pieces begun before it stand
+        last = ""
+        for text in texts:
+            n, same = len(text), 0
+            for x, y in zip(last, text):
+                if x != y:
                     break
-                j += 1
-                known = node.get("")
-                if known is None:
-                    continue
-                if j == i + 1:
-                    single = True
-                arc = arcs.get(before | known + 1)
-                if arc is None:
-                    arc = self.joins(before | known + 1, text[begin[i] : i], text[i:j])
-                if arc:
-                    total = cost[i] - pieces[known][1]
-                    if state[j] is None or total < cost[j]:
-                        state[j], cost[j], begin[j] = known + 1, total, i
-            if not single and state[i + 1] is None:
-                known = count + ord(text[i])
-                arc = arcs.get(before | known)
-                if arc if arc is not None else self.joins(before | known, text[begin[i] : i], text[i]):
-                    state[i + 1], cost[i + 1], begin[i + 1] = known, cost[i], i  # goes out as bytes
-        out, at = [], n
-        while at:
-            out.append(text[begin[at] : at])
-            at = begin[at]
-        return out[::-1]
-
-    def encode_word(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.path(text):
-            known = self.ids.get(piece)
-            ids += [known] if known is not None else [self.bytes[b] for b in piece.encode()]
-        return ids
+                same += 1
+            del state[same + 1 :], cost[same + 1 :], begin[same + 1 :], ways[same + 1 :]
+            for j in range(same, n):
+                c, on = text[j], []
+                best, weight, origin, single = None, 0.0, 0, False
+                started = ways[j] if state[j] is None else [*ways[j], (tree, j)]
+                for node, i in started:
+                    step = node.get(c)
+                    if step is None:
+                        continue
+                    known, node = step
+                    if node:
+                        on.append((node, i))
+                    if known < 0:
+                        continue
+                    if i == j:
+                        single = True
+                    number = state[i] << 21 | known + 1
+                    arc = arcs.get(number)
+                    if arc is None:
+                        arc = self.joins(number, text[begin[i] : i], text[i : j + 1])
+                    if arc:
+                        total = cost[i] - pieces[known][1]
+                        if best is None or total < weight:
+                            best, weight, origin = known + 1, total, i
+                if best is None and not single and state[j] is not None:
+                    known = count + ord(c)
+                    number = state[j] << 21 | known
+                    arc = arcs.get(number)
+                    if arc if arc is not None else self.joins(number, text[begin[j] : j], c):
+                        best, weight, origin = known, cost[j], j  # goes out as bytes
+                state.append(best)
+                cost.append(weight)
+                begin.append(origin)
+                ways.append(on)
+            out, at = [], n
+            while at:
+                out.append(state[at])
+                at = begin[at]
+            last = text
+            yield out[::-1]
+
+    def path(self, text: str) -> list[str]:
+        """The shortest path through the composition with ``text``, as the texts of its pieces."""
+        count = len(self.pieces)
+        return [self.pieces[s - 1][0] if s <= count else chr(s - count - 1) for s in next(self.paths([text]))]
+
+    def learn(self, texts: set[str]) -> None:
+        """Keeps the ids of ``texts``; what isn't asked for until as much again has come is forgotten."""
+        count, new = len(self.pieces), sorted(texts)
+        for text, states in zip(new, self.paths(new)):
+            ids: list[int] = []
+            for s in states:
+                if s <= count:
+                    ids.append(s - 1)
+                else:
+                    ids += [self.bytes[b] for b in chr(s - count - 1).encode()]
+            self.keep(text, np.array(ids, "<u4").tobytes())
+
+    def keep(self, text: str, ids: bytes) -> None:
+        self.segments[text] = ids
+        self.kept += ENTRY + 2 * len(text) + len(ids)
 
     def parts(self, word: str) -> list[str]:
         """``word`` cut at line ends and before its last character, where no piece has the two sides side by side."""
@@ -177,19 +213,30 @@ class Transducer:
                 out += (line[:-1], line[-1])
         return out
 
-    def word(self, word: str) -> bytes:
-        """Ids of a word, the mark in front; those of its parts are kept for the next time."""
-        segments, found = self.segments, []
-        for part in self.parts(MARK + word):
-            ids = segments.get(part)
-            if ids is None:
-                if len(segments) >= MOST_PARTS:  # what isn't asked for again until the next time is forgotten
-                    self.older, self.segments = segments, {}
-                    segments = self.segments
-                ids = self.older.get(part)
-                segments[part] = ids = ids if ids is not None else np.array(self.encode_word(part), "<u4").tobytes()
-            found.append(ids)
-        return found[0] if len(found) == 1 else b"".join(found)
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, the mark in front; those of their parts are kept for the next time."""
+        if self.kept > MOST_KEPT:
+            self.older, self.segments, self.kept = self.segments, {}, 0
+        segments, older, inside = self.segments, self.older, self.inside
+        cut, new = [], set()
+        for word in words:
+            line = MARK + word
+            if "\n" in word:
+                own = self.parts(line)
+            elif line[-2:] in inside or len(line) < 2:
+                own = (line,)
+            else:
+                own = (line[:-1], line[-1])
+            for part in own:
+                if part not in segments:
+                    ids = older.get(part)
+                    if ids is None:
+                        new.add(part)
+                    else:
+                        self.keep(part, ids)
+            cut.append(own)
+        self.learn(new)
+        return [segments[own[0]] if len(own) == 1 else b"".join([segments[part] for part in own]) for own in cut]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; an empty text has none."""
@@ -206,7 +253,7 @@ class Transducer:
             else:
                 lists = pc.split_pattern(own, " ")
             coded = lists.flatten().dictionary_encode()
-            parts = [self.word(w) for w in coded.dictionary.to_pylist()]
+            parts = self.words(coded.dictionary.to_pylist())
             ids, lengths = np.frombuffer(b"".join(parts), "<u4").astype(np.int64), np.array([len(p) // 4 for p in parts], np.int64)
             which = numbers(coded.indices)
             ids = ids[ranges((np.cumsum(lengths) - lengths)[which], lengths[which])]
@@ -217,8 +264,7 @@ class Transducer:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``: pieces and bytes put together, marks as blanks, the one put in front taken off."""
-        sizes = self.out_size[ids]
-        raw = self.out[ranges((np.cumsum(self.out_size) - self.out_size)[ids], sizes)].tobytes()
+        raw = self.out[ranges(self.out_at[ids], self.out_size[ids])].tobytes()
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
