@@ -193,12 +193,14 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
 
 
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, block: int = BLOCK, percentile: int = PERCENTILE, chunk: int = CHUNK) -> None:
-    """Writes the ids of all texts, ``end_id`` after each, in ascending order of ids (null last, repeats in any order).
+    """Writes the ids of all texts, ``end_id`` after each, in ascending order of ids, null last, and of texts.
 
-    A chunk holds whole documents and is closed when it has ``chunk`` ids. No rows: no chunks.
+    Rows of one id come in the order of their texts' hash and then of the texts, so that they may part between tasks
+    and a rerun writes the same. A chunk holds whole documents and is closed when it has ``chunk`` ids. No rows: no chunks.
     """
     rows = text_rows(docs, known_id().alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "doc").sortWithinPartitions("doc")
+    order = "doc", F.xxhash64("text"), "text"
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before = TaskContext.get().partitionId(), 0, 0

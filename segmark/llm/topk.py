@@ -9,6 +9,7 @@ single rows and a shard's tree is built once, so a task holds one shard at a tim
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections.abc import Iterator
 
@@ -20,17 +21,21 @@ from pyspark.sql import functions as F
 from segmark.llm.common import numbers, partitions
 from segmark.session import cut
 
-#: Scaled components end here, so that sums of 2**14 products are exact.
-LIMIT = 2**24
+#: Sums of products up to here are exact as doubles, and as 64-bit integers; beyond, Python's integers are used.
+DOUBLES, LONGS = 2**53, 2**63
 #: Queries whose bounds a task takes together.
 BLOCK = 256
 
 
 def whole_vectors(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component; rows with null or non-finite components are left out."""
+    """(vec_id, v): floor(scale * x) of each component; rows with null or non-finite components are left out.
+
+    A scaled component that no 64-bit integer holds is an error.
+    """
     x = F.transform("embedding", lambda c: c.cast("double"))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False)))
-    held = F.transform(x, lambda c: F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), c * scale))))).cast("int"))
+    fits = lambda c: F.abs(c * scale) < float(LONGS)
+    held = F.transform(x, lambda c: F.when(fits(c), F.floor(c * scale)).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits")).cast("long")))
     return vectors.filter(sound).select(F.col("vec_id").cast("long").alias("vec_id"), held.alias("v"))
 
 
@@ -59,6 +64,18 @@ class Tree:
             stack += [(order[: len(order) // 2], own), (order[len(order) // 2 :], own)]
         self.low, self.high = np.array(self.low), np.array(self.high)
         self.ids, self.x = ids, x
+        self.peak = max(abs(int(self.low.min())), abs(int(self.high.max())))
+        self.others: dict = {x.dtype: self}
+
+    def exact(self, q: np.ndarray) -> "Tree":
+        """This tree with numbers in which the products of ``q`` (whole numbers) with its vectors are exact."""
+        most = self.peak * max(abs(int(q.min())), abs(int(q.max()))) * q.shape[1]
+        kind = np.dtype(float if most < DOUBLES else np.int64 if most < LONGS else object)
+        if kind not in self.others:
+            own = copy.copy(self)
+            own.low, own.high, own.x = self.low.astype(kind), self.high.astype(kind), self.x.astype(kind)
+            self.others[kind] = own
+        return self.others[kind]
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """For each query and node, the largest inner product that its box allows."""
@@ -81,7 +98,8 @@ class Tree:
             least = max(floor, best[0][0] if len(best) == k else -np.inf)
             fit = np.flatnonzero((scores >= least) & (self.ids[rows] != own))
             if len(fit) > k:
-                fit = fit[np.lexsort((self.ids[rows[fit]], -scores[fit]))[:k]]
+                by = np.argsort(self.ids[rows[fit]], kind="stable")
+                fit = fit[by[np.argsort(-scores[fit[by]], kind="stable")[:k]]]
             for s, i in zip(scores[fit].tolist(), self.ids[rows[fit]].tolist()):
                 (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (s, -i))
         return sorted(best, reverse=True)
@@ -92,7 +110,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256
 
     Both tables are (vec_id, embedding). Equal scores: smaller id first; fewer candidates than ``k``: all of them.
     Only vectors of the query's length are candidates. Rows with a null id, vector or component, or with one that
-    isn't finite, take no part; scaled components beyond 2**24 are taken as 2**24. Repeated rows are repeated
+    isn't finite, take no part; scores are exact, and one beyond 64 bits is an error. Repeated rows are repeated
     candidates, a query repeated with one id and vector counts once. Every query goes to every shard, as an exact
     search over vectors without structure must; larger ``shard_rows`` mean fewer copies of the queries.
     """
@@ -124,14 +142,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, scale: int = 256
                 if tree is None:
                     held, rows = (np.concatenate(c) for c in zip(*parts))
                     parts = []
-                    exact = float(np.abs(rows).max()) * LIMIT * d < 2**53
-                    tree = Tree(held, rows.astype(float) if exact else rows, leaf)
+                    tree = Tree(held, rows, leaf)
                 floors = b.column(5).slice(first, last - first).to_pylist()
                 for j in range(0, len(ids), BLOCK):
-                    q = x[j : j + BLOCK].astype(tree.x.dtype)
-                    out = []
-                    for own_id, own_q, bound, floor in zip(ids[j : j + BLOCK].tolist(), q, tree.bounds(q), floors[j : j + BLOCK]):
-                        best = tree.search(own_id, own_q, bound, k, -np.inf if floor is None else floor)
+                    own = tree.exact(x[j : j + BLOCK])
+                    q, out = x[j : j + BLOCK].astype(own.x.dtype), []
+                    for own_id, own_q, bound, floor in zip(ids[j : j + BLOCK].tolist(), q, own.bounds(q), floors[j : j + BLOCK]):
+                        best = own.search(own_id, own_q, bound, k, -np.inf if floor is None else floor)
                         out += [(own_id, -minus, int(score)) for score, minus in best]
                     columns = list(zip(*out)) or [(), (), ()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])

@@ -138,6 +138,29 @@ def test_top_k_of_few_rows(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in topk.nearest(few.filter("vec_id = 0"), few).collect()) == [(1, 1, 256 * 512), (2, 1, 256 * 512)]
 
 
+@pytest.mark.parametrize("size", [1e6, 4e6, 1e13])
+def test_scores_of_large_components_are_exact(spark, size):
+    """Up to where the score itself leaves 64 bits; further columns and clashing names don't matter."""
+    rng = random.Random(size)
+    most = min(size, 4e6)
+    rows = [(i, [rng.choice([most, -most, rng.uniform(-most, most), 0.0, 0.001]) for _ in range(3)], "x", i) for i in range(120)]
+    if size > most:  # products that could leave 64 bits, but don't
+        rows = [(i, [size * (i == 7) + rng.uniform(-3, 3), *v[1:]], *rest) for i, v, *rest in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, shard long")
+    got = topk.nearest(frame.filter("vec_id % 50 = 0"), frame, shard_rows=30, leaf=4).collect()
+    whole = {r[0]: [math.floor(256 * x) for x in r[1]] for r in rows}
+    for q in (0, 50, 100):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:5]
+        assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    for x in (1e9, 1e18):
+        frame = spark.createDataFrame([(0, [x, x]), (1, [x, x])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits|int64|too large|Overflow|out of bounds"):
+            topk.nearest(frame.filter("vec_id = 0"), frame).collect()
+
+
 def test_boxes_prune():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(20, 8)) * 100

@@ -72,6 +72,19 @@ def test_token_files(spark, odd, crowded, empty, tmp_path, chunk):
     assert tokenfiles.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_of_repeated_ids(spark, tmp_path):
+    """Null and repeated ids: the same starts on every run, over several tasks."""
+    rows = [(None, f"text {i} without id") for i in range(300)] + [(4, f"text {i % 90} of one id") for i in range(300)] + [(1, None), (1, "")]
+    runs = []
+    for k in range(2):
+        random.Random(k).shuffle(rows)
+        tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3 + k), str(tmp_path / str(k)), WORDS, chunk=100)
+        files = spark.read.parquet(str(tmp_path / str(k)))
+        assert files.select("part").distinct().count() > 2
+        runs.append(sorted((r.start, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in tokenfiles.read(spark, str(tmp_path / str(k)), with_ids=False).collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == 602
+
+
 def test_transducer_gives_the_library_s_pieces():
     rng, own, library = random.Random(2), pieces.Transducer(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = ["".join(rng.choices(SIGNS, k=rng.randint(0, 40))) for _ in range(3000)] + [d[1] or "" for d in ODD]
