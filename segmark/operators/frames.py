@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from segmark.functions import text
+from segmark.operators.large import join_facts
 from segmark.operators.scan import (
     BLOCK_ROWS,
     position_block,
@@ -151,8 +151,9 @@ def runs_to_intervals(
             F.max("end_f").alias("end_f"),
         )
         .withColumn("k", F.col("k") - 1)
-        .join(clock, list(CHUNK))
     )
+    # With a width there are long chunks; their rows of the clock go to the intervals by broadcast.
+    base = join_facts(base, clock, F.col("n_frames") > (width or 0), 1 if width else 0, 0, CHUNK)
     offset, step = F.col("offset_s"), F.col("frame_s")
     timed = base.withColumn("start_s", offset + F.col("start_f") * step)
     if options.end_mode == "contiguous":
@@ -206,85 +207,182 @@ def frame_clock(
     )
 
 
-def join_tokens(tokens: DataFrame, vocab: DataFrame, order: str = "frame") -> DataFrame:
-    """Per chunk, token texts joined by blanks; a token of combining marks is glued to the one before."""
+def join_tokens(tokens: DataFrame, vocab: DataFrame, order: str = "frame", width: int = BLOCK_ROWS) -> DataFrame:
+    """Per chunk, token texts joined by blanks; a token of combining marks is glued to the one before.
+
+    Texts are put together in blocks of ``width`` positions first, so no task lists all tokens of a chunk.
+    """
     words = F.broadcast(vocabulary(vocab))
     named = tokens.join(words, tokens["token"] == words["id"], "inner").select(
-        *CHUNK, order, words["token"].alias("label"), words["folds"]
-    )
-    listed = F.sort_array(F.collect_list(F.struct(order, "label", "folds")))
-    glued = F.transform(
-        "items",
-        lambda x, i: F.when(x["folds"] & (i > 0), x["label"]).otherwise(F.concat(F.lit(" "), x["label"])),
+        *CHUNK,
+        order,
+        F.floor(F.col(order) / width).cast("long").alias("block"),
+        # A blank in front of the first token goes with the strip at the end.
+        F.when(F.col("folds"), words["token"]).otherwise(F.concat(F.lit(" "), words["token"])).alias("label"),
     )
-    return named.groupBy(*CHUNK).agg(listed.alias("items")).select(
-        *CHUNK, text.strip(F.array_join(glued, "")).alias("phonemes")
+    blocks = named.groupBy(*CHUNK, "block").agg(
+        F.array_join(F.sort_array(F.collect_list(F.struct(order, "label")))["label"], "").alias("label")
     )
+    whole = F.array_join(F.sort_array(F.collect_list(F.struct("block", "label")))["label"], "")
+    return blocks.groupBy(*CHUNK).agg(text.strip(whole).alias("phonemes"))
 
 
-def viterbi(log_probs: np.ndarray, targets: np.ndarray, blank: int) -> np.ndarray | None:
-    """Best frame labelling that collapses to ``targets``; None when there are too few frames.
+def _steps(score: np.ndarray, may_skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best score before each state and the move that gives it: 0 stays, 1 advances, 2 skips a blank."""
+    best, move = score.copy(), np.zeros(score.shape, np.uint8)
+    for k in (1, 2):
+        other = np.full_like(score, -np.inf)
+        other[:, k:] = score[:, :-k]
+        if k == 2:
+            other[~may_skip] = -np.inf
+        better = other > best
+        best[better], move[better] = other[better], k
+    return best, move
+
 
-    Equal scores prefer staying, then advancing by one state, then skipping a blank.
+def viterbi_many(log_probs: list[np.ndarray], targets: list[np.ndarray], blank: int) -> list[np.ndarray | None]:
+    """For each chunk, the best frame labelling that collapses to its targets; None when there are too few frames.
+
+    Equal scores prefer staying, then advancing by one state, then skipping a blank. All chunks take each frame
+    together as one padded cube. Of the scores every k-th row is kept, k the root of the frames; the moves between two
+    kept rows are worked out again on the way back, so memory is that of k rows, twice.
     """
-    frames, labels = len(log_probs), len(targets)
-    repeats = int((targets[1:] == targets[:-1]).sum())
-    if frames < labels + repeats:
-        return None
-    states = np.full(2 * labels + 1, blank)
-    states[1::2] = targets
-    may_skip = np.zeros(len(states), bool)
-    may_skip[3::2] = targets[1:] != targets[:-1]
-    score = np.full(len(states), -np.inf)
-    score[:2] = log_probs[0, states[:2]]
-    moves = np.zeros((frames, len(states)), np.uint8)
-    for t in range(1, frames):
-        one = np.concatenate(([-np.inf], score[:-1]))
-        two = np.where(may_skip, np.concatenate(([-np.inf, -np.inf], score[:-2]))[: len(states)], -np.inf)
-        best, move = score.copy(), moves[t]
-        for k, other in ((1, one), (2, two)):
-            better = other > best
-            best[better], move[better] = other[better], k
-        score = best + log_probs[t, states]
-    at = len(states) - 1
-    if labels and score[-2] > score[-1]:
-        at -= 1
-    path = np.empty(frames, np.int32)
-    for t in range(frames - 1, -1, -1):
-        path[t] = states[at]
-        at -= moves[t, at]
-    return path
+    out: list[np.ndarray | None] = [None] * len(targets)
+    enough = [
+        k for k, (p, t) in enumerate(zip(log_probs, targets))
+        if len(p) and len(p) >= len(t) + int((t[1:] == t[:-1]).sum())
+    ]
+    if not enough:
+        return out
+    count = len(enough)
+    frames = np.array([len(log_probs[k]) for k in enough])
+    width, height = 2 * max(len(targets[k]) for k in enough) + 1, int(frames.max())
+    states, may_skip = np.full((count, width), blank), np.zeros((count, width), bool)
+    cube = np.zeros((count, height, max(log_probs[k].shape[1] for k in enough)))
+    ends = np.empty(count, np.int64)  # the last state of each chunk
+    for b, k in enumerate(enough):
+        own, n = targets[k], len(targets[k])
+        states[b, 1 : 2 * n : 2] = own
+        may_skip[b, 3 : 2 * n : 2] = own[1:] != own[:-1]
+        cube[b, : frames[b], : log_probs[k].shape[1]] = log_probs[k]
+        ends[b] = 2 * n
+    every, stride = np.arange(count), max(1, int(height**0.5))
+
+    def emitted(t: int) -> np.ndarray:
+        return np.take_along_axis(cube[:, t], states, axis=1)
+
+    score = np.full((count, width), -np.inf)
+    score[:, :2] = emitted(0)[:, :2]
+    kept, last = {0: score}, np.full((count, 2), -np.inf)  # scores of the last two states in a chunk's last frame
+    for t in range(height):
+        if t:
+            score = _steps(score, may_skip)[0] + emitted(t)
+            if t % stride == 0:
+                kept[t] = score
+        done = np.flatnonzero(frames == t + 1)
+        last[done, 1] = score[done, ends[done]]
+        labelled = done[ends[done] > 0]
+        last[labelled, 0] = score[labelled, ends[labelled] - 1]
+    at = ends - (last[:, 0] > last[:, 1])
+    paths = np.zeros((count, height), np.int32)
+    for base in reversed(range(0, height, stride)):
+        stop = min(base + stride, height)
+        score, moves = kept[base], [None]
+        for t in range(base + 1, stop + (stop < height)):
+            best, move = _steps(score, may_skip)
+            moves.append(move)
+            score = best + emitted(t)
+        for t in reversed(range(base, stop)):
+            alive = np.flatnonzero(frames > t)
+            # The move into frame t + 1 tells the state in frame t.
+            on = np.flatnonzero(frames > t + 1)
+            if len(on):
+                at[on] -= moves[t + 1 - base][on, at[on]]
+            paths[alive, t] = states[alive, at[alive]]
+        del kept[base]
+    for b, k in enumerate(enough):
+        out[k] = paths[b, : frames[b]]
+    return out
+
+
+def viterbi(log_probs: np.ndarray, targets: np.ndarray, blank: int) -> np.ndarray | None:
+    """:func:`viterbi_many` of one chunk."""
+    return viterbi_many([log_probs], [targets], blank)[0]
+
+
+#: Values of the padded cube that chunks aligned together may take.
+CUBE = 1 << 22
+ALIGNED = "utt string, chunk int, frame int, token int"
+
+
+def _aligned(rows: Iterator[pa.RecordBatch], blank: int) -> Iterator[pa.RecordBatch]:
+    """Rows (utt, chunk, targets, frame, logits), a chunk's targets before its frames, as rows of ``ALIGNED``."""
+    ready: list[tuple] = []
+
+    def work() -> Iterator[pa.RecordBatch]:
+        by = sorted(ready, key=lambda c: len(c[3]))
+        at = 0
+        while at < len(by):
+            stop = at + 1
+            while stop < len(by) and (stop + 1 - at) * len(by[stop][3]) * (by[stop][4].shape[1] + 2) <= CUBE:
+                stop += 1
+            own = by[at:stop]
+            for (utt, chunk, _, frame, _), path in zip(own, viterbi_many([c[4] for c in own], [c[2] for c in own], blank)):
+                if path is None:
+                    frame, path = [None], [None]
+                columns = [pa.array([utt] * len(frame), pa.string()), pa.array([chunk] * len(frame), pa.int32()), pa.array(frame, pa.int32()), pa.array(path, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["utt", "chunk", "frame", "token"])
+            at = stop
+
+    def close(open_: tuple | None) -> int:
+        if open_ is None or open_[2] is None or not open_[3]:
+            return 0  # frames or targets alone
+        utt, chunk, targets, frames, logits = open_
+        values = np.concatenate(logits)
+        values -= values.max(axis=1, keepdims=True)
+        values -= np.log(np.exp(values).sum(axis=1, keepdims=True))
+        ready.append((utt, chunk, targets, np.concatenate(frames), values))
+        return values.size
+
+    open_, held = None, 0
+    for b in rows:
+        utt, chunk = b.column(0), b.column(1)
+        codes = utt.dictionary_encode().indices.to_numpy()
+        number = chunk.to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((codes[1:] != codes[:-1]) | (number[1:] != number[:-1])) + 1
+        for first, last in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows]) if b.num_rows else ():
+            key = utt[first].as_py(), chunk[first].as_py()
+            if open_ is None or open_[:2] != key:
+                held += close(open_)
+                if held > CUBE:
+                    yield from work()
+                    ready, held = [], 0
+                open_ = (*key, None, [], [])
+            if b.column(2)[first].is_valid:
+                open_ = (*key, np.asarray(b.column(2)[first].values, np.int64), [], [])
+                first += 1
+                while first < last and b.column(2)[first].is_valid:
+                    first += 1  # a repeated target counts once
+            if first < last:
+                logits = b.column(4).slice(first, last - first)
+                open_[3].append(b.column(3).slice(first, last - first).to_numpy(zero_copy_only=False))
+                open_[4].append(np.asarray(logits.flatten(), np.float64).reshape(last - first, -1))
+    close(open_)
+    yield from work()
 
 
 def forced_align(frames: DataFrame, targets: DataFrame, blank_id: int = 0) -> DataFrame:
     """Frame labels (utt, chunk, frame, token) of the best path through given targets per chunk.
 
-    ``targets`` is (utt, chunk, targets array<int>). One task works on one chunk, whose length the
-    chunker bounds. A chunk too short for its targets yields one row with a NULL frame and token.
-    For the usual target, the greedy collapse of the same posteriors, use :func:`forced_greedy_path`.
+    ``targets`` is (utt, chunk, targets array<int>). Frames stream through a task in order, a chunk at a time; short
+    chunks are aligned together. A task holds one chunk's log probabilities and some rows of scores, however long the
+    chunk. A chunk too short for its targets yields one row with a NULL frame and token, one without frames or targets
+    none. For the usual target, the greedy collapse of the same posteriors, use :func:`forced_greedy_path`.
     """
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        head = (left if len(left) else right).iloc[0]
-        empty = pd.DataFrame({"utt": [head["utt"]], "chunk": [head["chunk"]], "frame": [None], "token": [None]})
-        if not len(left) or not len(right):
-            return empty.iloc[:0]
-        left = left.sort_values("frame")
-        logits = np.stack(left["logits"].to_numpy()).astype(np.float64)
-        top = logits.max(axis=1, keepdims=True)
-        log_probs = logits - top - np.log(np.exp(logits - top).sum(axis=1, keepdims=True))
-        path = viterbi(log_probs, np.asarray(right["targets"].iloc[0], dtype=np.int64), blank_id)
-        if path is None:
-            return empty
-        return pd.DataFrame(
-            {"utt": head["utt"], "chunk": head["chunk"], "frame": left["frame"].to_numpy(), "token": path}
-        )
-
-    return (
-        frames.groupBy(*CHUNK)
-        .cogroup(targets.toDF(*targets.columns).groupBy(*CHUNK))
-        .applyInPandas(run, "utt string, chunk int, frame int, token int")
-    )
+    own = frames.select("utt", F.col("chunk").cast("int").alias("chunk"), F.lit(None).cast("array<int>").alias("targets"), F.col("frame").cast("int").alias("frame"), F.col("logits").cast("array<double>").alias("logits"))
+    wanted = targets.filter("targets is not null").select("utt", F.col("chunk").cast("int").alias("chunk"), F.col("targets").cast("array<int>").alias("targets"), F.lit(None).cast("int").alias("frame"), F.lit(None).cast("array<double>").alias("logits"))
+    dealt = own.union(wanted).repartition(*CHUNK).sortWithinPartitions(*CHUNK, F.col("frame").asc_nulls_first())
+    return dealt.mapInArrow(lambda rows: _aligned(rows, blank_id), ALIGNED)
 
 
 def forced_greedy_path(frames: DataFrame) -> DataFrame:
@@ -316,8 +414,7 @@ def ctc_align(
     width = BLOCK_ROWS if longest > BLOCK_ROWS else None
     path = best_tokens if options.decoder == "greedy" else forced_greedy_path
     tokens = (
-        path(frames)
-        .join(clock.select(*CHUNK, "n_frames"), list(CHUNK))
+        join_facts(path(frames), clock.select(*CHUNK, "n_frames"), F.col("n_frames") > BLOCK_ROWS, longest, BLOCK_ROWS, CHUNK)
         .filter(F.col("frame") < F.col("n_frames"))
         .drop("n_frames")
     )
@@ -334,8 +431,8 @@ def ctc_align(
 
 
 def number_intervals(intervals: DataFrame, long_recordings: bool = True) -> DataFrame:
-    """Dense position per recording over (chunk, k); long recordings are numbered chunk by chunk."""
-    block = F.col("chunk") if long_recordings else None
+    """Dense position per recording over (chunk, k); long recordings are numbered in blocks of a chunk."""
+    block = F.col("chunk").cast("long") * F.lit(1 << 32) + F.floor(F.col("k") / BLOCK_ROWS) if long_recordings else None
     return with_row_index(intervals, ["utt"], ["chunk", "k"], block, "pos").select(
         "utt", "pos", "phoneme", "start_s", "end_s"
     )

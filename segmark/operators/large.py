@@ -9,7 +9,6 @@ path; no task holds more than one tile or one block.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,10 +23,12 @@ from segmark.operators.blockscan import fold_blocks
 from segmark.operators.boundaries import tolerance_tags
 from segmark.operators.scan import with_rank
 from segmark.operators.seqalign import boundary_errors
-from segmark.session import cut, cut_folder
+from segmark.session import cut, cut_path
 
 #: Labels per side of a tile.
 TILE = 1 << 13
+#: Above every cost.
+FAR = 1 << 40
 #: Seconds of boundaries one task matches.
 BLOCK_SECONDS = 3600.0
 #: Most long recordings whose names are broadcast.
@@ -50,18 +51,21 @@ def split_by_length(
     return store.join(long_ones, "utt", "left_anti"), store.join(long_ones, "utt", "left_semi")
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, is_long: Column, longest: int, limit: int) -> DataFrame:
-    """Inner join of interval rows with one row per recording.
+def join_facts(
+    rows: DataFrame, facts: DataFrame, is_long: Column, longest: int, limit: int, on: Sequence[str] = ("utt",)
+) -> DataFrame:
+    """Inner join of rows with one row of facts per recording (or chunk: the columns ``on``).
 
-    Long recordings are joined by broadcast, the others by shuffle: no key of the shuffle is hot.
+    Long ones are joined by broadcast, the others by shuffle: no key of the shuffle is hot.
     """
+    on = list(on)
     if longest <= limit:
-        return rows.join(facts, "utt")
+        return rows.join(facts, on)
     hot = facts.filter(is_long)
     if hot.count() > MAX_HOT:
-        return rows.join(facts, "utt")
-    others = rows.join(F.broadcast(hot.select("utt")), "utt", "left_anti")
-    return rows.join(F.broadcast(hot), "utt").unionByName(others.join(facts.filter(~is_long), "utt"))
+        return rows.join(facts, on)
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(others.join(facts.filter(~is_long), on))
 
 
 def _codes(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
@@ -70,11 +74,18 @@ def _codes(ref, hyp) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _edges(row, tile: int) -> tuple[np.ndarray, np.ndarray]:
-    """Top row and left column of a tile; the table's own border counts up from 0."""
+    """Top row and left column of a tile; the table's own border counts up from 0, a side outside the band is far."""
     i, j = row.bi * tile, row.bj * tile
-    top = row.top if row.top is not None else np.arange(j, j + len(row.hyp) + 1)
-    left = row.left if row.left is not None else np.arange(i, i + len(row.ref) + 1)
-    return np.asarray(top, np.int64), np.asarray(left, np.int64)
+    if row.bi == 0:
+        top = np.arange(j, j + len(row.hyp) + 1)
+    else:
+        top = np.full(len(row.hyp) + 1, FAR) if row.top is None else np.array(row.top, np.int64)
+    if row.bj == 0:
+        left = np.arange(i, i + len(row.ref) + 1)
+    else:
+        left = np.full(len(row.ref) + 1, FAR) if row.left is None else np.array(row.left, np.int64)
+    top[0] = left[0] = min(top[0], left[0])
+    return top, left
 
 
 def _tiles(labels: DataFrame, side: str, index: str, tile: int) -> DataFrame:
@@ -85,89 +96,131 @@ def _tiles(labels: DataFrame, side: str, index: str, tile: int) -> DataFrame:
     )
 
 
-def tiled_pairs(labels: DataFrame, tile: int = TILE) -> DataFrame:
-    """Paired positions (utt, ref_idx, hyp_idx) of long label sequences (utt, side, pos, phoneme).
+def _band(sizes: DataFrame, budget: Column, tile: int) -> DataFrame:
+    """(utt, rows, columns, low, high, budget): tiles of a recording and the diagonals bj - bi that its band meets.
 
-    Labels without a pair are deletions or insertions. Both sides of every recording must be present.
+    A path of cost ``budget`` or less passes no cell (i, j) with |j - i| + |m - n - (j - i)| above it.
     """
-    spark = labels.sparkSession
-    folder = f"{cut_folder(spark)}/tiles-{uuid.uuid4().hex}"
-    refs = cut(_tiles(labels, "ref", "bi", tile), "tiles")
-    hyps = cut(_tiles(labels, "hyp", "bj", tile), "tiles")
-    sizes = cut(
-        labels.groupBy("utt").agg(
-            F.count_if(F.col("side") == "ref").alias("n"), F.count_if(F.col("side") == "hyp").alias("m")
-        ),
-        "sizes",
+    gap = F.col("m") - F.col("n")
+    slack = F.floor((F.col("budget") - F.abs(gap)) / 2)
+    low, high = F.least(gap, F.lit(0)) - slack, F.greatest(gap, F.lit(0)) + slack
+    return sizes.withColumn("budget", budget).select(
+        "utt",
+        F.ceil(F.col("n") / tile).alias("rows"),
+        F.ceil(F.col("m") / tile).alias("columns"),
+        (F.ceil(low / tile) - 1).alias("low"),
+        (F.floor(high / tile) + 1).alias("high"),
+        "budget",
     )
-    rows, columns = F.ceil(F.col("n") / tile), F.ceil(F.col("m") / tile)
-    grid = sizes.select("utt", rows.alias("rows"), columns.alias("columns"))
-    steps = grid.agg(F.max(F.col("rows") + F.col("columns") - 1)).first()[0] or 0
-    edge_schema = "utt string, bi long, bj long, top array<long>, left array<long>, bottom array<long>, right array<long>"
+
+
+def _joined_tiles(at: DataFrame, refs: DataFrame, hyps: DataFrame, edges: DataFrame | None) -> DataFrame:
+    """Tiles ``at`` (utt, bi, bj, ...) with their labels and, from the wave before, their top and left sides."""
+    work = at.join(refs, ["utt", "bi"]).join(hyps, ["utt", "bj"])
+    if edges is None:
+        none = F.lit(None).cast("array<long>")
+        return work.select("*", none.alias("top"), none.alias("left"))
+    down = edges.select("utt", (F.col("bi") + 1).alias("bi"), "bj", F.col("bottom").alias("top"))
+    over = edges.select("utt", "bi", (F.col("bj") + 1).alias("bj"), F.col("right").alias("left"))
+    return work.join(down, ["utt", "bi", "bj"], "left").join(over, ["utt", "bi", "bj"], "left")
+
+
+EDGES = "utt string, bi long, bj long, cost long, bottom array<long>, right array<long>"
+STEPS = "utt string, i long, j long, pairs array<struct<ref_idx:long,hyp_idx:long>>"
+
+
+def _fill(grid: DataFrame, refs: DataFrame, hyps: DataFrame, folder: str, waves: int, tile: int) -> None:
+    """Fills the tiles of each recording's band, wave by wave; a wave's bottom and right sides are one table."""
+    spark = grid.sparkSession
 
     def fill(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                top, left = _edges(row, tile)
-                bottom, right, _ = sweep(*_codes(row.ref, row.hyp), top, left)
-                out.append((row.utt, row.bi, row.bj, top, left, bottom, right))
-            yield pd.DataFrame(out, columns=["utt", "bi", "bj", "top", "left", "bottom", "right"])
+                bottom, right, _ = sweep(*_codes(row.ref, row.hyp), *_edges(row, tile))
+                out.append((row.utt, row.bi, row.bj, bottom[-1], bottom, right))
+            yield pd.DataFrame(out, columns=["utt", "bi", "bj", "cost", "bottom", "right"])
 
     edges = None
-    for w in range(steps):
-        first = F.greatest(F.lit(0), F.lit(w + 1) - F.col("columns"))
-        last = F.least(F.lit(w), F.col("rows") - 1)
-        active = (
-            grid.filter(first <= last)
-            .select("utt", F.explode(F.sequence(first, last).cast("array<long>")).alias("bi"))
-            .withColumn("bj", F.lit(w) - F.col("bi"))
-        )
-        work = active.join(refs, ["utt", "bi"]).join(hyps, ["utt", "bj"])
-        if edges is None:
-            none = F.lit(None).cast("array<long>")
-            work = work.select("*", none.alias("top"), none.alias("left"))
-        else:
-            down = edges.select("utt", (F.col("bi") + 1).alias("bi"), "bj", F.col("bottom").alias("top"))
-            over = edges.select("utt", "bi", (F.col("bj") + 1).alias("bj"), F.col("right").alias("left"))
-            work = work.join(down, ["utt", "bi", "bj"], "left").join(over, ["utt", "bi", "bj"], "left")
-        path = f"{folder}/edges/w={w}"
-        work.repartition("utt", "bi").mapInPandas(fill, edge_schema).write.parquet(path)
-        edges = spark.read.schema(edge_schema).parquet(path)
+    for w in range(waves):
+        wave = F.lit(w)
+        first = F.greatest(F.lit(0), wave - F.col("columns") + 1, F.ceil((wave - F.col("high")) / 2))
+        last = F.least(wave, F.col("rows") - 1, F.floor((wave - F.col("low")) / 2))
+        active = grid.filter(first <= last).select("utt", F.explode(F.sequence(first, last).cast("array<long>")).alias("bi"))
+        work = _joined_tiles(active.withColumn("bj", wave - F.col("bi")), refs, hyps, edges)
+        work.repartition("utt", "bi").mapInPandas(fill, EDGES).write.parquet(f"{folder}/w={w}")
+        edges = spark.read.schema(EDGES).parquet(f"{folder}/w={w}")
+
 
-    filled = spark.read.schema(edge_schema).option("recursiveFileLookup", "true").parquet(f"{folder}/edges")
-    path_schema = "utt string, i long, j long, pairs array<struct<ref_idx:long,hyp_idx:long>>"
+def _walk_back(ends: DataFrame, refs: DataFrame, hyps: DataFrame, folder: str, waves: int, tile: int) -> DataFrame:
+    """(utt, ref_idx, hyp_idx) along the paths from ``ends`` (utt, i, j), read from the waves' sides.
+
+    A path goes from a tile to one of an earlier wave, so each wave's table is read once at most.
+    """
+    spark = ends.sparkSession
 
     def back(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
                 i0, j0 = row.bi * tile, row.bj * tile
-                steps_back, i, j = walk(*_codes(row.ref, row.hyp), *_edges(row, tile), row.i - i0, row.j - j0)
-                pairs = [{"ref_idx": i0 + a, "hyp_idx": j0 + b} for a, b in steps_back if a >= 0 and b >= 0]
+                steps, i, j = walk(*_codes(row.ref, row.hyp), *_edges(row, tile), row.i - i0, row.j - j0)
+                pairs = [{"ref_idx": i0 + a, "hyp_idx": j0 + b} for a, b in steps if a >= 0 and b >= 0]
                 out.append((row.utt, i0 + i, j0 + j, pairs))
             yield pd.DataFrame(out, columns=["utt", "i", "j", "pairs"])
 
-    at = sizes.select("utt", F.col("n").alias("i"), F.col("m").alias("j"))
-    for w in range(steps):
-        here = at.filter((F.col("i") > 0) & (F.col("j") > 0)).select(
-            "*",
-            F.floor((F.col("i") - 1) / tile).cast("long").alias("bi"),
-            F.floor((F.col("j") - 1) / tile).cast("long").alias("bj"),
-        )
-        work = (
-            filled.select("utt", "bi", "bj", "top", "left")
-            .join(here, ["utt", "bi", "bj"])
-            .join(refs, ["utt", "bi"])
-            .join(hyps, ["utt", "bj"])
-        )
-        path = f"{folder}/path/w={w}"
-        work.mapInPandas(back, path_schema).write.parquet(path)
-        at = spark.read.schema(path_schema).parquet(path).select("utt", "i", "j")
-        if at.isEmpty():
-            break
-    found = spark.read.schema(path_schema).option("recursiveFileLookup", "true").parquet(f"{folder}/path")
-    return found.select("utt", F.inline("pairs"))
+    at = ends
+    inside = (F.col("i") > 0) & (F.col("j") > 0)
+    for w in reversed(range(waves)):
+        bi, bj = (F.floor((F.col(c) - 1) / tile).cast("long") for c in ("i", "j"))
+        placed = at.filter(inside).withColumns({"bi": bi, "bj": bj})
+        here = F.col("bi") + F.col("bj") == w
+        edges = spark.read.schema(EDGES).parquet(f"{folder}/w={w - 1}") if w else None
+        moved = _joined_tiles(placed.filter(here), refs, hyps, edges).mapInPandas(back, STEPS)
+        waiting = placed.filter(~here).select("utt", "i", "j", F.lit(None).cast("array<struct<ref_idx:long,hyp_idx:long>>").alias("pairs"))
+        moved.union(waiting).write.parquet(f"{folder}/path-{w}")
+        at = spark.read.schema(STEPS).parquet(f"{folder}/path-{w}").select("utt", "i", "j")
+    paths = [f"{folder}/path-{w}" for w in range(waves)]
+    return spark.read.schema(STEPS).parquet(*paths).filter("pairs is not null").select("utt", F.inline("pairs"))
+
+
+def tiled_pairs(labels: DataFrame, tile: int = TILE) -> DataFrame:
+    """Paired positions (utt, ref_idx, hyp_idx) of long label sequences (utt, side, pos, phoneme).
+
+    Labels without a pair are deletions or insertions. Both sides of every recording must be present. Only tiles in a
+    band around the diagonal are filled. The band holds every path of a cost up to its budget, so once the corner costs
+    no more, all best paths lie inside and the one walked back is that of the whole table; otherwise the budget is
+    doubled, until the band is the table.
+    """
+    spark = labels.sparkSession
+    refs = cut(_tiles(labels, "ref", "bi", tile), "tiles")
+    hyps = cut(_tiles(labels, "hyp", "bj", tile), "tiles")
+    sizes = cut(
+        labels.groupBy("utt").agg(
+            F.count_if(F.col("side") == "ref").alias("n"), F.count_if(F.col("side") == "hyp").alias("m")
+        ),
+        "sizes",
+    )
+    open_ = sizes.withColumn("extra", F.lit(tile).cast("long"))
+    found = None
+    while True:
+        grid = cut(_band(open_, F.abs(F.col("m") - F.col("n")) + F.col("extra"), tile), "band")
+        waves = grid.agg(F.max(F.col("rows") + F.col("columns") - 1)).first()[0] or 0
+        folder = cut_path(spark, "waves")
+        _fill(grid, refs, hyps, folder, waves, tile)
+        if waves:
+            corners = spark.read.schema(EDGES).parquet(*(f"{folder}/w={w}" for w in range(waves))).select("utt", "bi", "bj", "cost")
+            last = (F.col("bi") == F.col("rows") - 1) & (F.col("bj") == F.col("columns") - 1)
+            costs = corners.join(grid, "utt").filter(last & (F.col("cost") <= F.col("budget"))).select("utt")
+            settled = cut(sizes.join(costs, "utt"), "settled")
+        else:
+            settled = sizes.limit(0)
+        ends = settled.select("utt", F.col("n").alias("i"), F.col("m").alias("j"))
+        pairs = _walk_back(ends, refs, hyps, folder, waves, tile) if waves else labels.select("utt", F.lit(0).cast("long").alias("ref_idx"), F.lit(0).cast("long").alias("hyp_idx")).limit(0)
+        found = pairs if found is None else found.union(pairs)
+        open_ = cut(open_.join(settled.select("utt"), "utt", "left_anti").withColumn("extra", F.col("extra") * 2), "open")
+        if open_.isEmpty():
+            return found
 
 
 def blocked_hits(bounds: DataFrame, tolerance: float, block_seconds: float = BLOCK_SECONDS) -> DataFrame:

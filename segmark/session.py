@@ -56,14 +56,20 @@ def cut_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def cut_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which :func:`clear_cuts` knows of."""
+    path = f"{cut_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _CUTS.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where several branches need the same costly rows, and between the rounds of an iterative
     job: the written table survives lost executors, is pruned per branch, and ends the lineage.
     """
-    path = f"{cut_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _CUTS.append(path)
+    path = cut_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,12 @@
 """The tiled path must give exactly what the one-task path gives."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from segmark import fixtures as fx
+from segmark.functions.editpath import edit_paths
 from segmark.operators import anylength, large, metrics, seqalign
 from segmark.suite.matching import rounded
 
@@ -22,6 +26,58 @@ def test_tiled_scores_equal_one_task_scores(spark):
     assert _rows(errors) == _rows(whole.errors.select(*errors.columns))
 
 
+def sequences(rng, n, wrong, shift):
+    """Reference labels and a hypothesis with a share of edits and a block of ``shift`` further labels."""
+    ref = [rng.choice("abcdefgh") for _ in range(n)]
+    hyp = []
+    for x in ref:
+        r = rng.random()
+        if r < wrong / 3:
+            continue
+        hyp.append(rng.choice("abcdefgh") if r < 2 * wrong / 3 else x)
+        if 2 * wrong / 3 <= r < wrong:
+            hyp.append(rng.choice("abcdefgh"))
+    at = rng.randrange(len(hyp) + 1)
+    return ref, hyp[:at] + [rng.choice("abcdefgh") for _ in range(shift)] + hyp[at:]
+
+
+def pairs_of(ref, hyp):
+    codes = [np.array([ord(c) for c in x]) for x in (ref, hyp)]
+    (path,) = edit_paths([codes[0]], [codes[1]])
+    return sorted((int(i), int(j)) for i, j in zip(*path) if i >= 0 and j >= 0)
+
+
+def test_bands_find_the_path_of_the_whole_table(spark):
+    """Few and many edits, long insertions, either side longer: the same pairs; bands grow only where they must."""
+    rng = random.Random(3)
+    cases = {f"u{k}": sequences(rng, n, wrong, shift) for k, (n, wrong, shift) in enumerate([(100, 0.05, 0), (90, 0.9, 0), (20, 0.2, 60), (80, 0.0, 0), (5, 0.5, 0), (90, 0.3, 20)])}
+    cases["w"] = cases["u2"][::-1]
+    cases["all"] = (["a"] * 70, ["b"] * 60)
+    rows = [(u, s, k, x) for u, (ref, hyp) in cases.items() for s, seq in (("ref", ref), ("hyp", hyp)) for k, x in enumerate(seq)]
+    labels = spark.createDataFrame(rows, "utt string, side string, pos long, phoneme string")
+    got = {u: [] for u in cases}
+    for r in large.tiled_pairs(labels, tile=16).collect():
+        got[r.utt].append((r.ref_idx, r.hyp_idx))
+    assert {u: sorted(x) for u, x in got.items()} == {u: pairs_of(*x) for u, x in cases.items()}
+
+
+def test_tiles_filled_and_sides_read_grow_with_the_length(spark, monkeypatch):
+    """Of alike sequences only tiles beside the diagonal are filled, and each wave's sides are read once."""
+    filled = []
+    own = large._fill
+
+    def watched(grid, refs, hyps, folder, waves, tile):
+        own(grid, refs, hyps, folder, waves, tile)
+        filled.append(sum(spark.read.parquet(f"{folder}/w={w}").count() for w in range(waves)))
+
+    monkeypatch.setattr(large, "_fill", watched)
+    for n in (80, 160):
+        ref = [str(k % 7) for k in range(n)]
+        rows = [("u", s, k, x) for s in ("ref", "hyp") for k, x in enumerate(ref)]
+        assert large.tiled_pairs(spark.createDataFrame(rows, "utt string, side string, pos long, phoneme string"), tile=16).count() == n
+    assert len(filled) == 2 and filled[0] <= 3 * 5 and filled[1] <= 3 * 10
+
+
 def test_report_mixes_short_and_long_recordings(spark):
     store = fx.two_sided(spark, SF)
     sizes = store.groupBy("utt", "side").count().agg(F.expr("percentile_disc(0.5) within group (order by count)")).first()[0]

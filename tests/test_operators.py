@@ -1,8 +1,13 @@
 """Hand-written rows through the Spark operators."""
 
+import tracemalloc
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from segmark import fixtures as fx
 from segmark.functions import labels as L
 from segmark.functions import text
 from segmark.operators import frames as fr
@@ -180,6 +185,108 @@ def test_marks_join_the_interval_before(spark):
     assert values(text_, "phonemes") == [("̃ ɑ̃ t",)]
 
 
+def plain_viterbi(log_probs, targets, blank):
+    """All states of all frames kept: staying before advancing before skipping."""
+    states = [blank]
+    for t in targets:
+        states += [t, blank]
+    best = [{s: log_probs[0][states[s]] for s in (0, 1) if s < len(states)}]
+    back = [{}]
+    for row in log_probs[1:]:
+        here, moves = {}, {}
+        for s in range(len(states)):
+            options = [s, s - 1] + ([s - 2] if s > 2 and states[s] != blank and states[s] != states[s - 2] else [])
+            options = [(best[-1][o], -n, o) for n, o in enumerate(options) if o in best[-1]]
+            if options:
+                score, _, moves[s] = max(options)
+                here[s] = score + row[states[s]]
+        best.append(here)
+        back.append(moves)
+    ends = [s for s in (len(states) - 1, len(states) - 2) if s in best[-1]]
+    if not ends:
+        return None
+    at = max(ends, key=lambda s: (best[-1][s], s))
+    path = []
+    for t in reversed(range(len(log_probs))):
+        path.append(states[at])
+        at = back[t].get(at, at)
+    return path[::-1]
+
+
+def test_viterbi_in_strips_is_that_of_all_states():
+    rng = np.random.default_rng(5)
+    chunks, targets = [], []
+    for _ in range(150):
+        n, classes = int(rng.integers(1, 40)), int(rng.integers(2, 6))
+        # Few distinct values make many ties.
+        chunks.append(np.round(rng.random((n, classes)) * 3) - 4.0)
+        targets.append(rng.integers(1, classes, int(rng.integers(0, 12))))
+    together = fr.viterbi_many(chunks, targets, 0)
+    for p, t, got in zip(chunks, targets, together):
+        want = plain_viterbi(p.tolist(), t.tolist(), 0)
+        alone = fr.viterbi(p, t, 0)
+        assert (got is None) == (want is None) == (alone is None)
+        assert want is None or got.tolist() == want == alone.tolist()
+
+
+def test_viterbi_of_a_long_chunk_keeps_few_rows():
+    rng = np.random.default_rng(6)
+    n, labels = 20_000, 500
+    targets = rng.integers(1, 20, labels)
+    probs = rng.random((n, 20))
+    tracemalloc.start()
+    path = fr.viterbi(probs, targets, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * n * 20 * 8  # all moves alone would take 20 MB, all scores 160 MB
+    collapsed = [x for k, x in enumerate(path.tolist()) if x and (not k or path[k - 1] != x)]
+    assert collapsed == targets.tolist()
+
+
+@pytest.mark.parametrize("cube", [1 << 22, 60])
+def test_forced_alignment_streams_chunks(spark, monkeypatch, cube):
+    """Many chunks, some without frames or targets, repeated targets: as chunk by chunk; no cogroup in the plan."""
+    monkeypatch.setattr(fr, "CUBE", cube)
+    rng = np.random.default_rng(7)
+    frames, targets, want = [], [], []
+    for k in range(40):
+        utt, chunk = f"u{k % 5}", k // 5
+        logits, own = rng.random((int(rng.integers(1, 30)), 4)) * 4, rng.integers(1, 4, int(rng.integers(0, 8)))
+        if k % 9 != 8:
+            frames += [(utt, chunk, f, [float(x) for x in row]) for f, row in enumerate(logits)]
+        if k % 7 != 6:
+            targets += [(utt, chunk, own.tolist())] * (1 + (k % 4 == 3))
+        if k % 9 != 8 and k % 7 != 6:
+            path = fr.viterbi(logits - np.log(np.exp(logits).sum(axis=1, keepdims=True)), own, 0)
+            want += [(utt, chunk, None, None)] if path is None else [(utt, chunk, f, int(t)) for f, t in enumerate(path)]
+    rng.shuffle(frames_ := np.arange(len(frames)))
+    df = spark.createDataFrame([frames[i] for i in frames_], "utt string, chunk int, frame int, logits array<double>")
+    out = fr.forced_align(df, spark.createDataFrame(targets, "utt string, chunk int, targets array<int>"))
+    assert Counter(tuple(r) for r in out.collect()) == Counter(want)
+    assert "CoGroup" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("width", [1, 3, 10, 1 << 20])
+def test_token_strings_in_blocks(spark, width):
+    vocab = spark.createDataFrame([(0, "<pad>"), (1, "a"), (2, "b"), (3, "\u0303"), (4, "|")], "id int, token string")
+    seqs = {"u": [3, 1, 2, 3, 1, 1, 3, 3, 2], "v": [1], "w": [2, 3] * 12}
+    rows = [(u, 0, f, t) for u, seq in seqs.items() for f, t in enumerate(seq)]
+    own = spark.createDataFrame(rows, "utt string, chunk int, frame int, token int")
+    got = {r.utt: r.phonemes for r in fr.join_tokens(own, vocab, width=width).collect()}
+    assert got == {r.utt: r.phonemes for r in fr.join_tokens(own, vocab).collect()}
+    assert got["w"] == " ".join(["b\u0303"] * 12) and got["v"] == "a" and got["u"].endswith("a a\u0303\u0303 b")
+
+
+def test_whole_file_chunks_in_blocks(spark, monkeypatch):
+    """One chunk a recording and a lowered bound: the same intervals and strings as in one window."""
+    posteriors = fx.frames(spark, "/root/testdata/sf0.001").withColumns({"frame": F.col("chunk") * 25 + F.col("frame"), "chunk": F.lit(0)}).cache()
+    lengths = posteriors.groupBy("utt").agg(((F.max("frame") + 1) * 0.02).alias("duration_s"))
+    run = lambda: fr.ctc_align(posteriors, fr.whole_file_chunks(lengths), lengths, fx.frame_vocab(spark), fr.ctc_options("greedy", unk_id=3))
+    whole = [Counter(map(tuple, x.collect())) for x in run()]
+    monkeypatch.setattr(fr, "BLOCK_ROWS", 10)
+    assert [Counter(map(tuple, x.collect())) for x in run()] == whole and whole[0]
+
+
 def test_forced_alignment_too_short(spark):
     frames = spark.createDataFrame([("u", 0, 0, [0.1, 0.9, 0.0])], "utt string, chunk int, frame int, logits array<float>")
     targets = spark.createDataFrame([("u", 0, [1, 2])], "utt string, chunk int, targets array<int>")
