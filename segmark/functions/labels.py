@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from segmark.functions import presets as P
 from segmark.functions import text
+from segmark.functions.guarded import guarded
 
 GENERAL, SAMPA, ASR_CODES = "general", "sampa", "asr_codes"
 
@@ -49,7 +50,8 @@ class LabelRules:
 class CustomRules:
     """Any label function in place of a rule set: takes the raw label column, gives the label or NULL.
 
-    A vectorised Python function works too; it then runs over the distinct labels only.
+    A vectorised Python function works too; it then runs over the distinct labels only. In a run (``outcome``), a label
+    on which a Python function raises has no result and a reason.
     """
 
     function: Callable[[Column], Column]
@@ -57,6 +59,10 @@ class CustomRules:
     def expression(self, raw: Column, nfc: Column, marks: Column) -> Column:
         return self.function(raw)
 
+    def outcome(self, raw: Column) -> Column:
+        """(value, error) of the label."""
+        return guarded(self.function)(raw)
+
 
 def french_rules(kind: str = "reference") -> LabelRules:
     """The general chain set up for French: SAMPA references, ASR codes, or a model's narrow IPA."""

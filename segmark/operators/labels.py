@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmark.functions import text
-from segmark.functions.labels import LabelRules
+from segmark.functions.labels import CustomRules, LabelRules
 from segmark.operators.scan import block_width, position_block, with_row_index
 from segmark.session import cut
 
@@ -59,17 +59,26 @@ def normalize_sides(
     df: DataFrame,
     column: str,
     side: str,
-    rules: Mapping[str, LabelRules],
+    rules: Mapping[str, LabelRules | CustomRules],
     name: str = "phoneme",
     max_vocabulary: int = MAX_VOCABULARY,
+    error: str | None = None,
 ) -> DataFrame:
-    """As :func:`normalize_labels` with one rule set per value of ``side``, over one shared vocabulary."""
+    """As :func:`normalize_labels` with one rule set per value of ``side``, over one shared vocabulary.
 
-    def by_side(outs: Mapping[str, Column]) -> Column:
+    With ``error``, a column of that name says why a caller's own rule raised on the label (else NULL); without, what
+    such a rule raises ends the job.
+    """
+
+    def by_side(outs: Mapping[str, Column], alias: str) -> Column:
         picked = F.lit(None).cast("string")
         for value, out in outs.items():
             picked = F.when(F.col(side) == value, out).otherwise(picked)
-        return picked.alias(name)
+        return picked.alias(alias)
+
+    def results(outs: Mapping[str, Column]) -> list[Column]:
+        both = [by_side({v: o["value"] for v, o in outs.items()}, name)]
+        return both + [by_side({v: o["error"] for v, o in outs.items()}, error)] if error else both
 
     rest = [c for c in df.columns if c != name]
     vocabulary = _small_vocabulary(df, column, max_vocabulary)
@@ -78,15 +87,21 @@ def normalize_sides(
     outs: dict[str, Column] = {}
     for value, r in rules.items():
         same = next((outs[v] for v in outs if rules[v] == r), None)
-        fresh = r.expression(F.col(column), F.col("__c.nfc"), F.col("__c.marks")) if same is None else same
-        outs[value] = fresh
+        if same is not None:
+            outs[value] = same
+        elif error and isinstance(r, CustomRules):
+            outs[value] = r.outcome(F.col(column))
+        else:
+            plain = r.expression(F.col(column), F.col("__c.nfc"), F.col("__c.marks"))
+            outs[value] = F.struct(plain.alias("value"), F.lit(None).cast("string").alias("error"))
+    # Outcomes are columns of their own first, so that each function is evaluated once.
+    named = {value: f"__out_{k}" for k, value in enumerate(outs)}
+    done = composed.select(*(rest if vocabulary is None else [F.col(column).alias("__label")]), *[out.alias(named[v]) for v, out in outs.items()])
+    picked = results({v: F.col(c) for v, c in named.items()})
     if vocabulary is None:
-        return composed.select(*rest, by_side(outs))
-    table = composed.select(
-        F.col(column).alias("__label"), *[out.alias(f"__out_{value}") for value, out in outs.items()]
-    )
-    joined = df.join(F.broadcast(table), F.col(column) == F.col("__label"), "left")
-    return joined.select(*rest, by_side({value: F.col(f"__out_{value}") for value in outs}))
+        return done.select(*rest, *picked)
+    joined = df.join(F.broadcast(done), F.col(column) == F.col("__label"), "left")
+    return joined.select(*rest, *picked)
 
 
 def clean_intervals(

@@ -39,13 +39,15 @@ class ScoreOptions:
 class Scored:
     """Per-recording rows (counts, sums, quantiles) and the long error rows they come from.
 
-    ``matches`` is the number of error rows.
+    ``matches`` is the number of error rows. ``failures`` (utt, reason): recordings on which a caller's own aligner
+    raised.
     """
 
     files: DataFrame
     errors: DataFrame
     options: ScoreOptions
     matches: int | None = None
+    failures: DataFrame | None = None
 
     @property
     def values(self) -> int | None:
@@ -220,12 +222,14 @@ def score(
 
     Recordings of ordinary length become one row each and are scored where they lie; longer ones are
     tiled. ``longest`` is the largest number of labels on one side of a recording, counted here unless
-    the caller knows it. Another ``aligner`` gets every recording whole, whatever its length. The scored
-    rows are written once because the report reads them several times.
+    the caller knows it. Another ``aligner`` gets every recording whole, whatever its length; a recording
+    on which it raises is a row of ``failures`` and not scored. The scored rows are written once because
+    the report reads them several times.
     """
     own = aligner is seqalign.align_labels
     small, big = large.split_by_length(store, options.max_one_task, longest) if own else (store, None)
-    aligned = seqalign.with_errors(seqalign.align(seqalign.gather(small, order), aligner))
+    error = None if own else "failed"
+    aligned = seqalign.with_errors(seqalign.align(seqalign.gather(small, order), aligner, error))
     counted = boundaries.with_boundary_counts(
         aligned.select(
             "utt",
@@ -239,10 +243,15 @@ def score(
             "d",
             "i",
             "errs",
+            *([error] if error else []),
         ),
         options.tolerances,
     ).drop("ref", "hyp")
     scored = cut(counted.withColumn("n_match", F.size("errs")), "scored")
+    failures = None
+    if error:
+        failures = scored.filter(F.col(error).isNotNull()).select("utt", F.col(error).alias("reason"))
+        scored = scored.filter(F.col(error).isNull()).drop(error)
     matches = scored.agg(F.sum("n_match")).first()[0] or 0
     files = _file_statistics(scored.drop("n_match"), options.cap_ms)
     errors = seqalign.error_rows(scored)
@@ -255,7 +264,7 @@ def score(
         filled = big_counts.join(stats, "utt", "left").na.fill(0.0, list(_moments(options.cap_ms)))
         files = files.unionByName(filled)
         errors = errors.unionByName(big_errors.select(*errors.columns))
-    return Scored(files, errors, options, matches)
+    return Scored(files, errors, options, matches, failures)
 
 
 def _count_columns(tags: Sequence[str]) -> list[str]:

@@ -17,6 +17,7 @@ from pyspark.sql.functions import arrow_udf
 
 from segmark.functions import arrow as ar
 from segmark.functions.editpath import edit_counts, edit_paths
+from segmark.functions.guarded import guarded
 from segmark.functions.text import words_of
 
 #: Longest side of a recording aligned inside one task; longer ones are tiled.
@@ -86,16 +87,20 @@ align_labels = align_labels.asNondeterministic()
 Aligner = Callable[[Column, Column], Column]
 
 
-def align(recordings: DataFrame, aligner: Aligner = align_labels) -> DataFrame:
+def align(recordings: DataFrame, aligner: Aligner = align_labels, error: str | None = None) -> DataFrame:
     """Add ``pairs`` and the edit counts ``s, d, i`` to gathered recordings.
 
     ``aligner`` is any vectorised function of two label arrays returning the same struct, so a banded
-    variant can be swapped in.
+    variant can be swapped in. With ``error``, a column of that name says why it raised on a recording
+    (else NULL), whose pairs and counts are NULL then.
     """
     labels = [F.col(side)["phoneme"] for side in ("ref", "hyp")]
-    return recordings.withColumn("a", aligner(*labels)).select(
-        *recordings.columns, F.col("a.pairs"), F.col("a.s"), F.col("a.d"), F.col("a.i")
-    )
+    if error is None:
+        out, own = recordings.withColumn("a", aligner(*labels)), []
+    else:
+        out = recordings.withColumn("o", guarded(aligner)(*labels)).withColumns({"a": F.col("o.value"), error: F.col("o.error")})
+        own = [error]
+    return out.select(*recordings.columns, F.col("a.pairs"), F.col("a.s"), F.col("a.d"), F.col("a.i"), *own)
 
 
 def pair_rows(aligned: DataFrame) -> DataFrame:

@@ -115,7 +115,8 @@ def build_store(
     """Normalise, re-anchor and validate raw intervals of both sides.
 
     ``samples`` is (utt, file, style); raw intervals are (utt, pos, label, start_s, end_s). A recording
-    whose labels all vanish on one side fails with a reason and leaves the store.
+    whose labels all vanish on one side, or with a label on which a caller's own rule raises, fails with a
+    reason and leaves the store.
     """
     spark = samples.sparkSession
     rules = {
@@ -124,12 +125,17 @@ def build_store(
     }
     names = ["utt", "pos", "label", "start_s", "end_s"]
     both = ref.select(F.lit("ref").alias("side"), *names).unionByName(hyp.select(F.lit("hyp").alias("side"), *names))
-    cleaned = normalize_sides(both, "label", "side", rules).filter(F.col("phoneme").isNotNull()).drop("label")
+    named = normalize_sides(both, "label", "side", rules, error="why").drop("label")
+    custom = any(isinstance(r, CustomRules) for r in rules.values())
+    cleaned = named.filter(F.col("phoneme").isNotNull())
+    scorable = F.col("phoneme").isNotNull()
+    seen = named.filter(scorable | F.col("why").isNotNull()) if custom else cleaned
     # One pass per recording gives what validation, re-anchoring and the length check need.
-    ref_pos = F.when(F.col("side") == "ref", F.col("pos"))
-    facts = cleaned.groupBy("utt").agg(
-        F.count_if(F.col("side") == "ref").alias("n_ref"),
-        F.count_if(F.col("side") == "hyp").alias("n_hyp"),
+    ref_pos = F.when((F.col("side") == "ref") & scorable, F.col("pos"))
+    facts = seen.groupBy("utt").agg(
+        F.count_if((F.col("side") == "ref") & scorable).alias("n_ref"),
+        F.count_if((F.col("side") == "hyp") & scorable).alias("n_hyp"),
+        F.min("why").alias("why"),
         F.min_by("start_s", ref_pos).alias("first_s"),
         F.max_by("end_s", ref_pos).alias("last_s"),
     )
@@ -144,22 +150,15 @@ def build_store(
         late = F.col("last_s") > F.col("duration_s") + options.ref_offset_tolerance
         shift = F.when(late, F.col("first_s")).otherwise(0.0)
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_ref", "n_hyp")]
-    checked = cut(rows.select("utt", "file", "style", *counts, shift.alias("shift")), "checked")
-    good = (F.col("n_ref") > 0) & (F.col("n_hyp") > 0)
-    failures = checked.filter(~good).select(
-        "utt",
-        F.format_string(
-            "ValueError: empty after normalisation (ref=%d, hyp=%d); "
-            "check the presets and the tier selection",
-            "n_ref",
-            "n_hyp",
-        ).alias("reason"),
-    )
+    checked = cut(rows.select("utt", "file", "style", *counts, shift.alias("shift"), "why"), "checked")
+    good = (F.col("n_ref") > 0) & (F.col("n_hyp") > 0) & F.col("why").isNull()
+    bare = F.format_string("no label is left to score: %d in the reference, %d in the hypothesis", "n_ref", "n_hyp")
+    failures = checked.filter(~good).select("utt", F.coalesce("why", bare).alias("reason"))
     longest = checked.agg(F.max(F.greatest("n_ref", "n_hyp"))).first()[0] or 0
     moved = F.when(F.col("side") == "ref", F.col("shift")).otherwise(0.0)
     limit = options.scoring.max_one_task
     is_long = F.greatest("n_ref", "n_hyp") > limit
-    intervals = join_facts(cleaned, checked.filter(good), is_long, longest, limit).select(
+    intervals = join_facts(cleaned.drop("why"), checked.filter(good), is_long, longest, limit).select(
         "utt",
         "file",
         "style",
@@ -193,6 +192,9 @@ def evaluate_tables(
     # Written once: scoring, inventory and timeline all read the stored rows.
     store, failures = cut(store, "store"), cut(failures, "failures")
     scored = metrics.score(store, options.scoring, longest=longest, aligner=aligner)
+    if scored.failures is not None:  # recordings on which the caller's aligner raised leave the store, as others do
+        store = store.join(scored.failures.select("utt"), "utt", "left_anti")
+        failures = failures.unionByName(scored.failures)
     return Evaluation(store, failures, predictions, scored)
 
 
@@ -313,8 +315,8 @@ class EvaluationJob:
         if n == FAIL_FAST_AFTER and failed.count() == n:
             row = failed.orderBy(F.desc("utt")).first()
             raise RuntimeError(
-                f"the first {n} files all failed, most recently {row['utt']}: {row['reason']}; "
-                "a wrong tier choice or unreadable annotation is the usual cause"
+                f"no recording of the first {n} could be evaluated ({row['utt']}: {row['reason']}); "
+                "look at the tier choice and at whether the annotation can be read"
             )
 
     def run(self, spark: SparkSession) -> Evaluation:

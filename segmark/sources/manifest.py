@@ -65,6 +65,7 @@ def discover_pairs(
     joined = refs.select("stem", F.col("path").alias("ref_path")).join(
         audio.select("stem", F.col("path").alias("audio_path")), "stem", "left"
     )
+    # The reasons.
     excluded = F.col("stem").isin(*exclude) if exclude else F.lit(False)
     reason = F.when(excluded, "excluded").when(F.col("audio_path").isNull(), "no audio file")
     hyp_path = F.lit(None).cast("string").alias("hyp_path")

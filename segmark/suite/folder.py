@@ -34,23 +34,23 @@ def sound_header(ms: int, ogg: bool) -> bytes:
     return page + b"OggS\0\4" + struct.pack("<qIIIBB", ms, 1, 1, 0, 1, 1) + b"\0"
 
 
-def write_files(files: DataFrame) -> None:
-    """Writes (path, body) in tasks; a task that runs twice writes the same files again."""
+def write_files(files: DataFrame, make=None) -> None:
+    """Writes (path, body) in tasks, or what ``make`` gives of the columns after the path; a task that runs twice writes the same files again."""
     def write(batches):
-        for pdf in batches:
-            for path, body in zip(pdf["path"], pdf["body"]):
-                stores.write_bytes(path, bytes(body))
-            yield pdf[["path"]]
+        for b in batches:
+            for path, *rest in zip(*(c.to_pylist() for c in b.columns)):
+                stores.write_bytes(path, make(*rest) if make else rest[0])
+            yield b.select(["path"])
 
-    files.select("path", "body").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    files.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
 
 
 def sounds(spark, sf_dir: str, root: str) -> DataFrame:
-    body = F.udf(sound_header, "binary")
+    """(path, ms, ogg) of sound files."""
     rows = fx.durations(spark, sf_dir).select("utt", F.round(F.col("duration_s") * 1000).cast("long").alias("ms"))
     ogg = F.pmod(F.xxhash64("utt"), F.lit(3)) == 0
     path = F.concat(F.lit(f"{root}/audio/"), folder_of("utt"), F.lit("/"), "utt", F.when(ogg, ".ogg").otherwise(".flac"))
-    return rows.select(path.alias("path"), body("ms", ogg).alias("body"))
+    return rows.select(path.alias("path"), "ms", ogg.alias("ogg"))
 
 
 def new_root(spark) -> str:
@@ -60,7 +60,7 @@ def new_root(spark) -> str:
 @query("q_audio_durations", fx.with_views("durations") + " select utt, duration_s from durations")
 def q_audio_durations(spark, sf_dir):
     root = new_root(spark)
-    write_files(sounds(spark, sf_dir, root))
+    write_files(sounds(spark, sf_dir, root), sound_header)
     files = manifest.index_by_stem(manifest.list_files(spark, f"{root}/audio"), manifest.AUDIO_EXTENSIONS)
     lengths = audio.durations(files.select("path"))
     return files.join(lengths, "path").select(F.col("stem").alias("utt"), "duration_s")
@@ -77,7 +77,7 @@ def q_audio_durations(spark, sf_dir):
 )
 def q_folder_job(spark, sf_dir):
     root = new_root(spark)
-    write_files(sounds(spark, sf_dir, root))
+    write_files(sounds(spark, sf_dir, root), sound_header)
     for side, suffix in (("ref", "-ref"), ("hyp", "")):
         texts = textgrid.long_form(fx.one_side(spark, sf_dir, side))
         path = F.concat(F.lit(f"{root}/{side}/"), folder_of("utt"), F.lit("/"), "utt", F.lit(f"{suffix}.TextGrid"))

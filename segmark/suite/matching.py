@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from segmark import fixtures as fx
+from segmark.functions.labels import CustomRules
 from segmark.operators import anylength, boundaries, large, metrics, seqalign
 from segmark.plans import evaluation
 from segmark.session import cut, cut_folder
@@ -391,22 +393,41 @@ def q_evaluation_job(spark, sf_dir):
     return rounded(result.report)
 
 
+def _shout(raw: pd.Series) -> pd.Series:
+    """A caller's own rule that cannot read some starred labels: it raises on the whole batch that holds one."""
+    if raw.str.match(r"\*[qxyz]").any():
+        raise ValueError("a label that the rule cannot read")
+    return raw.where(raw != "").str.upper()
+
+
 @query(
     "q_failures",
     fx.with_views("raw_labels")
-    + f""",
-    n as (select utt, {identity("label")} as phoneme, label like '[[%' and length(label) >= 21 as heard from raw_labels),
-    s as (select utt, count(phoneme) as n_ref, count(phoneme) filter (where heard) as n_hyp from n group by utt)
-    select utt, 'ValueError: empty after normalisation (ref=' || n_ref || ', hyp=' || n_hyp
-                || '); check the presets and the tier selection' as reason
-    from s where n_ref = 0 or n_hyp = 0""",
+    + rf""",
+    n as (select utt, label, {identity("label")} as phoneme, label like '[[%' and length(label) >= 21 as heard from raw_labels),
+    s as (select utt, count(phoneme) as n_ref, count(phoneme) filter (where heard) as n_hyp from n group by utt),
+    c as (select utt, count(*) filter (where label <> '') as n_ref, count(*) filter (where heard) as n_hyp,
+                 bool_or(regexp_matches(label, '^\*[qxyz]')) as raised from n group by utt)
+    select 'presets' as rules, utt, 'no label is left to score: ' || n_ref || ' in the reference, ' || n_hyp
+                || ' in the hypothesis' as reason
+    from s where n_ref = 0 or n_hyp = 0
+    union all
+    select 'own', utt, case when raised then 'ValueError: a label that the rule cannot read' else 'no label is left to score: ' || n_ref
+                || ' in the reference, ' || n_hyp || ' in the hypothesis' end
+    from c where raised or n_ref = 0 or n_hyp = 0""",
 )
 def q_failures(spark, sf_dir):
-    # The hypothesis hears only long remarks, so short turns end up without one.
+    # The hypothesis hears only long remarks, so short turns end up without one. A second run uses a rule that raises.
     ref = fx.raw_labels(spark, sf_dir)
     hyp = ref.filter(F.startswith("label", F.lit("[[")) & (F.length("label") >= 21))
     samples = ref.select("utt", F.col("utt").alias("file"), F.lit("ALL").alias("style")).distinct()
-    return evaluation.build_store(samples, ref, hyp, None, evaluation.EvaluationOptions()).failures
+    own = CustomRules(F.pandas_udf(_shout, "string", F.PandasUDFType.SCALAR))
+    runs = {"presets": evaluation.EvaluationOptions(), "own": evaluation.EvaluationOptions(ref_rules=own, hyp_rules=own)}
+    failures = [
+        evaluation.build_store(samples, ref, hyp, None, o).failures.select(F.lit(name).alias("rules"), "utt", "reason")
+        for name, o in runs.items()
+    ]
+    return failures[0].unionByName(failures[1])
 
 
 @query(

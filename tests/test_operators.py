@@ -4,10 +4,14 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from segmark import fixtures as fx
+from segmark.functions import guarded
 from segmark.functions import labels as L
 from segmark.functions import text
 from segmark.operators import frames as fr
@@ -15,6 +19,7 @@ from segmark.operators import intervals as iv
 from segmark.operators import labels as lab
 from segmark.operators import anylength, metrics, quantiles, scan, seqalign, vad
 from segmark.operators.boundaries import tolerance_tags, with_boundary_counts
+from segmark.plans import evaluation
 
 STORE = "utt string, file string, style string, side string, pos long, phoneme string, start_s double, end_s double"
 
@@ -388,6 +393,81 @@ def test_alignment_kernel_runs_once(spark):
         assert plan.count("ArrowEvalPython") == 1
 
 
+def own_run(spark, rule=None, aligner=None, n=40):
+    """An evaluation of ``n`` recordings of three labels each, u7 with a label of its own."""
+    rows = [(f"u{k}", p, "bad" if k == 7 and p == 1 else "abc"[p], float(p), p + 1.0) for k in range(n) for p in range(3)]
+    raw = spark.createDataFrame(rows, "utt string, pos long, label string, start_s double, end_s double")
+    samples = raw.select("utt", F.concat("utt", F.lit(".wav")).alias("file"), F.lit("ALL").alias("style")).distinct()
+    options = evaluation.EvaluationOptions(**({"ref_rules": rule, "hyp_rules": rule} if rule else {}))
+    return evaluation.evaluate_tables(samples, raw, raw, None, options, **({"aligner": aligner} if aligner else {}))
+
+
+SMALL_VOCABULARY = lab._small_vocabulary
+
+
+def raising_rules():
+    def by_row(x):
+        if x == "bad":
+            raise KeyError("no such label")
+        return x
+
+    def by_series(x: pd.Series) -> pd.Series:
+        return x.map(by_row)
+
+    def by_array(x: pa.Array) -> pa.Array:
+        return pa.array([by_row(v) for v in x.to_pylist()], pa.string())
+
+    return [F.udf(by_row, "string"), F.pandas_udf(by_series, "string"), F.arrow_udf(by_array, "string")]
+
+
+@pytest.mark.parametrize("kind", range(3))
+def test_a_rule_that_raises_fails_one_recording(spark, kind, monkeypatch):
+    rule = L.CustomRules(raising_rules()[kind])
+    for most in (lab.MAX_VOCABULARY, 0):  # over the vocabulary, and on the rows in place
+        monkeypatch.setattr(lab, "_small_vocabulary", (lambda f: lambda df, c, _: f(df, c, most))(SMALL_VOCABULARY))
+        result = own_run(spark, rule)
+        assert values(result.failures, "utt", "reason") == [("u7", "KeyError: 'no such label'")]
+        assert result.scored.files.count() == 39 and result.store.filter("utt = 'u7'").isEmpty()
+    with pytest.raises(Exception, match="no such label"):  # outside a run, nobody looks at the errors
+        lab.normalize_labels(spark.createDataFrame([("bad",)], "label string"), "label", rule).collect()
+
+
+@pytest.mark.parametrize("kind", range(2))
+def test_an_aligner_that_raises_fails_one_recording(spark, kind):
+    def by_row(ref, hyp):
+        if "bad" in ref:
+            raise RuntimeError("cannot align this")
+        return [(k, k) for k in range(len(ref))], 0, 0, 0
+
+    aligned = to_arrow_type(seqalign.ALIGNED)
+
+    def by_array(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        rows = [by_row(r, h) for r, h in zip(ref.to_pylist(), hyp.to_pylist())]
+        return pa.array([{"pairs": [{"ref_idx": a, "hyp_idx": b} for a, b in r[0]], "s": 0, "d": 0, "i": 0} for r in rows], aligned)
+
+    aligner = [F.udf(by_row, seqalign.ALIGNED), F.arrow_udf(by_array, seqalign.ALIGNED)][kind]
+    result = own_run(spark, aligner=aligner)
+    assert values(result.failures, "utt", "reason") == [("u7", "RuntimeError: cannot align this")]
+    assert result.scored.files.count() == 39 and result.store.select("utt").distinct().count() == 39
+    assert result.report.filter("level = 'global'").count() == 1
+
+
+def test_a_batch_is_halved_to_the_rows_at_fault():
+    calls = []
+
+    def run(x):
+        calls.append(len(x))
+        if any(v % 100 == 0 for v in x.to_pylist()):
+            raise ValueError("hundreds")
+        return x
+
+    parts, errors = guarded.outcome(run, pa.int64(), [pa.array(range(1, 1001))])
+    found = pa.concat_arrays(parts).to_pylist()
+    assert [v for v in found if v is not None] == [v for v in range(1, 1001) if v % 100]
+    assert [k + 1 for k, e in enumerate(errors) if e] == list(range(100, 1001, 100)) and set(filter(None, errors)) == {"ValueError: hundreds"}
+    assert len(calls) < 250
+
+
 def test_own_label_function_and_aligner(spark):
     own = L.CustomRules(lambda c: F.when(c != "x", F.upper(c)))
     df = spark.createDataFrame([("a",), ("x",), (None,)], "label string")

@@ -11,7 +11,7 @@ from segmark.operators import dataset as ds
 from segmark.operators import frames as fr
 from segmark.operators.metrics import ScoreOptions
 from segmark.plans.evaluation import EvaluationJob, EvaluationOptions, rescore
-from segmark.sources import audio, manifest, reports, tables, textgrid
+from segmark.sources import audio, manifest, reports, stores, tables, textgrid
 
 
 def values(df, *columns):
@@ -273,7 +273,7 @@ def test_job_over_folders(spark, corpus):
     assert values(manifest.skipped(job.pairs(spark)), "*") == [("lonely", "no audio file"), ("s3", "excluded")]
     result = job.run(spark)
     assert [r["utt"] for r in result.failures.collect()] == ["s2"]
-    assert "ref=2, hyp=0" in result.failures.first()["reason"]
+    assert "2 in the reference, 0 in the hypothesis" in result.failures.first()["reason"]
     rows = {r["group"]: r for r in result.report.collect()}
     assert set(rows) == {"s0", "s1", "STYLE_read", "STYLE_free", "GLOBAL"}
     # The second recording is re-anchored before scoring, so both agree.
@@ -326,7 +326,7 @@ def test_accounts_of_a_run(spark, corpus):
 
 def test_fail_fast(spark, corpus):
     wrong = options(corpus, hyp_dir=str(corpus / "hyp"), ref_tier=textgrid.TierChoice(tier="nope"))
-    with pytest.raises(RuntimeError, match="first 3 files all failed"):
+    with pytest.raises(RuntimeError, match="no recording of the first 3"):
         EvaluationJob(wrong).run(spark)
     with pytest.raises(RuntimeError, match="no audio/reference pairs"):
         EvaluationJob(options(corpus, hyp_dir=str(corpus / "hyp"), exclude=["s0", "s1", "s2", "s3"])).run(spark)
@@ -354,3 +354,20 @@ def test_inventory_lines_differ(spark):
         "Reference inventory: 2 symbols", "Hypothesis inventory: 2 symbols", "Shared: 1 symbols", "",
         "Inventories differ.", "", "Only in REFERENCE:", "  b", "", "Only in HYPOTHESIS:", "  c", "",
         "REFERENCE:  a b", "HYPOTHESIS: a c"]
+
+
+@pytest.mark.parametrize("slice_", [10_000, 7])
+def test_listing_by_levels(spark, tmp_path, monkeypatch, slice_):
+    """A flat folder, a deep one, odd names, links back to a folder above: every file once, in slices."""
+    monkeypatch.setattr(stores, "SLICE", slice_)
+    want = set()
+    for name in [*(f"flat/{i}.wav" for i in range(300)), "/".join("abcdefghijkl") + "/deep.wav", "a/b/#x %20 y.wav", "a/.hidden", "top.wav"]:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"")
+        want.add(str(path))
+    (tmp_path / "empty" / "inner").mkdir(parents=True)
+    (tmp_path / "a" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    got = [r.path for r in stores.list_paths(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert [r.path for r in stores.list_paths(spark, f"file://{tmp_path}", recursive=False).collect()] == [f"file://{tmp_path}/top.wav"]
