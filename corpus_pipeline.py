@@ -7,18 +7,19 @@ documents table; the last returns the ids. Empty input passes through every stag
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmark.llm import linededup, mixing, pieces, quality, simhash
-from segmark.session import cut_folder
+from segmark.session import cut_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject.
+
+    A null or empty text has no words and goes. Repeated rows are judged alike; further columns are carried along.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged, verdict = quality.judge(docs, quality.fit(docs, labels))
     return judged.filter(F.col(f"`{verdict}`.kept")).select(*docs.columns)
@@ -38,12 +39,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    Null is a source of its own; rows without words are taken as their source's rate says. Ties and repeated rows are
+    told apart by a row number that is written first. Columns stay.
+    """
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, checked to give the text again (up to marks, which read as blanks)."""
+    """Ids of each text, checked to give the text again (up to marks, which read as blanks).
+
+    A row for every row, repeated ones too; a null or empty text has no ids.
+    """
     model = public_tokenizers.path("piece_bpe_32k.model")
     out, name = pieces.round_trip(docs, model)
     ids, decoded = F.col(f"`{name}`.ids"), F.col(f"`{name}`.decoded")
@@ -67,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{cut_folder(spark)}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        path = cut_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

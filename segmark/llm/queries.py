@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmark.llm import audit, licenses, linededup, minmax, mixing, pieces, quality, resample, sharding, simhash, suffixes, tokenfiles, topk
 from segmark.llm.common import table
-from segmark.session import cut_folder
+from segmark.session import cut_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -82,7 +80,7 @@ def op10_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{cut_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = cut_path(spark, "token-files")
     tokenfiles.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return tokenfiles.read(spark, folder, with_ids=False)
 
