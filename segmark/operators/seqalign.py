@@ -19,6 +19,7 @@ from segmark.functions import arrow as ar
 from segmark.functions.editpath import edit_counts, edit_paths
 from segmark.functions.guarded import guarded
 from segmark.functions.text import words_of
+from segmark.session import cut
 
 #: Longest side of a recording aligned inside one task; longer ones are tiled.
 MAX_ONE_TASK = 1 << 15
@@ -172,6 +173,8 @@ def match_filtered(errors: DataFrame, max_time_diff: float | None = None) -> tup
         F.abs((re - rs) - (he - hs)).alias("dur_err_s"),
         F.abs((rs + re) / 2 - (hs + he) / 2).alias("mid_err_s"),
     )
+    # Written once: the counts don't align the recordings again.
+    rows = cut(rows, "matched")
     far = F.lit(False) if max_time_diff is None else F.col("mid_err_s") > max_time_diff
     kept = rows.filter(~far)
     counts = rows.groupBy("utt").agg(

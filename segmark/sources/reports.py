@@ -25,9 +25,8 @@ def write_per_phoneme(table: DataFrame, path: str) -> None:
 
 
 def write_phoneme_strings(strings: DataFrame, path: str) -> None:
-    """filename, phonemes: one line per recording in order (consecutive lines for parts of a very long one)."""
-    order = [c for c in ("utt", "part") if c in strings.columns]
-    strings.orderBy(*order).select(F.col("utt").alias("filename"), "phonemes").write.mode("overwrite").option(
+    """filename, phonemes: one line per recording in order."""
+    strings.orderBy("utt").select(F.col("utt").alias("filename"), "phonemes").write.mode("overwrite").option(
         "header", True
     ).csv(path)
 

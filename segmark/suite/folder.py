@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import struct
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmark import fixtures as fx
 from segmark.plans.evaluation import EvaluationJob, EvaluationOptions
-from segmark.session import cut_folder
+from segmark.session import cut_path
 from segmark.sources import audio, manifest, stores, textgrid
 from segmark.suite import query
 from segmark.suite.intervals import _OFFSET
@@ -54,7 +53,7 @@ def sounds(spark, sf_dir: str, root: str) -> DataFrame:
 
 
 def new_root(spark) -> str:
-    return f"{cut_folder(spark)}/folder-{uuid.uuid4().hex}"
+    return cut_path(spark, "folder")
 
 
 @query("q_audio_durations", fx.with_views("durations") + " select utt, duration_s from durations")

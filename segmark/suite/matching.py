@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from segmark import fixtures as fx
 from segmark.functions.labels import CustomRules
 from segmark.operators import anylength, boundaries, large, metrics, seqalign
 from segmark.plans import evaluation
-from segmark.session import cut, cut_folder
+from segmark.session import cut, cut_path
 from segmark.sources import manifest, tables
 from segmark.suite import query
 from segmark.suite.intervals import _OFFSET
@@ -351,7 +349,7 @@ def q_rescore(spark, sf_dir):
     both = fx.one_side(spark, sf_dir, "ref").withColumn("side", F.lit("ref")).unionByName(
         fx.one_side(spark, sf_dir, "hyp").withColumn("side", F.lit("hyp"))
     )
-    path = f"{cut_folder(spark)}/store-{uuid.uuid4().hex}"
+    path = cut_path(spark, "store")
     tables.write_store(both, path)
     return rounded(evaluation.rescore(spark, path, metrics.ScoreOptions((0.01, 0.1), None)))
 
