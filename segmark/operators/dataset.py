@@ -115,6 +115,10 @@ def filter_by_length(rows: DataFrame, min_s: float = 1.0, max_s: float = 30.0) -
     return rows.filter((F.col("input_length") > low) & (F.col("input_length") < high))
 
 
+#: Folder of the commit log beside the chunks; readers of the chunks pass over names with an underscore.
+COMMITS = "_commits"
+
+
 def with_chunk_id(rows: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """Chunk of a row by its position before any length filter."""
     return rows.withColumn("chunk_id", F.floor(F.col("row_idx") / chunk_size).cast("int"))
@@ -129,21 +133,43 @@ def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def committed_chunks(spark: SparkSession, path: str) -> DataFrame | None:
+    """(chunk_id, n) of the chunks that are done, or None when there is no log yet."""
+    return _read_if_any(spark, f"{path.rstrip('/')}/{COMMITS}")
+
+
 def write_chunks(
-    rows: DataFrame, path: str, chunk_size: int = CHUNK_SIZE, min_s: float = 1.0, max_s: float = 30.0
+    rows: DataFrame, path: str, chunk_size: int = CHUNK_SIZE, min_s: float = 1.0, max_s: float = 30.0, together: int | None = None
 ) -> None:
-    """Write prepared rows chunk by chunk, skipping chunks that are already there.
+    """Write prepared rows chunk by chunk, skipping chunks that are done.
 
-    Chunks are partitions; a run that died half-way is taken up again by running it once more.
+    Chunks are partitions. A chunk is done once it stands in the commit log beside them, which is written after its
+    rows; a chunk that the length filter empties has a record too and is not looked at again. What a run that died
+    left without a record is replaced. ``together``: chunks written and committed by one job (all of them by default).
     """
     spark = rows.sparkSession
     chunked = with_chunk_id(rows, chunk_size)
-    existing = _read_if_any(spark, path)
-    if existing is not None:
-        chunked = chunked.join(existing.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    filter_by_length(chunked, min_s, max_s).repartition("chunk_id").write.mode("append").partitionBy(
-        "chunk_id"
-    ).parquet(path)
+    done = committed_chunks(spark, path)
+    if done is not None:
+        chunked = chunked.join(F.broadcast(done.select("chunk_id").distinct()), "chunk_id", "left_anti")  # one row for each chunk
+    if together:
+        chunked = cut(chunked, "chunks")
+        ends = chunked.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+        firsts = range(ends[0], ends[1] + 1, together) if ends[0] is not None else ()
+        parts = [chunked.filter(F.col("chunk_id").between(k, k + together - 1)) for k in firsts]
+    else:
+        parts = [chunked]
+    for part in parts:
+        kept = filter_by_length(part, min_s, max_s)
+        # Written once, so that rows and records are of the same chunks.
+        counts = part.select("chunk_id").distinct().join(kept.groupBy("chunk_id").agg(F.count("*").alias("n")), "chunk_id", "left")
+        counts = cut(counts.select("chunk_id", F.coalesce("n", F.lit(0)).alias("n")), "chunk-counts")
+        chunks, n = counts.agg(F.count("*"), F.sum("n")).first()
+        if not chunks:
+            continue
+        if n:
+            kept.repartition("chunk_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
+        counts.coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/{COMMITS}")
 
 
 def write_once(rows: DataFrame, path: str) -> None:

@@ -419,7 +419,7 @@ def q_failures(spark, sf_dir):
     ref = fx.raw_labels(spark, sf_dir)
     hyp = ref.filter(F.startswith("label", F.lit("[[")) & (F.length("label") >= 21))
     samples = ref.select("utt", F.col("utt").alias("file"), F.lit("ALL").alias("style")).distinct()
-    own = CustomRules(F.pandas_udf(_shout, "string", F.PandasUDFType.SCALAR))
+    own = CustomRules(F.pandas_udf(_shout, "string"))
     runs = {"presets": evaluation.EvaluationOptions(), "own": evaluation.EvaluationOptions(ref_rules=own, hyp_rules=own)}
     failures = [
         evaluation.build_store(samples, ref, hyp, None, o).failures.select(F.lit(name).alias("rules"), "utt", "reason")

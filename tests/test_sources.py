@@ -237,6 +237,28 @@ def test_chunks_resume(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "eval")).count() == 100
 
 
+@pytest.mark.parametrize("together", [None, 1, 3])
+def test_chunks_are_committed_one_by_one(spark, tmp_path, together):
+    """Emptied chunks are done too; a chunk without a record is replaced, one with a record is left alone."""
+    rows = spark.range(100).selectExpr("id AS row_idx", "CAST(IF(id BETWEEN 20 AND 39, 10, 32000) AS INT) AS input_length")
+    path = tmp_path / "chunks"
+    ds.write_chunks(rows, str(path), 20, together=together)
+    assert values(ds.committed_chunks(spark, str(path)), "chunk_id", "n") == [(0, 20), (1, 0), (2, 20), (3, 20), (4, 20)]
+    stamps = {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    ds.write_chunks(rows.withColumn("input_length", F.lit(32000)), str(path), 20, together=together)
+    assert ds.read_chunks(spark, str(path)).count() == 80  # the emptied chunk was not looked at again
+    # A run that died: chunk 2 has some of its rows and no record.
+    log = ds.committed_chunks(spark, str(path)).filter("chunk_id <> 2").collect()
+    spark.createDataFrame(log).coalesce(1).write.mode("overwrite").parquet(str(path / "_commits"))
+    for p in list((path / "chunk_id=2").glob("*.parquet"))[:1]:
+        spark.read.parquet(str(p)).limit(5).write.mode("append").parquet(str(path / "chunk_id=2"))
+    ds.write_chunks(rows, str(path), 20, together=together)
+    got = ds.read_chunks(spark, str(path))
+    assert sorted(r.row_idx for r in got.collect()) == [k for k in range(100) if not 20 <= k <= 39]
+    left = {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet") if "chunk_id=2" not in str(p) and "_commits" not in str(p)}
+    assert left.items() <= stamps.items()
+
+
 def test_corpus_error_rate(spark):
     schema = "labels array<int>, predicted array<int>"
     rows = spark.createDataFrame([([1, 1, 2, -100], [1, 1, 0, 1, 3, 0]), ([-100, 0], [2, 2])], schema)
