@@ -155,18 +155,21 @@ def _file_statistics(scored: DataFrame, cap_ms: float | None) -> DataFrame:
     )
 
 
-def counted_errors(errors: DataFrame, grain: Sequence[str]) -> DataFrame:
-    """Error values with their multiplicity: ``a`` onsets, ``b`` offsets, ``c`` durations per value."""
+def counted_errors(errors: DataFrame, grain: Sequence[str], at_most: int | None = None) -> DataFrame:
+    """Error values with their multiplicity: ``a`` onsets, ``b`` offsets, ``c`` durations per value.
+
+    Equal values become one row where all are known to fit a task (``at_most``); others stay rows of their own,
+    which ranks by histogram need no shuffle to read.
+    """
     values = (
         "inline(array(named_struct('v', start_err, 'a', 1, 'b', 0, 'c', 0),"
         " named_struct('v', end_err, 'a', 0, 'b', 1, 'c', 0),"
         " named_struct('v', dur_err, 'a', 0, 'b', 0, 'c', 1)))"
     )
-    return (
-        errors.selectExpr(*grain, values)
-        .groupBy(*grain, "v")
-        .agg(*[F.sum(c).alias(c) for c in "abc"])
-    )
+    rows = errors.selectExpr(*grain, values)
+    if at_most is None or at_most > MAX_IN_TASK:
+        return rows
+    return rows.groupBy(*grain, "v").agg(*[F.sum(c).alias(c) for c in "abc"])
 
 
 def group_quantiles(
@@ -207,7 +210,7 @@ def boundary_stats(
     ``at_most`` is a known bound on the distinct error values (see :attr:`Scored.values`).
     """
     moments = grouped_moments(errors, grain, cap_ms)
-    quantiles = group_quantiles(counted_errors(errors, grain), grain, cap_ms, at_most)
+    quantiles = group_quantiles(counted_errors(errors, grain, at_most), grain, cap_ms, at_most)
     return moments.join(quantiles, list(grain), "left").selectExpr(*grain, *_stat_columns())
 
 
@@ -320,17 +323,14 @@ def report(scored: Scored) -> DataFrame:
             *moments,
         )
     )
-    pooled = counted_errors(scored.errors, ["style"]).selectExpr(
+    bound = None if scored.values is None else 2 * scored.values
+    pooled = counted_errors(scored.errors, ["style"], bound).selectExpr(
         "inline(array(named_struct('level', 'style', 'key', style), named_struct('level', 'global', 'key', '')))",
         "v",
         "a",
         "b",
         "c",
     )
-    bound = None if scored.values is None else 2 * scored.values
-    if bound is None or bound > MAX_IN_TASK:
-        # Styles share values: fold them before the overall group is ranked.
-        pooled = pooled.groupBy("level", "key", "v").agg(*[F.sum(c).alias(c) for c in "abc"])
     quantiles = group_quantiles(pooled, ["level", "key"], cap, bound)
     rolled = styles.join(quantiles, ["level", "key"], "left").select(*files.columns)
     return files.unionByName(rolled).selectExpr(

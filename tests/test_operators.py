@@ -1,5 +1,6 @@
 """Hand-written rows through the Spark operators."""
 
+import functools
 import tracemalloc
 from collections import Counter
 
@@ -132,14 +133,64 @@ def test_boundary_counts(spark):
     assert values(c, "b_ref", "b_hyp", "tp_20", "fp_20", "fn_20") == [(2, 1, 1, 0, 1)]
 
 
-def test_quantiles_by_rank_equal_the_builtin(spark):
-    df = spark.range(4000).selectExpr("IF(id % 3 = 0, 'hot', concat('g', id % 7)) AS g", "pow(id % 911, 1.5) AS v")
-    counted = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+def test_quantiles_by_digits_equal_the_builtin(spark):
+    df = spark.range(4000).selectExpr("IF(id % 3 = 0, 'hot', concat('g', id % 7)) AS g", "pow(id % 911, 1.5) AS v", "1 AS n")
     wanted = {"med": (F.col("n"), 0.5), "p90": (F.col("n"), 0.9), "cap": (F.when(F.col("v") <= 900, F.col("n")).otherwise(0), 0.5)}
-    a = quantiles.exact_quantiles(counted, ["g"], "v", wanted)
-    b = quantiles.exact_quantiles(counted, ["g"], "v", wanted, max_in_task=10)
     rounded = [F.round(c, 9) for c in ("med", "p90", "cap")]
-    assert values(a.select("g", *rounded), "*") == values(b.select("g", *rounded), "*")
+    a = quantiles.exact_quantiles(df, ["g"], "v", wanted)
+    counted = df.groupBy("g", "v").agg(F.sum("n").alias("n"))
+    for rows, digit in ((df, 16), (counted, 16), (df, 7)):
+        b = quantiles.exact_quantiles(rows, ["g"], "v", wanted, max_in_task=10, digit=digit)
+        assert values(a.select("g", *rounded), "*") == values(b.select("g", *rounded), "*")
+
+
+def test_quantiles_by_digits_on_odd_values(spark):
+    odd = {
+        "signs": [-3.5, -1e-300, -0.0, 0.0, 1e-300, 2.0, 1e308],
+        "ties": [7.25] * 9 + [7.25000000000001],
+        "one": [-4.0],
+        "none": [None, None],
+        None: [1.0, 2.0, 4.0, None],
+    }
+    rows = [(g, v, 0 if g == "one" else 1) for g, vs in odd.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double, n int")
+    wanted = {"low": (F.lit(1), 0.0), "med": (F.lit(1), 0.5), "p90": (F.lit(2), 0.9), "some": (F.col("n"), 0.5)}
+    got = {r["g"]: r for r in quantiles.exact_quantiles(df, ["g"], "v", wanted, max_in_task=0, digit=16).collect()}
+    assert set(got) == set(odd)
+    for g, vs in odd.items():
+        have = [v for v in vs if v is not None]
+        weighted = {"low": (have, 0.0), "med": (have, 0.5), "p90": (sorted(have * 2), 0.9), "some": ([] if g == "one" else have, 0.5)}
+        for name, (x, p) in weighted.items():
+            if x:
+                assert got[g][name] == pytest.approx(float(np.quantile(x, p)), rel=1e-12), (g, name)
+            else:
+                assert got[g][name] is None
+    assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", wanted, max_in_task=-1).count() == 0
+
+
+def test_ranks_by_histogram_shuffle_buckets_not_values(spark):
+    """Ten times the values, the same rows in the histogram of a digit."""
+    def buckets(n):
+        df = spark.range(n).selectExpr("'g' AS g", "cast(id % 1000 + 1 + id / 1e7 AS double) AS v", "1L AS w_x")
+        return quantiles._histogram(quantiles._with_bits(df, "v"), ["g"], "v", {"x": 0.5}, 0, 16).count()
+
+    assert buckets(20_000) == buckets(200_000) < 300
+
+
+def test_report_by_digits_equals_the_report(spark, monkeypatch):
+    both = fx.one_side(spark, "/root/testdata/sf0.001", "ref").withColumn("side", F.lit("ref")).unionByName(
+        fx.one_side(spark, "/root/testdata/sf0.001", "hyp").withColumn("side", F.lit("hyp"))
+    )
+    scored = metrics.score(both)
+
+    def rows(df):
+        number = [c for c, t in df.dtypes if t == "double"]
+        return values(df.select(*[F.round(c, 6).alias(c) if c in number else F.col(f"`{c}`") for c in df.columns]), "*")
+
+    plain = rows(metrics.report(scored)), rows(metrics.per_phoneme(scored))
+    monkeypatch.setattr(metrics, "MAX_IN_TASK", 0)
+    monkeypatch.setattr(metrics, "exact_quantiles", functools.partial(quantiles.exact_quantiles, max_in_task=0))
+    assert plain == (rows(metrics.report(scored)), rows(metrics.per_phoneme(scored)))
 
 
 # ---- scans --------------------------------------------------------------------------------------
