@@ -220,17 +220,21 @@ def score(
     order: str = "pos",
     longest: int | None = None,
     aligner: seqalign.Aligner = seqalign.align_labels,
+    parts: tuple[DataFrame, DataFrame | None] | None = None,
 ) -> Scored:
     """Align, match and measure every recording of a long interval store.
 
     Recordings of ordinary length become one row each and are scored where they lie; longer ones are
     tiled. ``longest`` is the largest number of labels on one side of a recording, counted here unless
-    the caller knows it. Another ``aligner`` gets every recording whole, whatever its length; a recording
+    the caller knows it; ``parts`` are the two kinds, if the caller has them apart. Another ``aligner`` gets every recording whole, whatever its length; a recording
     on which it raises is a row of ``failures`` and not scored. The scored rows are written once because
     the report reads them several times.
     """
     own = aligner is seqalign.align_labels
-    small, big = large.split_by_length(store, options.max_one_task, longest) if own else (store, None)
+    if not own:
+        small, big = store, None
+    else:
+        small, big = parts or large.split_by_length(store, options.max_one_task, longest)
     error = None if own else "failed"
     aligned = seqalign.with_errors(seqalign.align(seqalign.gather(small, order), aligner, error))
     counted = boundaries.with_boundary_counts(

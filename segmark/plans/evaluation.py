@@ -17,7 +17,7 @@ from segmark.operators.labels import normalize_sides
 from segmark.operators.large import join_facts
 from segmark.operators.vad import vad_chunks
 from segmark.session import cut, spread
-from segmark.sources import audio, manifest, reports, tables, textgrid
+from segmark.sources import audio, manifest, reports, runstore, tables, textgrid
 
 #: A wrong tier name or label table is wrong for every file: this many first samples must not all fail.
 FAIL_FAST_AFTER = 3
@@ -200,7 +200,10 @@ def evaluate_tables(
 
 def rescore(spark: SparkSession, path: str, scoring: metrics.ScoreOptions) -> DataFrame:
     """Report of a stored run under other tolerances or another cap."""
-    return metrics.report(metrics.score(tables.read_store(spark, path), scoring))
+    run = runstore.read_split(spark, path)
+    if scoring.max_one_task == run.limit:
+        return metrics.report(metrics.score(run.short, scoring, longest=run.longest, parts=(run.short, run.long)))
+    return metrics.report(metrics.score(runstore.read_store(spark, path), scoring, longest=run.longest))
 
 
 def make_chunks(
@@ -342,7 +345,7 @@ class EvaluationJob:
         o = self.options
         tag = o.tag or (o.model if o.hypothesis == "ctc" else "textgrid")
         base = o.out_dir.rstrip("/")
-        tables.write_store(result.store, f"{base}/alignment_{tag}")
+        runstore.write_store(result.store, f"{base}/alignment_{tag}")
         for name in ("failures", "skipped", "ungrouped", "summary"):
             if (table := getattr(result, name)) is not None:
                 table.write.mode("overwrite").parquet(f"{base}/{name}_{tag}")

@@ -1,4 +1,4 @@
-"""Delimited tables read with their file order, JSON maps, and stored interval tables."""
+"""Delimited tables read with their file order, and JSON maps."""
 
 from __future__ import annotations
 
@@ -69,17 +69,3 @@ def write_vocab(vocab: DataFrame, path: str) -> None:
     """Write a vocabulary as one JSON object."""
     entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "id"))))
     vocab.agg(F.to_json(entries).alias("value")).write.mode("overwrite").text(path)
-
-
-def write_store(store: DataFrame, path: str) -> None:
-    """Store scored-ready intervals (utt, file, style, side, pos, phoneme, start_s, end_s).
-
-    Long form: a recording of any length spreads over row groups and files, and rescoring prunes columns.
-    """
-    store.select("utt", "file", "style", "side", "pos", "phoneme", "start_s", "end_s").write.mode(
-        "overwrite"
-    ).parquet(path)
-
-
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -10,7 +10,7 @@ from segmark import fixtures as fx
 from segmark.operators import intervals as iv
 from segmark.operators import metrics
 from segmark.session import cut, cut_folder
-from segmark.sources import tables, textgrid
+from segmark.sources import runstore, textgrid
 from segmark.suite import query
 
 
@@ -117,8 +117,8 @@ def q_store_roundtrip(spark, sf_dir):
         fx.one_side(spark, sf_dir, "hyp").withColumn("side", F.lit("hyp"))
     )
     path = f"{cut_folder(spark)}/store-{uuid.uuid4().hex}"
-    tables.write_store(both, path)
-    return tables.read_store(spark, path)
+    runstore.write_store(both, path)
+    return runstore.read_store(spark, path)
 
 
 @query(

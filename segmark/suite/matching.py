@@ -10,7 +10,7 @@ from segmark.functions.labels import CustomRules
 from segmark.operators import anylength, boundaries, large, metrics, seqalign
 from segmark.plans import evaluation
 from segmark.session import cut, cut_path
-from segmark.sources import manifest, tables
+from segmark.sources import manifest, runstore
 from segmark.suite import query
 from segmark.suite.intervals import _OFFSET
 from segmark.suite.labels import identity
@@ -350,7 +350,7 @@ def q_rescore(spark, sf_dir):
         fx.one_side(spark, sf_dir, "hyp").withColumn("side", F.lit("hyp"))
     )
     path = cut_path(spark, "store")
-    tables.write_store(both, path)
+    runstore.write_store(both, path)
     return rounded(evaluation.rescore(spark, path, metrics.ScoreOptions((0.01, 0.1), None)))
 
 

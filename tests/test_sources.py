@@ -1,6 +1,7 @@
 """Readers, writers and the whole job over real files."""
 
 import json
+import os
 import struct
 import wave
 
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from segmark.operators import dataset as ds
 from segmark.operators import frames as fr
+from segmark.operators import metrics, seqalign
 from segmark.operators.metrics import ScoreOptions
 from segmark.plans.evaluation import EvaluationJob, EvaluationOptions, rescore
-from segmark.sources import audio, manifest, reports, stores, tables, textgrid
+from segmark.sources import audio, manifest, reports, runstore, stores, tables, textgrid
 
 
 def values(df, *columns):
@@ -393,3 +395,70 @@ def test_listing_by_levels(spark, tmp_path, monkeypatch, slice_):
     got = [r.path for r in stores.list_paths(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert [r.path for r in stores.list_paths(spark, f"file://{tmp_path}", recursive=False).collect()] == [f"file://{tmp_path}/top.wav"]
+
+
+# ---- stored runs --------------------------------------------------------------------------------
+
+
+def _both(spark, utts=40, labels=6):
+    rows = spark.range(utts).selectExpr("concat('u', id) AS utt", "id")
+    sides = "explode(array('ref', 'hyp')) AS side"
+    n = f"explode(sequence(0L, {labels - 1}L + IF(id = 7, 50, 0))) AS pos"
+    rows = rows.selectExpr("*", sides).selectExpr("*", n)
+    return rows.selectExpr(
+        "utt", "concat(utt, '.wav') AS file", "IF(id % 2 = 0, 'a', 'b') AS style", "side", "pos",
+        "IF(side = 'hyp' AND (pos + id) % 5 = 0, 'x', concat('p', pos % 3)) AS phoneme",
+        "pos * 0.1D + IF(side = 'hyp', 0.01D, 0D) AS start_s", "pos * 0.1D + 0.1D AS end_s", "'more' AS extra",
+    )
+
+
+def _plain(df):
+    rows = (tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+    return sorted(rows, key=repr)
+
+
+def test_stored_run_is_scored_without_an_exchange(spark, tmp_path):
+    both = _both(spark).cache()
+    path = f"{tmp_path}/a 'store'"
+    runstore.write_store(both, path, bucket_rows=64)
+    run = runstore.read_split(spark, path)
+    assert run.long is None and run.longest == 56
+    assert _plain(runstore.read_store(spark, path)) == _plain(both.select(*runstore.COLUMNS))
+    plans = [seqalign.gather(df)._jdf.queryExecution().executedPlan().toString() for df in (run.short, both)]
+    assert ["Exchange" in p for p in plans] == [False, True] and "Bucketed: true" in plans[0]
+    files = [f for f in os.listdir(f"{path}/{[d for d in os.listdir(path) if d.startswith('short')][0]}") if f.endswith(".parquet")]
+    buckets = -(-both.count() // 64)
+    assert 1 < len(files) <= buckets  # one file a bucket
+    options = ScoreOptions((0.005,), None)
+    assert _plain(rescore(spark, path, options)) == _plain(metrics.report(metrics.score(both.drop("extra"), options)))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("run_")]
+
+
+def test_stored_run_keeps_long_recordings_apart(spark, tmp_path):
+    both, path = _both(spark), f"{tmp_path}/store"
+    runstore.write_store(both, path, limit=20)
+    run = runstore.read_split(spark, path)
+    assert [r.utt for r in run.long.select("utt").distinct().collect()] == ["u7"]
+    assert run.short.filter("utt = 'u7'").count() == 0
+    assert _plain(run.short.unionByName(run.long)) == _plain(both.select(*runstore.COLUMNS))
+    for limit in (20, 1000):  # by its parts, and under another limit than the store's
+        options = ScoreOptions((0.005,), None, limit)
+        assert _plain(rescore(spark, path, options)) == _plain(metrics.report(metrics.score(both.drop("extra"), options)))
+
+
+def test_stored_run_is_replaced_whole(spark, tmp_path):
+    both, path = _both(spark), f"{tmp_path}/store"
+    with pytest.raises(FileNotFoundError):
+        runstore.read_store(spark, path)
+    runstore.write_store(both, path, limit=20)
+    failing = both.withColumn("phoneme", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        runstore.write_store(failing, path)
+    (tmp_path / "store" / "_store-9.json").write_text('{"short": "sho')  # a record cut off
+    assert runstore.read_store(spark, path).count() == both.count()
+    runstore.write_store(both.filter("utt = 'u1'"), path)
+    assert runstore.read_store(spark, path).count() == 12
+    assert not [d for d in os.listdir(path) if d.startswith("long")]
+    runstore.write_store(both.limit(0), path)
+    assert runstore.read_store(spark, path).count() == 0
+    assert runstore.read_store(spark, path).columns == list(runstore.COLUMNS)
