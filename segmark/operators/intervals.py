@@ -46,6 +46,17 @@ def shift_intervals(intervals: DataFrame, offset: Column) -> DataFrame:
     return intervals.withColumns({"start_s": F.col("start_s") - offset, "end_s": F.col("end_s") - offset})
 
 
+def shift_by_recording(intervals: DataFrame, offsets: DataFrame, limit: int = LONG) -> DataFrame:
+    """Subtract each recording's own offset (utt, offset_s) from both times.
+
+    Recordings without an offset are left out. Those of more than ``limit`` intervals meet theirs by broadcast.
+    """
+    sizes = intervals.groupBy("utt").agg(F.count("*").alias("n"))
+    facts, longest = _facts(sizes.join(offsets.select("utt", F.col("offset_s").alias("shift")), "utt"))
+    moved = join_facts(intervals, facts, F.col("n") > limit, longest, limit)
+    return shift_intervals(moved, F.col("shift")).select(*intervals.columns)
+
+
 def correct_offset(
     intervals: DataFrame, durations: DataFrame, mode: str = "auto", tolerance: float = 0.5, limit: int = LONG
 ) -> DataFrame:

@@ -43,8 +43,9 @@ def q_interval_arrays(spark, sf_dir):
     from hyp_iv join durations using (utt)""",
 )
 def q_shift_intervals(spark, sf_dir):
-    rows = fx.one_side(spark, sf_dir, "hyp").join(fx.durations(spark, sf_dir), "utt")
-    return iv.shift_intervals(rows, F.col("duration_s")).select("utt", "pos", "phoneme", "start_s", "end_s")
+    offsets = fx.durations(spark, sf_dir).withColumnRenamed("duration_s", "offset_s")
+    rows = iv.shift_by_recording(fx.one_side(spark, sf_dir, "hyp"), offsets)
+    return rows.select("utt", "pos", "phoneme", "start_s", "end_s")
 
 
 _OFFSET = """

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmark import fixtures as fx
@@ -196,20 +198,36 @@ def q_user_mapping(spark, sf_dir):
     return _normalized(spark, sf_dir, rules.build_rules("none", {"the": "DH", "of": "V", "and": ""}))
 
 
-# What the French rules make of each code. Kept apart from the preset tables, which this query tests.
+# What the French rules make of each code (None: dropped). Kept apart from the preset tables and drop
+# sets, which this query tests.
 _EXPECTED = {
     "french-asr-codes": "aa a bb b kk k dd d jj ʒ ei e ff f ii i yy j ll l mm m nn n au o pp p ss s tt t ch ʃ ou u vv v ww w "
-    "uu y zz z eu ø oe œ an ɑ̃ oo ɔ on ɔ̃ ee ə ai ɛ in ɛ̃ un ɛ̃ gn ɲ gg ɡ uy ɥ rr ʁ r ʁ SIL _",
-    "french-sampa": "Z ʒ A a S ʃ R ʁ r ʁ N ŋ J ɲ H ɥ g ɡ Z= ʒ E ɛ O ɔ 2 ø 9 œ @ ə @t ə a~ ɑ̃ o~ ɔ̃ e~ ɛ̃ 9~ ɛ̃ m= m n= n",
+    "uu y zz z eu ø oe œ an ɑ̃ oo ɔ on ɔ̃ ee ə ai ɛ in ɛ̃ un ɛ̃ gn ɲ gg ɡ uy ɥ rr ʁ r ʁ SIL _ "
+    "_ None sil None spn None % None ? None ?? None 0 None # None = None euh None #erreur# None",
+    "french-sampa": "Z ʒ A a S ʃ R ʁ r ʁ N ŋ J ɲ H ɥ g ɡ Z= ʒ E ɛ O ɔ 2 ø 9 œ @ ə @t ə a~ ɑ̃ o~ ɔ̃ e~ ɛ̃ 9~ ɛ̃ m= m n= n "
+    "ã ɑ̃ ẽ ɛ̃ ĩ ɛ̃ ỹ ɛ̃ œ̃ ɛ̃ ə̃ ɛ̃ ø̃ ɛ̃ "
+    "β None θ None ɹ None ɾ None ɣ None ʌ None ʊ None ɪ None ɨ None ɨ̃ None ɜ None ɒ None õ None ũ None "
+    "_ None sil None SIL None spn None % None ? None 0 None = None fe~ None Ra~ None sjo~ None ~e None",
+    "french-broad": "ɪ i ʊ u ɨ i ɜ ə ʌ ɔ ɒ ɔ ɑ a ɣ ʁ ɹ ʁ ɾ ʁ ʎ l β b θ t c k mʲ m ɟ ɲ ñ ɲ ṽ v "
+    "ã ɑ̃ ẽ ɛ̃ ĩ ɛ̃ ỹ ɛ̃ œ̃ ɛ̃ ə̃ ɛ̃ ø̃ ɛ̃ õ None ũ None ɨ̃ None "
+    "_ None sil None SIL None spn None % None ? None 0 None = None fe~ None Ra~ None sjo~ None ~e None",
 }
-_CODES = [(p, k, *pair) for p, t in _EXPECTED.items() for k, pair in enumerate(zip(t.split()[::2], t.split()[1::2]))]
+_CODES = [
+    (p, k, code, None if phoneme == "None" else phoneme)
+    for p, t in _EXPECTED.items()
+    for k, (code, phoneme) in enumerate(zip(t.split()[::2], t.split()[1::2]))
+]
+
+
+def _code_rows() -> str:
+    return ", ".join(f"('{p}', {k}, '{c}', {'NULL' if v is None else repr(v)})" for p, k, c, v in _CODES)
 
 
 @query(
     "q_preset_coverage",
     _RAW
     + f""",
-    m as (select * from (values {", ".join(f"('{p}', {k}, '{c}', '{v}')" for p, k, c, v in _CODES)}) t(preset, k, code, phoneme)),
+    m as (select * from (values {_code_rows()}) t(preset, k, code, phoneme)),
     sizes as (select preset, count(*) as size from m group by preset)
     select preset, code, phoneme, count(*) as n
     from raw_labels cross join sizes join m using (preset) where m.k = raw_labels.pos % size group by 1, 2, 3""",
@@ -223,4 +241,4 @@ def q_preset_coverage(spark, sf_dir):
         coded = rows.select(F.get(codes, F.pmod("pos", F.size(codes)).cast("int")).alias("label"))
         done = ops.normalized(coded, "label", rules.build_rules(preset))
         out.append(done.groupBy(F.col("label").alias("code"), "phoneme").agg(F.count("*").alias("n")).select(F.lit(preset).alias("preset"), "code", "phoneme", "n"))
-    return out[0].unionByName(out[1])
+    return reduce(DataFrame.unionByName, out)

@@ -193,6 +193,22 @@ def test_report_by_digits_equals_the_report(spark, monkeypatch):
     assert plain == (rows(metrics.report(scored)), rows(metrics.per_phoneme(scored)))
 
 
+def test_every_preset_code_against_literals(spark):
+    from segmark.suite.labels import _CODES
+
+    for preset in sorted({p for p, *_ in _CODES}):
+        codes = [(c, v) for p, _, c, v in _CODES if p == preset]
+        assert list(zip([c for c, _ in codes], normal(spark, L.build_rules(preset), [c for c, _ in codes]))) == codes
+
+
+def test_shift_by_recording(spark):
+    rows = spark.range(60).selectExpr("IF(id < 50, 'hot', concat('u', id % 3)) AS utt", "id AS pos", "id * 1D AS start_s", "id + 1D AS end_s")
+    offsets = spark.createDataFrame([("hot", 2.0), ("u0", -1.0), ("u1", None), ("else", 9.0)], "utt string, offset_s double")
+    want = sorted(((r.utt, r.pos, None if r.utt == "u1" else r.start_s - {"hot": 2, "u0": -1}[r.utt]) for r in rows.collect() if r.utt != "u2"), key=repr)
+    for limit in (8, 1000):
+        assert values(iv.shift_by_recording(rows, offsets, limit), "utt", "pos", "start_s") == want
+
+
 # ---- scans --------------------------------------------------------------------------------------
 
 
