@@ -36,6 +36,24 @@ _BSD_THIRD = """
 """
 _BSD_LAST = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
 KNOWN = [
     ("MIT", _GRANT),
     ("MIT", "MIT License\n\n" + _GRANT),
@@ -43,12 +61,37 @@ KNOWN = [
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_LAST),
     ("BSD-2-Clause", _BSD_FIRST + _BSD_LAST),
     ("BSD-3-Clause", _BSD_FIRST + _BSD_THIRD + _BSD_LAST),
+    ("Unlicense", _UNLICENSE),
+    ("Zlib", _ZLIB),
     ("MIT notice", "Released under the MIT License."),
     ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0 notice", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-4.0 notice", "This work is licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0."),
 ]
+# Digests of the canonical forms of whole licences that are too long to state here. Two of one name: with
+# the appendix on how to apply it, and up to the end of its terms.
+DIGESTS = [
+    ("Apache-2.0", "84ed161685d232dab5187a7a7101279668d583e8fcead2d41433e4fd4a1dbe68"),
+    ("Apache-2.0", "0b8c1a9e0ec99ab3b27e123e667fe4843df4dd7e6c667ccdc634dd6878c5dd6c"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "0a85ab25a52f42a58c2cc4bf76b4808eb5d0505467f60ad614ac4d676f443478"),
+    ("GPL-3.0", "7d75204ed685fd08ff55e7de654cd69da831b4d875c3d2c2e69d04d738cccc3e"),
+    ("LGPL-2.0", "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "c79a43890898fa82523112bbaa333007e51067add616404aa40df8240afd1f57"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+]
 
 
 def canonical(text: Column) -> Column:
@@ -68,14 +111,16 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, text string")
+    """(license, text, digest): licences by their text, or by the digest of its canonical form where the text is null."""
+    rows = [(name, text, None) for name, text in KNOWN] + [(name, None, digest) for name, digest in DIGESTS]
+    return spark.createDataFrame(rows, "license string, text string, digest string")
 
 
 def scan(docs: DataFrame, licenses: DataFrame, most_sent: int = 100_000) -> DataFrame:
     """(doc_id, digest, license): the licence whose canonical form the whole text has, or null.
 
     ``licenses`` (license, text) may hold several texts of one licence; a text of several licences has the first
-    name in code point order. Up to ``most_sent`` distinct licence texts are counted and sent to all tasks; more are
+    name in code point order. A column ``digest`` may stand in for null texts. Up to ``most_sent`` distinct licence texts are counted and sent to all tasks; more are
     joined by hash like any table. A text without words matches nothing. Every row of ``docs`` gives one row.
     """
     names = named(licenses, most_sent)
@@ -103,8 +148,12 @@ def parts(docs: DataFrame, licenses: DataFrame, most_sent: int = 100_000) -> Dat
 
 def named(licenses: DataFrame, most_sent: int) -> DataFrame:
     """(digest, license) of the texts that have words, marked for sending if they are few."""
-    names = licenses.groupBy(digest(F.col("text")).alias("digest"), (canonical(F.col("text")) == "").alias("empty")).agg(F.min("license").alias("license"))
-    names = names.filter("not empty").drop("empty")
+    own, form = digest(F.col("text")), canonical(F.col("text"))
+    if "digest" in licenses.columns:
+        given = F.col("text").isNull() & F.col("digest").isNotNull()
+        own, form = F.when(given, F.lower("digest")).otherwise(own), F.when(given, F.col("digest")).otherwise(form)
+    names = licenses.select("license", own.alias("digest"), form.alias("form")).filter("form <> ''")
+    names = names.groupBy("digest").agg(F.min("license").alias("license"))
     if names.limit(most_sent + 1).count() <= most_sent:
         names = F.broadcast(names)
     return names
@@ -119,12 +168,31 @@ def canonical_sql(text: str) -> str:
     return f"trim({out}, ' ')"
 
 
-def scan_sql() -> str:
+def _known_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
+    texts = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in KNOWN)
+    digests = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in DIGESTS)
+    return f"""known as (
+  select digest, min(license) as license
+  from (select license, sha256({canonical_sql('text')}) as digest from (values {texts}) v(license, text)
+        union all select license, digest from (values {digests}) v(license, digest)) group by digest
+)"""
+
+
+def scan_sql() -> str:
     return f"""
-with known as (
-  select sha256({canonical_sql('text')}) as digest, min(license) as license from (values {values}) v(license, text) group by 1
-), own as (select doc_id, sha256({canonical_sql('text')}) as digest from documents)
+with {_known_sql()}, own as (select doc_id, sha256({canonical_sql('text')}) as digest from documents)
 select doc_id, digest, license from own left join known using (digest)
 """
+
+
+def parts_sql() -> str:
+    cuts = " union all ".join(
+        f"select doc_id, '{part}' as part, unnest(string_split_regex(text, '{mark}')) as text from documents where text is not null"
+        for part, mark in PARTS.items()
+    )
+    return f"""
+with {_known_sql()}, cuts as ({cuts}),
+own as (select doc_id, part, sha256({canonical_sql('text')}) as digest from cuts)
+select doc_id, part, license, count(*) as n from own join known using (digest) group by doc_id, part, license
+"""

@@ -73,7 +73,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known(spark))
 
 
-@query("op10_license_parts")
+@query("op10_license_parts", licenses.parts_sql())
 def op10_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.parts(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known(spark))
 

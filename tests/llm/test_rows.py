@@ -1,8 +1,10 @@
 """Quality rules, line dedup, licences."""
 
 import hashlib
+import os
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -141,3 +143,88 @@ def test_licenses_in_lines_and_runs_of_texts(spark, odd, crowded, empty):
     got = licenses.parts(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark)).collect()
     assert {tuple(r) for r in got} == {(1, "line", "MIT notice", 1), (2, "run", "ISC", 1), (None, "line", "CC-BY-NC-4.0 notice", 2)} and len(got) == 3
     assert all(licenses.parts(d, licenses.known(spark)).count() == 0 for d in (odd, crowded, empty))
+
+
+# Spellings that count as equal, stated again for the plain version.
+SAME = """licence license;sub license sublicense;copyright owner copyright holder;acknowledgement acknowledgment;analogue analog;
+authoris authoriz;behaviour behavior;catalogue catalog;centre center;colour color;favour favor;fulfill fulfil;initialis initializ;
+judgement judgment;labell label;labour labor;non commercial noncommercial;organis organiz;per cent percent;practise practice;
+programme program;realis realiz;recognis recogniz;utilis utiliz;whilst while;willful wilful;https http"""
+#: Spellings of two words.
+TWO = ("sub license", "copyright owner", "non commercial", "per cent")
+
+
+def plain_form(text):
+    """The canonical form in plain Python: lines of copyright go one by one, then words are spelled alike."""
+    kept = []
+    for line in text.lower().split("\n"):
+        head = line.lstrip(" \t*#/;-")
+        if re.match(r"copyright[ \t]*(\(c\)|©|<year>|[0-9]{4})|\(c\)[ \t]|©|all rights reserved\.?[ \t]*$", head):
+            line = ""
+        kept.append(line)
+    words = " ".join("".join(c if c.isalpha() or unicodedata.category(c)[0] == "N" else " " for c in "\n".join(kept)).split())
+    for pair in SAME.replace("\n", "").split(";"):
+        own, common = next(((t, pair[len(t) + 1 :]) for t in TWO if pair.startswith(t + " ")), None) or pair.split()
+        words = words.replace(own, common)
+    return words
+
+
+COMMON = "/usr/share/common-licenses"
+#: File of each whole licence known by digest.
+FILES = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3",
+    "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+    "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="no licence texts on this machine")
+def test_whole_licenses_known_by_digest(spark):
+    """Whole public texts as they are, wrapped anew, in capitals, with a notice in front, up to their last term, and changed."""
+    rows, want, end = [], {}, "END OF TERMS AND CONDITIONS"
+    for file, name in FILES.items():
+        if not os.path.exists(f"{COMMON}/{file}"):
+            continue
+        text = open(f"{COMMON}/{file}", encoding="utf-8").read()
+        forms = [text, text.replace("license", "licence"), "Copyright 2024 Some One\nAll rights reserved.\n\n" + text, text.upper()]
+        forms += [text[: text.index(end) + len(end)]] if end in text else []
+        forms += ["* " + text.replace("\n", "\n * ")]
+        for form in forms:
+            want[len(rows)] = name
+            rows.append((len(rows), form))
+        rows += [(len(rows), text + " One more term."), (len(rows) + 1, text[: len(text) // 2])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark)).filter("license is not null").collect()
+    assert {r["doc_id"]: r["license"] for r in got} == want
+    assert {hashlib.sha256(plain_form(t).encode()).hexdigest() for _, t in rows} >= {d for _, d in licenses.DIGESTS}
+
+
+def test_license_parts_against_plain_python(spark, small):
+    """Lines and runs of the given table, with licences planted in prose, by a form and digests of their own."""
+    texts = [(n, t) for n, t in licenses.KNOWN]
+    planted = [
+        (10_000_000 + k, f"Some prose before.\n\n{t.upper() if k % 2 else t}\n\nAnd after.\n{t.split(chr(10))[0]}\nReleased under the MIT Licence")
+        for k, (_, t) in enumerate(texts)
+    ]
+    docs = small.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
+    names = {}
+    for n, t in sorted(texts, reverse=True):
+        names[plain_form(t)] = n
+    want = Counter()
+    for r in docs.collect():
+        for part, mark in (("line", r"\n"), ("run", r"\n[ \t\r]*\n")):
+            for piece in re.split(mark, r["text"] or ""):
+                form = plain_form(piece)
+                if form and form in names:
+                    want[r["doc_id"], part, names[form]] += 1
+    got = licenses.parts(docs, licenses.known(spark)).collect()
+    assert len(got) == len(want) and all(want[r["doc_id"], r["part"], r["license"]] == r["n"] for r in got)
+    assert {n for _, _, n in want} >= {"MIT notice", "Apache-2.0 notice", "CC-BY-4.0 notice"} and any(d < 10_000_000 for d, _, _ in want)
+
+
+def test_license_digests_given_by_the_caller(spark):
+    rows = [("own", None, hashlib.sha256(b"two words").hexdigest().upper()), ("none", None, None), ("text", "Three more words", "ab")]
+    known = spark.createDataFrame(rows, "license string, text string, digest string")
+    docs = spark.createDataFrame([(1, "Two, words!"), (2, None), (3, "three more WORDS"), (4, "")], "doc_id long, text string")
+    for most in (10, 1):
+        got = {r["doc_id"]: r["license"] for r in licenses.scan(docs, known, most_sent=most).collect()}
+        assert got == {1: "own", 2: None, 3: "text", 4: None}
