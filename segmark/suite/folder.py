@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from segmark import fixtures as fx
 from segmark.plans.evaluation import EvaluationJob, EvaluationOptions
+from segmark.operators import intervals as iv
 from segmark.session import cut_path
-from segmark.sources import audio, manifest, stores, textgrid
+from segmark.sources import audio, formats, manifest, stores, textgrid
 from segmark.suite import query
 from segmark.suite.intervals import _OFFSET
 
@@ -84,3 +85,43 @@ def q_folder_job(spark, sf_dir):
     options = EvaluationOptions(audio_dir=f"{root}/audio", ref_dir=f"{root}/ref", hyp_dir=f"{root}/hyp", ref_stem_suffix="-ref")
     store = EvaluationJob(options).run(spark).store
     return store.select("side", "utt", F.col("pos").cast("long").alias("pos"), "phoneme", "start_s", "end_s")
+
+
+@query(
+    "q_annotation_format",
+    fx.with_views("hyp_iv")
+    + """
+    select utt, 'phones' as tier_name, pos, phoneme as label, start_s, end_s from hyp_iv
+    union all
+    select utt, 'words', 0, 'one "two" 3', 0.0, max(end_s) from hyp_iv group by utt""",
+)
+def q_annotation_format(spark, sf_dir):
+    """Annotation files, written in tasks, listed by levels and read through the format, once for each choice of a tier."""
+    root = new_root(spark)
+    texts = textgrid.long_form(fx.one_side(spark, sf_dir, "hyp"))
+    path = F.concat(F.lit(f"{root}/"), folder_of("utt"), F.lit("/"), "utt", F.lit(".TextGrid"))
+    write_files(texts.select(path.alias("path"), F.encode("content", "UTF-8").alias("body")))
+    files = stores.list_paths(spark, root)
+    utt = F.regexp_extract("path", r"([^/]+)\.TextGrid$", 1).alias("utt")
+    parts = [
+        formats.read_annotations(spark, files, mode="FAILFAST", **options).select(utt, F.lit(name).alias("tier_name"), F.col("pos").cast("long").alias("pos"), "label", "start_s", "end_s")
+        for name, options in (("phones", {}), ("words", {"tierIndex": "0"}))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "q_timeline_format",
+    fx.with_views("hyp_iv")
+    + """,
+    targets as (select distinct utt, phoneme as target from hyp_iv)
+    select utt, round(start_s, 4) as start_s, round(end_s - start_s, 4) as duration_s, target,
+           case when phoneme = target then 't' else 'f' end as decision
+    from hyp_iv join targets using (utt) where end_s - start_s > 0""",
+)
+def q_timeline_format(spark, sf_dir):
+    """Detection timelines written through the format, which commits whole jobs only, and read back."""
+    root = new_root(spark)
+    formats.write_timeline(iv.etf_rows(fx.one_side(spark, sf_dir, "hyp")), root)
+    back = spark.read.format("segmark_etf").load(root)
+    return back.withColumns({c: F.round(c, 4) for c in ("start_s", "duration_s")})
