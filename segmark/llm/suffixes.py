@@ -5,8 +5,10 @@ strings inside it, so equal windows have one key and neighbours mostly share the
 windows under one key. Runs whose key occurs once are done with. The others' texts are brought together by key,
 equal ones once with their number, and a suffix array of each key's texts, built by linear grouping (``lyndon``), has
 equal windows side by side; a key with one text that occurs several times needs no array. Keys with more than ``most``
-bytes of distinct text are not sorted; their windows are counted one by one by a 128-bit hash, which spreads them over
-all tasks.
+bytes of distinct text, a passage in very many contexts, are split by more of the context: their texts fall into runs
+once more, under longer strings, and those are brought together and sorted in the same way. What shares even the longer
+string in more than ``most`` bytes of contexts is counted window by window by a 128-bit hash, which spreads it over all
+tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ GATHERED, TOGETHER = 1 << 22, 1 << 20
 #: Low bits of a short string's hash that give way to its place, so that of equal hashes the leftmost is the smallest.
 PLACE = 12
 RUN = "key long, seg long, doc long, tag long, lo int, n int"
+SPANS = "key long, seg long, spans array<int>"
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -106,13 +109,19 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(known_id().alias("doc"), F.xxhash64("text").alias("tag"), "text").mapInArrow(pack, "doc long, tag long, raw binary")
 
 
-CARVED = "key long, seg long, weight long, at int, hash1 long, hash2 long, text binary"
+CARVED = "key long, seg long, weight long, at int, key2 long, seg2 long, text binary"
+
+
+def longer(length: int) -> int:
+    """Bytes of the strings under which a large key's windows are put: the largest power of 2 that a window holds."""
+    return 1 << (length.bit_length() - 1)
 
 
 def carve(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """The texts of runs: one row with the text, or for large keys one row with its hash for each window."""
+    """The texts of runs: one row with the whole text, or for large keys its runs under longer strings, with their places."""
     lists = texts.groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "seg", "weight", "lo", "n", "large")).alias("runs"))  # within a document
     joined = packed(docs).join(lists.hint("shuffle_hash"), ["doc", "tag"])
+    names = [f.split()[0] for f in CARVED.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -120,17 +129,18 @@ def carve(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             for k in range(b.num_rows):
                 raw = open_.decompress(b.column(0)[k].as_buffer().to_pybytes())
                 key, seg, weight, lo, n, large = (np.asarray(c) for c in b.column(1)[k].values.flatten())
+                own = [raw[a:z] for a, z in zip(lo.tolist(), (lo + n + length - 1).tolist())]
                 large = large.astype(bool)
-                cold, hot = np.flatnonzero(~large), np.flatnonzero(large)
+                cold = np.flatnonzero(~large)
                 if len(cold):
                     none = pa.nulls(len(cold), pa.int64())
-                    own = [raw[a:z] for a, z in zip(lo[cold].tolist(), (lo + n + length - 1)[cold].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[cold]), pa.array(seg[cold]), pa.array(weight[cold]), pa.nulls(len(cold), pa.int32()), none, none, pa.array(own, pa.binary())], names=[f.split()[0] for f in CARVED.split(", ")])
-                for h in hot.tolist():
-                    starts = range(int(lo[h]), int(lo[h] + n[h]))
-                    pairs = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[s : s + length]) for s in starts]), ">i8").astype(np.int64).reshape(-1, 2)
-                    same = lambda v: pa.array(np.full(len(pairs), v))
-                    yield pa.RecordBatch.from_arrays([same(key[h]), same(seg[h]), same(weight[h]), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names=[f.split()[0] for f in CARVED.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[cold]), pa.array(seg[cold]), pa.array(weight[cold]), pa.nulls(len(cold), pa.int32()), none, none, pa.array([own[i] for i in cold], pa.binary())], names=names)
+                for h in np.flatnonzero(large).tolist():
+                    key2, at, n2 = runs(own[h], length, longer(length))
+                    inner = [own[h][a:z] for a, z in zip(at.tolist(), (at + n2 + length - 1).tolist())]
+                    seg2 = np.array([xxhash.xxh3_64_intdigest(t) for t in inner], np.uint64).view(np.int64)
+                    same = lambda v: pa.array(np.full(len(inner), v))
+                    yield pa.RecordBatch.from_arrays([same(key[h]), same(seg[h]), same(weight[h]), pa.array(at.astype(np.int32)), pa.array(key2), pa.array(seg2), pa.array(inner, pa.binary())], names=names)
 
     return joined.select("raw", "runs").mapInArrow(rows, CARVED)
 
@@ -213,6 +223,58 @@ def sort_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         yield from work()
 
 
+def in_order(texts: DataFrame, length: int) -> DataFrame:
+    """(key, seg, spans) of the windows of ``texts`` (key, seg, weight, text) that occur more than once under their key."""
+    dealt = texts.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key", "seg")
+    return dealt.mapInArrow(lambda batches: sort_groups(batches, length), SPANS)
+
+
+def counted(texts: DataFrame, length: int) -> DataFrame:
+    """What :func:`in_order` gives, with windows counted by their hash over all keys."""
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, seg, weight, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+                pairs = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[s : s + length]) for s in range(len(text) - length + 1)]), ">i8").astype(np.int64).reshape(-1, 2)
+                same = lambda v: pa.array(np.full(len(pairs), v, np.int64))
+                yield pa.RecordBatch.from_arrays([same(key), same(seg), same(weight), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "seg", "weight", "at", "hash1", "hash2"])
+
+    def to_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = []
+            for x in b.column(2):
+                at = np.asarray(x.values)
+                flags = np.zeros(int(at[-1]) + 1, bool)
+                flags[at] = True
+                spans.append(spans_of(flags))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tolist() for s in spans], pa.list_(pa.int32()))], names=["key", "seg", "spans"])
+
+    windows = cut(texts.select("key", "seg", "weight", "text").mapInArrow(hashes, "key long, seg long, weight long, at int, hash1 long, hash2 long"), "suffix-windows")
+    again = windows.groupBy("hash1", "hash2").agg(F.sum("weight").alias("n")).filter("n > 1").select("hash1", "hash2")
+    lists = windows.join(again, ["hash1", "hash2"], "left_semi").groupBy("key", "seg").agg(F.sort_array(F.collect_list("at")).alias("at"))  # within a run
+    return lists.mapInArrow(to_spans, SPANS)
+
+
+def spans_of_parts(parts: DataFrame, length: int, most: int) -> DataFrame:
+    """(key, seg, at, spans) for the runs under longer strings that large keys were split into.
+
+    A run and its place come once, however often the document that stands for it is repeated; equal texts of different
+    places are sorted as one with the sum of their weights, combined before the shuffle.
+    """
+    once = parts.groupBy("key", "seg", "at").agg(F.any_value(F.struct("weight", "key2", "seg2", "text")).alias("r"))
+    once = cut(once.select("key", "seg", "at", "r.*"), "suffix-parts")
+    texts = once.groupBy("key2", "seg2").agg(F.sum("weight").alias("weight"), F.any_value("text").alias("text"))
+    texts = cut(texts.select(F.col("key2").alias("key"), F.col("seg2").alias("seg"), "weight", "text"), "suffix-part-texts")
+    facts = texts.groupBy("key").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("segs"))
+    facts = cut(facts.select("key", (F.col("segs") == 1).alias("single"), (F.col("bytes") > most).alias("large")), "suffix-part-facts")
+    judged = texts.join(facts, "key")
+    whole = judged.filter("single and weight > 1").select("key", "seg", F.array(F.lit(0), F.length("text") - (length - 1)).alias("spans"))
+    several = judged.filter("not single")
+    found = in_order(several.filter("not large").select("key", "seg", "weight", "text"), length).union(whole)
+    found = cut(found.union(counted(several.filter("large"), length)), "suffix-part-spans")
+    renamed = found.select(F.col("key").alias("key2"), F.col("seg").alias("seg2"), "spans")
+    return once.select("key", "seg", "at", "key2", "seg2").join(renamed, ["key2", "seg2"]).select("key", "seg", "at", "spans")
+
+
 def repeated_windows(docs: DataFrame, length: int, gram: int, most: int) -> DataFrame:
     """(doc, tag, lo, spans): for each run with repeated windows, which of its windows they are."""
     counted, found = run_rows(docs, length, gram)
@@ -230,25 +292,11 @@ def repeated_windows(docs: DataFrame, length: int, gram: int, most: int) -> Data
     texts = judged.filter(~alone).select("key", "seg", "weight", "doc", "tag", "lo", "n", "large")
     carved = cut(carve(docs, texts, length), "suffix-texts")
 
-    small = carved.filter("text is not null").select("key", "seg", "weight", "text").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "seg")
-    sorted_ = small.mapInArrow(lambda batches: sort_groups(batches, length), "key long, seg long, spans array<int>")
-
-    windows = carved.filter("text is null").select("key", "seg", "weight", "at", "hash1", "hash2").distinct()
-    again = windows.groupBy("hash1", "hash2").agg(F.sum("weight").alias("n")).filter("n > 1").select("hash1", "hash2")
-    lists = windows.join(again, ["hash1", "hash2"], "left_semi").groupBy("key", "seg").agg(F.sort_array(F.collect_list("at")).alias("at"))  # within a run
-
-    def to_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = []
-            for x in b.column(2):
-                at = np.asarray(x.values)
-                flags = np.zeros(int(at[-1]) + 1, bool)
-                flags[at] = True
-                spans.append(spans_of(flags))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tolist() for s in spans], pa.list_(pa.int32()))], names=["key", "seg", "spans"])
-
-    spans = cut(sorted_.union(lists.mapInArrow(to_spans, "key long, seg long, spans array<int>")).union(whole), "suffix-spans")
-    return own.join(spans, ["key", "seg"]).select("doc", "tag", "lo", "spans")
+    sorted_ = in_order(carved.filter("at is null").select("key", "seg", "weight", "text"), length)
+    parts = spans_of_parts(carved.filter("at is not null"), length, most)
+    at = F.lit(0).alias("at")
+    spans = cut(sorted_.union(whole).select("key", "seg", at, "spans").union(parts), "suffix-spans")
+    return own.join(spans, ["key", "seg"]).select("doc", "tag", (F.col("lo") + F.col("at")).alias("lo"), "spans")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:

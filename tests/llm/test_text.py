@@ -145,9 +145,9 @@ def plain_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [8192, 300, 0])
+@pytest.mark.parametrize("most", [8192, 700, 0])
 def test_repeated_bytes(spark, most):
-    """Planted passages, periods and copies, with every group sorted, some or none; all agree."""
+    """Planted passages, periods and copies, with every key sorted as it is, some split and sorted, or all counted; all agree."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgé", k=rng.randint(1, 8)))
     passage = " ".join(word() for _ in range(30))
@@ -160,6 +160,25 @@ def test_repeated_bytes(spark, most):
     assert got == want
 
 
+def test_large_keys_are_split_and_sorted(spark, monkeypatch):
+    """One passage in 400 contexts, some of them shared for a while, some whole copies; no window is left to be counted."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgé", k=rng.randint(1, 8)))
+    passage = "".join(word() for _ in range(9))[:24]
+    sides = [" ".join(word() for _ in range(12)) for _ in range(30)]
+    texts = [f"{rng.choice(sides)[k % 9:]}{passage}{rng.choice(sides)[: 20 + k % 17]} {word()}" for k in range(400)]
+    texts += rng.choices(texts, k=40)
+    want = sorted(plain_removed([t.encode() for t in texts], 60))
+    sent = []
+    real = suffixes.counted
+    monkeypatch.setattr(suffixes, "counted", lambda t, length: sent.append(t.count()) or real(t, length))
+    docs = spark.createDataFrame([(k % 390, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    for most, none in ((8192, True), (200, False)):
+        out = suffixes.remove(docs, 60, 16, most)
+        assert sorted((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()) == want
+        assert (sent[-1] == 0) == none
+
+
 def test_bytes_of_odd_rows(odd, crowded, empty):
     rows = [(d[1] or "").encode() if d[0] not in (6, 7) else b"" for d in ODD]
     want = Counter(plain_removed(rows, 200))
