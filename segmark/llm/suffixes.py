@@ -6,14 +6,16 @@ windows under one key. Runs whose key occurs once are done with. The others' tex
 equal ones once with their number, and a suffix array of each key's texts, built by linear grouping (``lyndon``), has
 equal windows side by side; a key with one text that occurs several times needs no array. Keys with more than ``most``
 bytes of distinct text, a passage in very many contexts, are split by more of the context: their texts fall into runs
-once more, under longer strings, and those are brought together and sorted in the same way. What shares even the longer
-string in more than ``most`` bytes of contexts is counted window by window by a 128-bit hash, which spreads it over all
-tasks.
+once more, under longer strings, and those are brought together and sorted in the same way. A string that is still in
+more than ``most`` bytes of contexts is prolonged, to the left for windows that reach far to the left of it, to the right
+for the others, by half of what is left of a window each time, until the texts under it are few or whole windows. So
+every window is settled in a suffix order or by being its key's only text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,8 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows: key, first window, number of windows.
+def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows: key, first window, number of windows, where the string with that key begins.
 
     A window's key is its smallest hash of ``gram`` bytes, a run the neighbours that have it at one place. Of several
     such places in a window the leftmost counts, so equal windows, wherever they stand, are always of different runs:
@@ -67,9 +69,9 @@ def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray
         hashes &= ~np.uint64((1 << PLACE) - 1)
         low = least(hashes | np.arange(len(hashes), dtype=np.uint64), width)
         first = np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1))
-        found.append(((low[first] >> np.uint64(PLACE)).astype(np.int64), first + at, np.diff(np.append(first, len(low)))))
+        found.append(((low[first] >> np.uint64(PLACE)).astype(np.int64), first + at, np.diff(np.append(first, len(low))), (low[first] & np.uint64((1 << PLACE) - 1)).astype(np.int64) + at))
     if not found:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -87,7 +89,7 @@ def run_rows(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFr
                 parts = []
                 for doc, tag, x in zip(numbers(b.column(0))[k : k + 1000], numbers(b.column(1))[k : k + 1000], b.column(2)[k : k + 1000]):
                     raw = x.as_buffer().to_pybytes() if x.is_valid else b""
-                    key, lo, n = runs(raw, length, gram)
+                    key, lo, n, _ = runs(raw, length, gram)
                     if len(key):
                         seg = np.array([xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(lo.tolist(), (lo + n + length - 1).tolist())], np.uint64).view(np.int64)
                         parts.append((key, seg, np.full(len(key), doc), np.full(len(key), tag), lo, n))
@@ -109,7 +111,7 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(known_id().alias("doc"), F.xxhash64("text").alias("tag"), "text").mapInArrow(pack, "doc long, tag long, raw binary")
 
 
-CARVED = "key long, seg long, weight long, at int, key2 long, seg2 long, text binary"
+CARVED = "key long, seg long, weight long, at int, place int, key2 long, seg2 long, text binary"
 
 
 def longer(length: int) -> int:
@@ -134,13 +136,13 @@ def carve(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 cold = np.flatnonzero(~large)
                 if len(cold):
                     none = pa.nulls(len(cold), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(key[cold]), pa.array(seg[cold]), pa.array(weight[cold]), pa.nulls(len(cold), pa.int32()), none, none, pa.array([own[i] for i in cold], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[cold]), pa.array(seg[cold]), pa.array(weight[cold]), pa.nulls(len(cold), pa.int32()), pa.nulls(len(cold), pa.int32()), none, none, pa.array([own[i] for i in cold], pa.binary())], names=names)
                 for h in np.flatnonzero(large).tolist():
-                    key2, at, n2 = runs(own[h], length, longer(length))
+                    key2, at, n2, place = runs(own[h], length, longer(length))
                     inner = [own[h][a:z] for a, z in zip(at.tolist(), (at + n2 + length - 1).tolist())]
                     seg2 = np.array([xxhash.xxh3_64_intdigest(t) for t in inner], np.uint64).view(np.int64)
                     same = lambda v: pa.array(np.full(len(inner), v))
-                    yield pa.RecordBatch.from_arrays([same(key[h]), same(seg[h]), same(weight[h]), pa.array(at.astype(np.int32)), pa.array(key2), pa.array(seg2), pa.array(inner, pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([same(key[h]), same(seg[h]), same(weight[h]), pa.array(at.astype(np.int32)), pa.array((place - at).astype(np.int32)), pa.array(key2), pa.array(seg2), pa.array(inner, pa.binary())], names=names)
 
     return joined.select("raw", "runs").mapInArrow(rows, CARVED)
 
@@ -229,29 +231,34 @@ def in_order(texts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(lambda batches: sort_groups(batches, length), SPANS)
 
 
-def counted(texts: DataFrame, length: int) -> DataFrame:
-    """What :func:`in_order` gives, with windows counted by their hash over all keys."""
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, seg, weight, text in zip(*(b.column(i).to_pylist() for i in range(4))):
-                pairs = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[s : s + length]) for s in range(len(text) - length + 1)]), ">i8").astype(np.int64).reshape(-1, 2)
-                same = lambda v: pa.array(np.full(len(pairs), v, np.int64))
-                yield pa.RecordBatch.from_arrays([same(key), same(seg), same(weight), pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "seg", "weight", "at", "hash1", "hash2"])
+PARTS = "key long, seg long, at int, weight long, place int, key2 long, seg2 long, text binary"
 
-    def to_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = []
-            for x in b.column(2):
-                at = np.asarray(x.values)
-                flags = np.zeros(int(at[-1]) + 1, bool)
-                flags[at] = True
-                spans.append(spans_of(flags))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tolist() for s in spans], pa.list_(pa.int32()))], names=["key", "seg", "spans"])
 
-    windows = cut(texts.select("key", "seg", "weight", "text").mapInArrow(hashes, "key long, seg long, weight long, at int, hash1 long, hash2 long"), "suffix-windows")
-    again = windows.groupBy("hash1", "hash2").agg(F.sum("weight").alias("n")).filter("n > 1").select("hash1", "hash2")
-    lists = windows.join(again, ["hash1", "hash2"], "left_semi").groupBy("key", "seg").agg(F.sort_array(F.collect_list("at")).alias("at"))  # within a run
-    return lists.mapInArrow(to_spans, SPANS)
+def prolong(parts: DataFrame, shared: int, more: int, length: int) -> DataFrame:
+    """``parts`` under strings of ``shared`` bytes, put under strings of ``more`` further ones: two rows each at most.
+
+    Windows with ``more`` bytes or more before the string share that much with it to the left, all others to the right.
+    Equal windows have the string at one place, so they stay under one key.
+    """
+    names = [f.split()[0] for f in PARTS.split(", ")]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, seg, at, weight, place, text in zip(*(b.column(i).to_pylist() for i in range(6))):
+                windows, cut_at = len(text) - length + 1, max(0, place - more + 1)  # the first window with less before the string
+                for first, last, begin in ((0, min(cut_at, windows), place - more), (cut_at, windows, place)):
+                    if first < last:
+                        own = text[first : last + length - 1]
+                        key2 = xxhash.xxh3_64_intdigest(text[begin : begin + shared + more], seed=begin == place)
+                        out.append((key, seg, at + first, weight, begin - first, key2, xxhash.xxh3_64_intdigest(own), own))
+            if out:
+                columns = list(zip(*out))
+                whole = [np.array(columns[i], np.uint64).view(np.int64) for i in (5, 6)]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), *map(pa.array, whole), pa.array(columns[7], pa.binary())], names=names)
+
+    return parts.select("key", "seg", "at", "weight", "place", "text").mapInArrow(split, PARTS)
 
 
 def spans_of_parts(parts: DataFrame, length: int, most: int) -> DataFrame:
@@ -260,19 +267,27 @@ def spans_of_parts(parts: DataFrame, length: int, most: int) -> DataFrame:
     A run and its place come once, however often the document that stands for it is repeated; equal texts of different
     places are sorted as one with the sum of their weights, combined before the shuffle.
     """
-    once = parts.groupBy("key", "seg", "at").agg(F.any_value(F.struct("weight", "key2", "seg2", "text")).alias("r"))
-    once = cut(once.select("key", "seg", "at", "r.*"), "suffix-parts")
-    texts = once.groupBy("key2", "seg2").agg(F.sum("weight").alias("weight"), F.any_value("text").alias("text"))
-    texts = cut(texts.select(F.col("key2").alias("key"), F.col("seg2").alias("seg"), "weight", "text"), "suffix-part-texts")
-    facts = texts.groupBy("key").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("segs"))
-    facts = cut(facts.select("key", (F.col("segs") == 1).alias("single"), (F.col("bytes") > most).alias("large")), "suffix-part-facts")
-    judged = texts.join(facts, "key")
-    whole = judged.filter("single and weight > 1").select("key", "seg", F.array(F.lit(0), F.length("text") - (length - 1)).alias("spans"))
-    several = judged.filter("not single")
-    found = in_order(several.filter("not large").select("key", "seg", "weight", "text"), length).union(whole)
-    found = cut(found.union(counted(several.filter("large"), length)), "suffix-part-spans")
-    renamed = found.select(F.col("key").alias("key2"), F.col("seg").alias("seg2"), "spans")
-    return once.select("key", "seg", "at", "key2", "seg2").join(renamed, ["key2", "seg2"]).select("key", "seg", "at", "spans")
+    names = [f.split()[0] for f in PARTS.split(", ")]
+    once = parts.groupBy("key", "seg", "at").agg(F.any_value(F.struct(*names[3:])).alias("r"))
+    once, shared, done = cut(once.select("key", "seg", "at", "r.*"), "suffix-parts"), longer(length), []
+    while True:
+        texts = once.groupBy("key2", "seg2").agg(F.sum("weight").alias("weight"), F.any_value("text").alias("text"))
+        texts = cut(texts.select(F.col("key2").alias("key"), F.col("seg2").alias("seg"), "weight", "text"), "suffix-part-texts")
+        facts = texts.groupBy("key").agg(F.sum(F.length("text")).alias("bytes"), F.count("*").alias("segs"))
+        single, large = F.col("segs") == 1, (F.col("segs") > 1) & (F.col("bytes") > most) & F.lit(shared < length)
+        facts = cut(facts.select("key", single.alias("single"), large.alias("large")), "suffix-part-facts")
+        judged = texts.join(facts, "key")
+        whole = judged.filter("single and weight > 1").select("key", "seg", F.array(F.lit(0), F.length("text") - (length - 1)).alias("spans"))
+        found = in_order(judged.filter("not single and not large").select("key", "seg", "weight", "text"), length).union(whole)
+        found = cut(found.select(F.col("key").alias("key2"), F.col("seg").alias("seg2"), "spans"), "suffix-part-spans")
+        done.append(once.select("key", "seg", "at", "key2", "seg2").join(found, ["key2", "seg2"]).select("key", "seg", "at", "spans"))
+        hot = facts.filter("large").select(F.col("key").alias("key2"))
+        if hot.isEmpty():
+            break
+        more = (length - shared + 1) // 2
+        once = cut(prolong(once.join(hot, "key2", "left_semi"), shared, more, length), "suffix-parts")
+        shared += more
+    return reduce(DataFrame.union, done)
 
 
 def repeated_windows(docs: DataFrame, length: int, gram: int, most: int) -> DataFrame:

@@ -147,7 +147,7 @@ def plain_removed(texts, length):
 
 @pytest.mark.parametrize("most", [8192, 700, 0])
 def test_repeated_bytes(spark, most):
-    """Planted passages, periods and copies, with every key sorted as it is, some split and sorted, or all counted; all agree."""
+    """Planted passages, periods and copies, with every key sorted as it is, some split and sorted, or all split down to whole windows; all agree."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgé", k=rng.randint(1, 8)))
     passage = " ".join(word() for _ in range(30))
@@ -161,7 +161,7 @@ def test_repeated_bytes(spark, most):
 
 
 def test_large_keys_are_split_and_sorted(spark, monkeypatch):
-    """One passage in 400 contexts, some of them shared for a while, some whole copies; no window is left to be counted."""
+    """One passage in 400 contexts, some of them shared for a while, some whole copies: split once, or further until keys are small."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefgé", k=rng.randint(1, 8)))
     passage = "".join(word() for _ in range(9))[:24]
@@ -169,14 +169,14 @@ def test_large_keys_are_split_and_sorted(spark, monkeypatch):
     texts = [f"{rng.choice(sides)[k % 9:]}{passage}{rng.choice(sides)[: 20 + k % 17]} {word()}" for k in range(400)]
     texts += rng.choices(texts, k=40)
     want = sorted(plain_removed([t.encode() for t in texts], 60))
-    sent = []
-    real = suffixes.counted
-    monkeypatch.setattr(suffixes, "counted", lambda t, length: sent.append(t.count()) or real(t, length))
+    levels = []
+    real = suffixes.prolong
+    monkeypatch.setattr(suffixes, "prolong", lambda parts, shared, more, length: levels.append((shared, more)) or real(parts, shared, more, length))
     docs = spark.createDataFrame([(k % 390, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    for most, none in ((8192, True), (200, False)):
+    for most, want_levels in ((8192, []), (200, [(32, 14), (46, 7), (53, 4), (57, 2), (59, 1)])):
         out = suffixes.remove(docs, 60, 16, most)
         assert sorted((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()) == want
-        assert (sent[-1] == 0) == none
+        assert levels == want_levels[: len(levels)] and bool(levels) == bool(want_levels)
 
 
 def test_bytes_of_odd_rows(odd, crowded, empty):
@@ -208,8 +208,8 @@ def test_equal_windows_have_one_key_and_different_runs(length, gram):
     for _ in range(40):
         unit = "".join(rng.choices("ab", k=rng.randint(1, 300)))
         raw = (unit * rng.randint(1, 40) + "".join(rng.choices("abc", k=rng.randint(0, 300))) + unit * 3).encode()[: rng.choice([300, 6000])]
-        key, lo, n = suffixes.runs(raw, length, gram)
-        assert n.sum() == max(0, len(raw) - length + 1) and (np.cumsum(n) - n == lo).all()
+        key, lo, n, place = suffixes.runs(raw, length, gram)
+        assert n.sum() == max(0, len(raw) - length + 1) and (np.cumsum(n) - n == lo).all() and (lo <= place + length - gram).all() and (place >= lo + n - 1).all()
         of, at = {}, np.repeat(np.arange(len(n)), n)
         for i, r in enumerate(at.tolist()):
             of.setdefault(raw[i : i + length], []).append(r)
