@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ ROWS = (PythonEvalType.SQL_BATCHED_UDF, PythonEvalType.SQL_ARROW_BATCHED_UDF)
 SERIES = (PythonEvalType.SQL_SCALAR_PANDAS_UDF,)
 ARRAYS = (PythonEvalType.SQL_SCALAR_ARROW_UDF,)
 
+#: Values at fault that a task remembers.
+MAX_FAULTS = 100_000
+
 
 def _as_array(found, kind: pa.DataType) -> pa.Array:
     if isinstance(found, pa.ChunkedArray):
@@ -46,23 +50,58 @@ def kernel_of(function: Callable) -> tuple[Callable, T.DataType] | None:
     return run, returned
 
 
-def outcome(run: Callable, kind: pa.DataType, columns: list[pa.Array]) -> tuple[list[pa.Array], list[str | None]]:
-    """Results of a batch in pieces and each row's error; a batch that raises is halved down to the rows at fault."""
+def outcome(run: Callable, kind: pa.DataType, columns: list[pa.Array], failed: bool = False) -> tuple[list[pa.Array], list[str | None]]:
+    """Results of a batch in pieces and each row's error; a batch that raises is halved down to the rows at fault.
+
+    ``failed``: it is known to raise, being what is left of a batch that did, so it is halved at once.
+    """
     n = len(columns[0])
-    try:
-        return [run(*columns)], [None] * n
-    except Exception as error:  # whatever a caller's function raises
-        if n == 1:
-            return [pa.nulls(1, kind)], [f"{type(error).__name__}: {error}"]
+    if n == 1 or not failed:
+        try:
+            return [run(*columns)], [None] * n
+        except Exception as error:  # whatever a caller's function raises
+            if n == 1:
+                return [pa.nulls(1, kind)], [f"{type(error).__name__}: {error}"]
     half = n // 2
     left, bad_left = outcome(run, kind, [c.slice(0, half) for c in columns])
-    right, bad_right = outcome(run, kind, [c.slice(half) for c in columns])
+    right, bad_right = outcome(run, kind, [c.slice(half) for c in columns], not any(bad_left))
     return left + right, bad_left + bad_right
 
 
-def guarded(function: Callable) -> Callable[..., Column]:
+def by_value(run: Callable, kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:
+    """(value, error) of every row, from one call for the distinct values of a batch; NULL has neither.
+
+    Values at fault are remembered over the batches of a task, so each is looked for once.
+    """
+    faults: dict[object, str] = {}
+
+    def checked(column: pa.Array) -> pa.Array:
+        coded = column.dictionary_encode()
+        values = coded.dictionary
+        errors = [faults.get(v) for v in values.to_pylist()] if faults else [None] * len(values)
+        fresh = np.flatnonzero([e is None for e in errors])
+        parts = []
+        if len(fresh):
+            parts, found = outcome(run, kind, [values.take(pa.array(fresh))])
+            for k, error in zip(fresh, found):
+                errors[k] = error
+                if error is not None and len(faults) < MAX_FAULTS:
+                    faults[values[k].as_py()] = error
+        place = np.full(len(values), -1)
+        place[fresh] = np.arange(len(fresh))
+        got = pa.concat_arrays(parts) if parts else pa.nulls(0, kind)
+        table = pa.StructArray.from_arrays([got.take(pa.array(place, mask=place < 0)), pa.array(errors, pa.string())], names=["value", "error"])
+        return table.take(coded.indices)
+
+    return checked
+
+
+def guarded(function: Callable, distinct: bool = False) -> Callable[..., Column]:
     """``function`` as one that gives (value, error): a row on which it raises has no value and the reason.
 
+    ``distinct``: a function of one column whose result depends on the value only; it is called for the distinct values
+    of a batch, and never for NULL.
+
     Python UDFs of every scalar kind are run behind the guard; other functions of columns (built-in expressions) are
     used as they are and have no errors.
     """
@@ -79,9 +118,11 @@ def guarded(function: Callable) -> Callable[..., Column]:
         parts, errors = outcome(run, kind, list(columns))
         return pa.StructArray.from_arrays([pa.concat_arrays(parts), pa.array(errors, pa.string())], names=["value", "error"])
 
+    valued = by_value(run, kind) if distinct else checked
+
     # One function for each number of columns: Spark reads the kind of a function from its signature.
     def one(a: pa.Array) -> pa.Array:
-        return checked(a)
+        return valued(a)
 
     def two(a: pa.Array, b: pa.Array) -> pa.Array:
         return checked(a, b)

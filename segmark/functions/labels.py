@@ -60,8 +60,8 @@ class CustomRules:
         return self.function(raw)
 
     def outcome(self, raw: Column) -> Column:
-        """(value, error) of the label."""
-        return guarded(self.function)(raw)
+        """(value, error) of the label; none of an absent one."""
+        return F.when(raw.isNotNull(), guarded(self.function, distinct=True)(raw))
 
 
 def french_rules(kind: str = "reference") -> LabelRules:
@@ -99,19 +99,22 @@ WORD = r"[\p{L}\p{N}_]"
 
 
 def strip_annotation_markup(c: Column) -> Column:
-    """Remove trailing lines, bracketed and starred remarks, and pause words; collapse blanks."""
+    """Remove trailing lines, bracketed and starred remarks, and pause words; collapse blanks.
+
+    Most labels hold none of these: a search tells before anything is replaced.
+    """
+    def replaced(x: Column, sign: str, *patterns: str) -> Column:
+        out = x
+        for pattern in patterns:
+            out = F.regexp_replace(out, pattern, "")
+        return F.when(x.rlike(sign), out).otherwise(x)
+
     # The patterns, in this order.
-    for pattern in (
-        r"(?s)\n.*",
-        r"(?s)\[\[.*?\]\]",
-        r"(?s)\[.*?\]",
-        r"\[\[|\]\]|\[|\]",
-        r"(?s)\(.*?\)",
-        r"(?s)\*.*?\*",
-        rf"(?iu)(?<!{WORD}){WORD}*pause{WORD}*(?!{WORD})",
-    ):
-        c = F.regexp_replace(c, pattern, "")
-    return text.strip(F.regexp_replace(c, rf"(?U){text.BLANK}+", " "))
+    remarks = (r"(?s)\n.*", r"(?s)\[\[.*?\]\]", r"(?s)\[.*?\]", r"\[\[|\]\]|\[|\]", r"(?s)\(.*?\)", r"(?s)\*.*?\*")
+    pause = rf"(?iu)(?<!{WORD}){WORD}*pause{WORD}*(?!{WORD})"
+    blank = rf"(?U){text.BLANK}"
+    c = text.let(replaced(c, r"[\n\[\](*]", *remarks), lambda x: replaced(x, "(?iu)pause", pause))
+    return text.let(c, lambda x: F.when(x.rlike(blank), text.strip(F.regexp_replace(x, f"{blank}+", " "))).otherwise(x))
 
 
 def _lookup(table: Mapping[str, str], c: Column) -> Column:

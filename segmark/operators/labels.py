@@ -25,12 +25,21 @@ def normalized(df: DataFrame, column: str, rules: LabelRules, name: str = "phone
     return composed.select(*rest, expr.alias(name))
 
 
-def _small_vocabulary(df: DataFrame, column: str, max_vocabulary: int) -> DataFrame | None:
-    """The distinct labels, written once, or None when there are too many to broadcast."""
-    vocabulary = cut(df.select(column).filter(F.col(column).isNotNull()).distinct(), "labels")
-    size = vocabulary.agg(F.count("*").alias("n"), F.sum(F.length(column)).alias("chars")).first()
-    small = size["n"] <= max_vocabulary and (size["chars"] or 0) <= MAX_VOCABULARY_CHARS
-    return vocabulary if small else None
+def _small_vocabulary(df: DataFrame, column: str, max_vocabulary: int) -> tuple[DataFrame, bool]:
+    """Labels that are few enough to broadcast, and whether they are all: else the most frequent ones that fit."""
+    counted = df.select(column).filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    # A step in the frequency is a quarter of a doubling, so there are few of them.
+    counted = cut(counted.select(column, F.floor(F.log2("n") * 4).cast("int").alias("step")), "labels")
+    steps = counted.groupBy("step").agg(F.count("*").alias("n"), F.sum(F.length(column)).alias("chars")).collect()
+    n = chars = 0
+    least = None
+    for s in sorted(steps, key=lambda s: -s["step"]):
+        n, chars = n + s["n"], chars + s["chars"]
+        if n > max_vocabulary or chars > MAX_VOCABULARY_CHARS:
+            kept = F.lit(False) if least is None else F.col("step") >= least
+            return counted.filter(kept).select(column), False
+        least = s["step"]
+    return counted.select(column), True
 
 
 def normalize_labels(
@@ -43,16 +52,20 @@ def normalize_labels(
     """Normalise a label column of a large table.
 
     The distinct labels are written first. A small vocabulary (the usual case, checked by rows and
-    characters) is normalised once and broadcast; beyond the bound the rules run on the rows in place,
-    so a hot label never gathers in one task either way.
+    characters) is normalised once and broadcast; of a larger one the most frequent labels are, and the
+    rules run on the rows that hold others in place, so a hot label never gathers in one task either way.
     """
-    vocabulary = _small_vocabulary(df, column, max_vocabulary)
-    if vocabulary is None:
+    vocabulary, complete = _small_vocabulary(df, column, max_vocabulary)
+    if not complete and isinstance(rules, CustomRules):
         return normalized(df, column, rules, name)
-    table = normalized(vocabulary, column, rules, "__out").withColumnRenamed(column, "__label")
+    table = normalized(vocabulary, column, rules, "__out").select(F.col(column).alias("__label"), "__out", F.lit(True).alias("__known"))
     rest = [F.col(c) for c in df.columns if c != name]
     joined = df.join(F.broadcast(table), F.col(column) == F.col("__label"), "left")
-    return joined.select(*rest, F.col("__out").alias(name))
+    if complete:
+        return joined.select(*rest, F.col("__out").alias(name))
+    left = joined.withColumn("__left", F.when(F.col("__known").isNull(), F.col(column)))
+    done = text.pinned(normalized(left, "__left", rules, "__in"), __in=F.col("__in"))
+    return done.select(*rest, F.when(F.col("__known"), F.col("__out")).otherwise(F.col("__in")).alias(name))
 
 
 def normalize_sides(
@@ -80,28 +93,38 @@ def normalize_sides(
         both = [by_side({v: o["value"] for v, o in outs.items()}, name)]
         return both + [by_side({v: o["error"] for v, o in outs.items()}, error)] if error else both
 
-    rest = [c for c in df.columns if c != name]
-    vocabulary = _small_vocabulary(df, column, max_vocabulary)
-    source = df if vocabulary is None else vocabulary
-    composed = source.withColumn("__c", text.compose(column))
-    outs: dict[str, Column] = {}
-    for value, r in rules.items():
-        same = next((outs[v] for v in outs if rules[v] == r), None)
-        if same is not None:
-            outs[value] = same
-        elif error and isinstance(r, CustomRules):
-            outs[value] = r.outcome(F.col(column))
-        else:
-            plain = r.expression(F.col(column), F.col("__c.nfc"), F.col("__c.marks"))
-            outs[value] = F.struct(plain.alias("value"), F.lit(None).cast("string").alias("error"))
-    # Outcomes are columns of their own first, so that each function is evaluated once.
-    named = {value: f"__out_{k}" for k, value in enumerate(outs)}
-    done = composed.select(*(rest if vocabulary is None else [F.col(column).alias("__label")]), *[out.alias(named[v]) for v, out in outs.items()])
-    picked = results({v: F.col(c) for v, c in named.items()})
-    if vocabulary is None:
-        return done.select(*rest, *picked)
-    joined = df.join(F.broadcast(done), F.col(column) == F.col("__label"), "left")
-    return joined.select(*rest, *picked)
+    def outcomes(source: DataFrame, raw: str, kept: list[Column], prefix: str) -> tuple[DataFrame, dict[str, Column]]:
+        """``kept`` and the outcome of ``raw`` by each side's rules; outcomes are columns of their own first and pinned, so
+        that each function is evaluated once, not again in filters that are pushed down."""
+        composed = source.withColumn("__c", text.compose(raw))
+        outs: dict[str, Column] = {}
+        for value, r in rules.items():
+            same = next((outs[v] for v in outs if rules[v] == r), None)
+            if same is not None:
+                outs[value] = same
+            elif error and isinstance(r, CustomRules):
+                outs[value] = r.outcome(F.col(raw))
+            else:
+                plain = r.expression(F.col(raw), F.col("__c.nfc"), F.col("__c.marks"))
+                outs[value] = F.struct(plain.alias("value"), F.lit(None).cast("string").alias("error"))
+        named = {value: f"{prefix}{next(k for k, v in enumerate(outs) if outs[v] is out)}" for value, out in outs.items()}
+        once = {named[value]: out for value, out in outs.items()}
+        done = composed.select(*kept, *[out.alias(n) for n, out in once.items()])
+        return text.pinned(done, **{n: F.col(n) for n in once}), {v: F.col(n) for v, n in named.items()}
+
+    rest = [F.col(c) for c in df.columns if c != name]
+    vocabulary, complete = _small_vocabulary(df, column, max_vocabulary)
+    if not complete and not error and any(isinstance(r, CustomRules) for r in rules.values()):
+        done, outs = outcomes(df, column, rest, "__in_")
+        return done.select(*rest, *results(outs))
+    table, outs = outcomes(vocabulary, column, [F.col(column).alias("__label"), F.lit(True).alias("__known")], "__out_")
+    joined = df.join(F.broadcast(table), F.col(column) == F.col("__label"), "left")
+    if complete:
+        return joined.select(*rest, *results(outs))
+    left = joined.withColumn("__left", F.when(F.col("__known").isNull(), F.col(column)))
+    known = list(dict.fromkeys(c for c in table.columns if c != "__label"))
+    done, inside = outcomes(left, "__left", [*rest, *[F.col(c) for c in known]], "__in_")
+    return done.select(*rest, *results({v: F.when(F.col("__known"), outs[v]).otherwise(inside[v]) for v in rules}))
 
 
 def clean_intervals(

@@ -591,3 +591,37 @@ def test_cut_points_can_be_cleared(spark):
     (file, *_) = rows.inputFiles()
     assert rows.count() == 3 and os.path.exists(file.removeprefix("file://"))
     assert session.clear_cuts(spark) >= 1 and not os.path.exists(file.removeprefix("file://"))
+
+
+def test_frequent_labels_of_a_large_vocabulary_are_met_by_broadcast(spark):
+    rows = [("often",)] * 50 + [("[also] often",)] * 40 + [(f"rare{k}",) for k in range(30)] + [("sil",), (None,)]
+    df = spark.createDataFrame(rows, "label string")
+    vocabulary, complete = lab._small_vocabulary(df, "label", 10)
+    assert not complete and values(vocabulary, "label") == [("[also] often",), ("often",)]
+    assert lab._small_vocabulary(df, "label", 100)[1]
+    expected = values(lab.normalize_labels(df, "label", L.PRESETS["none"]), "label", "phoneme")
+    assert values(lab.normalize_labels(df, "label", L.PRESETS["none"], max_vocabulary=10), "label", "phoneme") == expected
+    sides = df.withColumn("side", F.when(F.length("label") % 2 == 0, "ref").otherwise("hyp"))
+    rules = {"ref": L.CustomRules(raising_rules()[1]), "hyp": L.PRESETS["none"]}
+    sides = sides.unionByName(spark.createDataFrame([("bad", "ref"), ("bad", "hyp")], "label string, side string"))
+    whole, parts = (values(lab.normalize_sides(sides, "label", "side", rules, max_vocabulary=n, error="why"), "side", "label", "phoneme", "why") for n in (100, 10))
+    assert whole == parts and len(parts) == len(rows) + 2 and sum(r[3] is not None for r in parts) == 1
+
+
+def test_a_value_at_fault_is_looked_for_once():
+    calls = []
+
+    def run(x):
+        calls.append(len(x))
+        if any(v.startswith("bad") for v in x.to_pylist()):
+            raise ValueError("bad")
+        return pa.array([v.upper() for v in x.to_pylist()])
+
+    checked = guarded.by_value(run, pa.string())
+    batch = [f"w{k % 100}" for k in range(1000)] + ["bad1", None, "bad1", "bad2"]
+    for _ in range(3):
+        got = checked(pa.array(batch)).to_pylist()
+        assert [g and g["value"] for g in got] == [None if v is None or v.startswith("bad") else v.upper() for v in batch]
+        assert [k for k, g in enumerate(got) if g and g["error"]] == [1000, 1002, 1003]
+    assert max(calls) == 102 and len(calls) < 40  # one search among the distinct values, then a call a batch
+    assert checked(pa.array([], pa.string())).to_pylist() == [] and checked(pa.array([None], pa.string())).to_pylist() == [None]
