@@ -102,11 +102,13 @@ def _mapping(spark: SparkSession, given: Mapping[str, str] | str | None) -> Mapp
 
 
 class Store(NamedTuple):
-    """Intervals ready for scoring, failed recordings, and the longest side of a recording."""
+    """Intervals ready for scoring, failed recordings, the longest side of a recording, and the recordings (utt) that
+    the intervals are of."""
 
     intervals: DataFrame
     failures: DataFrame
     longest: int
+    recordings: DataFrame
 
 
 def build_store(
@@ -169,7 +171,7 @@ def build_store(
         (F.col("start_s") - moved).alias("start_s"),
         (F.col("end_s") - moved).alias("end_s"),
     )
-    return Store(intervals, failures, longest)
+    return Store(intervals, failures, longest, checked.filter(good).select("utt").distinct())
 
 
 def evaluate_tables(
@@ -183,7 +185,7 @@ def evaluate_tables(
     aligner: seqalign.Aligner = seqalign.align_labels,
 ) -> Evaluation:
     """Score raw interval tables. Predictions default to the raw hypothesis labels, as read."""
-    store, failures, longest = build_store(samples, ref, hyp, durations, options)
+    store, failures, longest, _ = build_store(samples, ref, hyp, durations, options)
     if read_failures is not None:
         # A file that could not be read explains an empty side better than the emptiness does.
         first = read_failures.groupBy("utt").agg(F.min("reason").alias("why"))

@@ -446,4 +446,4 @@ def q_run_summary(spark, sf_dir):
     pairs = ref.select("utt").distinct().withColumn("reason", F.when(F.contains("utt", F.lit("_0")), "excluded"))
     samples = pairs.filter(F.col("reason").isNull()).select("utt", F.col("utt").alias("file"), F.lit("ALL").alias("style"))
     store = evaluation.build_store(samples, ref, hyp, None, evaluation.EvaluationOptions())
-    return manifest.run_summary(pairs, store.intervals.select("utt").distinct(), store.failures)
+    return manifest.run_summary(pairs, store.recordings, store.failures)

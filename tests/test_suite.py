@@ -1,6 +1,10 @@
 """Registered queries against their SQL twins on tables made for what the given ones lack."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from segmark.functions.labels import CustomRules
+from segmark.plans import evaluation
 from tests import oracle
 
 
@@ -26,3 +30,21 @@ def test_segments_beyond_the_size_are_packed_whole(spark, tmp_path):
                        9.0::double as value, '{}' as props
                 from range(70) r(i)"""
     assert agrees(spark, with_events(tmp_path, events), "q_vad_merge") == 1
+
+
+def test_counting_the_recordings_of_a_store_runs_no_rule_again(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(label):
+        calls.add(1)
+        return label if label != "-" else None
+
+    rules = CustomRules(F.udf(counted, "string"))
+    rows = [(u, k, label, float(k), k + 1.0) for u, labels in (("u1", "ab"), ("u2", "-a"), ("u3", "--")) for k, label in enumerate(labels)]
+    raw = spark.createDataFrame(rows, "utt string, pos long, label string, start_s double, end_s double")
+    samples = raw.select("utt", F.col("utt").alias("file"), F.lit("ALL").alias("style")).distinct()
+    store = evaluation.build_store(samples, raw, raw, None, evaluation.EvaluationOptions(ref_rules=rules, hyp_rules=rules))
+    before = calls.value
+    assert before > 0
+    assert sorted(r[0] for r in store.recordings.collect()) == ["u1", "u2"] and calls.value == before
+    assert sorted(r[0] for r in store.intervals.select("utt").distinct().collect()) == ["u1", "u2"]
