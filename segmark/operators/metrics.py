@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from segmark.functions import text
 from segmark.operators import boundaries, large, seqalign
 from segmark.operators.quantiles import MAX_IN_TASK, exact_quantiles
-from segmark.session import cut
+from segmark.session import cut, small_batches
 
 DEFAULT_CAP_MS = 150.0
 DEFAULT_TOLERANCES = (0.02, 0.05)
@@ -254,7 +254,8 @@ def score(
         ),
         options.tolerances,
     ).drop("ref", "hyp")
-    scored = cut(counted.withColumn("n_match", F.size("errs")), "scored")
+    with small_batches(store.sparkSession):
+        scored = cut(counted.withColumn("n_match", F.size("errs")), "scored")
     failures = None
     if error:
         failures = scored.filter(F.col(error).isNotNull()).select("utt", F.col(error).alias("reason"))

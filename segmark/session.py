@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +76,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Recordings or files that Spark hands to a Python worker at once.
+WIDE_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = WIDE_ROWS) -> Iterator[None]:
+    """For jobs that run inside: Arrow batches of at most ``rows`` rows, as their rows are whole recordings or files."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input has fewer splits than cores; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -625,3 +625,22 @@ def test_a_value_at_fault_is_looked_for_once():
         assert [k for k, g in enumerate(got) if g and g["error"]] == [1000, 1002, 1003]
     assert max(calls) == 102 and len(calls) < 40  # one search among the distinct values, then a call a batch
     assert checked(pa.array([], pa.string())).to_pylist() == [] and checked(pa.array([None], pa.string())).to_pylist() == [None]
+
+
+def test_recordings_go_to_the_kernels_in_small_batches(spark):
+    aligned = to_arrow_type(seqalign.ALIGNED)
+
+    def size(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        return pa.array([{"pairs": [{"ref_idx": 0, "hyp_idx": 0}], "s": 0, "d": 0, "i": len(ref)}] * len(ref), aligned)
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        rows = spark.range(12_000).select(F.concat(F.lit("u"), "id").alias("utt"), F.lit("f").alias("file"), F.lit("ALL").alias("style"))
+        sides = rows.select("*", F.explode(F.array(F.lit("ref"), F.lit("hyp"))).alias("side"), F.lit(0).alias("pos"), F.lit("a").alias("phoneme"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s"))
+        scored = metrics.score(sides, aligner=F.arrow_udf(size, seqalign.ALIGNED))
+        assert scored.files.count() == 12_000 and scored.files.agg(F.max("i")).first()[0] == 1000
+        assert spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
