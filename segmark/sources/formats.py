@@ -14,7 +14,9 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -226,11 +228,38 @@ class AnnotationSource(DataSource):
 
 TIMELINE = {"utt": T.StringType(), "start_s": T.DoubleType(), "duration_s": T.DoubleType(), "target": T.StringType(), "decision": T.StringType()}
 # The line format.
-_LINE = re.compile(r"(.*) 1 (-?\d+\.\d{6}) (-?\d+\.\d{6}) sc - (.*) - ([tf])")
+_FIELDS = r"^(?P<utt>.*) 1 (?P<start_s>-?[0-9]+\.[0-9]{6}) (?P<duration_s>-?[0-9]+\.[0-9]{6}) sc - (?P<target>.*) - (?P<decision>[tf])$"
 #: Folder of what is written but not committed.
 PENDING = "_pending-"
 
 
+def _six_digits(times: pa.Array) -> pa.Array:
+    """Times as text; each distinct one is formatted once, and a segment comes once for every label of its recording."""
+    if times.null_count:
+        raise TypeError("a timeline needs the times of every segment")
+    coded = times.view(pa.int64()).dictionary_encode()
+    values = coded.dictionary.view(pa.float64()).to_pylist()
+    return pa.array([f"{v:.6f}" for v in values], pa.string()).take(coded.indices)
+
+
+def lines_of(batch: pa.RecordBatch) -> pa.StringArray:
+    """Lines of a batch of timeline rows, line ends included."""
+    utt, start, long, target, decision = (batch.column(batch.schema.names.index(n)) for n in TIMELINE)
+    utt, target, decision = (pc.fill_null(c.cast(pa.string()), "None") for c in (utt, target, decision))
+    return pc.binary_join_element_wise(utt, " 1 ", _six_digits(start), " ", _six_digits(long), " sc - ", target, " - ", decision, "\n", "")
+
+
+def rows_of_lines(lines: list[bytes], path: str) -> pa.RecordBatch:
+    """Timeline rows of lines without their ends."""
+    text = pa.array(lines, pa.binary()).cast(pa.string())
+    found = pc.extract_regex(text, _FIELDS)
+    if found.null_count:
+        bad = text[pc.index(found.is_null(), True).as_py()].as_py()
+        raise ValueError(f"not a line of a timeline in {path}: {bad[:80]!r}")
+    columns = [found.field(n) if k == T.StringType() else found.field(n).cast(pa.float64()) for n, k in TIMELINE.items()]
+    return pa.RecordBatch.from_arrays(columns, names=list(TIMELINE))
+
+
 @dataclass
 class Written(WriterCommitMessage):
     name: str
@@ -260,16 +289,14 @@ class TimelineWriter(DataSourceArrowWriter):
         out, rows = None, 0
         try:
             for b in iterator:
-                columns = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-                lines = [
-                    f"{utt} 1 {start:.6f} {long:.6f} sc - {target} - {decision}\n"
-                    for utt, start, long, target, decision in zip(*(columns[n] for n in TIMELINE))
-                ]
-                if lines and out is None:
+                lines = lines_of(b)
+                if len(lines) and out is None:
                     store.create_dir(folder, recursive=True)
                     out = store.open_output_stream(f"{folder}/{name}")
-                if lines:
-                    out.write("".join(lines).encode())
+                if len(lines):
+                    ends = lines.offset, lines.offset + len(lines)
+                    at = np.frombuffer(lines.buffers()[1], np.int32)
+                    out.write(lines.buffers()[2].slice(int(at[ends[0]]), int(at[ends[1]] - at[ends[0]])))
                 rows += len(lines)
         except BaseException:
             if out is not None:
@@ -319,7 +346,7 @@ class TimelineReader(DataSourceReader):
         names = sorted(p for p, is_folder in stores._entries(self.root) if not is_folder and p.endswith(".etf"))
         return [Part(p) for p in names]
 
-    def read(self, partition: Part | None) -> Iterator[tuple]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a timeline without lines
             return
         store, name = stores.locate(partition.path)
@@ -327,11 +354,8 @@ class TimelineReader(DataSourceReader):
             rest = b""
             while block := f.read(1 << 20):
                 *lines, rest = (rest + block).split(b"\n")
-                for line in lines:
-                    m = _LINE.fullmatch(line.decode())
-                    if m is None:
-                        raise ValueError(f"not a line of a timeline in {partition.path}: {line[:80]!r}")
-                    yield m[1], float(m[2]), float(m[3]), m[4], m[5]
+                if lines:
+                    yield rows_of_lines(lines, partition.path)
             if rest:
                 raise ValueError(f"the last line of {partition.path} is cut off")
 

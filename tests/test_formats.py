@@ -1,7 +1,10 @@
 """Annotation and timeline files as Spark formats."""
 
 import os
+import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +116,21 @@ def test_failed_write_leaves_the_former_timeline(spark, tmp_path):
     assert files() == before
     good.filter("utt < 'u500'").write.format("segmark_etf").mode("overwrite").save(path)
     assert len(lines(path)) == 500 and not set(before[1:]) & set(files()) and not [n for n in os.listdir(path) if n.startswith(formats.PENDING)]
+
+
+def test_timeline_lines_in_batches():
+    rng = random.Random(5)
+    times = [0.0, -0.0, 1e-7, 0.0000005, 0.0000015, 2.5, 1234567.1234565, -3.25, *(rng.uniform(-9, 9) for _ in range(200))]
+    names = ["u1", "a 1 0.000000 1.000000 sc - b", "é ẽ", "", "x - y"]
+    rows = [(rng.choice(names), rng.choice(times), rng.choice(times), rng.choice(names), rng.choice("tf")) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(formats.TIMELINE, r)) for r in rows], schema=pa.schema([(n, formats.ARROW[k]) for n, k in formats.TIMELINE.items()]))
+    lines = [f"{u} 1 {a:.6f} {b:.6f} sc - {t} - {d}\n" for u, a, b, t, d in rows]
+    assert formats.lines_of(batch).to_pylist() == lines
+    back = formats.rows_of_lines([x[:-1].encode() for x in lines], "p")
+    plain = re.compile(r"(.*) 1 (-?\d+\.\d{6}) (-?\d+\.\d{6}) sc - (.*) - ([tf])")
+    want = [(m[1], float(m[2]), float(m[3]), m[4], m[5]) for m in (plain.fullmatch(x[:-1]) for x in lines)]
+    assert [tuple(r.values()) for r in back.to_pylist()] == want
+    with pytest.raises(ValueError, match="not a line of a timeline in p: 'odd'"):
+        formats.rows_of_lines([lines[0][:-1].encode(), b"odd"], "p")
+    with pytest.raises(TypeError):
+        formats.lines_of(batch.set_column(1, "start_s", pa.nulls(len(rows), pa.float64())))
