@@ -275,9 +275,9 @@ class EvaluationJob:
 
     def _read(self, rows: DataFrame, column: str, choice: textgrid.TierChoice):
         texts = textgrid.read_paths(rows.select("utt", F.col(column).alias("path")))
-        # Written once: intervals and failures both read the token streams.
-        found = cut(textgrid.tiers(texts, rename_duplicates=choice.rename_duplicates), "tiers")
-        return textgrid.read_intervals(found, choice)
+        found = textgrid.tiers(texts, rename_duplicates=choice.rename_duplicates)
+        # Written once: failures, vocabulary, checks and store all read the intervals, none the token streams.
+        return textgrid.read_intervals(found, choice, write=True)
 
     def _evaluate(self, spark: SparkSession, rows: DataFrame) -> Evaluation:
         o = self.options

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from segmark.functions import presets, text
-from segmark.session import spread
+from segmark.session import cut, small_batches, spread
 from segmark.sources import stores
 
 # Tier names tried in this order, token pattern.
@@ -174,10 +174,12 @@ def read_intervals(
     key: str = "utt",
     remove_silence: bool = True,
     silence: Sequence[str] = presets.SILENCE_LABELS,
+    write: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(intervals key, pos, label, start_s, end_s; failures key, reason).
 
-    Labels are stripped of outer blanks; blank ones go, and silence too unless kept on purpose.
+    Labels are stripped of outer blanks; blank ones go, and silence too unless kept on purpose. ``write``: what was found
+    in each file is written once, for callers that read the intervals several times.
     """
     at, error = choose_tier(F.col("names"), choice)
     points = F.try_element_at("kinds", "at") != "IntervalTier"
@@ -207,6 +209,9 @@ def read_intervals(
     broken = F.exists("items", lambda i: i["label"].isNull() | i["start_s"].isNull() | i["end_s"].isNull())
     why = F.coalesce("error", F.when(broken, "ValueError: not a readable TextGrid"))
     chosen = text.pinned(chosen.drop("tokens"), why=why)
+    if write:
+        with small_batches(tier_table.sparkSession):
+            chosen = cut(chosen.select(key, "why", F.when(F.col("why").isNull(), F.col("items")).alias("items")), "intervals")
     failures = chosen.filter(F.col("why").isNotNull()).select(key, F.col("why").alias("reason"))
     rows = chosen.filter(F.col("why").isNull()).select(key, F.inline("items")).filter(F.col("label") != "")
     if remove_silence:

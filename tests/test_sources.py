@@ -462,3 +462,19 @@ def test_stored_run_is_replaced_whole(spark, tmp_path):
     runstore.write_store(both.limit(0), path)
     assert runstore.read_store(spark, path).count() == 0
     assert runstore.read_store(spark, path).columns == list(runstore.COLUMNS)
+
+
+def test_intervals_that_are_written_are_found_once(spark):
+    texts = spark.createDataFrame([("u1", SHORT, None), ("u2", "nothing", None), ("u3", LONG, None)], "utt string, content string, error string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(len(b))
+            yield b
+
+    found = textgrid.tiers(texts.mapInPandas(seen, texts.schema))
+    rows, failures = textgrid.read_intervals(found, write=True)
+    plain = textgrid.read_intervals(textgrid.tiers(texts))
+    assert [values(t, *t.columns) for t in (rows, failures)] == [values(t, *t.columns) for t in plain]
+    assert calls.value == 3 and rows.count() > 0 and failures.count() == 1
